@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +43,21 @@ def top_children(
     return children.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 
 
+def select_children(
+    children: DataFrame,
+    key: str,
+    tie: str,
+    min_pt: float,
+    min_energy: float,
+    k: int = MAX_PARTICLES,
+    salts: int = 1,
+) -> DataFrame:
+    """Cuts, then the first ``k`` by descending pt; source order decides ties."""
+    check_cuts(min_pt, min_energy)
+    kept = children.filter((F.col("pt") >= min_pt) & (F.col("energy") >= min_energy))
+    return top_children(kept, key, [F.col("pt").desc(), F.col(tie).asc()], k, salts)
+
+
 def nest_children(
     children: DataFrame,
     key: str,
@@ -56,9 +71,7 @@ def nest_children(
 
     The array is built on the partitioning of the top-k window: one shuffle in all.
     """
-    check_cuts(min_pt, min_energy)
-    kept = children.filter((F.col("pt") >= min_pt) & (F.col("energy") >= min_energy))
-    ranked = top_children(kept, key, [F.col("pt").desc(), F.col(tie).asc()], k, salts)
+    ranked = select_children(children, key, tie, min_pt, min_energy, k, salts)
     item = F.struct((F.col("rn") - 1).cast("int").alias("idx"), *CHILD_FIELDS)
     return ranked.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("particles"))
 
@@ -115,29 +128,50 @@ def clean_particles(
     return jets.withColumn("n_before", n_before).withColumn("particles", clean(min_pt, min_energy, k))
 
 
-def features(p: Column, jet_eta: Column, jet_phi: Column) -> Column:
-    """Relative and logarithmic features in double, stored as float."""
-    state = phys.track_state(p["charge"], p["has_track"])
-    tracks = [
-        F.when(p["has_track"], p[name]).otherwise(F.lit(0.0)).cast("float").alias(f"{name}_raw")
-        for name in TRACK_FIELDS
+def features(field: Callable[[str], Column]) -> list[Column]:
+    """Relative and logarithmic features in double, stored as float.
+
+    ``field`` gives a child's raw column, so the same rules serve flat rows and structs.
+    """
+    jet_eta, jet_phi = F.col("jet_eta").cast("double"), F.col("jet_phi").cast("double")
+    has_track = field("has_track")
+    return [
+        (field("eta") - jet_eta).cast("float").alias("delta_eta"),
+        phys.wrap_angle(field("phi") - jet_phi).cast("float").alias("delta_phi"),
+        F.ln(field("pt")).cast("float").alias("log_pt"),
+        F.ln(field("energy")).cast("float").alias("log_energy"),
+        field("charge").cast("float").alias("charge"),
+        *[
+            F.when(has_track, field(name)).otherwise(F.lit(0.0)).cast("float").alias(f"{name}_raw")
+            for name in TRACK_FIELDS
+        ],
+        phys.pid_category(field("pdg_id")).alias("pid_type"),
+        phys.track_state(field("charge"), has_track).alias("track_state"),
     ]
-    return F.struct(
-        (p["eta"] - jet_eta.cast("double")).cast("float").alias("delta_eta"),
-        phys.wrap_angle(p["phi"] - jet_phi.cast("double")).cast("float").alias("delta_phi"),
-        F.ln(p["pt"]).cast("float").alias("log_pt"),
-        F.ln(p["energy"]).cast("float").alias("log_energy"),
-        p["charge"].cast("float").alias("charge"),
-        *tracks,
-        phys.pid_category(p["pdg_id"]).alias("pid_type"),
-        state.alias("track_state"),
-    )
 
 
 def derive_features(jets: DataFrame) -> DataFrame:
+    """Row-shaped form: one array of feature structs per jet."""
     return jets.withColumn(
-        "particles",
-        F.transform("particles", lambda p: features(p, F.col("jet_eta"), F.col("jet_phi"))),
+        "particles", F.transform("particles", lambda p: F.struct(*features(lambda n: p[n])))
+    )
+
+
+def feature_rows(children: DataFrame, jets: DataFrame, key: str) -> DataFrame:
+    """Long form: one row per selected child, all features compiled, no nested arrays.
+
+    ``children`` are partitioned by ``key`` from their top-k window; only jets move.
+    """
+    return jets.join(children, key).select(
+        *jets.columns, (F.col("rn") - 1).cast("int").alias("idx"), *features(F.col)
+    )
+
+
+def exploded(canonical: DataFrame) -> DataFrame:
+    """Long form of stored canonical rows."""
+    keep = [c for c in canonical.columns if c != "particles"]
+    return canonical.select(*keep, F.posexplode("particles").alias("idx", "p")).select(
+        *keep, "idx", "p.*"
     )
 
 

@@ -138,6 +138,14 @@ def nested_jets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.attach_children(jets(spark, sf_dir), children, "o_orderkey")
 
 
+def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected particles as rows with their features and jet columns."""
+    chosen = canonical.select_children(
+        particles(spark, sf_dir), "o_orderkey", "ord", MIN_PT, MIN_ENERGY
+    )
+    return canonical.feature_rows(chosen, jets(spark, sf_dir), "o_orderkey")
+
+
 def canonical_jets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.derive_features(nested_jets(spark, sf_dir))
 
