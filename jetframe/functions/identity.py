@@ -22,16 +22,15 @@ def file_hash(name: Column) -> Column:
 def bucket10(hex_digest: Column) -> Column:
     """The 256-bit digest modulo 10.
 
-    A power 16^(8k), k >= 1, leaves 6 modulo 10, so the eight 32-bit chunks
-    collapse to ``low + 6 * (sum of the others)`` and no big integer is needed.
+    A power 16^k, k >= 1, leaves 6 modulo 10, so the digest may be cut into pieces that
+    fit a bigint: ``low + 6 * (sum of the others)``, and no big integer is needed.
     """
-    chunks = [
-        F.conv(F.substring(hex_digest, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(8)
+    cuts = ((1, 15), (16, 15), (31, 15), (46, 15), (61, 4))
+    pieces = [
+        F.conv(F.substring(hex_digest, at, n), 16, 10).cast("bigint") % F.lit(10) for at, n in cuts
     ]
-    others = chunks[0]
-    for chunk in chunks[1:7]:
-        others = others + chunk
-    return ((chunks[7] + F.lit(6) * others) % F.lit(10)).cast("int")
+    others = pieces[0] + pieces[1] + pieces[2] + pieces[3]
+    return ((pieces[4] + F.lit(6) * others) % F.lit(10)).cast("int")
 
 
 def split_of_bucket(bucket: Column) -> Column:

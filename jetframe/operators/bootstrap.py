@@ -16,6 +16,7 @@ from jetframe.operators.metrics import EFFICIENCIES, label_of, metrics_of_points
 from jetframe.operators.ranking import hash_ordinal
 
 DRAW_RULE = "md5-hex12-v1"
+BLOCK = 50
 
 
 def class_index(rows: DataFrame, seed: int, id_col: str = "jet_id") -> DataFrame:
@@ -32,8 +33,14 @@ def draws(index: DataFrame, replicates: int, seed: int) -> DataFrame:
     """``(rep, target, drawn)``: every class is resampled to its own size."""
     text = F.concat_ws("|", F.lit(str(seed)), F.col("rep"), F.col("target"), F.col("k"))
     number = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
-    return index.select(
-        "target", "k", "n_c", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
+    # One index row makes many draws, so blocks of replicates are spread over the tasks
+    # first; the index itself may sit in very few partitions.
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK))).alias("first")
+    blocks = index.select("target", "k", "n_c", first).repartition(tasks, "first", "target", "k")
+    last = F.least(F.col("first") + F.lit(BLOCK), F.lit(replicates)) - 1
+    return blocks.select(
+        "target", "k", "n_c", F.explode(F.sequence(F.col("first"), last)).alias("rep")
     ).select("rep", "target", (number % F.col("n_c")).alias("drawn"))
 
 

@@ -46,32 +46,27 @@ def top_children(
 def select_children(
     children: DataFrame,
     key: str,
-    tie: str,
+    tie: Sequence[str],
     min_pt: float,
     min_energy: float,
     k: int = MAX_PARTICLES,
     salts: int = 1,
 ) -> DataFrame:
-    """Cuts, then the first ``k`` by descending pt; source order decides ties."""
+    """Cuts, then the first ``k`` by descending pt; ``tie`` is the source order.
+
+    Needs ``pt``, ``energy`` and raw columns only, so derived fields are best added
+    afterwards: they are then neither sorted nor shuffled.
+    """
     check_cuts(min_pt, min_energy)
     kept = children.filter((F.col("pt") >= min_pt) & (F.col("energy") >= min_energy))
-    return top_children(kept, key, [F.col("pt").desc(), F.col(tie).asc()], k, salts)
+    return top_children(kept, key, [F.col("pt").desc(), *[F.col(c).asc() for c in tie]], k, salts)
 
 
-def nest_children(
-    children: DataFrame,
-    key: str,
-    tie: str,
-    min_pt: float,
-    min_energy: float,
-    k: int = MAX_PARTICLES,
-    salts: int = 1,
-) -> DataFrame:
-    """Cut, order and truncate flat children, then nest at most ``k`` of them per parent.
+def nest_children(ranked: DataFrame, key: str) -> DataFrame:
+    """Nest selected children, at most ``k`` per parent, into an ordered array.
 
     The array is built on the partitioning of the top-k window: one shuffle in all.
     """
-    ranked = select_children(children, key, tie, min_pt, min_energy, k, salts)
     item = F.struct((F.col("rn") - 1).cast("int").alias("idx"), *CHILD_FIELDS)
     return ranked.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("particles"))
 

@@ -26,16 +26,9 @@ def r6(column):
 SELECT o_orderkey, idx::INTEGER AS idx, pt, energy, pdg_id, has_track FROM kept WHERE idx < 3""",
 )
 def particles_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = canonical.nest_children(
-        tables.particles(spark, sf_dir),
-        "o_orderkey",
-        "ord",
-        tables.MIN_PT,
-        tables.MIN_ENERGY,
-        k=3,
-    )
-    return nested.select("o_orderkey", F.explode("particles").alias("p")).select(
-        "o_orderkey", "p.idx", "p.pt", "p.energy", "p.pdg_id", "p.has_track"
+    chosen = tables.with_particle_fields(tables.selected_particles(spark, sf_dir, k=3))
+    return chosen.select(
+        "o_orderkey", (F.col("rn") - 1).cast("int").alias("idx"), "pt", "energy", "pdg_id", "has_track"
     )
 
 
@@ -62,8 +55,7 @@ FROM jets LEFT JOIN a USING (o_orderkey) LEFT JOIN b USING (o_orderkey)""",
 )
 def nested_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The array form: cut, stable order and truncation inside each row, no shuffle of its own."""
-    raw = canonical.nest_children(tables.particles(spark, sf_dir), "o_orderkey", "ord", 1e-9, 1e-9)
-    jets = canonical.attach_children(tables.jets(spark, sf_dir), raw, "o_orderkey")
+    jets = tables.nested_jets(spark, sf_dir, 1e-9, 1e-9)
     done = canonical.clean_particles(jets, tables.MIN_PT, tables.MIN_ENERGY, k=2)
     return done.select(
         "jet_id", "n_before", F.posexplode_outer("particles").alias("idx", "p")
@@ -87,14 +79,17 @@ UNION ALL SELECT 'SPLIT_IDENTITY_VALUE:lumi', key, '' FROM k WHERE l2 < 1""",
 )
 def compact_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrupted copies of the jets: infinite and NaN fields, bad splits, labels, coordinates."""
-    broken = tables.particles(spark, sf_dir).withColumns(
+    raw = tables.selected_particles(spark, sf_dir, 1e-9, 1e-9)
+    bad_eta, bad_dz = F.col("l_suppkey") % 50 == 0, F.col("l_partkey") % 97 == 0
+    marked = raw.select("*", bad_eta.alias("bad_eta"), bad_dz.alias("bad_dz"))
+    broken = tables.with_particle_fields(marked).withColumns(
         {
-            "eta": F.when(F.col("ord.l_suppkey") % 50 == 0, F.lit(float("inf"))).otherwise(F.col("eta")),
-            "dz": F.when(F.col("ord.l_partkey") % 97 == 0, F.lit(float("nan"))).otherwise(F.col("dz")),
+            "eta": F.when(F.col("bad_eta"), F.lit(float("inf"))).otherwise(F.col("eta")),
+            "dz": F.when(F.col("bad_dz"), F.lit(float("nan"))).otherwise(F.col("dz")),
         }
     )
-    raw = canonical.nest_children(broken, "o_orderkey", "ord", 1e-9, 1e-9)
-    jets = canonical.attach_children(tables.jets(spark, sf_dir), raw, "o_orderkey")
+    children = canonical.nest_children(broken, "o_orderkey")
+    jets = canonical.attach_children(tables.jets(spark, sf_dir), children, "o_orderkey")
     k = F.col("o_orderkey")
     return canonical.compact_rules(
         jets.withColumns(

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jetframe.functions.identity import class_of_role
 from jetframe.operators import canonical, split
-from jetframe.functions.identity import assign_split, class_of_role, stable_id, file_hash
+from jetframe.schema import MAX_PARTICLES
 
 # Policy parameters of the registered queries.
 MIN_PT = 10.0
@@ -92,36 +93,46 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One particle per order line.  ``ord`` is the order of the source rows."""
-    p, s = F.col("l_partkey"), F.col("l_suppkey")
+# Source order of the lines of one order (the line number alone is not unique).
+TIE = (
+    "l_linenumber",
+    "l_partkey",
+    "l_suppkey",
+    "l_shipdate",
+    "l_extendedprice",
+    "l_quantity",
+    "l_discount",
+    "l_tax",
+    "l_returnflag",
+    "l_linestatus",
+)
+
+
+def raw_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One particle per order line: its source columns, pt and energy."""
     pt = F.col("l_extendedprice") / F.lit(1000.0)
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"),
-        F.struct(
-            "l_linenumber",
-            "l_partkey",
-            "l_suppkey",
-            "l_shipdate",
-            "l_extendedprice",
-            "l_quantity",
-            "l_discount",
-            "l_tax",
-            "l_returnflag",
-            "l_linestatus",
-        ).alias("ord"),
+        *TIE,
         pt.alias("pt"),
+        (pt * (F.lit(1.0) + F.col("l_tax"))).alias("energy"),
+    )
+
+
+def with_particle_fields(rows: DataFrame) -> DataFrame:
+    """The remaining particle fields, replacing the source columns."""
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    keep = [c for c in rows.columns if c not in TIE]
+    codes = F.array(*[F.lit(c) for c in (211, 22, 130, 11, 13, 321, 2112, 310, 999)])
+    return rows.select(
+        *keep,
         ((s % 500 - 250) / F.lit(100.0)).alias("eta"),
         ((p % 629 - 314) / F.lit(100.0)).alias("phi"),
-        (pt * (F.lit(1.0) + F.col("l_tax"))).alias("energy"),
         F.when(F.col("l_returnflag") == "R", F.lit(-1.0))
         .when(F.col("l_returnflag") == "A", F.lit(1.0))
         .otherwise(F.lit(0.0))
         .alias("charge"),
-        F.element_at(
-            F.array(*[F.lit(c) for c in (211, 22, 130, 11, 13, 321, 2112, 310, 999)]),
-            (s % 9 + 1).cast("int"),
-        ).alias("pdg_id"),
+        F.element_at(codes, (s % 9 + 1).cast("int")).alias("pdg_id"),
         (F.col("l_quantity") / F.lit(1000.0)).alias("dxy"),
         (F.col("l_quantity") / F.lit(10000.0)).alias("dxy_error"),
         (F.col("l_tax") / F.lit(10.0)).alias("dz"),
@@ -130,19 +141,30 @@ def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nested_jets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jets with their selected particles as an ordered array."""
-    children = canonical.nest_children(
-        particles(spark, sf_dir), "o_orderkey", "ord", MIN_PT, MIN_ENERGY
+def selected_particles(
+    spark: SparkSession,
+    sf_dir: str,
+    min_pt: float = MIN_PT,
+    min_energy: float = MIN_ENERGY,
+    k: int = MAX_PARTICLES,
+) -> DataFrame:
+    return canonical.select_children(
+        raw_particles(spark, sf_dir), "o_orderkey", TIE, min_pt, min_energy, k
     )
+
+
+def nested_jets(
+    spark: SparkSession, sf_dir: str, min_pt: float = MIN_PT, min_energy: float = MIN_ENERGY
+) -> DataFrame:
+    """Jets with their selected particles as an ordered array."""
+    chosen = with_particle_fields(selected_particles(spark, sf_dir, min_pt, min_energy))
+    children = canonical.nest_children(chosen, "o_orderkey")
     return canonical.attach_children(jets(spark, sf_dir), children, "o_orderkey")
 
 
 def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected particles as rows with their features and jet columns."""
-    chosen = canonical.select_children(
-        particles(spark, sf_dir), "o_orderkey", "ord", MIN_PT, MIN_ENERGY
-    )
+    chosen = with_particle_fields(selected_particles(spark, sf_dir))
     return canonical.feature_rows(chosen, jets(spark, sf_dir), "o_orderkey")
 
 
