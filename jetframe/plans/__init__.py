@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("data_queries", "feature_queries", "metric_queries", "audit_queries", "ledger_queries")
+MODULES = (
+    "data_queries",
+    "feature_queries",
+    "metric_queries",
+    "audit_queries",
+    "ledger_queries",
+    "record_queries",
+)
 
 
 def _load() -> None:

@@ -81,7 +81,7 @@ n AS (SELECT study_id, gate FROM s JOIN (VALUES ('E0.5', 'E0'), ('E1', 'E0'), ('
   ('E2', 'E1'), ('E2', 'E2_budget'), ('E3', 'E0'), ('E3', 'E0.5'), ('E3', 'E1'), ('E3', 'E2')) AS p(stage, gate)
   USING (stage)),
 g AS (SELECT o_custkey AS study_id, ['E0', 'E0.5', 'E1', 'E2', 'E2_budget'][(o_orderkey % 5 + 1)::INTEGER] AS gate,
-  arg_max(CASE o_orderstatus WHEN 'F' THEN 'passed' WHEN 'O' THEN 'failed' END, o_orderkey) AS status,
+  arg_max(CASE o_orderstatus WHEN 'F' THEN 'passed' WHEN 'O' THEN 'failed' ELSE 'blocked' END, o_orderkey) AS status,
   arg_max(o_orderkey % 3 = 0, o_orderkey) AS eligible, max(o_orderkey) AS k FROM orders GROUP BY ALL),
 j AS (SELECT n.study_id, n.gate, k, status, eligible, coalesce(eligible, FALSE) OR coalesce(status = 'passed', FALSE) AS ok
   FROM n LEFT JOIN g USING (study_id, gate))
@@ -97,7 +97,7 @@ def stage_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     gates = F.array(*[F.lit(s) for s in ("E0", "E0.5", "E1", "E2", "E2_budget")])
     k = F.col("o_orderkey")
-    status = F.expr("CASE o_orderstatus WHEN 'F' THEN 'passed' WHEN 'O' THEN 'failed' END")
+    status = F.expr("CASE o_orderstatus WHEN 'F' THEN 'passed' WHEN 'O' THEN 'failed' ELSE 'blocked' END")
     digest = F.when(k % 7 == 0, F.lit("stale")).otherwise(F.sha2(k.cast("string"), 256))
     last = F.max_by(
         F.struct(status.alias("status"), (k % 3 == 0).alias("eligible"), digest.alias("content_sha256")), k
