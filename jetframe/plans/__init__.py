@@ -11,6 +11,7 @@ MODULES = (
     "audit_queries",
     "ledger_queries",
     "record_queries",
+    "source_queries",
 )
 
 

@@ -182,9 +182,6 @@ def split_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.source_file_violations(files.unionByName(files.filter("again")).drop("again"))
 
 
-_URL = "'see https://h/x?token=' || md5(o_orderkey::VARCHAR) || '&v=1 Bearer ' || md5(o_custkey::VARCHAR) || ' end'"
-
-
 @query(
     "failure_normalise",
     """SELECT o_orderkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'failed' ELSE 'timed_out' END
@@ -262,7 +259,7 @@ SELECT doc_id, found FROM s WHERE found <> ''""",
 def script_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, every fifth with one CJK character at its end; the whole text is read."""
     char = F.decode(
-        F.unhex(F.concat(F.lit("0000"), F.hex(F.lit(19968) + F.col("doc_id") % 20000))), "UTF-32BE"
+        F.unhex(F.hex(F.lit(19968) + F.col("doc_id") % 20000)), "UTF-16BE"
     )
     t = F.when(F.col("doc_id") % 5 == 0, F.concat("text", char)).otherwise(F.col("text"))
     rows = tables.table(spark, sf_dir, "documents").select("doc_id", text.first_cjk(t).alias("found"))
@@ -401,10 +398,10 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "group_coverage",
-    """SELECT array_to_string(list_sort(list_filter(['BASE', 'DISCONTINUED', 'PROMO'], lambda t: NOT list_contains(
-  (SELECT list(DISTINCT upper(split_part(p_type, ' ', 1))) FROM part), t))), ',') AS absent,
-  (SELECT count(DISTINCT upper(split_part(p_type, ' ', 1))) FROM part WHERE upper(split_part(p_type, ' ', 1))
-   NOT IN ('BASE', 'DISCONTINUED', 'PROMO'))::BIGINT AS other""",
+    """WITH t AS (SELECT DISTINCT upper(split_part(p_type, ' ', 1)) AS theme FROM part),
+w AS (SELECT unnest(['BASE', 'DISCONTINUED', 'PROMO']) AS theme)
+SELECT coalesce((SELECT string_agg(theme, ',' ORDER BY theme) FROM w ANTI JOIN t USING (theme)), '') AS absent,
+  (SELECT count(*) FROM t ANTI JOIN w USING (theme))::BIGINT AS other""",
 )
 def group_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "part").select(
