@@ -16,7 +16,9 @@ from jetframe.operators.metrics import EFFICIENCIES, label_of, metrics_of_points
 from jetframe.operators.ranking import hash_ordinal
 
 DRAW_RULE = "md5-hex12-v1"
-BLOCK = 50
+# Index rows per task and the longest index that is broadcast (some 100 MB).
+SLICE = 1_000_000
+BROADCAST_ROWS = 2_000_000
 
 
 def class_index(rows: DataFrame, seed: int, id_col: str = "jet_id") -> DataFrame:
@@ -30,28 +32,39 @@ def class_index(rows: DataFrame, seed: int, id_col: str = "jet_id") -> DataFrame
 
 
 def draws(index: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """``(rep, target, drawn)``: every class is resampled to its own size."""
+    """``(rep, target, drawn)``: every class is resampled to its own size.
+
+    Index rows are spread by blocks of replicates (and slices of the index, if it is
+    long) before they make their draws: a task then holds whole replicates, or large parts
+    of them, and combines them per score before anything is shuffled.
+    """
     text = F.concat_ws("|", F.lit(str(seed)), F.col("rep"), F.col("target"), F.col("k"))
     number = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
-    # One index row makes many draws, so blocks of replicates are spread over the tasks
-    # first; the index itself may sit in very few partitions.
     tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK))).alias("first")
-    blocks = index.select("target", "k", "n_c", first).repartition(tasks, "first", "target", "k")
-    last = F.least(F.col("first") + F.lit(BLOCK), F.lit(replicates)) - 1
+    block = max(1, replicates // (8 * tasks))
+    first = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(block))).alias("first")
+    blocks = index.select(
+        "target", "k", "n_c", F.floor(F.col("k") / SLICE).alias("slice"), first
+    ).repartition(max(tasks, min(replicates // block, 8 * tasks)), "first", "slice")
+    last = F.least(F.col("first") + F.lit(block), F.lit(replicates)) - 1
     return blocks.select(
         "target", "k", "n_c", F.explode(F.sequence(F.col("first"), last)).alias("rep")
     ).select("rep", "target", (number % F.col("n_c")).alias("drawn"))
 
 
 def resampled(index: DataFrame, replicates: int, seed: int, scores: Sequence[str]) -> DataFrame:
-    """Drawn rows combined to one row per replicate, class and score tuple."""
+    """Drawn rows with weight ``m`` = 1.
+
+    The index is broadcast only if its counted rows are few; a longer one is joined by
+    shuffling both sides on ``(target, drawn)``, which the draws fill evenly.
+    """
     source = index.select("target", F.col("k").alias("drawn"), *scores)
+    if index.count() <= BROADCAST_ROWS:
+        source = F.broadcast(source)
     return (
         draws(index, replicates, seed)
         .join(source, ["target", "drawn"])
-        .groupBy("rep", "target", *scores)
-        .agg(F.count(F.lit(1)).alias("m"))
+        .select("rep", "target", *scores, F.lit(1).cast("bigint").alias("m"))
     )
 
 
