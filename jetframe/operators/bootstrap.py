@@ -38,17 +38,19 @@ def draws(index: DataFrame, replicates: int, seed: int) -> DataFrame:
     long) before they make their draws: a task then holds whole replicates, or large parts
     of them, and combines them per score before anything is shuffled.
     """
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("rep"), F.col("target"), F.col("k"))
+    # The part of the text that does not change with the replicate is made once per row.
+    tail = F.concat(F.lit("|"), F.col("target").cast("string"), F.lit("|"), F.col("k").cast("string"))
+    text = F.concat(F.lit(f"{seed}|"), F.col("rep").cast("string"), F.col("tail"))
     number = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
     tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = max(1, replicates // (8 * tasks))
     first = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(block))).alias("first")
     blocks = index.select(
-        "target", "k", "n_c", F.floor(F.col("k") / SLICE).alias("slice"), first
+        "target", "n_c", tail.alias("tail"), F.floor(F.col("k") / SLICE).alias("slice"), first
     ).repartition(max(tasks, min(replicates // block, 8 * tasks)), "first", "slice")
     last = F.least(F.col("first") + F.lit(block), F.lit(replicates)) - 1
     return blocks.select(
-        "target", "k", "n_c", F.explode(F.sequence(F.col("first"), last)).alias("rep")
+        "target", "n_c", "tail", F.explode(F.sequence(F.col("first"), last)).alias("rep")
     ).select("rep", "target", (number % F.col("n_c")).alias("drawn"))
 
 

@@ -307,9 +307,9 @@ CONTRACTS: dict[str, dict] = {
 }
 
 
-def kind_of(json: Column) -> Column:
-    """The one kind whose identifying field occurs; null if none or several do."""
-    found = F.array_intersect(F.json_object_keys(json), F.array(*[F.lit(f) for f in KINDS.values()]))
+def kind_of(keys: Column) -> Column:
+    """The one kind whose identifying field is among ``keys``; null if none or several are."""
+    found = F.array_intersect(keys, F.array(*[F.lit(f) for f in KINDS.values()]))
     kind = F.lit(None).cast("string")
     for name, key in KINDS.items():
         kind = F.when(found[0] == key, F.lit(name)).otherwise(kind)
@@ -358,6 +358,15 @@ def text_column(path: str) -> str:
     return "_text_" + path.replace(".", "_")
 
 
+def map_column(path: str) -> str:
+    """Raw texts by key of an object that holds objects; the record itself has path ""."""
+    return "_map_" + path.replace(".", "_")
+
+
+def holds_objects(spec: Object) -> bool:
+    return any(isinstance(inner, Object) for inner in spec.fields.values())
+
+
 def value_rule(spec, x: Column, raw: Column) -> Column:
     """True for a bad scalar value; ``raw`` is its JSON text, read only where ``x`` is null."""
     bad: list[Column] = []
@@ -394,16 +403,17 @@ def field_rules(fields: dict, value: Column, path: str = "") -> dict[str, Column
         x = value[name]
         if isinstance(spec, Object):
             allowed = F.array(*[F.lit(k) for k in spec.fields])
-            extra = F.size(F.array_except(F.json_object_keys(text_column(at)), allowed)) > 0
+            keys = (
+                F.map_keys(map_column(at)) if holds_objects(spec) else F.json_object_keys(text_column(at))
+            )
+            extra = F.size(F.array_except(keys, allowed)) > 0
             rules[f"CONTRACT_UNKNOWN_PROPERTY:{at}"] = x.isNotNull() & extra
             for rule, bad in field_rules(spec.fields, x, at).items():
                 rules[rule] = x.isNotNull() & bad
             if spec.required:
                 rules[f"CONTRACT_SCHEMA:{at}"] = x.isNull()
             continue
-        raw = (
-            F.get_json_object(text_column(path), f"$.{name}") if path else F.col("_top")[name]
-        )
+        raw = F.get_json_object(text_column(path), f"$.{name}") if path else F.col(map_column(""))[name]
         rules[f"CONTRACT_SCHEMA:{at}"] = value_rule(spec, x, raw)
     return rules
 
@@ -470,20 +480,22 @@ def record_violations(records: DataFrame, kind: str, json: str = "json", key: st
         F.col(key),
         F.col(json),
         F.from_json(json, schema_of(fields)).alias("v"),
-        F.from_json(json, "map<string,string>").alias("_top"),
-    )
-    for at, parent, name, _ in objects(fields):
-        source = (
-            F.get_json_object(text_column(parent), f"$.{name}") if parent else F.col("_top")[name]
-        )
-        parsed = parsed.withColumn(text_column(at), source)
-    text, v = F.col(json), F.col("v")
+        F.from_json(json, "map<string,string>").alias(map_column("")),
+    ).drop(json)
+    # Every object is parsed once more for its keys, parents before what they hold.
+    for at, parent, name, spec in objects(fields):
+        parsed = parsed.withColumn(text_column(at), F.col(map_column(parent))[name])
+        if holds_objects(spec):
+            parsed = parsed.withColumn(
+                map_column(at), F.from_json(text_column(at), "map<string,string>")
+            )
+    keys, v = F.map_keys(map_column("")), F.col("v")
     allowed = F.array(*[F.lit(k) for k in fields])
     version = F.regexp_extract(v["schema_version"], r"^(\d+)\.\d+\.\d+$", 1)
     rules = {
-        "CONTRACT_KIND": ~kind_of(text).eqNullSafe(F.lit(kind)),
+        "CONTRACT_KIND": ~kind_of(keys).eqNullSafe(F.lit(kind)),
         "CONTRACT_UNSUPPORTED_MAJOR": (version != "") & (version != SUPPORTED_MAJOR),
-        "CONTRACT_UNKNOWN_PROPERTY": F.size(F.array_except(F.map_keys("_top"), allowed)) > 0,
+        "CONTRACT_UNKNOWN_PROPERTY": F.size(F.array_except(keys, allowed)) > 0,
         **field_rules(fields, v),
         **semantic_rules(kind, v),
     }
