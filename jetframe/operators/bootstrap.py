@@ -27,8 +27,11 @@ def class_index(rows: DataFrame, seed: int, id_col: str = "jet_id") -> DataFrame
     ``rows`` must be the test set of a comparison: one row per id.
     """
     placed = hash_ordinal(rows, id_col, seed, ["target"], "_k1")
-    sizes = rows.groupBy("target").agg(F.count(F.lit(1)).alias("n_c"))
-    return placed.withColumn("k", F.col("_k1") - 1).drop("_k1").join(sizes, "target")
+    # Class sizes are two numbers: scalar subqueries, not a join on a two-valued key.
+    n0 = rows.agg(F.count_if(F.col("target") == 0)).scalar()
+    n1 = rows.agg(F.count_if(F.col("target") == 1)).scalar()
+    size = F.when(F.col("target") == 1, n1).otherwise(n0)
+    return placed.withColumn("k", F.col("_k1") - 1).withColumn("n_c", size).drop("_k1")
 
 
 def draws(index: DataFrame, replicates: int, seed: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from jetframe.operators.ordered import range_bounds, running_sums
 from jetframe.schema import CONTINUOUS_FIELDS
 
+MAX_CELLS = 100_000
+
 
 def fit_scaling(rows: DataFrame, fields: Sequence[str] = CONTINUOUS_FIELDS) -> DataFrame:
     """``(field, location, scale, n)``: mean and population deviation over train particles.
@@ -120,8 +123,12 @@ def apply_weights(
     The weight is an audit column (``audit_weight``), never a model input.
     """
     names = [f"{a}_cell" for a in axes]
+    # The table has at most one row per cell, a number fixed by the edges.  Joined by a
+    # shuffle, its few keys would put all rows into few tasks.
+    if prod(len(edges) - 1 for edges in axes.values()) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} weight cells")
     placed = df.withColumns({f"{a}_cell": cell_of(F.col(a), e) for a, e in axes.items()})
-    return placed.join(weights, names, "left").withColumn(
+    return placed.join(F.broadcast(weights), names, "left").withColumn(
         "audit_weight",
         F.when(F.col(label) == 1, F.lit(1.0)).otherwise(F.coalesce(F.col("weight"), F.lit(0.0))),
     ).drop("weight")

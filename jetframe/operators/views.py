@@ -11,6 +11,8 @@ from jetframe.rules import repeated_keys, union_all
 from jetframe.schema import FEATURE_VIEWS, FORBIDDEN_MODEL_FIELDS, MAX_PARTICLES
 
 UNSCALED = ("pid_type",)
+# Longest id list that is broadcast (some 200 MB of ids).
+BROADCAST_ROWS = 2_000_000
 
 
 def forbidden_fields(names: Sequence[str]) -> list[str]:
@@ -71,12 +73,21 @@ def feature_view(
     )
 
 
-def subset_rows(members: DataFrame, canonical: DataFrame, label: str = "label") -> DataFrame:
-    """Canonical rows of one subset with ``row`` in subset order: all class 0, then class 1."""
+def subset_rows(
+    members: DataFrame, canonical: DataFrame, size: int, label: str = "label"
+) -> DataFrame:
+    """Canonical rows of one subset with ``row`` in subset order: all class 0, then class 1.
+
+    A subset of ``size`` per class has at most ``2 * size`` ids.  While these are few the
+    canonical rows are only scanned and filtered; a larger subset is joined by shuffles.
+    """
     one = members.filter(F.col(label) == 0).agg(F.count(F.lit(1))).scalar()
     row = F.when(F.col(label) == 0, F.col("pos")).otherwise(F.col("pos") + one) - 1
-    ids = members.select(row.alias("row"), "jet_id", F.col(label).alias("subset_label"))
-    return ids.join(canonical, "jet_id")
+    held = members.filter(F.col("pos") <= size)
+    ids = held.select(row.alias("row"), "jet_id", F.col(label).alias("subset_label"))
+    if 2 * size <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return canonical.join(ids, "jet_id")
 
 
 def subset_violations(members: DataFrame, canonical: DataFrame) -> DataFrame:

@@ -195,8 +195,9 @@ m AS (SELECT CASE label WHEN 0 THEN pos ELSE pos + {SIZES[1]} END - 1 AS row, je
 def _subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = ranking.balanced_order(_pool(spark, sf_dir), SIZES[1], SEED)
     members = ranking.subset_members(ordered, [SIZES[1]])
-    rows = tables.canonical_jets(spark, sf_dir).withColumnRenamed("target", "label")
-    return views.subset_rows(members, rows)
+    # Features are derived after the join, for the chosen jets only.
+    jets = tables.nested_jets(spark, sf_dir).withColumnRenamed("target", "label")
+    return canonical.derive_features(views.subset_rows(members, jets, SIZES[1]))
 
 
 @query(
