@@ -313,10 +313,18 @@ def kind_of(keys: Column) -> Column:
     kind = F.lit(None).cast("string")
     for name, key in KINDS.items():
         kind = F.when(found[0] == key, F.lit(name)).otherwise(kind)
-    # A prediction names its run too; every other pair of identifiers is ambiguous.
-    prediction = F.array_contains(found, "prediction_id") & F.array_contains(found, "run_id")
-    return F.when(F.size(found) == 1, kind).when(
-        (F.size(found) == 2) & prediction, F.lit("prediction")
+    return F.when(F.size(found) == 1, kind)
+
+
+def detected_kinds(records: DataFrame, json: str = "json", key: str = "key") -> DataFrame:
+    """``(key, kind, rule)``; the rule names records that fit no kind or more than one.
+
+    A prediction record also names its run, so it fits two kinds and must be validated
+    with its kind given.
+    """
+    kind = kind_of(F.json_object_keys(json))
+    return records.select(F.col(key), kind.alias("kind")).withColumn(
+        "rule", F.when(F.col("kind").isNull(), F.lit("CONTRACT_KIND"))
     )
 
 
@@ -493,7 +501,6 @@ def record_violations(records: DataFrame, kind: str, json: str = "json", key: st
     allowed = F.array(*[F.lit(k) for k in fields])
     version = F.regexp_extract(v["schema_version"], r"^(\d+)\.\d+\.\d+$", 1)
     rules = {
-        "CONTRACT_KIND": ~kind_of(keys).eqNullSafe(F.lit(kind)),
         "CONTRACT_UNSUPPORTED_MAJOR": (version != "") & (version != SUPPORTED_MAJOR),
         "CONTRACT_UNKNOWN_PROPERTY": F.size(F.array_except(keys, allowed)) > 0,
         **field_rules(fields, v),

@@ -91,6 +91,33 @@ def record_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.record_violations(run_records(spark, sf_dir), "run")
 
 
+@query(
+    "contract_kinds",
+    """WITH k AS (SELECT o_orderkey AS key, CASE o_orderkey % 7 WHEN 0 THEN 'run' WHEN 1 THEN 'split' WHEN 3 THEN 'e0_audit'
+  WHEN 4 THEN 'e05_audit' WHEN 6 THEN 'prediction' END AS kind FROM orders)
+SELECT key, kind, CASE WHEN kind IS NULL THEN 'CONTRACT_KIND' END AS rule FROM k""",
+)
+def contract_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with the identifying field of one kind, of two kinds, or of none."""
+    k = F.col("o_orderkey")
+
+    def when(*residues: int):
+        return F.when((k % 7).isin(*residues), k.cast("string"))
+
+    record = F.to_json(
+        F.struct(
+            F.lit("1.0.0").alias("schema_version"),
+            when(0, 2).alias("run_id"),
+            when(1).alias("manifest_id"),
+            when(2, 6).alias("prediction_id"),
+            when(3).alias("e0_audit_id"),
+            when(4).alias("e05_audit_id"),
+        )
+    )
+    rows = tables.table(spark, sf_dir, "orders").select(k.alias("key"), record.alias("json"))
+    return contracts.detected_kinds(rows)
+
+
 _PREDICTION = f"""to_json(named_struct('schema_version', '1.0.0', 'prediction_id', concat('pred-', o_orderkey),
   'run_id', concat('run-', o_orderkey), 'created_at', '2026-01-01T00:00:00Z',
   'partition', CASE WHEN o_orderkey % 31 = 0 THEN 'train' ELSE 'test' END, 'feature_config', 'A',
