@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,19 +24,19 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "jetframe")
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only where no folder is named (a local test) is a temporary one set.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; set below the warehouse if none is."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get(CHECKPOINT_CONF) or df.sparkSession.conf.get(
-            CHECKPOINT_CONF, None
-        )
+        named = context.getConf().get(CHECKPOINT_CONF) or spark.conf.get(CHECKPOINT_CONF, None)
         if named is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            named = f"{warehouse}/_checkpoints"
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; cuts the lineage and survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

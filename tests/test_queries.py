@@ -4,6 +4,7 @@ import check
 import pytest
 
 import __spark_entry__ as entry_module
+from jetframe import plans
 
 SF = "/root/testdata/sf0.001"
 ORACLES = entry_module.oracle_sql()
@@ -22,7 +23,7 @@ def test_entry(spark):
     assert entry_module.entry(spark).count() == 3
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(plans.registry()))
 def test_query(spark, duck, name):
     good, text = check.compare(
         spark, duck, SF, name, entry_module.queries()[name], ORACLES.get(name)
