@@ -63,3 +63,59 @@ def mix(values: np.ndarray) -> np.ndarray:
 def bounds_of(owners: np.ndarray, count: int) -> np.ndarray:
     """Start of each owner's run in an ascending array of owners, and the end of the last."""
     return np.searchsorted(owners, np.arange(count + 1))
+
+
+def labelled_sample(labels: DataFrame, label: str, modulus: int, held: int, rows: int) -> DataFrame:
+    """(doc_id, label) of at most ``rows`` labelled documents outside the held-out remainder.
+
+    The rows with the smallest hash of their id: the same at every run and for any partitioning.
+    An id labelled twice has its largest label.
+    """
+    return (
+        labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+        .filter(remainder("doc_id", modulus) != held)
+        .groupBy("doc_id")
+        .agg(F.max(label).cast("int").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(rows)
+    )
+
+
+SEPARATORS = np.zeros(256, dtype=bool)
+SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
+_STEP = np.uint64(0xD1342543DE82EF95)
+
+
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, 64-bit hash) of every run of bytes that are no separators.
+
+    The hash is a polynomial over random byte values with 64-bit overflow, mixed with the length.
+    """
+    inside = ~SEPARATORS[data]
+    edges = np.diff(np.concatenate([[False], inside, [False]]).view(np.int8))
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    lengths = ends - starts
+    if not len(starts):
+        return starts, lengths, np.zeros(0, np.uint64)
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    powers = np.multiply.accumulate(
+        np.concatenate([[np.uint64(1)], np.full(int(lengths.max()), _STEP)]).astype(np.uint64)
+    )
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    terms = _BYTE_VALUES[data[inside]] * powers[place]
+    return starts, lengths, mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64) * GOLDEN)
+
+
+_GRAM_STEPS = mix(np.arange(1001, 1101, dtype=np.uint64)) | np.uint64(1)
+
+
+def word_grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every ``size`` words in a row."""
+    count = max(0, len(hashes) - size + 1)
+    total = np.full(count, size, dtype=np.uint64) * GOLDEN
+    for k in range(size):
+        total += mix(hashes[k : k + count] + _GRAM_STEPS[k]) * _GRAM_STEPS[k]
+    return mix(total)
