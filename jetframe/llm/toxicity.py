@@ -5,8 +5,10 @@ in learning and in matching alike.
 
 Learning, from at most ``SAMPLE_ROWS`` labelled documents outside the held-out part:
 1. Terms are beginnings of words (3 to 16 letters, so stems match with any ending). Their weight is the
-   smoothed log odds between toxic and clean documents. A term is dropped if a shorter one that begins
-   it is as good.
+   smoothed log odds between toxic and clean documents. A term is dropped for a longer one found in as
+   many toxic documents, and for a shorter one with as good a weight. Terms are then taken one by one
+   by the toxic documents they explain; a document counts half for each word of it that is already
+   explained, so words that merely share documents (or copies of one) with toxic ones drop out.
 2. Exception phrases are pairs of neighbouring words, one of them a match, that occur in clean documents
    and in no toxic one. A match inside such a phrase does not count.
 3. Weights of all matches, over the root of the length, are calibrated by a logistic curve.
@@ -37,8 +39,9 @@ MODULUS, HELD = 5, 0
 MIN_TERM, MAX_TERM = 3, 16
 MIN_SHARE = 0.01
 MIN_DOCUMENTS = 4
-MIN_WEIGHT = 2.5
+MIN_WEIGHT = 1.5
 MAX_TERMS = 5_000
+SAME_TERM = 0.95
 LENGTH_UNIT = 1_000.0
 
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a"}
@@ -162,17 +165,24 @@ def lexicon(sample: DataFrame, toxic_docs: int, clean_docs: int) -> dict[str, fl
         .limit(MAX_TERMS)
         .collect()
     )
+    toxic = {r["term"]: r["toxic"] for r in rows}
+    for term, number in list(toxic.items()):
+        for n in range(MIN_TERM, len(term)):
+            if number >= SAME_TERM * toxic.get(term[:n], math.inf):
+                toxic[term[:n]] = math.inf  # the longer term says the same and is more specific
     weights: dict[str, float] = {}
     for row in sorted(rows, key=lambda r: (len(r["term"]), r["term"])):
         term = row["term"]
         shorter = (weights.get(term[:n], -math.inf) for n in range(MIN_TERM, len(term)))
-        if max(shorter, default=-math.inf) < row["weight"] - 0.5:
+        if toxic[term] < math.inf and max(shorter, default=-math.inf) < row["weight"] - 0.5:
             weights[term] = float(row["weight"])
     return weights
 
 
 def _sample_matches(sample: DataFrame, weights: dict[str, float]) -> list[tuple]:
     """(label, length, matches) of the sample; bounded by its rows, and by 200 matches of a row."""
+    if not weights:
+        return []
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Model(weights).automaton()
@@ -196,6 +206,36 @@ def _sample_matches(sample: DataFrame, weights: dict[str, float]) -> list[tuple]
 KIND = pa.list_(pa.list_(pa.string()))
 
 
+def explaining(weights: dict[str, float], found: list[tuple]) -> dict[str, float]:
+    """The terms that explain toxic documents not yet explained by stronger ones."""
+    terms = sorted(weights)
+    index = {t: n for n, t in enumerate(terms)}
+    toxic = [hits for label, _, hits in found if label > 0]
+    words = np.zeros((len(toxic), len(terms)), dtype=np.int16)
+    for row, hits in enumerate(toxic):
+        for term, word in {(t, after.split(" ")[0]) for t, _, after in hits}:
+            words[row, index[term]] += 1
+    left = np.ones(len(toxic))
+    weight = np.array([weights[t] for t in terms])
+    present = (words > 0).astype(np.float32)
+    least = max(MIN_DOCUMENTS / 2, MIN_SHARE * len(toxic))
+    kept: dict[str, float] = {}
+    while True:
+        explained = left @ present
+        best = int(np.argmax(explained * weight * (explained >= least)))
+        if explained[best] < least:
+            return kept
+        kept[terms[best]] = float(weight[best])
+        left *= 0.5 ** words[:, best]
+        present[:, best] = 0
+
+
+def _log_odds(share: float) -> float:
+    if share <= 0:
+        return -math.inf
+    return math.log(share / (1 - share)) if share < 1 else 30.0
+
+
 def _calibrate(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve, by Newton steps with a small ridge."""
     design = np.stack([raw, np.ones_like(raw)], axis=1)
@@ -216,12 +256,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     chosen = labelled_sample(labels, "toxic", MODULUS, HELD, rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     sample = sample.select("label", "text")
-    counts = {r["label"] > 0: r["n"] for r in chosen.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
+    kinds = chosen.select((F.col("label") > 0).alias("toxic")).groupBy("toxic").count().collect()
+    counts = {r["toxic"]: r["count"] for r in kinds}
     toxic, clean = counts.get(True, 0), counts.get(False, 0)
     weights = lexicon(sample, toxic, clean) if toxic and clean else {}
+    weights = explaining(weights, _sample_matches(sample, weights)) if weights else {}
     if not weights:
         share = toxic / (toxic + clean) if toxic + clean else 0.0
-        return Model(offset=math.log(share / (1 - share)) if 0 < share < 1 else (30.0 if share else -math.inf))
+        return Model(offset=_log_odds(share))
     found = _sample_matches(sample, weights)
     seen: dict[str, list[int]] = {}
     for label, _, hits in found:
