@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from jetframe.llm import (
     exact_dedup,
+    jaccard_join,
     language_id,
     packing,
     quality,
@@ -25,6 +26,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(documents(spark, sf_dir))
 
@@ -48,6 +53,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_jaccard_join": op2_jaccard_join,
         "op3_language_id": op3_language_id,
         "op4_toxicity": op4_toxicity,
         "op7_sharding": op7_sharding,
