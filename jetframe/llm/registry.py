@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from jetframe.llm import (
+    chat,
     exact_dedup,
     jaccard_join,
     language_id,
     packing,
+    pieces_codec,
     quality,
     sharding,
     toxicity,
@@ -38,6 +40,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return chat.read_back(chat.prefix_examples(chat.with_hostile(conversations)))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir))
 
@@ -46,6 +53,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_codec.encode_and_back(documents(spark, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -56,8 +67,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_jaccard_join": op2_jaccard_join,
         "op3_language_id": op3_language_id,
         "op4_toxicity": op4_toxicity,
+        "op6_chat_format": op6_chat_format,
         "op7_sharding": op7_sharding,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
