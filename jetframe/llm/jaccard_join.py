@@ -32,6 +32,7 @@ repeated in the result; an empty table gives an empty result; further columns ar
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,10 +47,11 @@ from jetframe.session import checkpoint
 SHINGLE = 5
 PERCENT = 75
 RADIUS = 1.0 - PERCENT / 100
-COUNTERS = 1 << 20
-CHUNK = 1 << 13
+COUNTERS = 1 << 22
+CHUNK = 1 << 16
+FLUSH = 1 << 21
 BLOOM_BITS = 1 << 24
-PIVOTS = 32
+PIVOTS = 128
 PIECE_BYTES = 1 << 20
 SEEN_SETS = 1 << 18
 
@@ -85,16 +87,48 @@ def prefix_length(size):
     return size + (-size * PERCENT) // 100 + 1
 
 
+class Counters:
+    """Counting table of one task: a shingle adds to the counter its low bits name."""
+
+    def __init__(self) -> None:
+        self.table = np.zeros(COUNTERS, dtype=np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        self.waiting += [(s & np.uint64(COUNTERS - 1)).astype(np.int32) for s in sets]
+        self.held += sum(map(len, sets))
+        if self.held > FLUSH:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.waiting:
+            self.table += np.bincount(np.concatenate(self.waiting), minlength=COUNTERS)
+        self.waiting, self.held = [], 0
+
+    def chunks(self) -> Iterator[tuple[int, bytes]]:
+        self.flush()
+        for number, part in enumerate(self.table.reshape(-1, CHUNK)):
+            if part.any():
+                yield number, packed(part)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(np.minimum(counts, np.iinfo(np.uint32).max).astype("<u4").tobytes(), 1)
+
+
+def unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counts), dtype="<u4").astype(np.int64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, then the task's counting table in chunks."""
-    counters = np.zeros(COUNTERS, dtype=np.int64)
+    names = ["doc_id", "n", "node", "chunk", "counts"]
+    counters = Counters()
     for batch in batches:
         for rows, texts in pieces(batch, budget=PIECE_BYTES):
             sets = shingle_sets(texts)
-            counters += np.bincount(
-                (np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64),
-                minlength=COUNTERS,
-            )
+            counters.add(sets)
             yield pa.record_batch(
                 [
                     rows.column("doc_id").cast(pa.int64()),
@@ -103,20 +137,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.nulls(len(sets), pa.int32()),
                     pa.nulls(len(sets), pa.binary()),
                 ],
-                names=["doc_id", "n", "node", "chunk", "counts"],
+                names=names,
             )
-    parts = counters.reshape(-1, CHUNK)
-    used = np.flatnonzero(parts.any(axis=1))
-    if len(used):
+    for number, counts in counters.chunks():
+        empty = pa.nulls(1, pa.int64())
         yield pa.record_batch(
-            [
-                pa.nulls(len(used), pa.int64()),
-                pa.nulls(len(used), pa.int64()),
-                pa.nulls(len(used), pa.int64()),
-                pa.array(used, pa.int32()),
-                pa.array([parts[u].astype("<u4").tobytes() for u in used], pa.binary()),
-            ],
-            names=["doc_id", "n", "node", "chunk", "counts"],
+            [empty, empty, empty, pa.array([number], pa.int32()), pa.array([counts], pa.binary())],
+            names=names,
         )
 
 
@@ -127,18 +154,16 @@ def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, counts in zip(
             batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True
         ):
-            part = np.frombuffer(counts, dtype="<u4").astype(np.int64)
-            total[chunk] = total.get(chunk, 0) + part
+            total[chunk] = total.get(chunk, 0) + unpacked(counts)
     for chunk, counts in total.items():
-        capped = np.minimum(counts, np.iinfo(np.uint32).max).astype("<u4")
         yield pa.record_batch(
-            [pa.array([chunk], pa.int32()), pa.array([capped.tobytes()], pa.binary())],
+            [pa.array([chunk], pa.int32()), pa.array([packed(counts)], pa.binary())],
             names=["chunk", "counts"],
         )
 
 
 def common_table(chunks: DataFrame) -> np.ndarray:
-    """How common the shingles of each counter are: 0 for what could be chance, else their count.
+    """How common the shingles of each counter are: 0 for what chance explains, then rising.
 
     ``COUNTERS`` numbers whatever the input; they only shape the order, never the result. Tasks' tables
     are added by chunk, first in groups of tasks, then over the groups.
@@ -149,9 +174,9 @@ def common_table(chunks: DataFrame) -> np.ndarray:
     table = np.zeros(COUNTERS, dtype=np.float64)
     for row in once.repartition("chunk").mapInArrow(_add_chunks, kind).toLocalIterator():
         start = row["chunk"] * CHUNK
-        table[start : start + CHUNK] = np.frombuffer(row["counts"], dtype="<u4")
+        table[start : start + CHUNK] = unpacked(row["counts"])
     typical = np.median(table)
-    return np.where(table > typical + 8 * np.sqrt(typical + 1) + 4, table, 0).astype(np.uint32)
+    return np.maximum(0, (table - typical) / (2 * np.sqrt(typical + 1))).astype(np.uint32)
 
 
 def cells(docs: DataFrame, table: np.ndarray) -> DataFrame:
@@ -284,7 +309,7 @@ def bloom(nodes: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, members): the sets of these nodes, read from the texts once more."""
+    """(node, members) of these nodes and, by chance, a few others; read from the texts once more."""
     table = docs.sparkSession.sparkContext.broadcast(bloom(nodes))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,11 +336,12 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     )
 
     every = docs.select("text").mapInArrow(emit, "node bigint, members binary")
-    return every.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return every.dropDuplicates(["node"])
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b, a_n, b_n, common) of pairs (a, b): sizes and exact intersection."""
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,13 +397,7 @@ def set_links(docs: DataFrame, table: np.ndarray) -> DataFrame:
         .agg(F.first("n").alias("n"), F.min("place").alias("place"), F.first("pivot").alias("pivot"))
     )
     pairs = checkpoint(ordered_pairs(first, "node", "pivot"))
-    nodes = (
-        pairs.select(F.explode(F.array("a", "b")).alias("node"))
-        .union(open_cells.select("node"))
-        .distinct()
-    )
-    sets = checkpoint(sets_of(docs, checkpoint(nodes)))
-    found = checkpoint(measured(pairs, sets))
+    found = checkpoint(measured(pairs, docs))
     components = checkpoint(connected_components(linked(found)))
     ratio = F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common"))
     known = found.select("a", "b", (1 - ratio).alias("distance"))
@@ -399,11 +419,13 @@ def set_links(docs: DataFrame, table: np.ndarray) -> DataFrame:
         open_cells, next_pairs = next_round(open_cells, components, done, turn)
         if next_pairs is None:
             return components
-        links = linked(measured(next_pairs, sets))
+        turn += PIVOTS
+        if next_pairs.isEmpty():
+            continue
+        links = linked(measured(next_pairs, docs))
         known_links = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
         components = checkpoint(connected_components(links.union(known_links)))
         done = checkpoint(done.union(next_pairs))
-        turn += PIVOTS
 
 
 def next_round(open_cells: DataFrame, components: DataFrame, done: DataFrame, turn: int):
