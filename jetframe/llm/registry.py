@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from jetframe.llm import (
     chat,
     exact_dedup,
+    fingerprint,
     jaccard_join,
     language_id,
     packing,
@@ -40,6 +41,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(documents(spark, sf_dir))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return chat.read_back(chat.prefix_examples(chat.with_hostile(conversations)))
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_jaccard_join": op2_jaccard_join,
         "op3_language_id": op3_language_id,
         "op4_toxicity": op4_toxicity,
+        "op5_fingerprints": op5_fingerprints,
         "op6_chat_format": op6_chat_format,
         "op7_sharding": op7_sharding,
         "op8_exact_dedup": op8_exact_dedup,
