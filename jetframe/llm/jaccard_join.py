@@ -484,3 +484,18 @@ def jaccard_components(
         .union(empty)
         .withColumnRenamed("n", "n_shingles")
     )
+
+
+def one_of_each(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of their component.
+
+    Documents with an empty set are components of their own. Null ids stay.
+    """
+    found = jaccard_components(docs, id_column, text_column)
+    dropped = found.filter("doc_id <> component_id").select(
+        F.col("doc_id").alias("_dropped_id")
+    )
+    dropped = checkpoint(dropped.distinct())
+    return docs.join(dropped, docs[id_column] == dropped["_dropped_id"], "left_anti")

@@ -255,6 +255,17 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     )
 
 
+def keep_good(docs: DataFrame, model: dict, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is predicted to have label 1; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in pieces(batch, text_column, PIECE_BYTES):
+                yield part.filter(pa.array(scores(model, texts) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted); learns where crc32(doc_id) mod 3 is not 1."""
     return score(docs, train(docs, labels, rows)).select(

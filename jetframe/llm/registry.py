@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from jetframe.llm import (
     chat,
     exact_dedup,
@@ -78,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
