@@ -17,8 +17,8 @@ steps, both exact:
 2. *Pivots.* Only distances to pivots are computed, on whole sets. A member within r of its pivot is
    linked. Cells whose members are all in one component by then are finished: this ends groups of near
    copies of any size after n - 1 instead of n (n - 1) / 2 comparisons.
-3. *Recursion.* In a cell that is not finished, the next ``PIVOTS`` pivots are drawn and compared with
-   members of other components inside the windows the triangle inequality leaves:
+3. *Recursion.* In a cell that is not finished, further pivots are drawn, a few at first and then
+   ``MORE_PIVOTS`` times as many each round, and compared with members of other components inside the windows the triangle inequality leaves:
    |d(x, p) - d(y, p)| <= r for the cell's pivot p, and sizes and places that allow the threshold. Of two
    linked sets one has the first shared shingle in its first seventh, so only such members are drawn.
    Pivots used are done with; the rounds end when no cell is unfinished.
@@ -51,8 +51,8 @@ COUNTERS = 1 << 22
 CHUNK = 1 << 16
 FLUSH = 1 << 21
 BLOOM_BITS = 1 << 24
-PIVOTS = 128
-PIECE_BYTES = 1 << 20
+PIVOTS, MORE_PIVOTS = 4, 4
+PIECE_BYTES = 1 << 18
 SEEN_SETS = 1 << 18
 
 
@@ -66,7 +66,8 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     sets = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if b - a >= size:
-            sets.append(np.unique(grams[a : b - size + 1]))
+            one = np.sort(grams[a : b - size + 1])
+            sets.append(one[np.concatenate([[True], one[1:] != one[:-1]])])
         elif b > a:
             sets.append(word_grams(hashes[a:b], b - a))
         else:
@@ -339,9 +340,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return every.dropDuplicates(["node"])
 
 
-def measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, a_n, b_n, common) of pairs (a, b): sizes and exact intersection."""
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,53 +397,56 @@ def set_links(docs: DataFrame, table: np.ndarray) -> DataFrame:
         .agg(F.first("n").alias("n"), F.min("place").alias("place"), F.first("pivot").alias("pivot"))
     )
     pairs = checkpoint(ordered_pairs(first, "node", "pivot"))
-    found = checkpoint(measured(pairs, docs))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    found = checkpoint(measured(pairs, sets_of(docs, ends)))
     components = checkpoint(connected_components(linked(found)))
     ratio = F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common"))
     known = found.select("a", "b", (1 - ratio).alias("distance"))
     both = known.union(known.select("b", "a", "distance")).toDF("node", "pivot", "distance")
-    open_cells = checkpoint(
-        open_cells.join(both, ["node", "pivot"], "left").withColumn(
-            "turn",
-            F.when(
-                F.col("place") * 7 <= F.col("n"),
-                F.sum((F.col("place") * 7 <= F.col("n")).cast("int")).over(
-                    Window.partitionBy("cell").orderBy("n", "node")
-                ),
-            ),
-        )
+    # Drawn in an order that is the same in all cells, so cells of one group draw the same members.
+    drawable = F.when(F.col("place") * 7 <= F.col("n"), F.xxhash64("node"))
+    turns = Window.partitionBy("cell").orderBy(drawable.asc_nulls_last(), "node")
+    open_cells = open_cells.join(both, ["node", "pivot"], "left")
+    open_cells = still_open(open_cells, components, "max(place * 7 <= n)").withColumn(
+        "turn", F.when(drawable.isNotNull(), F.row_number().over(turns))
     )
-    done = pairs
-    turn = 0
+    open_cells = checkpoint(open_cells.drop("component"))
+    if open_cells.isEmpty():
+        return components
+    sets = checkpoint(sets_of(docs, open_cells.select("node")))
+    done, turn, more = pairs, 0, PIVOTS
     while True:
-        open_cells, next_pairs = next_round(open_cells, components, done, turn)
-        if next_pairs is None:
+        members = checkpoint(still_open(open_cells, components, f"max(turn) > {turn}"))
+        if members.isEmpty():
             return components
-        turn += PIVOTS
+        next_pairs = checkpoint(drawn_pairs(members, done, turn, turn + more))
+        open_cells = members.drop("component")
+        turn, more = turn + more, more * MORE_PIVOTS
         if next_pairs.isEmpty():
             continue
-        links = linked(measured(next_pairs, docs))
+        links = linked(measured(next_pairs, sets))
         known_links = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
         components = checkpoint(connected_components(links.union(known_links)))
         done = checkpoint(done.union(next_pairs))
 
 
-def next_round(open_cells: DataFrame, components: DataFrame, done: DataFrame, turn: int):
-    """(cells still open, pairs to measure), the pairs None if all cells are finished.
-
-    A cell is open while it has members of different components and members to draw from ``turn`` on.
-    """
-    named = open_cells.join(components, "node", "left").withColumn(
+def still_open(cells_: DataFrame, components: DataFrame, condition: str) -> DataFrame:
+    """Rows, with their component, of cells that meet the condition and span several components."""
+    named = cells_.join(components, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
     still = named.groupBy("cell").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.max("turn").alias("end")
+        F.min("component").alias("low"), F.max("component").alias("high"), F.expr(condition).alias("left")
     )
-    still = still.filter((F.col("low") < F.col("high")) & (F.col("end") > turn)).select("cell")
-    members = checkpoint(named.join(still, "cell", "left_semi"))
-    if members.isEmpty():
-        return members, None
-    drawn = members.filter((F.col("turn") > turn) & (F.col("turn") <= turn + PIVOTS)).select(
+    return named.join(still.filter("low < high AND left").select("cell"), "cell", "left_semi")
+
+
+def drawn_pairs(members: DataFrame, done: DataFrame, after: int, last: int) -> DataFrame:
+    """(a, b) of drawn members (turns after + 1 .. last) and members of other components, not yet done.
+
+    Pairs outside the windows of the cell's first pivot, or too different in size, are left out.
+    """
+    drawn = members.filter((F.col("turn") > after) & (F.col("turn") <= last)).select(
         "cell",
         *(F.col(c).alias(f"drawn_{c}") for c in ("node", "n", "place", "component", "distance")),
     )
@@ -454,8 +457,7 @@ def next_round(open_cells: DataFrame, components: DataFrame, done: DataFrame, tu
         .filter(possible(F.col("n"), F.col("place"), F.col("drawn_n"), F.col("drawn_place")))
         .filter(F.coalesce(gap, F.lit(0.0)) <= RADIUS + 1e-9)
     )
-    pairs = ordered_pairs(met, "node", "drawn_node").join(done, ["a", "b"], "left_anti")
-    return members.drop("component"), checkpoint(pairs)
+    return ordered_pairs(met, "node", "drawn_node").join(done, ["a", "b"], "left_anti")
 
 
 def jaccard_components(

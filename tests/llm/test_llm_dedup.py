@@ -82,7 +82,8 @@ def mutated(rng, words, share):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_jaccard_components(spark, seed, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 3)  # several rounds on small cells
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 1)  # several rounds on small cells
+    monkeypatch.setattr(jaccard_join, "MORE_PIVOTS", 2)
     rng = random.Random(seed)
     passage = [f"p{n}" for n in range(60)]
     rows = []
