@@ -77,8 +77,9 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(inside)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     held = data[np.repeat(starts, lengths) + place]
     cells = np.bincount(inside * BYTE_BINS + (held >> 2), minlength=total * BYTE_BINS)
-    mass = np.maximum(1, np.bincount(home, lengths, total))
-    features[:, :BYTE_BINS] = np.sqrt(cells.reshape(total, BYTE_BINS) / mass[:, None])
+    mass = np.bincount(home, lengths, total)
+    share_of = cells.reshape(total, BYTE_BINS) / np.maximum(1, mass)[:, None]
+    features[:, :BYTE_BINS] = np.sqrt(share_of)
 
     kinds = CLASSES[data]
     shape = (
