@@ -14,7 +14,8 @@ steps, both exact:
    documents meeting in such a shingle, the cells, cover all links. A cell's pivot is its smallest
    member by (size, set hash). The documents of all cells with one pivot are that pivot's region; a
    document on a boundary stands in several regions.
-2. *Pivots.* Only distances to pivots are computed, on whole sets. A member within r of its pivot is
+2. *Pivots.* Only distances to pivots are computed, on whole sets. A bitmap of four bits per shingle
+   bounds an intersection from above, so that clear cases need no set (they are far, whatever the set). A member within r of its pivot is
    linked. Cells whose members are all in one component by then are finished: this ends groups of near
    copies of any size after n - 1 instead of n (n - 1) / 2 comparisons.
 3. *Recursion.* In a cell that is not finished, further pivots are drawn, a few at first and then
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 
 from jetframe.llm.components import connected_components
 from jetframe.llm.texts import GOLDEN, LOWER, bounds_of, joined, mix, pieces, word_grams, words
-from jetframe.session import checkpoint
+from jetframe.session import checkpoint, stored
 
 SHINGLE = 5
 PERCENT = 75
@@ -51,7 +52,7 @@ COUNTERS = 1 << 22
 CHUNK = 1 << 16
 FLUSH = 1 << 21
 BLOOM_BITS = 1 << 24
-PIVOTS, MORE_PIVOTS = 4, 4
+PIVOTS, MORE_PIVOTS = 4, 8
 PIECE_BYTES = 1 << 18
 SEEN_SETS = 1 << 18
 
@@ -88,6 +89,26 @@ def prefix_length(size):
     return size + (-size * PERCENT) // 100 + 1
 
 
+def bitmap(members: np.ndarray) -> bytes:
+    """Bits of the set's low hash bits; a power of two of at least four bits per member."""
+    size = max(64, 1 << (4 * len(members) - 1).bit_length()) if len(members) else 64
+    bits = np.zeros(size, dtype=bool)
+    bits[(members & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_common(n: int, x: bytes, m: int, y: bytes) -> int:
+    """An upper bound of the intersection of sets of n and m members with these bitmaps.
+
+    A bit of one set that the other lacks stands for at least one member the other lacks.
+    """
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(p), len(q))
+    p = np.bitwise_or.reduce(p.reshape(-1, size), axis=0)
+    q = np.bitwise_or.reduce(q.reshape(-1, size), axis=0)
+    return min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+
+
 class Counters:
     """Counting table of one task: a shingle adds to the counter its low bits name."""
 
@@ -124,7 +145,7 @@ def unpacked(counts: bytes) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, then the task's counting table in chunks."""
-    names = ["doc_id", "n", "node", "chunk", "counts"]
+    names = ["doc_id", "n", "node", "bits", "chunk", "counts"]
     counters = Counters()
     for batch in batches:
         for rows, texts in pieces(batch, budget=PIECE_BYTES):
@@ -135,17 +156,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.column("doc_id").cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_hash(s) for s in sets], pa.int64()),
+                    pa.array([bitmap(s) for s in sets], pa.binary()),
                     pa.nulls(len(sets), pa.int32()),
                     pa.nulls(len(sets), pa.binary()),
                 ],
                 names=names,
             )
     for number, counts in counters.chunks():
-        empty = pa.nulls(1, pa.int64())
-        yield pa.record_batch(
-            [empty, empty, empty, pa.array([number], pa.int32()), pa.array([counts], pa.binary())],
-            names=names,
-        )
+        empty = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary())]
+        chunk = [pa.array([number], pa.int32()), pa.array([counts], pa.binary())]
+        yield pa.record_batch([*empty, *chunk], names=names)
 
 
 def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,6 +388,27 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def plausible(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave a link possible."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("a_n", "a_bits", "b_n", "b_bits")]
+            good = []
+            for n, x, m, y in zip(*columns, strict=True):
+                common = most_common(n, x, m, y)
+                good.append(100 * common >= PERCENT * (n + m - common))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    for side in ("a", "b"):
+        named = bitmaps.select(
+            F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits")
+        )
+        pairs = pairs.join(named, side)
+    ready = pairs.select("a", "b", "a_n", "a_bits", "b_n", "b_bits")
+    return ready.mapInArrow(keep, "a bigint, b bigint")
+
+
 def linked(found: DataFrame) -> DataFrame:
     return found.filter("100 * common >= {0} * (a_n + b_n - common)".format(PERCENT)).select("a", "b")
 
@@ -376,58 +417,70 @@ def ordered_pairs(frame: DataFrame, x: str, y: str) -> DataFrame:
     return frame.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def set_links(docs: DataFrame, table: np.ndarray) -> DataFrame:
+def pair_distances(pairs: DataFrame, docs: DataFrame, bitmaps: DataFrame) -> DataFrame | None:
+    """Exact sizes and intersections of the plausible ones of the pairs; None if there is none."""
+    near = checkpoint(plausible(pairs, bitmaps))
+    if near.isEmpty():
+        return None
+    ends = near.select(F.explode(F.array("a", "b")).alias("node"))
+    return checkpoint(measured(near, sets_of(docs, ends)))
+
+
+def set_links(docs: DataFrame, table: np.ndarray, bitmaps: DataFrame) -> DataFrame:
     """(node, component) of all nodes with a link."""
     met = checkpoint(regions(cells(docs, table)))
     first = met.filter("node <> pivot").filter(
         possible(F.col("n"), F.col("place"), F.col("pivot_n"), F.col("pivot_place"))
     )
     # Cells in which a link between two members other than the pivot is possible at all.
-    front = F.max((F.col("place") * 7 <= F.col("n")) & (F.col("node") != F.col("pivot")))
+    other = F.when(F.col("node") != F.col("pivot"), F.col("node"))
     wide = met.groupBy("cell").agg(
-        front.alias("front"), F.min("node").alias("low"), F.max("node").alias("high"),
-        F.max(F.when(F.col("node") != F.col("pivot"), F.col("node"))).alias("other"),
-        F.min(F.when(F.col("node") != F.col("pivot"), F.col("node"))).alias("another"),
-    )
-    wide = wide.filter("front AND other <> another").select("cell")
-    open_cells = checkpoint(
+        F.max((F.col("place") * 7 <= F.col("n")) & other.isNotNull()).alias("front"),
+        F.min(other).alias("low"),
+        F.max(other).alias("high"),
+    )
+    wide = wide.filter("front AND low < high").select("cell")
+    open_cells = (
         met.join(wide, "cell", "left_semi")
         .filter("node <> pivot")
         .groupBy("cell", "node")
         .agg(F.first("n").alias("n"), F.min("place").alias("place"), F.first("pivot").alias("pivot"))
     )
-    pairs = checkpoint(ordered_pairs(first, "node", "pivot"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    found = checkpoint(measured(pairs, sets_of(docs, ends)))
-    components = checkpoint(connected_components(linked(found)))
-    ratio = F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common"))
-    known = found.select("a", "b", (1 - ratio).alias("distance"))
-    both = known.union(known.select("b", "a", "distance")).toDF("node", "pivot", "distance")
+    done = checkpoint(ordered_pairs(first, "node", "pivot"))
+    found = pair_distances(done, docs, bitmaps)
+    nothing = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
+    components = nothing if found is None else checkpoint(connected_components(linked(found)))
     # Drawn in an order that is the same in all cells, so cells of one group draw the same members.
     drawable = F.when(F.col("place") * 7 <= F.col("n"), F.xxhash64("node"))
     turns = Window.partitionBy("cell").orderBy(drawable.asc_nulls_last(), "node")
-    open_cells = open_cells.join(both, ["node", "pivot"], "left")
+    open_cells = with_distance(open_cells, found)
     open_cells = still_open(open_cells, components, "max(place * 7 <= n)").withColumn(
         "turn", F.when(drawable.isNotNull(), F.row_number().over(turns))
     )
-    open_cells = checkpoint(open_cells.drop("component"))
-    if open_cells.isEmpty():
-        return components
-    sets = checkpoint(sets_of(docs, open_cells.select("node")))
-    done, turn, more = pairs, 0, PIVOTS
-    while True:
-        members = checkpoint(still_open(open_cells, components, f"max(turn) > {turn}"))
-        if members.isEmpty():
-            return components
+    members = checkpoint(open_cells)
+    turn, more = 0, PIVOTS
+    while not members.isEmpty():
         next_pairs = checkpoint(drawn_pairs(members, done, turn, turn + more))
-        open_cells = members.drop("component")
         turn, more = turn + more, more * MORE_PIVOTS
-        if next_pairs.isEmpty():
-            continue
-        links = linked(measured(next_pairs, sets))
-        known_links = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        components = checkpoint(connected_components(links.union(known_links)))
+        found = pair_distances(next_pairs, docs, bitmaps)
+        if found is not None:
+            known = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            components = checkpoint(connected_components(linked(found).union(known)))
         done = checkpoint(done.union(next_pairs))
+        members = checkpoint(
+            still_open(members.drop("component"), components, f"max(turn) > {turn}")
+        )
+    return components
+
+
+def with_distance(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Adds the distance to the cell's pivot where it was measured; it is over r where it was not."""
+    if found is None:
+        return members.withColumn("distance", F.lit(None).cast("double"))
+    ratio = F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common"))
+    known = found.select("a", "b", (1 - ratio).alias("distance"))
+    both = known.union(known.select("b", "a", "distance")).toDF("node", "pivot", "distance")
+    return members.join(both, ["node", "pivot"], "left")
 
 
 def still_open(cells_: DataFrame, components: DataFrame, condition: str) -> DataFrame:
@@ -466,11 +519,17 @@ def jaccard_components(
     """(doc_id, n_shingles, component_id), one row per input row."""
     docs = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
     every = checkpoint(
-        docs.mapInArrow(_signatures, "doc_id bigint, n bigint, node bigint, chunk int, counts binary")
+        docs.mapInArrow(
+            _signatures,
+            "doc_id bigint, n bigint, node bigint, bits binary, chunk int, counts binary",
+        )
     )
     table = common_table(every.filter("chunk IS NOT NULL").select("chunk", "counts"))
     signed = every.filter("chunk IS NULL").select("doc_id", "n", "node")
-    components = set_links(docs, table)
+    bitmaps = stored(
+        every.filter("n >= 3").select("node", "n", "bits").dropDuplicates(["node"])
+    )
+    components = set_links(docs, table, bitmaps)
     own = signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = own.join(components, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
