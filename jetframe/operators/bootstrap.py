@@ -9,80 +9,103 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jetframe.operators.metrics import EFFICIENCIES, label_of, metrics_of_points
+from jetframe.operators.ordered import range_bounds, running_sums
 from jetframe.operators.ranking import hash_ordinal
+from jetframe.session import stored
 
 DRAW_RULE = "md5-hex12-v1"
-# Index rows per task and the longest index that is broadcast (some 100 MB).
+# Positions of a class that one task draws at a time.
 SLICE = 1_000_000
-BROADCAST_ROWS = 2_000_000
+# Stored bytes of an index that is broadcast.
+BROADCAST_BYTES = 32 << 20
+MIN_REPLICATES = 1000
+RANGES = 16
 
 
-def class_index(rows: DataFrame, seed: int, id_col: str = "jet_id") -> DataFrame:
-    """Dense 0-based index ``k`` inside each class in seeded order, and class size ``n_c``.
+def check_policy(replicates: int, seed: int) -> None:
+    """A 2.5 % point of fewer replicates says nothing."""
+    if replicates < MIN_REPLICATES or seed < 0:
+        raise ValueError("METRIC_BOOTSTRAP_POLICY: at least 1000 replicates, seed >= 0")
+
+
+def class_index(
+    rows: DataFrame, seed: int, scores: Sequence[str], id_col: str = "jet_id"
+) -> DataFrame:
+    """``(target, k, scores)``: dense 0-based index ``k`` inside each class in seeded order.
 
-    ``rows`` must be the test set of a comparison: one row per id.
+    ``rows`` must be the test set of a comparison: one row per id.  The index is stored, so
+    that the input is ordered once, whatever reads it; ids stay behind.
     """
     placed = hash_ordinal(rows, id_col, seed, ["target"], "_k1")
-    # Class sizes are two numbers: scalar subqueries, not a join on a two-valued key.
-    n0 = rows.agg(F.count_if(F.col("target") == 0)).scalar()
-    n1 = rows.agg(F.count_if(F.col("target") == 1)).scalar()
-    size = F.when(F.col("target") == 1, n1).otherwise(n0)
-    return placed.withColumn("k", F.col("_k1") - 1).withColumn("n_c", size).drop("_k1")
+    return stored(placed.select("target", (F.col("_k1") - 1).alias("k"), *scores))
 
 
 def draws(index: DataFrame, replicates: int, seed: int) -> DataFrame:
     """``(rep, target, drawn)``: every class is resampled to its own size.
 
-    Index rows are spread by blocks of replicates (and slices of the index, if it is
-    long) before they make their draws: a task then holds whole replicates, or large parts
-    of them, and combines them per score before anything is shuffled.
+    A draw needs its replicate, class, position and the class size, and no row of the index:
+    tasks get (replicate, class, slice) and make the draws of their slice, so nothing but these
+    short rows is shuffled, on clusters of any size.
     """
-    # The part of the text that does not change with the replicate is made once per row.
-    tail = F.concat(F.lit("|"), F.col("target").cast("string"), F.lit("|"), F.col("k").cast("string"))
-    text = F.concat(F.lit(f"{seed}|"), F.col("rep").cast("string"), F.col("tail"))
+    sizes = index.groupBy("target").agg((F.max("k") + 1).alias("n_c"))
+    slots = (
+        sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+        .select(
+            "*",
+            F.explode(
+                F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_c") - 1) / SLICE))
+            ).alias("slice"),
+        )
+        .repartition("rep", "target", "slice")
+    )
+    first = F.col("slice") * SLICE
+    last = F.least(first + SLICE, F.col("n_c")) - 1
+    made = slots.select("rep", "target", "n_c", F.explode(F.sequence(first, last)).alias("k"))
+    text = F.concat_ws("|", F.lit(str(seed)), "rep", "target", "k")
     number = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
-    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = max(1, replicates // (8 * tasks))
-    first = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(block))).alias("first")
-    blocks = index.select(
-        "target", "n_c", tail.alias("tail"), F.floor(F.col("k") / SLICE).alias("slice"), first
-    ).repartition(max(tasks, min(replicates // block, 8 * tasks)), "first", "slice")
-    last = F.least(F.col("first") + F.lit(block), F.lit(replicates)) - 1
-    return blocks.select(
-        "target", "n_c", "tail", F.explode(F.sequence(F.col("first"), last)).alias("rep")
-    ).select("rep", "target", (number % F.col("n_c")).alias("drawn"))
+    return made.select("rep", "target", (number % F.col("n_c")).alias("drawn"))
 
 
 def resampled(index: DataFrame, replicates: int, seed: int, scores: Sequence[str]) -> DataFrame:
-    """Drawn rows with weight ``m`` = 1.
+    """Drawn rows with weight ``m`` = 1, and the observed rows as replicate -1.
 
-    The index is broadcast only if its counted rows are few; a longer one is joined by
-    shuffling both sides on ``(target, drawn)``, which the draws fill evenly.
+    The stored index has a known size: up to ``BROADCAST_BYTES`` it is broadcast, beyond both sides are
+    shuffled on ``(target, drawn)``, which the draws fill evenly.
     """
-    source = index.select("target", F.col("k").alias("drawn"), *scores)
-    if index.count() <= BROADCAST_ROWS:
-        source = F.broadcast(source)
+    source = index.withColumnRenamed("k", "drawn")
+    size = int(str(index._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    source = F.broadcast(source) if size <= BROADCAST_BYTES else source.hint("merge")
+    one = F.lit(1).cast("bigint").alias("m")
+    observed = index.select(F.lit(-1).alias("rep"), "target", *scores, one)
     return (
         draws(index, replicates, seed)
         .join(source, ["target", "drawn"])
-        .select("rep", "target", *scores, F.lit(1).cast("bigint").alias("m"))
+        .select("rep", "target", *scores, one)
+        .unionByName(observed)
     )
 
 
+def score_bounds(index: DataFrame, scores: Sequence[str]) -> Column:
+    """Score ranges of the observed scores of all sides."""
+    one = index.select(F.explode(F.array(*scores)).alias("score"))
+    return range_bounds(one, "score", RANGES)
+
+
 def replicate_metrics(
     rows: DataFrame,
     sides: dict[str, str],
     efficiencies: Sequence[float] = EFFICIENCIES,
     thresholds: dict[str, float] | None = None,
+    bounds: Column | Sequence[float] = (),
 ) -> DataFrame:
     """Metrics per replicate and side from weighted rows.
 
-    Windows are per ``(rep, side)``; replicates have equal sizes, so no window is larger
-    than the test set.
+    Running sums go over score ranges (``bounds``, one array for all sides), so no window holds more
+    than a range of one replicate.
     """
     side = F.explode(
         F.array(
@@ -98,15 +121,7 @@ def replicate_metrics(
             F.sum(F.when(F.col("target") == 1, F.col("m")).otherwise(0)).alias("p"),
         )
     )
-    order = Window.partitionBy("rep", "side").orderBy("score").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    whole = Window.partitionBy("rep", "side")
-    points = groups.select(
-        "*",
-        *[F.coalesce(F.sum(c).over(order), F.lit(0)).alias(f"{c}_before") for c in ("n", "p")],
-        *[F.sum(c).over(whole).alias(f"{c}_total") for c in ("n", "p")],
-    )
+    points = running_sums(groups, ["rep", "side"], "score", ["n", "p"], bounds)
     limit = None
     if thresholds:
         limit = F.lit(None).cast("double")
@@ -127,29 +142,16 @@ def paired_bootstrap(
     """Observed difference and 95 % interval per metric; ``rows(jet_id, target, left, right)``.
 
     Replicate ``-1`` carries the observed rows, so observed and resampled values come out
-    of one aggregation.  ``status`` tells what the interval is worth.
+    of one aggregation.  ``status`` tells what the interval is worth; a row without both scores
+    and both classes in the test set are preconditions of any.
     """
-    if replicates < 1000 or seed < 0:
-        raise ValueError("METRIC_BOOTSTRAP_POLICY: at least 1000 replicates, seed >= 0")
-    return bootstrap_intervals(rows, left, right, replicates, seed, thresholds, efficiencies)
-
-
-def bootstrap_intervals(
-    rows: DataFrame,
-    left: str,
-    right: str,
-    replicates: int,
-    seed: int,
-    thresholds: tuple[float, float] | None = None,
-    efficiencies: Sequence[float] = EFFICIENCIES,
-) -> DataFrame:
-    index = class_index(rows, seed)
-    observed = rows.groupBy(F.lit(-1).alias("rep"), "target", left, right).agg(
-        F.count(F.lit(1)).alias("m")
-    )
-    weighted = resampled(index, replicates, seed, [left, right]).unionByName(observed)
+    check_policy(replicates, seed)
+    index = class_index(rows, seed, [left, right])
+    weighted = resampled(index, replicates, seed, [left, right])
     limits = None if thresholds is None else {"l": thresholds[0], "r": thresholds[1]}
-    made = replicate_metrics(weighted, {"l": left, "r": right}, efficiencies, limits)
+    made = replicate_metrics(
+        weighted, {"l": left, "r": right}, efficiencies, limits, score_bounds(index, [left, right])
+    )
     names = ["roc_auc", *(["accuracy"] if limits else [])]
     names += [f"background_rejection_{label_of(e)}" for e in efficiencies]
     pair = made.groupBy("rep").agg(
@@ -174,6 +176,12 @@ def bootstrap_intervals(
         F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("q"),
         F.count_if(drawn & F.col("delta").isNull()).alias("discarded_count"),
     )
+    state = index.agg(
+        F.struct(
+            F.count_if(F.col(left).isNull() | F.col(right).isNull()).alias("unpaired"),
+            F.count_distinct("target").alias("classes"),
+        )
+    ).scalar()
     return done.select(
         "metric",
         "observed_delta",
@@ -182,7 +190,10 @@ def bootstrap_intervals(
         F.lit(replicates).alias("replicate_count"),
         "discarded_count",
         F.lit(seed).alias("bootstrap_seed"),
-        F.when(F.col("observed_delta").isNull(), F.lit("METRIC_BOOTSTRAP_OBSERVED"))
+        F.when(state["unpaired"] > 0, F.lit("METRIC_BOOTSTRAP_ALIGNMENT"))
+        .when(state["classes"] < 2, F.lit("METRIC_BOOTSTRAP_CLASSES"))
+        .when(F.col("observed_delta").isNull(), F.lit("METRIC_BOOTSTRAP_OBSERVED"))
+        .when(F.col("discarded_count") == replicates, F.lit("METRIC_BOOTSTRAP_EMPTY"))
         .when(F.col("discarded_count") > 0.01 * replicates, F.lit("METRIC_BOOTSTRAP_DISCARDS"))
         .otherwise(F.lit("ok"))
         .alias("status"),
@@ -203,10 +214,10 @@ def shuffled_labels(rows: DataFrame, seed: int, id_col: str = "jet_id") -> DataF
 
 def auc_interval(rows: DataFrame, score: str, replicates: int, seed: int) -> DataFrame:
     """AUC and its 95 % bootstrap interval for one score column."""
-    index = class_index(rows, seed)
-    observed = rows.groupBy(F.lit(-1).alias("rep"), "target", score).agg(F.count(F.lit(1)).alias("m"))
-    weighted = resampled(index, replicates, seed, [score]).unionByName(observed)
-    made = replicate_metrics(weighted, {"one": score}, ())
+    check_policy(replicates, seed)
+    index = class_index(rows, seed, [score])
+    weighted = resampled(index, replicates, seed, [score])
+    made = replicate_metrics(weighted, {"one": score}, (), None, score_bounds(index, [score]))
     value = F.when(F.col("rep") >= 0, F.col("roc_auc"))
     return made.agg(
         F.max(F.when(F.col("rep") < 0, F.col("roc_auc"))).alias("auc"),
@@ -227,12 +238,11 @@ def gap_fraction(
     Unstable when the central denominator is at most ``floor`` or when more than 5 % of
     the paired replicates have such a denominator; then only the raw difference is given.
     """
-    index = class_index(rows, seed)
-    observed = rows.groupBy(F.lit(-1).alias("rep"), "target", small, large).agg(
-        F.count(F.lit(1)).alias("m")
-    )
-    weighted = resampled(index, replicates, seed, [small, large]).unionByName(observed)
-    made = replicate_metrics(weighted, {"s": small, "m": large}, ())
+    check_policy(replicates, seed)
+    index = class_index(rows, seed, [small, large])
+    weighted = resampled(index, replicates, seed, [small, large])
+    bounds = score_bounds(index, [small, large])
+    made = replicate_metrics(weighted, {"s": small, "m": large}, (), None, bounds)
     pair = made.groupBy("rep").agg(
         F.max(F.when(F.col("side") == "s", F.col("roc_auc"))).alias("auc_n"),
         F.max(F.when(F.col("side") == "m", F.col("roc_auc"))).alias("auc_max"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +10,6 @@ from pyspark.sql import functions as F
 from jetframe.operators.ordered import range_bounds, running_sums
 from jetframe.schema import CONTINUOUS_FIELDS
 
-MAX_CELLS = 100_000
-
 
 def fit_scaling(rows: DataFrame, fields: Sequence[str] = CONTINUOUS_FIELDS) -> DataFrame:
     """``(field, location, scale, n)``: mean and population deviation over train particles.
@@ -42,11 +39,27 @@ def fit_scaling(rows: DataFrame, fields: Sequence[str] = CONTINUOUS_FIELDS) -> D
     return one.select(entry, "n").select("e.field", "e.location", "e.scale", "n")
 
 
-def load_scaling(state: DataFrame) -> dict[str, tuple[float, float]]:
-    """The fitted state as numbers: one row per field, so at most a few rows are read."""
-    rows = state.limit(1000).collect()
+def lazy_scaling(
+    rows: DataFrame, fields: Sequence[str] = CONTINUOUS_FIELDS
+) -> dict[str, tuple[Column, Column]]:
+    """The fitted state as columns of one scalar subquery: it is computed when the view is."""
+    state = fit_scaling(rows, fields).agg(
+        F.map_from_entries(
+            F.collect_list(F.struct("field", F.struct("location", "scale").alias("state")))
+        )
+    ).scalar()
+    return {f: (state[f]["location"], state[f]["scale"]) for f in fields}
+
+
+def load_scaling(
+    state: DataFrame, fields: Sequence[str] = CONTINUOUS_FIELDS
+) -> dict[str, tuple[float, float]]:
+    """A stored state as numbers: one row for each of ``fields`` and no other."""
+    rows = state.collect()
     found = {row["field"]: (row["location"], row["scale"]) for row in rows}
-    if not rows or rows[0]["n"] == 0:
+    if len(rows) != len(found) or set(found) != set(fields):
+        raise ValueError("the state must hold each field once and no other")
+    if rows[0]["n"] == 0:
         raise ValueError("no training particles to fit on")
     if any(scale is None or scale <= 0 for _, scale in found.values()):
         raise ValueError("scales must be positive")
@@ -67,7 +80,7 @@ def standardized_difference(df: DataFrame, value: str, label: str) -> DataFrame:
 
 
 def ks_distance(
-    df: DataFrame, value: str, label: str, bounds: Sequence[float] | None = None
+    df: DataFrame, value: str, label: str, bounds: Column | Sequence[float] | None = None
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance between the classes."""
     source = df.select(F.col(value).cast("double").alias("v"), F.col(label).alias("y"))
@@ -108,8 +121,8 @@ def class_weights(
     counts = train.groupBy(*names).agg(
         F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")
     )
-    totals = counts.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
-    t0, t1 = totals.select("t0").scalar(), totals.select("t1").scalar()
+    whole = counts.agg(F.struct(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))).scalar()
+    t0, t1 = whole["t0"], whole["t1"]
     return counts.filter("n0 > 0").select(
         *names, ((F.col("n1") / t1) / (F.col("n0") / t0)).alias("weight")
     )
@@ -123,12 +136,9 @@ def apply_weights(
     The weight is an audit column (``audit_weight``), never a model input.
     """
     names = [f"{a}_cell" for a in axes]
-    # The table has at most one row per cell, a number fixed by the edges.  Joined by a
-    # shuffle, its few keys would put all rows into few tasks.
-    if prod(len(edges) - 1 for edges in axes.values()) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} weight cells")
+    # One row per cell at most: the planner broadcasts it by its size, and AQE splits a shuffle.
     placed = df.withColumns({f"{a}_cell": cell_of(F.col(a), e) for a, e in axes.items()})
-    return placed.join(F.broadcast(weights), names, "left").withColumn(
+    return placed.join(weights, names, "left").withColumn(
         "audit_weight",
         F.when(F.col(label) == 1, F.lit(1.0)).otherwise(F.coalesce(F.col("weight"), F.lit(0.0))),
     ).drop("weight")

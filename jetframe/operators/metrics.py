@@ -99,7 +99,7 @@ def binary_metrics(
     target: str = "target",
     efficiencies: Sequence[float] = EFFICIENCIES,
     threshold: float | None = None,
-    bounds: Sequence[float] | None = None,
+    bounds: Column | Sequence[float] | None = None,
 ) -> DataFrame:
     """Metric bundle per key.  Large inputs are cut into score ranges (see ``ordered``)."""
     if any(not 0.0 < e < 1.0 for e in efficiencies):

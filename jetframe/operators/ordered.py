@@ -4,35 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BIN = 2_000_000
-MAX_BINS = 4096
+BINS = 64
 
 
-def range_bounds(df: DataFrame, value: str, rows_per_bin: int = ROWS_PER_BIN) -> list[float]:
-    """Quantiles that cut ``df`` into bins of about ``rows_per_bin`` rows.
-
-    One small job, like the sampling pass of a range partitioning; at most ``MAX_BINS``
-    numbers come back.  The bounds are fixed values from then on, so a lost executor
-    cannot move a row to another bin.
-    """
-    rows = df.count()
-    bins = min(MAX_BINS, -(-rows // rows_per_bin))
-    if bins <= 1:
-        return []
+def range_bounds(df: DataFrame, value: str, bins: int = BINS) -> Column:
+    """Quantiles that cut ``df`` into ``bins`` ranges, as a scalar subquery: one sketch pass, no job."""
     cuts = [i / bins for i in range(1, bins)]
-    found = df.agg(F.percentile_approx(value, cuts, 20 * bins)).first()[0]
-    return sorted(set(float(v) for v in found or []))
+    return df.agg(F.percentile_approx(value, cuts, 20 * bins)).scalar()
 
 
-def with_bin(df: DataFrame, value: str, bounds: Sequence[float]) -> DataFrame:
-    if not bounds:
-        return df.withColumn("_bin", F.lit(0.0))
-    splits = [-float("inf"), *bounds, float("inf")]
-    return Bucketizer(splits=splits, inputCol=value, outputCol="_bin", handleInvalid="keep").transform(df)
+def with_bin(df: DataFrame, value: str, bounds: Column | Sequence[float]) -> DataFrame:
+    """``_bin``: how many bounds a value reaches.  Null values fall into range 0, NaN into the last."""
+    if not isinstance(bounds, Column):
+        bounds = F.array(*[F.lit(float(b)) for b in bounds]).cast("array<double>")
+    reached = F.size(F.filter("_bounds", lambda b: b <= F.col(value)))
+    held = df.withColumn("_bounds", F.coalesce(bounds, F.array().cast("array<double>")))
+    return held.withColumn("_bin", F.greatest(reached, F.lit(0))).drop("_bounds")
 
 
 def running_sums(
@@ -40,7 +30,7 @@ def running_sums(
     keys: Sequence[str],
     value: str,
     sums: Sequence[str],
-    bounds: Sequence[float] = (),
+    bounds: Column | Sequence[float] = (),
 ) -> DataFrame:
     """Add ``<s>_before`` (sum over smaller values) and ``<s>_total`` for every ``s``.
 
@@ -54,13 +44,6 @@ def running_sums(
     inside = (
         Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
-    if not bounds:
-        w = Window.partitionBy(*partition).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return groups.select(
-            "*",
-            *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"{s}_before") for s in sums],
-            *[F.sum(s).over(whole).alias(f"{s}_total") for s in sums],
-        )
     totals = (
         binned.groupBy(*keys, "_bin")
         .agg(*[F.sum(s).alias(f"_{s}") for s in sums])

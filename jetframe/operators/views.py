@@ -11,8 +11,7 @@ from jetframe.rules import repeated_keys, union_all
 from jetframe.schema import FEATURE_VIEWS, FORBIDDEN_MODEL_FIELDS, MAX_PARTICLES
 
 UNSCALED = ("pid_type",)
-# Longest id list that is broadcast (some 200 MB of ids).
-BROADCAST_ROWS = 2_000_000
+Scaling = Mapping[str, tuple[float | Column, float | Column]]
 
 
 def forbidden_fields(names: Sequence[str]) -> list[str]:
@@ -28,7 +27,7 @@ def view_fields(config: str) -> tuple[str, ...]:
 
 
 def scaled(
-    value: Callable[[str], Column], field: str, scaling: Mapping[str, tuple[float, float]]
+    value: Callable[[str], Column], field: str, scaling: Scaling
 ) -> Column:
     """``(x - location) / scale`` rounded to float after every step."""
     if field in UNSCALED:
@@ -40,7 +39,7 @@ def scaled(
 
 def view_rows(
     rows: DataFrame,
-    scaling: Mapping[str, tuple[float, float]],
+    scaling: Scaling,
     config: str,
     keep: Sequence[str] = ("jet_id", "label", "idx"),
 ) -> DataFrame:
@@ -52,13 +51,24 @@ def view_rows(
 
 def feature_view(
     canonical: DataFrame,
-    scaling: Mapping[str, tuple[float, float]],
+    scaling: Scaling,
     config: str,
     width: int = MAX_PARTICLES,
     keep: Sequence[str] = ("jet_id", "label"),
 ) -> DataFrame:
     """``keep`` columns, ``mask`` and ``data[width][features]``, zero where masked."""
     fields = view_fields(config)
+    # A lazily fitted state is a subquery, which may not stand inside a lambda.
+    held = {
+        f"_{part}_{f}": F.lit(scaling[f][at])
+        for f in fields
+        if f not in UNSCALED
+        for at, part in enumerate(("location", "scale"))
+    }
+    canonical = canonical.withColumns(held)
+    scaling = {
+        f: (F.col(f"_location_{f}"), F.col(f"_scale_{f}")) for f in fields if f not in UNSCALED
+    }
     real = F.transform(
         "particles", lambda p: F.array(*[scaled(lambda n: p[n], f, scaling) for f in fields])
     )
@@ -76,18 +86,15 @@ def feature_view(
 def subset_rows(
     members: DataFrame, canonical: DataFrame, size: int, label: str = "label"
 ) -> DataFrame:
-    """Canonical rows of one subset with ``row`` in subset order: all class 0, then class 1.
+    """Canonical rows of the subset of ``size`` with ``row`` in subset order: class 0, then class 1.
 
-    A subset of ``size`` per class has at most ``2 * size`` ids.  While these are few the
-    canonical rows are only scanned and filtered; a larger subset is joined by shuffles.
+    ``members`` may hold any number of sizes.  The size is also the number of rows of class 0.
     """
-    one = members.filter(F.col(label) == 0).agg(F.count(F.lit(1))).scalar()
-    row = F.when(F.col(label) == 0, F.col("pos")).otherwise(F.col("pos") + one) - 1
-    held = members.filter(F.col("pos") <= size)
-    ids = held.select(row.alias("row"), "jet_id", F.col(label).alias("subset_label"))
-    if 2 * size <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return canonical.join(ids, "jet_id")
+    row = F.when(F.col(label) == 0, F.col("pos")).otherwise(F.col("pos") + size) - 1
+    held = members.filter(F.col("size") == size)
+    return canonical.join(
+        held.select(row.alias("row"), "jet_id", F.col(label).alias("subset_label")), "jet_id"
+    )
 
 
 def subset_violations(members: DataFrame, canonical: DataFrame) -> DataFrame:

@@ -121,8 +121,8 @@ def fit_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select("field", r6(F.col("location")).alias("location"), r6(F.col("scale")).alias("scale"), "n")
 
 
-def _scaling(spark: SparkSession, sf_dir: str) -> dict[str, tuple[float, float]]:
-    return fit.load_scaling(fit.fit_scaling(tables.canonical_rows(spark, sf_dir)))
+def _scaling(spark: SparkSession, sf_dir: str) -> views.Scaling:
+    return fit.lazy_scaling(tables.canonical_rows(spark, sf_dir))
 
 
 def _value_sql(field: str) -> str:
@@ -226,6 +226,24 @@ def subset_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MANY_SIZES = (10, 1000, 5000)
+
+
+@query(
+    "subset_view_sizes",
+    f"""WITH {sv.JETS}, {_subset_sql(f"'{SEED}'")}
+SELECT (CASE label WHEN 0 THEN pos ELSE pos + {MANY_SIZES[1]} END - 1)::BIGINT AS row, jet_id, label
+FROM ordered WHERE pos <= {MANY_SIZES[1]}""",
+)
+def subset_view_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One subset out of three that are held in one table."""
+    ordered = ranking.balanced_order(_pool(spark, sf_dir), MANY_SIZES[-1], SEED)
+    members = ranking.subset_members(ordered, MANY_SIZES)
+    jets = tables.jets(spark, sf_dir).select("jet_id")
+    found = views.subset_rows(members, jets, MANY_SIZES[1])
+    return found.select("row", "jet_id", F.col("subset_label").alias("label"))
+
+
 @query(
     "view_equivalence",
     f"""WITH {_SUBSET_VIEW}

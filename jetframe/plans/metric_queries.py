@@ -86,7 +86,7 @@ def metric_bundle_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jetframe.operators.ordered import range_bounds
 
     rows = tables.scores(spark, sf_dir)
-    bounds = range_bounds(rows, "score", rows_per_bin=5000)
+    bounds = range_bounds(rows, "score", bins=200)
     made = metrics.binary_metrics(rows, ["run_id"], threshold=0.4, bounds=bounds)
     return made.select(
         "run_id",
@@ -193,7 +193,7 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "gap_fraction",
-    f"""WITH {_PAIRS}, {_boot_sql('pairs', _SIDES, BOOTSTRAP_SEED, 200)},
+    f"""WITH {_PAIRS}, {_boot_sql('pairs', _SIDES, BOOTSTRAP_SEED, REPLICATES)},
 {sv.roc('b', 'rep, side')},
 m AS (SELECT rep, side, {sv.AUC} AS auc FROM g GROUP BY rep, side),
 x AS (SELECT rep, max(auc) FILTER (side = 'r') AS n, max(auc) FILTER (side = 'l') AS m FROM m GROUP BY rep),
@@ -206,7 +206,7 @@ SELECT round(a, 9) AS auc_n, round(b, 9) AS auc_max, s AS small_denominators, u
 )
 def gap_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """View A stands for the small training size, view D for the largest."""
-    made = bootstrap.gap_fraction(_pairs(spark, sf_dir), "right", "left", 200, BOOTSTRAP_SEED)
+    made = bootstrap.gap_fraction(_pairs(spark, sf_dir), "right", "left", REPLICATES, BOOTSTRAP_SEED)
     return made.select(
         r9("auc_n"),
         r9("auc_max"),
@@ -224,7 +224,7 @@ shuffled AS (SELECT jet_id, score, CASE WHEN row_number() OVER (ORDER BY {sv.ran
 
 @query(
     "shuffled_ci",
-    f"""WITH {_SHUFFLED}, {_boot_sql('shuffled', 'score', 11, 20)}, {sv.roc('b', 'rep')},
+    f"""WITH {_SHUFFLED}, {_boot_sql('shuffled', 'score', 11, REPLICATES)}, {sv.roc('b', 'rep')},
 m AS (SELECT rep, {sv.AUC} AS auc FROM g GROUP BY rep),
 q AS (SELECT max(auc) FILTER (rep = -1) AS auc, quantile_cont(auc, 0.025) FILTER (rep >= 0) AS low,
   quantile_cont(auc, 0.975) FILTER (rep >= 0) AS high FROM m)
@@ -232,12 +232,12 @@ SELECT round(auc, 9) AS auc, round(low, 9) AS low, round(high, 9) AS high,
   low <= 0.5 AND high >= 0.5 AS contains_half FROM q""",
 )
 def shuffled_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the shuffled-label AUC on all training jets, 20 replicates."""
+    """Interval of the shuffled-label AUC on all training jets."""
     train = tables.jets(spark, sf_dir).filter("split = 'train'")
     rows = bootstrap.shuffled_labels(
         train.select("jet_id", "target", F.col("jet_pt").cast("double").alias("score")), 7
     )
-    made = bootstrap.auc_interval(rows, "score", 20, 11)
+    made = bootstrap.auc_interval(rows, "score", REPLICATES, 11)
     return made.select(r9("auc"), r9("low"), r9("high"), "contains_half")
 
 

@@ -278,7 +278,7 @@ def prediction_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("deepsets_score")
 def deepsets_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logits of all jets that hold a particle, on view D with seeded weights."""
-    scaling = fit.load_scaling(fit.fit_scaling(tables.canonical_rows(spark, sf_dir)))
+    scaling = fit.lazy_scaling(tables.canonical_rows(spark, sf_dir))
     rows = tables.canonical_jets(spark, sf_dir).withColumnRenamed("target", "label")
     view = views.feature_view(rows.filter(F.size("particles") > 0), scaling, "D")
     phi, head = scoring.seeded_weights(10, 7)

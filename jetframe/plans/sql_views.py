@@ -77,7 +77,7 @@ kept AS (
   SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY pt DESC, {ORD}) - 1 AS idx
   FROM particles WHERE pt >= 10 AND energy >= 10)"""
 
-CANONICAL = f"""{JETS}, {PARTICLES}, canonical AS (
+CANONICAL = f"""{JETS}, {PARTICLES}, canonical AS MATERIALIZED (
   SELECT j.*, k.idx,
     (k.eta - j.jet_eta::DOUBLE)::FLOAT AS delta_eta,
     ({wrap('k.phi - j.jet_phi::DOUBLE')})::FLOAT AS delta_phi,
@@ -103,7 +103,7 @@ FIELDS = (
     "dz_raw",
     "dz_error_raw",
 )
-FIT = "fit AS (SELECT {} FROM canonical WHERE split = 'train')".format(
+FIT = "fit AS MATERIALIZED (SELECT {} FROM canonical WHERE split = 'train')".format(
     ", ".join(
         f"avg({f}::DOUBLE)::FLOAT AS loc_{f}, "
         f"CASE WHEN stddev_pop({f}::DOUBLE) = 0 THEN 1 ELSE stddev_pop({f}::DOUBLE) END::FLOAT "

@@ -20,6 +20,7 @@ from jetframe.operators import (
     ordered,
     ranking,
     scoring,
+    views,
 )
 from jetframe.rules import RuleViolation, enforce
 
@@ -234,8 +235,7 @@ def test_metrics_against_brute_force_both_paths(spark, levels):
     t = rng.integers(0, 2, 600)
     s = rng.integers(0, levels, 600) / levels + 0.2 * t
     frame = scored(spark, t, s)
-    bounds = ordered.range_bounds(frame, "score", rows_per_bin=50)
-    assert bounds
+    bounds = ordered.range_bounds(frame, "score", bins=20)
     for cuts in ([], bounds):
         row = metrics.binary_metrics(frame, ["run_id"], bounds=cuts).first()
         assert row.roc_auc == pytest.approx(brute_auc(t, s), abs=1e-12)
@@ -258,12 +258,38 @@ def test_bootstrap_reports_excess_discards(spark):
     rows = scored(spark, [0, 0, 1, 1], [0.1, 0.9, 0.8, 0.7]).select(
         "jet_id", "target", F.col("score").alias("a"), F.col("score").alias("b")
     )
-    made = bootstrap.bootstrap_intervals(rows, "a", "b", 1000, 1, efficiencies=(0.5,))
+    made = bootstrap.paired_bootstrap(rows, "a", "b", 1000, 1, efficiencies=(0.5,))
     status = {r.metric: (r.discarded_count, r.status) for r in made.collect()}
     count, text = status["background_rejection_50"]
     assert count > 10 and text == "METRIC_BOOTSTRAP_DISCARDS"
 
 
+def test_bootstrap_preconditions(spark):
+    rows = scored(spark, [0, 1, 1], [0.1, 0.2, 0.3]).select(
+        "jet_id", "target", F.col("score").alias("a"), F.when(F.col("score") > 0.1, 0.5).alias("b")
+    )
+    made = bootstrap.paired_bootstrap(rows, "a", "b", 1000, 1, efficiencies=()).collect()
+    assert {r.status for r in made} == {"METRIC_BOOTSTRAP_ALIGNMENT"}
+    one = rows.filter("target = 1")
+    made = bootstrap.paired_bootstrap(one, "a", "b", 1000, 1, efficiencies=()).collect()
+    assert {r.status for r in made} == {"METRIC_BOOTSTRAP_CLASSES"}
+    for call in (bootstrap.gap_fraction, bootstrap.paired_bootstrap):
+        with pytest.raises(ValueError):
+            call(rows, "a", "b", 999, 1)
+    with pytest.raises(ValueError):
+        bootstrap.auc_interval(rows, "a", 999, 1)
+
+
+def test_subset_rows_of_several_sizes(spark):
+    rows = [(f"j{n:03d}", n % 2, n // 2 + 1) for n in range(100)]
+    frame = spark.createDataFrame(rows, "jet_id string, label int, pos long")
+    members = ranking.subset_members(frame, [10, 25, 50])
+    for size in (10, 25, 50):
+        got = views.subset_rows(members, frame.select("jet_id"), size).collect()
+        assert sorted(r.row for r in got) == list(range(2 * size))
+        assert all((r.row >= size) == (r.subset_label == 1) for r in got)
+
+
 def test_bootstrap_same_for_any_partitioning(spark):
     rng = np.random.default_rng(3)
     t = rng.integers(0, 2, 60)
@@ -273,7 +299,7 @@ def test_bootstrap_same_for_any_partitioning(spark):
     found = []
     for n in ("8", "1"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        made = bootstrap.bootstrap_intervals(rows.repartition(int(n)), "a", "b", 64, 5)
+        made = bootstrap.paired_bootstrap(rows.repartition(int(n)), "a", "b", 1000, 5)
         found.append(sorted((r.metric, r.observed_delta, r.low, r.high) for r in made.collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert found[0] == found[1]
