@@ -52,7 +52,17 @@ def infer_mask(data: Column, eps: float = 0.0) -> Column:
 
 
 def mask_from_feature(data: Column, position: int) -> Column:
-    return F.transform(data, lambda row: row[position] != 0)
+    """Child is real when its mask feature is not zero; a missing or non-finite one is an error."""
+    if position < 0:
+        raise ValueError("the mask feature needs a position of zero or more")
+
+    def real(row: Column) -> Column:
+        value = F.get(row, F.lit(position))
+        bad = value.isNull() | not_finite(value)
+        fail = F.raise_error(F.lit(f"mask feature {position} is missing or not finite")).cast("boolean")
+        return F.when(bad, fail).otherwise(value != 0)
+
+    return F.transform(data, real)
 
 
 def mask_count(mask: Column) -> Column:

@@ -509,6 +509,17 @@ def record_violations(records: DataFrame, kind: str, json: str = "json", key: st
     return broken_rules(parsed, F.col(key), rules)
 
 
+def run_collection(records: DataFrame, json: str = "json", key: str = "key") -> DataFrame:
+    """A collection of final run records: the contract of each, and no run id twice.
+
+    Repeated ids are counted on the map side first; an id that most records share is one small row
+    per task.
+    """
+    ids = records.select(F.get_json_object(json, "$.run_id").alias("run_id"))
+    repeated = repeated_keys(ids.filter("run_id IS NOT NULL"), ["run_id"], "REPORT_DUPLICATE_RUN")
+    return record_violations(records, "run", json, key).unionByName(repeated)
+
+
 def source_file_violations(files: DataFrame) -> DataFrame:
     """Split tables: hash, bucket and split are recomputed from the file name."""
     digest = identity.file_hash(F.col("canonical_pfn"))

@@ -115,6 +115,7 @@ def gate_rollup(
     maxima: Mapping[str, float] | None = None,
     minima: Mapping[str, float] | None = None,
     key: str = "bundle_id",
+    bundles: DataFrame | None = None,
 ) -> DataFrame:
     """Missing and failed evidence per bundle with the verdict missing > failed > passed.
 
@@ -141,6 +142,11 @@ def gate_rollup(
         F.collect_set(F.when(broken, item)).alias("broken"),
         F.collect_set(limited).alias("limits"),
     )
+    if bundles is not None:
+        # A bundle without any evidence is blocked, not absent.
+        grouped = bundles.select(key).distinct().join(grouped, key, "left")
+        for name in ("present", "broken", "limits"):
+            grouped = grouped.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
     missing = F.array_sort(F.array_except(F.array(*[F.lit(w) for w in wanted]), F.col("present")))
     unmeasured = F.exists("missing", lambda m: m.startswith("measurement:"))
     failed = F.array_sort(

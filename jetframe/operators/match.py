@@ -86,10 +86,14 @@ def truth_matches(
     )
 
 
-def match_status(matches: Column) -> Column:
-    """One match is kept, none is dropped (never background), more is an error."""
+def match_status(matches: Column, is_signal: Column) -> Column:
+    """Signal: one match is kept, none is dropped (never background), more is an error.
+
+    Background samples are not matched: their jets are kept as they are.
+    """
     return (
-        F.when(matches == 1, F.lit("matched"))
+        F.when(~is_signal, F.lit("background"))
+        .when(matches == 1, F.lit("matched"))
         .when(matches > 1, F.lit("EXTRACT_AMBIGUOUS_TRUTH"))
         .otherwise(F.lit("dropped"))
     )

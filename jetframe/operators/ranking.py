@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jetframe.functions.identity import seeded_rank
+from jetframe.functions.identity import named_split, seeded_rank
 from jetframe.rules import union_all
 
 
@@ -163,6 +163,19 @@ def nested_violations(members: DataFrame, by: Sequence[str] = (), label: str = "
     )
 
 
+def named_or_ratio_split(
+    files: DataFrame, name_col: str, seed: int, ratios: tuple[float, float, float]
+) -> DataFrame:
+    """The split the file names tell; a seeded split by ratio only where no name tells one.
+
+    If any name does, files without such a name are in no split.
+    """
+    told = files.withColumn("split", named_split(F.substring_index(name_col, "/", -1)))
+    named = told.agg(F.count("split")).scalar()
+    drawn = ratio_split(files, name_col, seed, ratios).filter(named == 0)
+    return told.filter("split IS NOT NULL").unionByName(drawn)
+
+
 def ratio_split(
     files: DataFrame, name_col: str, seed: int, ratios: tuple[float, float, float]
 ) -> DataFrame:

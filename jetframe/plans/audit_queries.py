@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jetframe.functions.particles import not_finite
 from jetframe.operators import audit, digest, fit, match
 from jetframe.plans import sql_views as sv
 from jetframe.plans import tables
@@ -166,12 +167,13 @@ def _event_jets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("jet_eta").cast("double").alias("eta"),
         F.col("jet_phi").cast("double").alias("phi"),
         (F.lit(18000) + F.floor(k / 4) % 5).alias("sample"),
+        (F.floor(k / 4) % 5 < 2).alias("is_signal"),
     )
 
 
 def _tops(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s = F.col("l_partkey"), F.col("l_suppkey")
-    rows = tables.table(spark, sf_dir, "lineitem").filter(s % 3 == 0).select(
+    rows = tables.table(spark, sf_dir, "lineitem").select(
         F.floor(F.col("l_orderkey") / 4).alias("ev"),
         ((p % 400 - 200) / F.lit(100.0)).alias("t_eta"),
         (((s * 37 + p) % 629 - 314) / F.lit(100.0)).alias("t_phi"),
@@ -198,17 +200,17 @@ _DR = " AND ".join(
 )
 _MATCH = f"""{sv.JETS}, ej AS (SELECT o_orderkey, o_orderkey // 4 AS ev, o_orderkey % 4 AS source,
     jet_pt::DOUBLE AS pt, jet_eta::DOUBLE AS eta, jet_phi::DOUBLE AS phi,
-    (18000 + (o_orderkey // 4) % 5)::BIGINT AS sample FROM jets),
+    (18000 + (o_orderkey // 4) % 5)::BIGINT AS sample, (o_orderkey // 4) % 5 < 2 AS is_signal FROM jets),
 r AS (SELECT l_orderkey // 4 AS ev, (l_partkey % 400 - 200) / 100.0::DOUBLE AS t_eta,
     ((l_suppkey * 37 + l_partkey) % 629 - 314) / 100.0::DOUBLE AS t_phi, l_partkey AS p, l_suppkey AS s
-  FROM lineitem WHERE l_suppkey % 3 = 0),
+  FROM lineitem),
 tops AS (SELECT ev, t_eta, t_phi, t_eta + (p % 7 - 3) * 0.1::DOUBLE AS b_eta,
     t_phi + (s % 7 - 3) * 0.1::DOUBLE AS b_phi, t_eta + (p % 5 - 2) * 0.1::DOUBLE AS q1_eta,
     t_phi + (s % 5 - 2) * 0.1::DOUBLE AS q1_phi, t_eta - (p % 5 - 2) * 0.1::DOUBLE AS q2_eta,
     t_phi - (s % 5 - 2) * 0.1::DOUBLE AS q2_phi FROM r),
 kin AS (SELECT *, row_number() OVER (PARTITION BY ev ORDER BY source) - 1 AS jet_index
   FROM ej WHERE pt >= 500 AND pt < 1000 AND abs(eta) < 2),
-mm AS (SELECT o_orderkey, count(*) AS matches FROM kin JOIN tops USING (ev) WHERE {_DR} GROUP BY 1)"""
+mm AS (SELECT o_orderkey, count(*) AS matches FROM kin JOIN tops USING (ev) WHERE is_signal AND {_DR} GROUP BY 1)"""
 
 
 def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +228,8 @@ def event_jet_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = _selected(spark, sf_dir)
-    found = match.truth_matches(kept, _tops(spark, sf_dir), ["ev"], ["ev", "o_orderkey"])
+    signal = kept.filter("is_signal")
+    found = match.truth_matches(signal, _tops(spark, sf_dir), ["ev"], ["ev", "o_orderkey"])
     zero = F.lit(0).cast("bigint")
     return kept.join(found, ["ev", "o_orderkey"], "left").withColumn(
         "matches", F.coalesce("matches", zero)
@@ -236,32 +239,51 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "deltar_match",
     f"""WITH {_MATCH} SELECT o_orderkey, jet_index::INTEGER AS jet_index, coalesce(matches, 0)::BIGINT AS matches,
-  CASE WHEN matches = 1 THEN 'matched' WHEN matches > 1 THEN 'EXTRACT_AMBIGUOUS_TRUTH' ELSE 'dropped' END AS status
+  CASE WHEN NOT is_signal THEN 'background' WHEN matches = 1 THEN 'matched' WHEN matches > 1 THEN 'EXTRACT_AMBIGUOUS_TRUTH' ELSE 'dropped' END AS status
 FROM kin LEFT JOIN mm USING (o_orderkey)""",
 )
 def deltar_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = match.match_status(F.col("matches"), F.col("is_signal"))
     return _matched(spark, sf_dir).select(
-        "o_orderkey", "jet_index", "matches", match.match_status(F.col("matches")).alias("status")
+        "o_orderkey", "jet_index", "matches", status.alias("status")
     )
 
 
 @query(
     "cutflow",
-    f"""WITH {_MATCH}, f AS (SELECT sample, ev, ej.o_orderkey, k.o_orderkey IS NOT NULL AS kin,
-  coalesce(matches, 0) = 1 AS truth FROM ej LEFT JOIN kin k USING (o_orderkey, ev, sample)
-  LEFT JOIN mm USING (o_orderkey))
+    f"""WITH {_MATCH}, child AS (SELECT l_orderkey AS o_orderkey,
+    count(*) FILTER (l_suppkey % 50 = 0 OR l_partkey % 97 = 0) AS broken FROM lineitem GROUP BY 1),
+f AS (SELECT sample, ev, ej.o_orderkey, k.o_orderkey IS NOT NULL AS kin,
+  NOT ej.is_signal OR coalesce(matches, 0) = 1 AS truth, coalesce(broken, 0) = 0 AS finite
+  FROM ej LEFT JOIN kin k USING (o_orderkey, ev, sample) LEFT JOIN mm USING (o_orderkey)
+  LEFT JOIN child USING (o_orderkey))
 SELECT sample, count(DISTINCT ev)::BIGINT AS events, count(*)::BIGINT AS jets,
   count(*) FILTER (kin)::BIGINT AS kinematic, count(*) FILTER (kin AND truth)::BIGINT AS truth,
-  count(*) FILTER (kin AND truth)::BIGINT AS daughters, count(*) FILTER (kin AND truth)::BIGINT AS finite,
-  count(*) FILTER (kin AND truth)::BIGINT AS retained FROM f GROUP BY sample""",
+  count(*) FILTER (kin AND truth AND finite)::BIGINT AS finite,
+  count(*) FILTER (kin AND truth AND finite)::BIGINT AS retained FROM f GROUP BY sample""",
 )
 def cutflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stages as counted per sample; daughters and finite are counted together."""
+    """Stages per sample; background jets pass the truth stage unmatched.
+
+    Particles of some lines have a field that is not finite; a jet with one is not retained.
+    """
     truth = _matched(spark, sf_dir).select("o_orderkey", "matches")
-    jets = _event_jets(spark, sf_dir).join(truth, "o_orderkey", "left")
+    lines = tables.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        F.when(F.col("l_suppkey") % 50 == 0, F.lit(float("inf"))).otherwise(F.lit(0.5)).alias("eta"),
+        F.when(F.col("l_partkey") % 97 == 0, F.lit(float("nan"))).otherwise(F.lit(0.5)).alias("dz"),
+    )
+    broken = not_finite(F.col("eta")) | not_finite(F.col("dz"))
+    child = lines.groupBy("o_orderkey").agg(F.count_if(broken).alias("broken"))
+    jets = (
+        _event_jets(spark, sf_dir)
+        .join(truth, "o_orderkey", "left")
+        .join(child, "o_orderkey", "left")
+    )
     kin = F.col("matches").isNotNull()
-    one = kin & (F.col("matches") == 1)
-    flags = {"kinematic": kin, "truth": one, "daughters": one, "finite": one, "retained": one}
+    passed = kin & (~F.col("is_signal") | (F.col("matches") == 1))
+    finite = passed & (F.coalesce("broken", F.lit(0)) == 0)
+    flags = {"kinematic": kin, "truth": passed, "finite": finite, "retained": finite}
     return match.cutflow(jets, "sample", ["ev"], flags)
 
 

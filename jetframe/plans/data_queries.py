@@ -227,6 +227,36 @@ def split_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.subset_members(ordered, (5, 20), by=["split"])
 
 
+@query(
+    "file_assigned_once",
+    """SELECT 'SPLIT_PFN_OVERLAP' AS rule, canonical_pfn AS key, 'count=' || count(*) AS detail
+FROM (SELECT 'file-' || (doc_id - (doc_id % 17 = 4)::INTEGER) AS canonical_pfn FROM documents)
+GROUP BY canonical_pfn HAVING count(*) > 1""",
+)
+def file_assigned_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as assigned files, some of them under the name of the one before."""
+    k = F.col("doc_id")
+    name = F.concat(F.lit("file-"), (k - (k % 17 == 4).cast("int")).cast("string"))
+    files = tables.table(spark, sf_dir, "documents").select(name.alias("canonical_pfn"))
+    return split.repeated_files(files)
+
+
+@query(
+    "file_split_named",
+    """WITH files AS (SELECT 'latest/' || CASE doc_id % 11 WHEN 3 THEN 'Train' WHEN 5 THEN 'val' WHEN 7 THEN 'test'
+    ELSE 'part' END || '-' || doc_id || '.h5' AS name, doc_id % 11 AS kind FROM documents)
+SELECT name, CASE kind WHEN 3 THEN 'train' WHEN 5 THEN 'validation' ELSE 'test' END AS split FROM files
+WHERE kind IN (3, 5, 7)""",
+)
+def file_split_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where names tell the split, the named files are taken and nothing is drawn."""
+    kind = F.col("doc_id") % 11
+    word = F.when(kind == 3, "Train").when(kind == 5, "val").when(kind == 7, "test").otherwise("part")
+    name = F.concat(F.lit("latest/"), word, F.lit("-"), F.col("doc_id").cast("string"), F.lit(".h5"))
+    files = tables.table(spark, sf_dir, "documents").select(name.alias("name"))
+    return ranking.named_or_ratio_split(files, "name", 7, (0.8, 0.1, 0.1))
+
+
 @query(
     "file_split_ratio",
     f"""WITH files AS (SELECT source || '/doc-' || doc_id || '.h5' AS name FROM documents),
@@ -241,4 +271,4 @@ def file_split_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tables.table(spark, sf_dir, "documents").select(
         F.concat("source", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".h5")).alias("name")
     )
-    return ranking.ratio_split(files, "name", 7, (0.8, 0.1, 0.1))
+    return ranking.named_or_ratio_split(files, "name", 7, (0.8, 0.1, 0.1))

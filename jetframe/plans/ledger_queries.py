@@ -169,11 +169,21 @@ z AS (SELECT b, array_to_string(list_transform(m, lambda q: ['check:manifest', '
     'artifact:canonical_dataset'][q + 1]), CASE WHEN hi AND NOT list_contains(m, 5) THEN ['charged_no_track_fraction']
     ELSE [] END)), ',') AS failed FROM y)
 SELECT b AS bundle_id, missing, failed, CASE WHEN missing <> '' THEN 'blocked_external_evidence'
-  WHEN failed <> '' THEN 'failed' ELSE 'passed' END AS status FROM z""",
+  WHEN failed <> '' THEN 'failed' ELSE 'passed' END AS status FROM z
+UNION ALL
+SELECT DISTINCT p_partkey + 10000000 * (p_partkey % 40 = 0)::INTEGER, 'artifact:canonical_dataset,check:labels,check:manifest,check:split,decision:n_max,measurement:charged_no_track_fraction',
+  '', 'blocked_external_evidence' FROM part
+WHERE p_partkey % 40 = 0 OR p_partkey NOT IN (SELECT l_partkey FROM lineitem)""",
 )
 def gate_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part is a bundle; some bundles have no evidence at all."""
+    evidence = _evidence(spark, sf_dir)
+    k = F.col("p_partkey")
+    part = tables.table(spark, sf_dir, "part")
+    unknown = part.filter(k % 40 == 0).select((k + 10000000).alias("bundle_id"))
+    listed = part.select(k.alias("bundle_id")).union(unknown).union(evidence.select("bundle_id"))
     return ledger.gate_rollup(
-        _evidence(spark, sf_dir), _REQUIRED, maxima={"charged_no_track_fraction": 0.02}
+        evidence, _REQUIRED, maxima={"charged_no_track_fraction": 0.02}, bundles=listed
     )
 
 

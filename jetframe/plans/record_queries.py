@@ -91,6 +91,25 @@ def record_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.record_violations(run_records(spark, sf_dir), "run")
 
 
+# Every 59th order repeats the run id of the order before it.
+_RUN_OF = "o_orderkey - CASE WHEN o_orderkey % 59 = 58 THEN 1 ELSE 0 END"
+_RUN_ID = "CASE WHEN o_orderkey % 73 = 0 THEN 'Bad Id' ELSE concat('run-', {}) END"
+
+
+@query(
+    "run_collection",
+    _checks_sql("SELECT o_orderkey AS k, o_orderstatus AS s FROM orders", _RUN_CHECKS)
+    + f""" UNION ALL SELECT 'REPORT_DUPLICATE_RUN', run_id, 'count=' || count(*)
+FROM (SELECT {_RUN_ID.format(_RUN_OF)} AS run_id FROM orders) GROUP BY run_id HAVING count(*) > 1""",
+)
+def run_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = _RUN.replace(_RUN_ID.format("o_orderkey"), _RUN_ID.format(_RUN_OF))
+    rows = tables.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("key"), F.expr(text).alias("json")
+    )
+    return contracts.run_collection(rows)
+
+
 @query(
     "contract_kinds",
     """WITH k AS (SELECT o_orderkey AS key, CASE o_orderkey % 7 WHEN 0 THEN 'run' WHEN 1 THEN 'split' WHEN 3 THEN 'e0_audit'

@@ -106,6 +106,18 @@ def _inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(1).cast("bigint").alias("byte_size"),
         ).alias("canonical_dataset"),
         F.transform("held", lambda s: s["jet"]).alias("jets"),
+    ).unionByName(
+        # Regions stand for documents without jets.
+        tables.table(spark, sf_dir, "region").select(
+            F.concat(F.lit("empty-"), "r_name").alias("source"),
+            F.lit("1.0.0").alias("schema_version"),
+            F.struct(
+                F.lit("canonical").alias("path"),
+                F.sha2("r_name", 256).alias("sha256"),
+                F.lit(1).cast("bigint").alias("byte_size"),
+            ).alias("canonical_dataset"),
+            F.array().cast(f"array<{jets.select(jet.alias('j')).schema['j'].dataType.simpleString()}>").alias("jets"),
+        )
     )
 
 
@@ -117,7 +129,8 @@ _INVENTORY = f"""{sv.JETS}, i AS (SELECT *, lumi || ':' || (row_number() OVER (P
     "inventory_explode",
     f"""WITH {_INVENTORY} SELECT lumi::VARCHAR AS source, split_part(key, ':', 2)::INTEGER AS pos, record_id,
   CASE WHEN o_orderkey % 311 = 0 THEN 0 ELSE event END AS event,
-  CASE WHEN o_orderkey % 313 = 0 THEN 2 ELSE target END::INTEGER AS target FROM i""",
+  CASE WHEN o_orderkey % 313 = 0 THEN 2 ELSE target END::INTEGER AS target FROM i
+UNION ALL SELECT 'empty-' || r_name, NULL, NULL, NULL, NULL FROM region""",
 )
 def inventory_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_source.inventory_rows(_inventories(spark, sf_dir)).select(
@@ -130,7 +143,8 @@ def inventory_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_INVENTORY} SELECT 'CONTRACT_UNSUPPORTED_MAJOR' AS rule, key, '' AS detail FROM i WHERE lumi % 4 = 0
 UNION ALL SELECT 'CONTRACT_VALUE:canonical_pfn', key, '' FROM i WHERE o_orderkey % 307 = 0
 UNION ALL SELECT 'CONTRACT_VALUE:target', key, '' FROM i WHERE o_orderkey % 313 = 0
-UNION ALL SELECT 'SPLIT_IDENTITY_VALUE:event', key, '' FROM i WHERE o_orderkey % 311 = 0""",
+UNION ALL SELECT 'SPLIT_IDENTITY_VALUE:event', key, '' FROM i WHERE o_orderkey % 311 = 0
+UNION ALL SELECT 'CONTRACT_EMPTY:jets', 'empty-' || r_name || ':-', '' FROM region""",
 )
 def inventory_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_source.inventory_violations(table_source.inventory_rows(_inventories(spark, sf_dir)))
@@ -142,10 +156,21 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_source.file_inventory(spark, sf_dir)
 
 
-@query("file_discovery")
+@query(
+    "file_discovery",
+    """SELECT source || '/doc-' || doc_id || ext AS path, n_chars AS length
+FROM (SELECT *, (['.h5', '.HDF5', '.hdf', '.txt', '.h5.part'])[(doc_id % 5 + 1)::INTEGER] AS ext FROM documents)
+WHERE doc_id % 5 < 3 AND source <> 'src3'""",
+)
 def file_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = files_source.discover(files_source.list_files(spark, sf_dir), ("parquet",))
-    return found.select(files_source.relative(F.col("path"), sf_dir).alias("path"), "length")
+    """Documents as files of several kinds below their source; one source is excluded."""
+    kinds = F.array(*[F.lit(x) for x in (".h5", ".HDF5", ".hdf", ".txt", ".h5.part")])
+    name = F.concat("source", F.lit("/doc-"), F.col("doc_id").cast("string"))
+    files = tables.table(spark, sf_dir, "documents").select(
+        F.concat(name, F.get(kinds, (F.col("doc_id") % 5).cast("int"))).alias("path"),
+        F.col("n_chars").alias("length"),
+    )
+    return files_source.discover(files, excluded=("src3",))
 
 
 def _payload(spark: SparkSession, sf_dir: str) -> DataFrame:

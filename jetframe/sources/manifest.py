@@ -37,7 +37,8 @@ def byte_violations(files: DataFrame) -> DataFrame:
 def manifest_lines(files: DataFrame) -> DataFrame:
     """``(path, line_no, line)`` with exact 1-based line numbers."""
     text = F.col("content").cast("string")
-    body = F.substring(text, F.lit(1), F.length(text) - 1)
+    ended = F.when(text.endswith("\n"), 1).otherwise(0)
+    body = F.substring(text, F.lit(1), F.length(text) - ended)
     return files.select("path", F.posexplode(F.split(body, "\n", -1)).alias("i", "line")).select(
         "path", (F.col("i") + 1).alias("line_no"), "line"
     )

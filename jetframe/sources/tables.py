@@ -91,28 +91,34 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inventory_rows(docs: DataFrame) -> DataFrame:
+    """One row per jet; a document without jets has one row without a position."""
     return docs.select(
         "source",
         "schema_version",
         F.col("canonical_dataset").alias("dataset"),
-        F.posexplode("jets").alias("pos", "jet"),
+        F.posexplode_outer("jets").alias("pos", "jet"),
     ).select("source", "schema_version", "dataset", "pos", "jet.*")
 
 
 def inventory_violations(rows: DataFrame) -> DataFrame:
     """Per-jet and per-document rules; fields that do not parse are null."""
     d = F.col("dataset")
+    held = F.col("pos").isNotNull()
+    per_jet = {
+        "CONTRACT_VALUE:canonical_pfn": F.coalesce(F.col("canonical_pfn"), F.lit("")) == "",
+        "CONTRACT_VALUE:target": ~F.coalesce(F.col("target").isin(0, 1), F.lit(False)),
+        **identity.coordinate_rules(),
+    }
     return broken_rules(
         rows,
-        F.concat_ws(":", "source", F.col("pos").cast("string")),
+        F.concat_ws(":", "source", F.coalesce(F.col("pos").cast("string"), F.lit("-"))),
         {
             "CONTRACT_UNSUPPORTED_MAJOR": ~F.col("schema_version").eqNullSafe(F.lit(FORMAT_VERSION)),
             "CONTRACT_VALUE:canonical_dataset": F.coalesce(d["path"], F.lit("")).eqNullSafe(F.lit(""))
             | ~F.coalesce(d["sha256"].rlike(identity.SHA256_FORMAT), F.lit(False))
             | F.coalesce(d["byte_size"] < 0, F.lit(True)),
-            "CONTRACT_VALUE:canonical_pfn": F.coalesce(F.col("canonical_pfn"), F.lit("")) == "",
-            "CONTRACT_VALUE:target": ~F.coalesce(F.col("target").isin(0, 1), F.lit(False)),
-            **identity.coordinate_rules(),
+            "CONTRACT_EMPTY:jets": ~held,
+            **{rule: held & bad for rule, bad in per_jet.items()},
         },
     )
 

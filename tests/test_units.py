@@ -346,6 +346,31 @@ def test_mask_from_feature(spark):
     assert row.a == [True, False, False] and row.b == [True, True, False]
 
 
+def test_mask_from_feature_fails_on_missing_values(spark):
+    for value in ("NULL", "double('nan')", "double('inf')"):
+        bad = spark.sql(f"SELECT array(array(1.0D, {value})) AS d")
+        with pytest.raises(Exception, match="missing or not finite"):
+            bad.select(arrays.mask_from_feature(F.col("d"), 1)).collect()
+    with pytest.raises(Exception, match="missing or not finite"):
+        bad.select(arrays.mask_from_feature(F.col("d"), 2)).collect()
+    with pytest.raises(ValueError):
+        arrays.mask_from_feature(F.col("d"), -1)
+
+
+def test_background_needs_no_match(spark):
+    rows = spark.createDataFrame([(0, False), (2, False), (0, True), (1, True), (2, True)], "m int, s boolean")
+    got = [r[0] for r in rows.select(match.match_status(F.col("m"), F.col("s"))).collect()]
+    assert got == ["background", "background", "dropped", "matched", "EXTRACT_AMBIGUOUS_TRUTH"]
+
+
+def test_named_split_excludes_unnamed_files(spark):
+    names = spark.createDataFrame([("train/a-VAL.h5",), ("x/test_1",), ("x/train/b",), ("c",)], "name string")
+    got = {r.name: r.split for r in ranking.named_or_ratio_split(names, "name", 1, (0.8, 0.1, 0.1)).collect()}
+    assert got == {"train/a-VAL.h5": "validation", "x/test_1": "test"}
+    rest = names.filter("name IN ('x/train/b', 'c')")
+    assert ranking.named_or_ratio_split(rest, "name", 1, (0.8, 0.1, 0.1)).count() == 2
+
+
 def test_feature_names():
     ladder, groups = {"A": ("k", "q")}, {"k": ("x", "y"), "q": ("c",)}
     names = arrays.resolve_features("A", ladder, groups)
