@@ -136,11 +136,22 @@ class Counters:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    return zlib.compress(np.minimum(counts, np.iinfo(np.uint32).max).astype("<u4").tobytes(), 1)
+    """Counters of a chunk, compressed; only those in use if they are few (a task with little text)."""
+    counts = np.minimum(counts, np.iinfo(np.uint32).max).astype("<u4")
+    used = np.flatnonzero(counts)
+    if len(used) * 8 > len(counts):
+        return b"d" + zlib.compress(counts.tobytes(), 1)
+    return b"s" + zlib.compress(used.astype("<u2").tobytes() + counts[used].tobytes(), 1)
 
 
 def unpacked(counts: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(counts), dtype="<u4").astype(np.int64)
+    data = zlib.decompress(counts[1:])
+    if counts[:1] == b"d":
+        return np.frombuffer(data, dtype="<u4").astype(np.int64)
+    found = len(data) // 6
+    table = np.zeros(CHUNK, dtype=np.int64)
+    table[np.frombuffer(data, "<u2", found)] = np.frombuffer(data, "<u4", found, found * 2)
+    return table
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,7 +434,8 @@ def pair_distances(pairs: DataFrame, docs: DataFrame, bitmaps: DataFrame) -> Dat
     if near.isEmpty():
         return None
     ends = near.select(F.explode(F.array("a", "b")).alias("node"))
-    return checkpoint(measured(near, sets_of(docs, ends)))
+    # Both ends of the pairs read the sets: one pass over the texts.
+    return checkpoint(measured(near, checkpoint(sets_of(docs, ends))))
 
 
 def set_links(docs: DataFrame, table: np.ndarray, bitmaps: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,22 @@ def test_assign_shards(spark):
     slots = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(10_007)).alias("s"))
     assert sorted(r["s"] for r in slots.collect()) == sorted(r["slot"] for r in rows)
     assert sharding.assign_shards(docs.limit(0)).count() == 0
+
+
+def test_counting_tables():
+    for share in (0.001, 0.5):
+        rng = np.random.default_rng(1)
+        counts = np.where(rng.random(jaccard_join.CHUNK) < share, rng.integers(1, 99, jaccard_join.CHUNK), 0)
+        assert (jaccard_join.unpacked(jaccard_join.packed(counts)) == counts).all()
+    assert not jaccard_join.unpacked(jaccard_join.packed(np.zeros(jaccard_join.CHUNK, int))).any()
+
+
+def test_bitmaps_bound_intersections():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        whole = rng.integers(0, 2**63, rng.integers(3, 900), dtype=np.uint64)
+        x = np.unique(whole[rng.random(len(whole)) < 0.9])
+        y = np.unique(np.concatenate([whole[rng.random(len(whole)) < rng.random()], rng.integers(0, 2**63, 5, dtype=np.uint64)]))
+        common = len(np.intersect1d(x, y))
+        bound = jaccard_join.most_common(len(x), jaccard_join.bitmap(x), len(y), jaccard_join.bitmap(y))
+        assert common <= bound <= min(len(x), len(y))
