@@ -1,8 +1,9 @@
 """Contracts of JSON records, checked for whole tables of records.
 
 A contract lists, per kind, the allowed keys of every object and the typed fields.  The
-field list gives the parsing schema, so a record is parsed once, and every rule is a
-predicate of the same projection.
+field list gives the parsing schema, and every rule is a predicate of the same projection.
+The types that values have in the record are compared as a whole: the schema of the record as
+VARIANT against the pattern of its contract.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from jetframe.functions.text import redact
 from jetframe.rules import broken_rules, repeated_keys
 
 SUPPORTED_MAJOR = "1"
+# Objects within objects that a free part may hold.
+FREE_DEPTH = 4
 
 # Record kinds and the field that identifies each.
 KINDS = {
@@ -64,6 +67,15 @@ class Names:
     """Array of texts."""
 
     required: bool = True
+    unique: bool = True
+
+
+@dataclass(frozen=True)
+class Free:
+    """Object or array whose inside is not described here."""
+
+    kind: str = "OBJECT"
+    required: bool = True
 
 
 @dataclass(frozen=True)
@@ -81,6 +93,7 @@ ANY = Text(".")
 ARTIFACT = {"path": ANY, "sha256": SHA, "byte_size": Number(0, whole=True, required=False)}
 UNIT = Number(0, high=1)
 
+# Fields of every record kind.
 CONTRACTS: dict[str, dict] = {
     "run": {
         "schema_version": Text(allowed=("1.0.0",)),
@@ -133,9 +146,9 @@ CONTRACTS: dict[str, dict] = {
                     required=False,
                 ),
                 "omnilearned_index": Object(ARTIFACT, required=False),
-                "loaded_tensors": Text(),
-                "skipped_tensors": Text(),
-                "mismatched_tensors": Text(),
+                "loaded_tensors": Names(unique=False),
+                "skipped_tensors": Names(unique=False),
+                "mismatched_tensors": Names(unique=False),
             }
         ),
         "hyperparameters": Object(
@@ -153,7 +166,7 @@ CONTRACTS: dict[str, dict] = {
                         "min_delta": Number(0),
                     }
                 ),
-                "extra": Text(),
+                "extra": Free(),
             }
         ),
         "environment": Object(
@@ -226,8 +239,8 @@ CONTRACTS: dict[str, dict] = {
         "row_count": Number(2, whole=True),
         "class_counts": Object({"qcd": Number(1, whole=True), "top": Number(1, whole=True)}),
         "row_order_sha256": SHA,
-        "logical_columns": Text(),
-        "payload": Text(),
+        "logical_columns": Free(),
+        "payload": Free(),
         "content_hash": Object(
             {
                 "algorithm": Text(allowed=("sha256",)),
@@ -245,12 +258,12 @@ CONTRACTS: dict[str, dict] = {
         "manifest_id": SLUG,
         "study_id": SLUG,
         "created_at": STAMP,
-        "dataset": Text(),
-        "split_rule": Text(),
-        "source_files": Text(),
-        "partitions": Text(),
-        "training_subsets": Text(),
-        "preprocessing": Text(),
+        "dataset": Free(),
+        "split_rule": Free(),
+        "source_files": Free("ARRAY"),
+        "partitions": Free(),
+        "training_subsets": Free("ARRAY"),
+        "preprocessing": Free(),
         "semantic_checks": Object(
             {
                 name: Flag(must_be=True)
@@ -285,8 +298,8 @@ CONTRACTS: dict[str, dict] = {
         "missing_evidence": Names(),
         "failed_gates": Names(),
         "policy_sha256": SHA,
-        "resource_projection": Text(required=False),
-        "observed": Text(),
+        "resource_projection": Free(required=False),
+        "observed": Free(),
         "content_sha256": SHA,
     },
     "e05_audit": {
@@ -332,7 +345,7 @@ def _type(spec) -> T.DataType:
     if isinstance(spec, Object):
         return schema_of(spec.fields)
     if isinstance(spec, Number):
-        return T.LongType() if spec.whole else T.DoubleType()
+        return T.DoubleType()
     if isinstance(spec, Flag):
         return T.BooleanType()
     if isinstance(spec, Names):
@@ -390,12 +403,12 @@ def value_rule(spec, x: Column, raw: Column) -> Column:
             bad.append(x <= spec.above)
         if spec.high is not None:
             bad.append(x > spec.high)
-        if not spec.whole:
-            bad.append(F.isnan(x))
+        bad.append(x != F.floor(x) if spec.whole else F.isnan(x))
     elif isinstance(spec, Flag) and spec.must_be is not None:
         bad.append(x != spec.must_be)
     elif isinstance(spec, Names):
-        bad.append(F.size(F.array_distinct(x)) != F.size(x))
+        if spec.unique:
+            bad.append(F.size(F.array_distinct(x)) != F.size(x))
     wrong = F.coalesce(_any(bad), F.lit(False))
     # A value of another type parses to null although the key has a value.
     return x.isNull() if spec.required and not bad else (
@@ -426,6 +439,72 @@ def field_rules(fields: dict, value: Column, path: str = "") -> dict[str, Column
     return rules
 
 
+def bracketed(depth: int) -> str:
+    """A type's inside in angle brackets, nested up to ``depth``."""
+    inner = f"(?:{bracketed(depth - 1)}[^<>]*+)*+" if depth else ""
+    return f"<[^<>]*+{inner}>"
+
+
+def type_pattern(spec) -> str:
+    """Pattern of a value's type as ``schema_of_variant`` writes it; null fits every type."""
+    if isinstance(spec, Text):
+        kind = "STRING"
+    elif isinstance(spec, Number):
+        kind = r"BIGINT|DOUBLE|DECIMAL\(\d+,\d+\)"
+    elif isinstance(spec, Flag):
+        kind = "BOOLEAN"
+    elif isinstance(spec, Names):
+        kind = "ARRAY<(?:STRING|VOID)>"
+    elif isinstance(spec, Free):
+        kind = spec.kind + bracketed(FREE_DEPTH)
+    else:
+        kind = object_pattern(spec.fields)
+    return f"(?>{kind}|VOID)"
+
+
+def object_pattern(fields: dict) -> str:
+    """Keys come sorted; which are required is another rule's matter."""
+    parts = "".join(f"(?:{name}: {type_pattern(fields[name])}(?:, )?+)?+" for name in sorted(fields))
+    return f"OBJECT<{parts}>"
+
+
+# The digest field of a record, which its own digest leaves out.
+SELF_HASH = {
+    "prediction": "content_hash.metadata_sha256",
+    "split": "hash_metadata.content_sha256",
+    "e0_audit": "content_sha256",
+    "e05_audit": "content_sha256",
+}
+
+
+def document_hash(record: Column, field_path: str) -> Column:
+    """SHA-256 of a VARIANT record as compact JSON with sorted keys and a line feed.
+
+    The digest field itself is left out.  Its name must occur once in the record, as in all contracts.
+    """
+    name = field_path.rsplit(".", 1)[-1]
+    pair = f'"{name}":"[^"]*"'
+    text = F.regexp_replace(F.to_json(record), f",{pair}|{pair},?", "")
+    return F.sha2(F.concat(text, F.lit("\n")), 256)
+
+
+def hash_violations(records: DataFrame, kind: str, json: str = "json", key: str = "key") -> DataFrame:
+    """Records whose embedded digest is missing or is not that of the record."""
+    path = SELF_HASH[kind]
+    v = F.try_parse_json(json)
+    parsed = records.select(F.col(key), v.alias("v"))
+    held = F.try_variant_get(F.col("v"), f"$.{path}", "string")
+    return broken_rules(
+        parsed,
+        F.col(key),
+        {
+            "CONTRACT_JSON": F.col("v").isNull(),
+            "CONTRACT_HASH_FIELD": F.col("v").isNotNull() & held.isNull(),
+            "CONTRACT_HASH_MISMATCH": held.isNotNull() & (held != document_hash(F.col("v"), path)),
+        },
+    )
+
+
 def run_rules(v: Column) -> dict[str, Column]:
     """What a run's status and model family demand."""
     done = v["status"] == "succeeded"
@@ -489,6 +568,7 @@ def record_violations(records: DataFrame, kind: str, json: str = "json", key: st
         F.col(json),
         F.from_json(json, schema_of(fields)).alias("v"),
         F.from_json(json, "map<string,string>").alias(map_column("")),
+        F.schema_of_variant(F.try_parse_json(json)).alias("types"),
     ).drop(json)
     # Every object is parsed once more for its keys, parents before what they hold.
     for at, parent, name, spec in objects(fields):
@@ -500,12 +580,15 @@ def record_violations(records: DataFrame, kind: str, json: str = "json", key: st
     keys, v = F.map_keys(map_column("")), F.col("v")
     allowed = F.array(*[F.lit(k) for k in fields])
     version = F.regexp_extract(v["schema_version"], r"^(\d+)\.\d+\.\d+$", 1)
+    readable = F.col("types").isNotNull()
     rules = {
+        "CONTRACT_TYPES": ~F.col("types").rlike(f"^{object_pattern(fields)}$"),
         "CONTRACT_UNSUPPORTED_MAJOR": (version != "") & (version != SUPPORTED_MAJOR),
         "CONTRACT_UNKNOWN_PROPERTY": F.size(F.array_except(keys, allowed)) > 0,
         **field_rules(fields, v),
         **semantic_rules(kind, v),
     }
+    rules = {"CONTRACT_JSON": ~readable} | {name: readable & bad for name, bad in rules.items()}
     return broken_rules(parsed, F.col(key), rules)
 
 

@@ -68,6 +68,7 @@ _RUN_CHECKS = (
     ("CONTRACT_SCHEMA:metrics.test_auc", "s = 'F' AND k % 11 <> 0 AND k % 97 = 0"),
     ("CONTRACT_SCHEMA:failure.code", "(s <> 'F' AND k % 17 <> 0 OR s = 'F' AND k % 19 = 0) AND k % 23 = 0"),
     ("CONTRACT_UNKNOWN_PROPERTY", "k % 101 = 0"),
+    ("CONTRACT_TYPES", "k % 101 = 0"),
     ("RUN_SUCCESS_WITHOUT_METRICS", "s = 'F' AND k % 11 = 0"),
     ("RUN_SUCCESS_WITH_FAILURE", "s = 'F' AND k % 19 = 0"),
     ("RUN_SUCCESS_WITHOUT_PREDICTION", "s = 'F' AND k % 13 = 0"),
@@ -166,6 +167,65 @@ def prediction_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.record_violations(rows, "prediction")
 
 
+# Planted by position of the key: value types, item types, malformed text, keys inside an object.
+_FAULTS = """CASE o_orderkey % 13
+  WHEN 1 THEN regexp_replace(json, '"prediction_id":"[^"]*"', '"prediction_id":12')
+  WHEN 2 THEN regexp_replace(json, '"payload":[{][^}]*[}]', '"payload":"junk"')
+  WHEN 3 THEN regexp_replace(json, '"row_count":([0-9]+)', '"row_count":$1.0')
+  WHEN 4 THEN regexp_replace(json, '"ordered":(true|false)', '"ordered":"true"')
+  WHEN 5 THEN substring(json, 1, length(json) - 1)
+  WHEN 6 THEN regexp_replace(json, '"top":40', '"top":40,"other":1')
+  WHEN 7 THEN regexp_replace(json, '"row_count":[0-9]+', '"row_count":null')
+  WHEN 8 THEN regexp_replace(json, '"qcd":60', '"qcd":60.5')
+  ELSE json END"""
+
+
+@query(
+    "contract_types",
+    """WITH r AS (SELECT o_orderkey AS k, o_orderkey % 13 AS f FROM orders)
+SELECT 'CONTRACT_JSON' AS rule, k::VARCHAR AS key, '' AS detail FROM r WHERE f = 5
+UNION ALL SELECT 'CONTRACT_TYPES', k::VARCHAR, '' FROM r WHERE f IN (1, 2, 4, 6)
+UNION ALL SELECT 'CONTRACT_SCHEMA:prediction_id', k::VARCHAR, '' FROM r WHERE f = 1
+UNION ALL SELECT 'CONTRACT_UNKNOWN_PROPERTY:class_counts', k::VARCHAR, '' FROM r WHERE f = 6
+UNION ALL SELECT 'CONTRACT_SCHEMA:row_count', k::VARCHAR, '' FROM r WHERE f = 7
+UNION ALL SELECT 'CONTRACT_SCHEMA:class_counts.qcd', k::VARCHAR, '' FROM r WHERE f = 8
+UNION ALL SELECT 'CONTRACT_SCHEMA:partition', k::VARCHAR, '' FROM r WHERE k % 31 = 0 AND f <> 5
+UNION ALL SELECT 'CONTRACT_SCHEMA:ordered', k::VARCHAR, '' FROM r WHERE f NOT IN (4, 5) AND k % 37 = 0 OR f = 4
+UNION ALL SELECT 'CONTRACT_SCHEMA:row_order_sha256', k::VARCHAR, '' FROM r WHERE k % 43 = 0 AND f <> 5
+UNION ALL SELECT 'CONTRACT_ROW_COUNT', k::VARCHAR, '' FROM r
+  WHERE f NOT IN (5, 7, 8) AND k % 41 <> 0 OR f = 8""",
+)
+def contract_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction records with one fault per kind of fault; a whole 100.0 is a valid count."""
+    rows = tables.table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_PREDICTION).alias("json"))
+    faulty = rows.select(F.col("o_orderkey").alias("key"), F.expr(_FAULTS).alias("json"))
+    return contracts.record_violations(faulty, "prediction")
+
+
+@query(
+    "document_hash",
+    """SELECT 'CONTRACT_HASH_MISMATCH' AS rule, o_orderkey::VARCHAR AS key, '' AS detail FROM orders
+WHERE o_orderkey % 10 = 3
+UNION ALL SELECT 'CONTRACT_HASH_FIELD', o_orderkey::VARCHAR, '' FROM orders WHERE o_orderkey % 10 = 4
+UNION ALL SELECT 'CONTRACT_JSON', o_orderkey::VARCHAR, '' FROM orders WHERE o_orderkey % 10 = 5""",
+)
+def document_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit records that hold the digest of their own canonical text; keys and spaces vary."""
+    k = F.col("o_orderkey")
+    status = F.concat(F.lit('"status":"é '), "o_orderstatus", F.lit('"'))
+    owner = F.concat(F.lit('"e05_audit_id":"a-'), k.cast("string"), F.lit('"'))
+    numbers = F.concat(F.lit('"n":{"a":['), k.cast("string"), F.lit(',0.5],"b":null}'))
+    canonical = F.concat(F.lit("{"), owner, F.lit(","), numbers, F.lit(","), status, F.lit("}\n"))
+    digest = F.sha2(F.when(k % 10 == 3, F.lit("other")).otherwise(canonical), 256)
+    field = F.when(k % 10 == 4, F.lit("")).otherwise(
+        F.concat(F.lit('"content_sha256" : "'), digest, F.lit('", '))
+    )
+    end = F.when(k % 10 == 5, F.lit("")).otherwise(F.lit("}"))
+    json = F.concat(F.lit("{ "), status, F.lit(", "), field, numbers, F.lit(",\n "), owner, end)
+    rows = tables.table(spark, sf_dir, "orders").select(k.alias("key"), json.alias("json"))
+    return contracts.hash_violations(rows, "e05_audit")
+
+
 _GATE = f"""to_json(named_struct('schema_version', '1.0.0', 'e05_audit_id', concat('e-', o_orderkey),
   'status', element_at(array('passed', 'failed', 'blocked_external_evidence', 'fallback_approved'),
     cast(o_orderkey % 4 + 1 as int)), 'formal_gate_eligible', o_orderkey % 2 = 0,
