@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jetframe.session import checkpoint
@@ -31,10 +33,20 @@ def connected_components(links: DataFrame, label: DataFrame | None = None) -> Da
         if tuple(now) == state:
             break
         state = tuple(now)
+        release(links.sparkSession)
     own = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(own)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle and checkpoint files of rounds that are over.
+
+    It acts when the driver has let go of a table; a driver with a roomy heap would keep all rounds.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a")).toDF("node", "other")
     least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least"))

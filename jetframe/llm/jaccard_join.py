@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jetframe.llm.components import connected_components
+from jetframe.llm.components import connected_components, release
 from jetframe.llm.texts import GOLDEN, LOWER, bounds_of, joined, mix, pieces, word_grams, words
 from jetframe.session import checkpoint, stored
 
@@ -482,6 +482,7 @@ def set_links(docs: DataFrame, table: np.ndarray, bitmaps: DataFrame) -> DataFra
         members = checkpoint(
             still_open(members.drop("component"), components, f"max(turn) > {turn}")
         )
+        release(docs.sparkSession)
     return components
 
 
