@@ -78,6 +78,22 @@ def test_pack(spark):
     assert packing.pack(table(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("space", [" ", "\n"])
+def test_pack_million_spaces(spark, space):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    run = space * 1_000_000
+    texts = [f"x{run}y", f"{run}\t z", f"x{run}", f"a{run}\x1c{run}", f"b {run[:70_000]} c{run[:65_535]}d"]
+    got = packing.token_pieces(table(spark, list(enumerate(texts))), capacity=1 << 30).collect()
+    wanted = set()
+    for n, text in enumerate(texts):
+        ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        wanted.add((n, 0, 0, len(ids), zlib.crc32(ids)))
+    assert {tuple(r) for r in got} == wanted
+
+
 def reference_codec():
     import sentencepiece
 
