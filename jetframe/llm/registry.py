@@ -64,7 +64,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir))
+    return packing.pack(documents(spark, sf_dir), added=packing.default_added())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -94,6 +94,32 @@ def test_pack_million_spaces(spark, space):
     assert {tuple(r) for r in got} == wanted
 
 
+def test_queries_read_added_tokens(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from jetframe.llm import registry
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    rows = [(0, f"a {end} b"), (1, end * 2), (2, f"x  {end}  y <|endoftext| >"), (3, f"{end}\n"), (4, None)]
+    rows += [(5, f"a{' ' * 70_000}{end}{' ' * 70_000}{end}b"), (6, "<|<|endoftext|>|>"), (7, "plain")]
+    docs = table(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = Counter()
+    for doc_id, text in rows:
+        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        start = 0
+        for piece, length in enumerate(packing.piece_lengths(len(ids), packing.CAPACITY)):
+            wanted[doc_id, piece, start, length, zlib.crc32(ids[start : start + length])] += 1
+            start += length
+    query = registry.queries()["op10_best_fit_packing"](spark, str(tmp_path))
+    stage = dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, docs, str(tmp_path))
+    for got in (query, stage):
+        assert Counter(tuple(r)[:5] for r in got.collect()) == wanted
+
+
 def reference_codec():
     import sentencepiece
 
