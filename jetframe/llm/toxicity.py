@@ -13,7 +13,7 @@ Learning, from at most ``SAMPLE_ROWS`` labelled documents outside the held-out p
    and in no toxic one. A match inside such a phrase does not count.
 3. Weights of all matches, over the root of the length, are calibrated by a logistic curve.
 
-All texts are scored whole. An empty or null text has no match and the base score. Repeated rows are
+Documents of the sample are learned from whole, as all texts are scored whole. An empty or null text has no match and the base score. Repeated rows are
 scored alike; an empty table gives an empty result; without labels of both kinds there is no term and
 every score is the share of toxic labels (0 without labels). Further columns are ignored.
 """
@@ -149,7 +149,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lexicon(sample: DataFrame, toxic_docs: int, clean_docs: int) -> dict[str, float]:
-    """Weights of at most ``MAX_TERMS`` terms; counting and selection run on the executors."""
+    """Weights of at most ``MAX_TERMS`` terms, first those with most toxic documents times weight; counting and selection run on the executors."""
     least = max(MIN_DOCUMENTS, MIN_SHARE * toxic_docs)
     weight = F.log((F.col("toxic") + 0.5) / (toxic_docs + 1)) - F.log(
         (F.col("clean") + 0.5) / (clean_docs + 1)
@@ -161,7 +161,7 @@ def lexicon(sample: DataFrame, toxic_docs: int, clean_docs: int) -> dict[str, fl
         .filter(F.col("toxic") >= least)
         .withColumn("weight", weight)
         .filter(F.col("weight") >= MIN_WEIGHT)
-        .orderBy(F.desc("weight"), F.length("term"), "term")
+        .orderBy(F.desc(F.col("toxic") * F.col("weight")), F.length("term"), "term")
         .limit(MAX_TERMS)
         .collect()
     )
@@ -179,42 +179,87 @@ def lexicon(sample: DataFrame, toxic_docs: int, clean_docs: int) -> dict[str, fl
     return weights
 
 
-def _sample_matches(sample: DataFrame, weights: dict[str, float]) -> list[tuple]:
-    """(label, length, matches) of the sample; bounded by its rows, and by 200 matches of a row."""
-    if not weights:
-        return []
+def _toxic_words(sample: DataFrame, weights: dict[str, float]) -> list[list[tuple[int, int]]]:
+    """Of each toxic document: (index of the sorted terms, different words it matches in the whole text).
+
+    Bounded by the rows of the sample and the number of terms.
+    """
+    index = {t: n for n, t in enumerate(sorted(weights))}
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Model(weights).automaton()
+        for batch in batches:
+            for _, texts in pieces(batch):
+                found = []
+                for text in texts:
+                    hits = matches(fold(text.decode()), machine) if text else []
+                    words = {(t, after.split(" ")[0]) for t, _, after in hits}
+                    found.append(list(Counter(index[t] for t, _ in words).items()))
+                pairs = [[list(p) for p in f] for f in found]
+                yield pa.record_batch([pa.array(pairs, KIND)], names=["found"])
+
+    toxic = sample.filter("label > 0").select("text")
+    return [r["found"] for r in toxic.mapInArrow(find, "found array<array<int>>").collect()]
+
+
+KIND = pa.list_(pa.list_(pa.int32()))
+
+
+def _exceptions(sample: DataFrame, weights: dict[str, float], least: float) -> frozenset[str]:
+    """Phrases in at least ``least`` clean documents and in no toxic one; counted on the executors."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Model(weights).automaton()
         for batch in batches:
             for rows, texts in pieces(batch):
-                folded = [fold(t.decode()) for t in texts]
-                found = [matches(t, machine)[:200] if t else [] for t in folded]
+                counted = (Counter(), Counter())
+                for label, text in zip(rows.column("label").to_pylist(), texts, strict=True):
+                    hits = matches(fold(text.decode()), machine) if text else []
+                    counted[label > 0].update({p for _, *phrases in hits for p in phrases})
+                phrases = list(counted[0] | counted[1])
                 yield pa.record_batch(
                     [
-                        rows.column("label"),
-                        pa.array([len(t) for t in folded], pa.int64()),
-                        pa.array([[list(m) for m in f] for f in found], KIND),
+                        pa.array(phrases, pa.string()),
+                        pa.array([counted[1][p] for p in phrases], pa.int64()),
+                        pa.array([counted[0][p] for p in phrases], pa.int64()),
                     ],
-                    names=["label", "length", "found"],
+                    names=["phrase", "toxic", "clean"],
                 )
 
-    kind = "label int, length bigint, found array<array<string>>"
-    return [tuple(r) for r in sample.mapInArrow(find, kind).collect()]
+    seen = (
+        sample.mapInArrow(find, "phrase string, toxic bigint, clean bigint")
+        .groupBy("phrase")
+        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        .filter((F.col("clean") >= least) & (F.col("toxic") == 0))
+    )
+    return frozenset(r["phrase"] for r in seen.select("phrase").collect())
+
 
+def _raw_scores(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(raw scores, labels) of the sample, as scoring has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = model.automaton()
+        for batch in batches:
+            for rows, texts in pieces(batch):
+                raw = [raw_score(fold(t.decode()), model, machine) for t in texts]
+                yield pa.record_batch(
+                    [rows.column("label"), pa.array(raw, pa.float64())], names=["label", "raw"]
+                )
 
-KIND = pa.list_(pa.list_(pa.string()))
+    rows = sample.mapInArrow(run, "label int, raw double").collect()
+    return np.array([r["raw"] for r in rows]), np.array([r["label"] > 0 for r in rows], dtype=float)
 
 
-def explaining(weights: dict[str, float], found: list[tuple]) -> dict[str, float]:
+def explaining(
+    weights: dict[str, float], toxic: list[list[tuple[int, int]]]
+) -> dict[str, float]:
     """The terms that explain toxic documents not yet explained by stronger ones."""
     terms = sorted(weights)
-    index = {t: n for n, t in enumerate(terms)}
-    toxic = [hits for label, _, hits in found if label > 0]
     words = np.zeros((len(toxic), len(terms)), dtype=np.int16)
     for row, hits in enumerate(toxic):
-        for term, word in {(t, after.split(" ")[0]) for t, _, after in hits}:
-            words[row, index[term]] += 1
+        for term, number in hits:
+            words[row, term] = min(number, 2_000)  # 0.5 ** 2000 is 0
     left = np.ones(len(toxic))
     weight = np.array([weights[t] for t in terms])
     present = (words > 0).astype(np.float32)
@@ -260,26 +305,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     counts = {r["toxic"]: r["count"] for r in kinds}
     toxic, clean = counts.get(True, 0), counts.get(False, 0)
     weights = lexicon(sample, toxic, clean) if toxic and clean else {}
-    weights = explaining(weights, _sample_matches(sample, weights)) if weights else {}
+    weights = explaining(weights, _toxic_words(sample, weights)) if weights else {}
     if not weights:
         share = toxic / (toxic + clean) if toxic + clean else 0.0
         return Model(offset=_log_odds(share))
-    found = _sample_matches(sample, weights)
-    seen: dict[str, list[int]] = {}
-    for label, _, hits in found:
-        for phrase in {p for _, *phrases in hits for p in phrases}:
-            seen.setdefault(phrase, [0, 0])[label > 0] += 1
-    least = max(3, 0.002 * clean)
-    exceptions = frozenset(p for p, (n, t) in seen.items() if n >= least and not t)
-    model = Model(weights, exceptions)
-    raw = np.array(
-        [
-            sum(weights[t] for t, b, a in hits if b not in exceptions and a not in exceptions)
-            / math.sqrt(1.0 + length / LENGTH_UNIT)
-            for _, length, hits in found
-        ]
-    )
-    label = np.array([label > 0 for label, _, _ in found], dtype=float)
+    model = Model(weights, _exceptions(sample, weights, max(3, 0.002 * clean)))
+    raw, label = _raw_scores(sample, model)
     model.slope, model.offset = _calibrate(raw, label)
     return model
 

@@ -162,6 +162,36 @@ def test_toxicity_edges(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in scored[:600])
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    fill = [f"w{chr(97 + n)}{chr(97 + m)}" for n in range(20) for m in range(20)]
+    rng = random.Random(6)
+    rows, marks = [], []
+    for n, doc_id in enumerate(ids_where(toxicity.MODULUS, {1, 2, 3, 4}, 300)):
+        words = rng.choices(fill, k=30)
+        if n % 6 == 0:
+            words[2] = "vorpal" + rng.choice(["s", "ed", "ing", ""])
+        if n % 6 == 1:
+            words[2:4] = ["vorpal", "sword"]
+        if n == 0:  # behind 300 other matches
+            words = ["vorpals", "xx"] * 300 + ["vorpal", "sword"]
+        rows.append((doc_id, " ".join(words), None))
+        marks.append((doc_id, 1, int(n % 6 == 0)))
+    model = toxicity.train(table(spark, rows), labels(spark, marks))
+    assert "vorpal" in model.weights
+    assert "vorpal sword" not in model.exceptions
+    raw, label = toxicity._raw_scores(table(spark, rows).select("text", "label"), model)
+    machine = model.automaton()
+    wanted = sorted(toxicity.raw_score(toxicity.fold(t), model, machine) for _, t, _ in rows)
+    assert sorted(raw) == wanted and len(label) == len(rows)
+
+
+def test_toxicity_ranks_terms_by_documents(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TERMS", 3)
+    rows = [(f"zz{chr(97 + n % 10)} vor", 1) for n in range(100)] + [("vor", 0)] * 20 + [("fill", 0)] * 980
+    sample = spark.createDataFrame(rows, "text string, label int")
+    assert "vor" in toxicity.lexicon(sample, 100, 1000)
+
+
 def test_fold():
     assert toxicity.fold("ІDІ0T") == "idiot"
     assert toxicity.fold("ｉｄｉｏｔ i​diot М0R0N") == "idiot idiot moron"
