@@ -197,7 +197,7 @@ def constant(share: float) -> dict:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     """Model from (doc_id, text) rows and (doc_id, quality) labels; the sample is at most ``rows``."""
-    chosen = labelled_sample(labels, "quality", MODULUS, HELD, rows)
+    chosen = labelled_sample(docs, labels, "quality", MODULUS, HELD, rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,10 +65,12 @@ def bounds_of(owners: np.ndarray, count: int) -> np.ndarray:
     return np.searchsorted(owners, np.arange(count + 1))
 
 
-def labelled_sample(labels: DataFrame, label: str, modulus: int, held: int, rows: int) -> DataFrame:
-    """(doc_id, label) of at most ``rows`` labelled documents outside the held-out remainder.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int
+) -> DataFrame:
+    """(doc_id, label) of at most ``rows`` labelled ones of ``docs`` outside the held-out remainder.
 
-    The rows with the smallest hash of their id: the same at every run and for any partitioning.
+    Labels of other documents take no place. The rows with the smallest hash of their id: the same at every run and for any partitioning.
     An id labelled twice has its largest label.
     """
     return (
@@ -76,6 +78,7 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, held: int, rows
         .filter(remainder("doc_id", modulus) != held)
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("label"))
+        .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )

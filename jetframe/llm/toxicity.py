@@ -298,10 +298,10 @@ def _calibrate(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Model from (doc_id, text) rows and (doc_id, toxic) labels; the sample is at most ``rows``."""
-    chosen = labelled_sample(labels, "toxic", MODULUS, HELD, rows)
+    chosen = labelled_sample(docs, labels, "toxic", MODULUS, HELD, rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     sample = sample.select("label", "text")
-    kinds = chosen.select((F.col("label") > 0).alias("toxic")).groupBy("toxic").count().collect()
+    kinds = sample.select((F.col("label") > 0).alias("toxic")).groupBy("toxic").count().collect()
     counts = {r["toxic"]: r["count"] for r in kinds}
     toxic, clean = counts.get(True, 0), counts.get(False, 0)
     weights = lexicon(sample, toxic, clean) if toxic and clean else {}

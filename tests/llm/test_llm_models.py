@@ -192,6 +192,20 @@ def test_toxicity_ranks_terms_by_documents(spark, monkeypatch):
     assert "vor" in toxicity.lexicon(sample, 100, 1000)
 
 
+def test_sample_is_drawn_from_the_given_documents(spark):
+    """Labels of documents that are not there change nothing, however many."""
+    ids = ids_where(15, set(range(15)), 4_000)
+    rows = [(i, "vorpal word" if i % 2 else "other word", None) for i in ids[:400]]
+    there = [(i, i % 2, i % 2) for i in ids[:400]]
+    away = [(i, 1, 0) for i in ids[400:]]
+    docs = table(spark, rows)
+    marks, more = labels(spark, there), labels(spark, there + away)
+    assert toxicity.train(docs, more, 100) == toxicity.train(docs, marks, 100)
+    one, other = quality.train(docs, more, 100), quality.train(docs, marks, 100)
+    assert all(np.array_equal(one[k], other[k]) for k in other)
+    assert toxicity.train(docs, labels(spark, away)).offset == -math.inf
+
+
 def test_fold():
     assert toxicity.fold("ІDІ0T") == "idiot"
     assert toxicity.fold("ｉｄｉｏｔ i​diot М0R0N") == "idiot idiot moron"
