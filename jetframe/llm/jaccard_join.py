@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from jetframe.llm.components import connected_components, release
 from jetframe.llm.texts import GOLDEN, LOWER, bounds_of, joined, mix, pieces, word_grams, words
@@ -530,6 +531,12 @@ def jaccard_components(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row."""
+    found = with_components(docs, id_column, text_column)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def with_components(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(doc_id, n, node, component, component_id), one row per input row; empty sets have no component."""
     docs = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
     every = checkpoint(
         docs.mapInArrow(
@@ -549,27 +556,61 @@ def jaccard_components(
     )
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = checkpoint(
-        named.select("node", "component").join(least, "component").select("node", "component_id")
+        named.select("node", "component")
+        .join(least, "component")
+        .select("node", "component", "component_id")
     )
-    filled = signed.filter("n > 0").join(of_node, "node")
-    empty = signed.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return (
-        filled.select("doc_id", "n", "component_id")
-        .union(empty)
-        .withColumnRenamed("n", "n_shingles")
+    columns = ["doc_id", "n", "node", "component", "component_id"]
+    filled = signed.filter("n > 0").join(of_node, "node").select(*columns)
+    empty = signed.filter("n = 0").select(
+        "doc_id", "n", "node", F.lit(None).cast("bigint"), F.col("doc_id")
     )
+    return filled.union(empty.toDF(*columns))
+
+
+def with_node(docs: DataFrame, text_column: str) -> DataFrame:
+    """``docs`` with ``_node``: the hash of the text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in pieces(batch, text_column, budget=PIECE_BYTES):
+                nodes = pa.array([set_hash(s) for s in shingle_sets(texts)], pa.int64())
+                yield pa.record_batch([*rows.columns, nodes], names=[*rows.schema.names, "_node"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_node", LongType())]))
 
 
 def one_of_each(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of their component.
+    """One row of ``docs``, all columns, of every component: one with its smallest id, null the largest.
 
-    Documents with an empty set are components of their own. Null ids stay.
+    Documents with an empty set are components of their own. Ids tell rows apart if none is null or
+    repeated; otherwise ids and sets do, and of rows with the same of both one stays.
     """
-    found = jaccard_components(docs, id_column, text_column)
-    dropped = found.filter("doc_id <> component_id").select(
-        F.col("doc_id").alias("_dropped_id")
+    found = with_components(docs, id_column, text_column)
+    keys = ["component", "component_id", "doc_id", "node"]
+    pairs = checkpoint(found.groupBy(*keys).agg(F.count("*").alias("rows")))
+    unclear = pairs.groupBy("doc_id").agg(F.sum("rows").alias("rows"))
+    if unclear.filter("doc_id IS NULL OR rows > 1").isEmpty():
+        dropped = checkpoint(
+            pairs.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
+        )
+        return docs.join(dropped, docs[id_column] == dropped["_id"], "left_anti")
+    least = pairs.filter("component IS NOT NULL").groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("least")
+    )
+    named = pairs.join(least, "component")
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("node") == F.col("least.node"))
+    marked = checkpoint(named.select("doc_id", "node", "rows", stays.alias("stays")))
+    ends = [F.col("doc_id").alias("_id"), F.col("node").alias("_end")]
+    dropped = marked.filter("NOT stays").select(*ends)
+    marks = with_node(docs, text_column)
+    same = F.col(id_column).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_end"))
+    repeated = marked.filter("stays AND rows > 1").select(*ends)
+    single = marks.join(dropped.union(repeated), same, "left_anti").select(*docs.columns)
+    again = marks.join(repeated, same, "left_semi")
+    one = again.groupBy(id_column, "_node").agg(
+        F.min_by(F.struct(*docs.columns), F.coalesce(text_column, F.lit(""))).alias("_row")
     )
-    dropped = checkpoint(dropped.distinct())
-    return docs.join(dropped, docs[id_column] == dropped["_dropped_id"], "left_anti")
+    return single.union(one.select("_row.*"))

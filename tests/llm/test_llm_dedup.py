@@ -116,6 +116,17 @@ def test_jaccard_edges(spark):
     assert len(kept.columns) == 7
 
 
+def test_one_of_each_with_shared_and_null_ids(spark):
+    rows = [(1, "a b c d e f"), (5, "A b c d e f"), (5, "a clean row of its own"), (5, "")]
+    rows += [(7, "two near copies under one"), (7, "Two near copies under one")]
+    rows += [(None, "null ids have near copies"), (None, "Null ids have near copies"), (None, None)]
+    rows += [(None, "a B c d e f")]
+    kept = jaccard_join.one_of_each(table(spark, rows))
+    found = Counter((r["doc_id"], (r["text"] or "").lower()) for r in kept.collect())
+    wanted = [rows[0], rows[2], rows[3], rows[4], rows[6], (None, "")]
+    assert found == Counter(wanted) and len(kept.columns) == 7
+
+
 def test_prefix_length_covers_all_links():
     for n in range(1, 400):
         least = -(-n * 75 // 100)
