@@ -1,13 +1,16 @@
-"""Session settings and the shared checkpoint folder."""
+"""Session settings, the shared checkpoint folder, and tables that live there for a while."""
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str = "8", partitions: int = 8, app: str = "jetframe") -> SparkSession:
@@ -37,15 +40,69 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: its size is known to the planner."""
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: its size is known to the planner."""
+    return _written(df)[0]
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; cuts the lineage and survives lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, by the file system the path names."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Shelf:
+    """Owner of the tables an operator writes between its rounds.
+
+    ``put`` writes a table below the shared folder and reads it back, so lineage ends there and a lost
+    executor costs a reread. ``drop`` deletes tables that no later round reads; what is still on the
+    shelf when ``close`` is called goes too, except the tables it is told to keep.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def put(self, df: DataFrame, *over: DataFrame | None) -> DataFrame:
+        """Writes ``df``, then drops the tables it takes the place of."""
+        table, path = _written(df)
+        self._paths[id(table)] = (table, path)
+        self.drop(*over)
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for table in tables:
+            if table is not None and id(table) in self._paths:
+                delete_folder(self.spark, self._paths.pop(id(table))[1])
+
+    def close(self, *keep: DataFrame | None) -> None:
+        kept = {id(k) for k in keep}
+        self.drop(*[t for key, (t, _) in list(self._paths.items()) if key not in kept])
+
+
+@contextmanager
+def lean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go as soon as the query that made them is over.
+
+    For rounds whose tables are all written: no later query reads an earlier one's shuffles.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
