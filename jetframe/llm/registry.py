@@ -13,6 +13,7 @@ from jetframe.llm import (
     fingerprint,
     jaccard_join,
     language_id,
+    merkle,
     packing,
     pieces_codec,
     quality,
@@ -67,6 +68,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), added=packing.default_added())
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -79,9 +84,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op12_merkle_manifest": op12_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.SQL}
+    return {"op8_exact_dedup": exact_dedup.SQL, "op12_merkle_manifest": merkle.SQL}
