@@ -2,49 +2,42 @@
 
 from __future__ import annotations
 
-import gc
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from jetframe.session import checkpoint
+from jetframe.session import Shelf
 
 
-def connected_components(links: DataFrame, label: DataFrame | None = None) -> DataFrame:
+def connected_components(links: DataFrame, shelf: Shelf) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): the smallest node it is connected with.
 
     Each round joins every node's neighbours to the smallest of its neighbourhood, first the larger
     ones (large star), then all (small star); the tables shrink to stars in a number of rounds
     logarithmic in the diameter. A node with very many links is combined on the map side, and the join
-    on it can be split. Every round is checkpointed.
+    on it can be split. Every round is a table on the ``shelf`` and takes the place of the one before;
+    what stays there is the result.
     """
-    edges = checkpoint(
+    edges = shelf.put(
         links.filter("a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
     state = None
     while True:
-        edges = checkpoint(_small_star(_large_star(edges)))
-        now = edges.agg(
+        seen = Observation()
+        following = _small_star(_large_star(edges)).observe(
+            seen,
             F.count("*").alias("n"),
             F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("total"),
-        ).first()
-        if tuple(now) == state:
+        )
+        edges = shelf.put(following, edges)
+        now = seen.get
+        if now == state:
             break
-        state = tuple(now)
-        release(links.sparkSession)
+        state = now
     own = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(own)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle and checkpoint files of rounds that are over.
-
-    It acts when the driver has let go of a table; a driver with a roomy heap would keep all rounds.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
+    labels = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(own)
+    return shelf.put(labels, edges)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -42,9 +42,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from jetframe.llm.components import connected_components, release
+from jetframe.llm.components import connected_components
 from jetframe.llm.texts import GOLDEN, LOWER, bounds_of, joined, mix, pieces, word_grams, words
-from jetframe.session import checkpoint, stored
+from jetframe.session import Shelf, checkpoint, lean_shuffles
 
 SHINGLE = 5
 PERCENT = 75
@@ -429,19 +429,23 @@ def ordered_pairs(frame: DataFrame, x: str, y: str) -> DataFrame:
     return frame.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def pair_distances(pairs: DataFrame, docs: DataFrame, bitmaps: DataFrame) -> DataFrame | None:
+def pair_distances(
+    pairs: DataFrame, docs: DataFrame, bitmaps: DataFrame, shelf: Shelf
+) -> DataFrame | None:
     """Exact sizes and intersections of the plausible ones of the pairs; None if there is none."""
-    near = checkpoint(plausible(pairs, bitmaps))
+    near = shelf.put(plausible(pairs, bitmaps))
     if near.isEmpty():
+        shelf.drop(near)
         return None
     ends = near.select(F.explode(F.array("a", "b")).alias("node"))
     # Both ends of the pairs read the sets: one pass over the texts.
-    return checkpoint(measured(near, checkpoint(sets_of(docs, ends))))
+    sets = shelf.put(sets_of(docs, ends))
+    return shelf.put(measured(near, sets), near, sets)
 
 
-def set_links(docs: DataFrame, table: np.ndarray, bitmaps: DataFrame) -> DataFrame:
+def set_links(docs: DataFrame, table: np.ndarray, bitmaps: DataFrame, shelf: Shelf) -> DataFrame:
     """(node, component) of all nodes with a link."""
-    met = checkpoint(regions(cells(docs, table)))
+    met = shelf.put(regions(cells(docs, table)))
     first = met.filter("node <> pivot").filter(
         possible(F.col("n"), F.col("place"), F.col("pivot_n"), F.col("pivot_place"))
     )
@@ -459,10 +463,11 @@ def set_links(docs: DataFrame, table: np.ndarray, bitmaps: DataFrame) -> DataFra
         .groupBy("cell", "node")
         .agg(F.first("n").alias("n"), F.min("place").alias("place"), F.first("pivot").alias("pivot"))
     )
-    done = checkpoint(ordered_pairs(first, "node", "pivot"))
-    found = pair_distances(done, docs, bitmaps)
-    nothing = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
-    components = nothing if found is None else checkpoint(connected_components(linked(found)))
+    done = shelf.put(ordered_pairs(first, "node", "pivot"))
+    found = pair_distances(done, docs, bitmaps, shelf)
+    components = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
+    if found is not None:
+        components = connected_components(linked(found), shelf)
     # Drawn in an order that is the same in all cells, so cells of one group draw the same members.
     drawable = F.when(F.col("place") * 7 <= F.col("n"), F.xxhash64("node"))
     turns = Window.partitionBy("cell").orderBy(drawable.asc_nulls_last(), "node")
@@ -470,20 +475,24 @@ def set_links(docs: DataFrame, table: np.ndarray, bitmaps: DataFrame) -> DataFra
     open_cells = still_open(open_cells, components, "max(place * 7 <= n)").withColumn(
         "turn", F.when(drawable.isNotNull(), F.row_number().over(turns))
     )
-    members = checkpoint(open_cells)
+    members = shelf.put(open_cells, met, found)
     turn, more = 0, PIVOTS
     while not members.isEmpty():
-        next_pairs = checkpoint(drawn_pairs(members, done, turn, turn + more))
+        next_pairs = shelf.put(drawn_pairs(members, done, turn, turn + more))
         turn, more = turn + more, more * MORE_PIVOTS
-        found = pair_distances(next_pairs, docs, bitmaps)
+        found = pair_distances(next_pairs, docs, bitmaps, shelf)
         if found is not None:
             known = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            components = checkpoint(connected_components(linked(found).union(known)))
-        done = checkpoint(done.union(next_pairs))
-        members = checkpoint(
-            still_open(members.drop("component"), components, f"max(turn) > {turn}")
+            before, components = (
+                components,
+                connected_components(linked(found).union(known), shelf),
+            )
+            shelf.drop(before, found)
+        done = shelf.put(done.union(next_pairs), done, next_pairs)
+        members = shelf.put(
+            still_open(members.drop("component"), components, f"max(turn) > {turn}"), members
         )
-        release(docs.sparkSession)
+    shelf.drop(members, done)
     return components
 
 
@@ -537,29 +546,31 @@ def jaccard_components(
 
 def with_components(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(doc_id, n, node, component, component_id), one row per input row; empty sets have no component."""
+    shelf = Shelf(docs.sparkSession)
     docs = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    every = checkpoint(
-        docs.mapInArrow(
-            _signatures,
-            "doc_id bigint, n bigint, node bigint, bits binary, chunk int, counts binary",
+    with lean_shuffles(docs.sparkSession):
+        every = shelf.put(
+            docs.mapInArrow(
+                _signatures,
+                "doc_id bigint, n bigint, node bigint, bits binary, chunk int, counts binary",
+            )
         )
-    )
-    table = common_table(every.filter("chunk IS NOT NULL").select("chunk", "counts"))
-    signed = every.filter("chunk IS NULL").select("doc_id", "n", "node")
-    bitmaps = stored(
-        every.filter("n >= 3").select("node", "n", "bits").dropDuplicates(["node"])
-    )
-    components = set_links(docs, table, bitmaps)
-    own = signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = own.join(components, "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
-    )
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = checkpoint(
-        named.select("node", "component")
-        .join(least, "component")
-        .select("node", "component", "component_id")
-    )
+        table = common_table(every.filter("chunk IS NOT NULL").select("chunk", "counts"))
+        bitmaps = shelf.put(
+            every.filter("n >= 3").select("node", "n", "bits").dropDuplicates(["node"])
+        )
+        signed = shelf.put(every.filter("chunk IS NULL").select("doc_id", "n", "node"), every)
+        components = set_links(docs, table, bitmaps, shelf)
+        shelf.drop(bitmaps)
+        own = signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+        named = own.join(components, "node", "left").withColumn(
+            "component", F.coalesce("component", "node")
+        )
+        least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+        of_node = shelf.put(
+            named.join(least, "component").select("node", "component", "component_id")
+        )
+    shelf.close(signed, of_node)
     columns = ["doc_id", "n", "node", "component", "component_id"]
     filled = signed.filter("n > 0").join(of_node, "node").select(*columns)
     empty = signed.filter("n = 0").select(

@@ -18,6 +18,7 @@ from jetframe.llm import (
     pieces_codec,
     quality,
     sharding,
+    simhash,
     toxicity,
 )
 from jetframe.llm.texts import documents
@@ -72,6 +73,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sentencepiece": op9_sentencepiece,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_simhash": op13_simhash,
         "pipeline": corpus_pipeline.run,
     }
 

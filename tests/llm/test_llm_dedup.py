@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from jetframe.llm import exact_dedup, jaccard_join, sharding
 from jetframe.llm.components import connected_components
+from jetframe.session import Shelf
 
 KIND = "doc_id bigint, text string, digest string, place int, node long, cell int, row string"
 
@@ -148,10 +149,10 @@ def test_components(spark):
         low, high = sorted((find(a), find(b)))
         parent[high] = low
     frame = spark.createDataFrame([p if k % 2 else p[::-1] for k, p in enumerate(links)], "a long, b long")
-    got = {r["node"]: r["component"] for r in connected_components(frame).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(frame, Shelf(spark)).collect()}
     linked = {n for a, b in links if a != b for n in (a, b)}
     assert got == {n: find(n) for n in linked}
-    assert connected_components(frame.limit(0)).count() == 0
+    assert connected_components(frame.limit(0), Shelf(spark)).count() == 0
 
 
 def test_shard_table():
