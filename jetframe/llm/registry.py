@@ -19,6 +19,7 @@ from jetframe.llm import (
     quality,
     sharding,
     simhash,
+    spelling,
     toxicity,
 )
 from jetframe.llm.texts import documents
@@ -69,6 +70,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), added=packing.default_added())
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling(documents(spark, sf_dir))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir))
 
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_spelling_variants": op11_spelling_variants,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_simhash": op13_simhash,
         "pipeline": corpus_pipeline.run,
@@ -96,4 +102,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.SQL, "op12_merkle_manifest": merkle.SQL}
+    return {
+        "op8_exact_dedup": exact_dedup.SQL,
+        "op11_spelling_variants": spelling.SQL,
+        "op12_merkle_manifest": merkle.SQL,
+    }
