@@ -1,18 +1,26 @@
-"""Paired, class-stratified bootstrap by hashed draws; label shuffling.
+"""Paired, class-stratified bootstrap by hashed draws in rank space; label shuffling.
 
 Replicate ``r`` draws, for every position ``k`` of class ``c``, the row at position
 ``hex12(md5("seed|r|c|k")) % n_c``.  The draw depends on nothing else, so any task can
 make it, a lost task repeats it, and both runs of a pair see the same rows.
+
+Scores are looked at once: the index of rows has, for every side, the dense rank of a row's score.  All
+ranks of a replicate fall into blocks, and a block is summed up by (N, P, U): backgrounds, signals, and
+pairs in which the signal ranks higher (ties half, so U is kept doubled).  Two neighbouring blocks are one with
+``U = U1 + U2 + P2 * N1``, so blocks are made anywhere and merged in rank order.  The place where signal
+efficiency reaches a target lies in one block, which the blocks' sums tell; only there are ranks read
+once more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from jetframe.operators.metrics import EFFICIENCIES, label_of, metrics_of_points
+from jetframe.operators.metrics import EFFICIENCIES, label_of
 from jetframe.operators.ordered import range_bounds, running_sums
 from jetframe.operators.ranking import hash_ordinal
 from jetframe.session import stored
@@ -20,10 +28,14 @@ from jetframe.session import stored
 DRAW_RULE = "md5-hex12-v1"
 # Positions of a class that one task draws at a time.
 SLICE = 1_000_000
-# Stored bytes of an index that is broadcast.
+# An index up to this size is broadcast: its rows are counted, and hold so many bytes at most.
 BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 64
 MIN_REPLICATES = 1000
 RANGES = 16
+# Ranks in a block.
+RANK_BLOCK = 4096
+OBSERVED = -1
 
 
 def check_policy(replicates: int, seed: int) -> None:
@@ -32,102 +44,307 @@ def check_policy(replicates: int, seed: int) -> None:
         raise ValueError("METRIC_BOOTSTRAP_POLICY: at least 1000 replicates, seed >= 0")
 
 
-def class_index(
-    rows: DataFrame, seed: int, scores: Sequence[str], id_col: str = "jet_id"
-) -> DataFrame:
-    """``(target, k, scores)``: dense 0-based index ``k`` inside each class in seeded order.
+@dataclass(frozen=True)
+class RankIndex:
+    """``table(target, k, <side>_rank, <side>_ok)``, its number of rows, and the state of the test set."""
+
+    table: DataFrame
+    rows: int
+    sides: tuple[str, ...]
+    unpaired: int
+    classes: int
+
+
+def rank_index(
+    rows: DataFrame,
+    seed: int,
+    sides: dict[str, str],
+    thresholds: dict[str, float] | None = None,
+    id_col: str = "jet_id",
+) -> RankIndex:
+    """The test set of a comparison, one row per id, in seeded order inside each class.
 
-    ``rows`` must be the test set of a comparison: one row per id.  The index is stored, so
-    that the input is ordered once, whatever reads it; ids stay behind.
+    ``k`` is the 0-based place, ``<side>_rank`` the dense rank of the side's score among all of its
+    scores (null scores come first), ``<side>_ok`` whether the threshold classifies the row
+    rightly.  The index is stored, so the input is ordered and scores are ranked once.
     """
-    placed = hash_ordinal(rows, id_col, seed, ["target"], "_k1")
-    return stored(placed.select("target", (F.col("_k1") - 1).alias("k"), *scores))
+    seen = Observation()
+    placed = hash_ordinal(rows, id_col, seed, ["target"], "_k1").select(
+        "target", (F.col("_k1") - 1).alias("k"), *[F.col(c).alias(s) for s, c in sides.items()]
+    )
+    null = F.lit(False)
+    for side in sides:
+        null = null | F.col(side).isNull()
+    base = stored(
+        placed.observe(
+            seen,
+            F.count("*").alias("rows"),
+            F.count_if(null).alias("unpaired"),
+            F.max(F.when(F.col("target") == 0, 1).otherwise(0)).alias("background"),
+            F.max(F.when(F.col("target") == 1, 1).otherwise(0)).alias("signal"),
+        )
+    )
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("score")) for s in sides]))
+    values = base.select(each.alias("s")).select("s.side", "s.score")
+    groups = values.groupBy("side", "score").agg(F.lit(1).cast("bigint").alias("one"))
+    ranks = running_sums(
+        groups, ["side"], "score", ["one"], range_bounds(values, "score", RANGES)
+    )
+    table = base
+    for side in sides:
+        own = ranks.filter(F.col("side") == side).select(
+            F.col("score").alias(side), F.col("one_before").alias(f"{side}_rank")
+        )
+        table = table.join(own, side, "left")
+    kept = [F.coalesce(f"{s}_rank", F.lit(-1)).cast("int").alias(f"{s}_rank") for s in sides]
+    for side in sides:
+        limit = F.lit((thresholds or {}).get(side)).cast("double")
+        right = (F.col(side) >= limit) == (F.col("target") == 1)
+        kept.append(F.coalesce(right, F.lit(False)).cast("int").alias(f"{side}_ok"))
+    found = seen.get
+    return RankIndex(
+        stored(table.select("target", "k", *kept)),
+        found["rows"],
+        tuple(sides),
+        found["unpaired"],
+        (found["background"] or 0) + (found["signal"] or 0),
+    )
+
+
+def width(spark: SparkSession) -> int:
+    """Tasks for work that is large while its rows are few: a stated number, which AQE does not coalesce."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def draws(index: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """``(rep, target, drawn)``: every class is resampled to its own size.
+    """``(rep, target, slice, drawn, m)``: every class is resampled to its own size, and how often.
 
     A draw needs its replicate, class, position and the class size, and no row of the index:
-    tasks get (replicate, class, slice) and make the draws of their slice, so nothing but these
-    short rows is shuffled, on clusters of any size.
+    tasks get (replicate, class, slice) and make and count the draws of their slice, so nothing but
+    these short rows is shuffled, on clusters of any size.  Replicate -1 has every row once.
     """
     sizes = index.groupBy("target").agg((F.max("k") + 1).alias("n_c"))
     slots = (
-        sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+        sizes.select(
+            "*", F.explode(F.sequence(F.lit(OBSERVED), F.lit(replicates - 1))).alias("rep")
+        )
         .select(
             "*",
             F.explode(
                 F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_c") - 1) / SLICE))
             ).alias("slice"),
         )
-        .repartition("rep", "target", "slice")
+        .repartition(width(index.sparkSession), "rep", "target", "slice")
     )
     first = F.col("slice") * SLICE
     last = F.least(first + SLICE, F.col("n_c")) - 1
-    made = slots.select("rep", "target", "n_c", F.explode(F.sequence(first, last)).alias("k"))
+    made = slots.select("rep", "target", "slice", "n_c", F.explode(F.sequence(first, last)).alias("k"))
     text = F.concat_ws("|", F.lit(str(seed)), "rep", "target", "k")
-    number = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
-    return made.select("rep", "target", (number % F.col("n_c")).alias("drawn"))
-
-
-def resampled(index: DataFrame, replicates: int, seed: int, scores: Sequence[str]) -> DataFrame:
-    """Drawn rows with weight ``m`` = 1, and the observed rows as replicate -1.
-
-    The stored index has a known size: up to ``BROADCAST_BYTES`` it is broadcast, beyond both sides are
-    shuffled on ``(target, drawn)``, which the draws fill evenly.
-    """
-    source = index.withColumnRenamed("k", "drawn")
-    size = int(str(index._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    source = F.broadcast(source) if size <= BROADCAST_BYTES else source.hint("merge")
-    one = F.lit(1).cast("bigint").alias("m")
-    observed = index.select(F.lit(-1).alias("rep"), "target", *scores, one)
+    number = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint") % F.col("n_c")
+    drawn = F.when(F.col("rep") == OBSERVED, F.col("k")).otherwise(number)
+    # The partitioning by (rep, target, slice) serves this aggregation: no shuffle.
     return (
-        draws(index, replicates, seed)
-        .join(source, ["target", "drawn"])
-        .select("rep", "target", *scores, one)
-        .unionByName(observed)
+        made.select("rep", "target", "slice", drawn.alias("drawn"))
+        .groupBy("rep", "target", "slice", "drawn")
+        .agg(F.count("*").alias("m"))
     )
 
 
-def score_bounds(index: DataFrame, scores: Sequence[str]) -> Column:
-    """Score ranges of the observed scores of all sides."""
-    one = index.select(F.explode(F.array(*scores)).alias("score"))
-    return range_bounds(one, "score", RANGES)
-
-
-def replicate_metrics(
-    rows: DataFrame,
-    sides: dict[str, str],
-    efficiencies: Sequence[float] = EFFICIENCIES,
-    thresholds: dict[str, float] | None = None,
-    bounds: Column | Sequence[float] = (),
-) -> DataFrame:
-    """Metrics per replicate and side from weighted rows.
+def rank_blocks(index: RankIndex, replicates: int, seed: int) -> DataFrame:
+    """``(rep, side, block, groups)``, side by number: tie groups ``(rank, n, p, ok)`` of every block, in rank order.
 
-    Running sums go over score ranges (``bounds``, one array for all sides), so no window holds more
-    than a range of one replicate.
+    Draws meet the index by broadcast up to ``BROADCAST_BYTES`` of counted rows, by a shuffle on
+    ``(target, drawn)`` beyond, which draws fill evenly.  Ranks are combined in the slice that drew them; one
+    shuffle then brings blocks together, each of at most ``RANK_BLOCK`` tie groups.
     """
+    source = index.table.withColumnRenamed("k", "drawn")
+    small = index.rows * ROW_BYTES <= BROADCAST_BYTES
+    source = F.broadcast(source) if small else source.hint("merge")
     side = F.explode(
         F.array(
-            *[F.struct(F.lit(name).alias("side"), F.col(c).alias("score")) for name, c in sides.items()]
+            *[
+                F.struct(
+                    F.lit(number).alias("side"),
+                    F.col(f"{name}_rank").alias("rank"),
+                    F.col(f"{name}_ok").alias("ok"),
+                )
+                for number, name in enumerate(index.sides)
+            ]
         )
     )
+    met = draws(index.table, replicates, seed).join(source, ["target", "drawn"])
+    combined = (
+        met.select("rep", "target", "slice", "m", side.alias("s"))
+        .select("rep", "target", "slice", "m", "s.*")
+        .groupBy("rep", "target", "slice", "side", "rank")
+        .agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("ok")).alias("ok"))
+        .withColumn("block", F.floor(F.col("rank") / RANK_BLOCK).cast("int"))
+    )
     groups = (
-        rows.select("rep", "target", "m", side.alias("s"))
-        .select("rep", "s.side", "s.score", "target", "m")
-        .groupBy("rep", "side", "score")
+        combined.repartition(width(index.table.sparkSession), "rep", "side", "block")
+        .groupBy("rep", "side", "block", "rank")
         .agg(
-            F.sum("m").alias("n"),
-            F.sum(F.when(F.col("target") == 1, F.col("m")).otherwise(0)).alias("p"),
+            F.sum("n").alias("n"),
+            F.sum(F.when(F.col("target") == 1, F.col("n")).otherwise(0)).alias("p"),
+            F.sum("ok").alias("ok"),
         )
     )
-    points = running_sums(groups, ["rep", "side"], "score", ["n", "p"], bounds)
-    limit = None
-    if thresholds:
-        limit = F.lit(None).cast("double")
-        for name, value in thresholds.items():
-            limit = F.when(F.col("side") == name, F.lit(float(value))).otherwise(limit)
-    return metrics_of_points(points, ["rep", "side"], "score", efficiencies, limit)
+    return groups.groupBy("rep", "side", "block").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "n", "p", "ok"))).alias("groups")
+    )
+
+
+SUMMARY = "struct<background:bigint,signal:bigint,pairs:bigint,ok:bigint>"
+
+
+def merged(left: Column, right: Column) -> Column:
+    """The summary of two neighbouring rank ranges; ``pairs`` is doubled."""
+    return F.struct(
+        (left["background"] + right["background"]).alias("background"),
+        (left["signal"] + right["signal"]).alias("signal"),
+        (left["pairs"] + right["pairs"] + 2 * right["signal"] * left["background"]).alias("pairs"),
+        (left["ok"] + right["ok"]).alias("ok"),
+    )
+
+
+def empty_summary() -> Column:
+    zero = F.lit(0).cast("bigint")
+    return F.struct(*[zero.alias(c) for c in ("background", "signal", "pairs", "ok")]).cast(SUMMARY)
+
+
+def group_summary(group: Column) -> Column:
+    """A tie group: its own pairs are ties, half each."""
+    background = group["n"] - group["p"]
+    return F.struct(
+        background.alias("background"),
+        group["p"].alias("signal"),
+        (group["p"] * background).alias("pairs"),
+        group["ok"].alias("ok"),
+    )
+
+
+def folded(parts: Column) -> Column:
+    return F.aggregate(parts, empty_summary(), lambda done, part: merged(done, part).cast(SUMMARY))
+
+
+def crossings(parts: Column, total: Column, efficiencies: Sequence[float]) -> Column:
+    """Per target the part, and the counts above it, in which signal efficiency first reaches it.
+
+    ``parts`` are ``(at, signal, background)`` in rank order; the walk goes from high ranks down.
+    """
+    kind = "struct<signal:bigint,background:bigint,found:array<struct<goal:int,at:int,signal:bigint,background:bigint>>>"
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("signal"), zero.alias("background"), F.array().alias("found")).cast(kind)
+
+    def step(state: Column, part: Column) -> Column:
+        found = state["found"]
+        for number, efficiency in enumerate(efficiencies):
+            here = (state["signal"] / total < efficiency) & (
+                (state["signal"] + part["signal"]) / total >= efficiency
+            )
+            mark = F.struct(
+                F.lit(number).alias("goal"),
+                part["at"].cast("int").alias("at"),
+                state["signal"].alias("signal"),
+                state["background"].alias("background"),
+            )
+            found = F.when(here, F.array_append(found, mark)).otherwise(found)
+        return F.struct(
+            (state["signal"] + part["signal"]).alias("signal"),
+            (state["background"] + part["background"]).alias("background"),
+            found.alias("found"),
+        ).cast(kind)
+
+    return F.aggregate(F.reverse(parts), start, step)["found"]
+
+
+def replicate_metrics(
+    index: RankIndex,
+    replicates: int,
+    seed: int,
+    efficiencies: Sequence[float] = EFFICIENCIES,
+    accuracy: bool = False,
+) -> DataFrame:
+    """``(rep, side, roc_auc, [accuracy], background_rejection_..)``; replicate -1 is the observed one."""
+    blocks = rank_blocks(index, replicates, seed)
+    if efficiencies:
+        # Read for the sums and for the blocks with a crossing: drawn once.
+        blocks = stored(blocks)
+    summed = blocks.select(
+        "rep", "side", "block", folded(F.transform("groups", group_summary)).alias("sum")
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("block", "sum")))
+    whole = summed.groupBy("rep", "side").agg(ordered.alias("parts"))
+    done = whole.withColumn("all", folded(F.transform("parts", lambda part: part["sum"])))
+    signal, background = F.col("all.signal"), F.col("all.background")
+    both = (signal > 0) & (background > 0)
+    auc = F.col("all.pairs") / (F.lit(2.0) * signal * background)
+    names = F.array(*[F.lit(name) for name in index.sides])
+    made = done.select(
+        "rep",
+        F.get(names, F.col("side")).alias("side"),
+        F.when(both, auc).alias("roc_auc"),
+        *([(F.col("all.ok") / (signal + background)).alias("accuracy")] if accuracy else []),
+    )
+    if not efficiencies:
+        return made
+    parts = F.transform(
+        "parts",
+        lambda part: F.struct(
+            part["block"].alias("at"),
+            part["sum"]["signal"].alias("signal"),
+            part["sum"]["background"].alias("background"),
+        ),
+    )
+    places = done.filter(both).select(
+        "rep",
+        "side",
+        signal.alias("signals"),
+        background.alias("backgrounds"),
+        F.inline(crossings(parts, signal, efficiencies)),
+    )
+    inside = blocks.join(places.withColumnRenamed("at", "block"), ["rep", "side", "block"])
+    rejection = inside.groupBy("rep", F.get(names, F.col("side")).alias("side")).agg(
+        *[
+            F.max(F.when(F.col("goal") == number, _background_efficiency(efficiency))).alias(
+                f"e_{label_of(efficiency)}"
+            )
+            for number, efficiency in enumerate(efficiencies)
+        ]
+    )
+    columns = made.columns
+    joined = made.join(rejection, ["rep", "side"], "left")
+    return joined.select(
+        *columns,
+        *[
+            F.when(F.col(f"e_{label_of(e)}") > 0, F.lit(1.0) / F.col(f"e_{label_of(e)}")).alias(
+                f"background_rejection_{label_of(e)}"
+            )
+            for e in efficiencies
+        ],
+    )
+
+
+def _background_efficiency(efficiency: float) -> Column:
+    """Interpolated at the tie group in which signal efficiency first reaches the target."""
+    kind = "struct<signal:bigint,background:bigint,value:double>"
+    signals, backgrounds = F.col("signals"), F.col("backgrounds")
+
+    def step(state: Column, group: Column) -> Column:
+        passed, false = state["signal"] + group["p"], state["background"] + group["n"] - group["p"]
+        tpr, tpr_above = passed / signals, state["signal"] / signals
+        fpr, fpr_above = false / backgrounds, state["background"] / backgrounds
+        here = (tpr >= efficiency) & (tpr_above < efficiency)
+        between = fpr_above + (F.lit(efficiency) - tpr_above) / (tpr - tpr_above) * (fpr - fpr_above)
+        value = F.when(here, F.when(tpr == efficiency, fpr).otherwise(between)).otherwise(state["value"])
+        return F.struct(
+            passed.alias("signal"), false.alias("background"), value.alias("value")
+        ).cast(kind)
+
+    start = F.struct(
+        F.col("signal"), F.col("background"), F.lit(None).cast("double").alias("value")
+    ).cast(kind)
+    return F.aggregate(F.reverse("groups"), start, step)["value"]
 
 
 def paired_bootstrap(
@@ -146,12 +363,9 @@ def paired_bootstrap(
     and both classes in the test set are preconditions of any.
     """
     check_policy(replicates, seed)
-    index = class_index(rows, seed, [left, right])
-    weighted = resampled(index, replicates, seed, [left, right])
     limits = None if thresholds is None else {"l": thresholds[0], "r": thresholds[1]}
-    made = replicate_metrics(
-        weighted, {"l": left, "r": right}, efficiencies, limits, score_bounds(index, [left, right])
-    )
+    index = rank_index(rows, seed, {"l": left, "r": right}, limits)
+    made = replicate_metrics(index, replicates, seed, efficiencies, accuracy=limits is not None)
     names = ["roc_auc", *(["accuracy"] if limits else [])]
     names += [f"background_rejection_{label_of(e)}" for e in efficiencies]
     pair = made.groupBy("rep").agg(
@@ -176,12 +390,6 @@ def paired_bootstrap(
         F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("q"),
         F.count_if(drawn & F.col("delta").isNull()).alias("discarded_count"),
     )
-    state = index.agg(
-        F.struct(
-            F.count_if(F.col(left).isNull() | F.col(right).isNull()).alias("unpaired"),
-            F.count_distinct("target").alias("classes"),
-        )
-    ).scalar()
     return done.select(
         "metric",
         "observed_delta",
@@ -190,8 +398,8 @@ def paired_bootstrap(
         F.lit(replicates).alias("replicate_count"),
         "discarded_count",
         F.lit(seed).alias("bootstrap_seed"),
-        F.when(state["unpaired"] > 0, F.lit("METRIC_BOOTSTRAP_ALIGNMENT"))
-        .when(state["classes"] < 2, F.lit("METRIC_BOOTSTRAP_CLASSES"))
+        F.when(F.lit(index.unpaired > 0), F.lit("METRIC_BOOTSTRAP_ALIGNMENT"))
+        .when(F.lit(index.classes < 2), F.lit("METRIC_BOOTSTRAP_CLASSES"))
         .when(F.col("observed_delta").isNull(), F.lit("METRIC_BOOTSTRAP_OBSERVED"))
         .when(F.col("discarded_count") == replicates, F.lit("METRIC_BOOTSTRAP_EMPTY"))
         .when(F.col("discarded_count") > 0.01 * replicates, F.lit("METRIC_BOOTSTRAP_DISCARDS"))
@@ -215,9 +423,8 @@ def shuffled_labels(rows: DataFrame, seed: int, id_col: str = "jet_id") -> DataF
 def auc_interval(rows: DataFrame, score: str, replicates: int, seed: int) -> DataFrame:
     """AUC and its 95 % bootstrap interval for one score column."""
     check_policy(replicates, seed)
-    index = class_index(rows, seed, [score])
-    weighted = resampled(index, replicates, seed, [score])
-    made = replicate_metrics(weighted, {"one": score}, (), None, score_bounds(index, [score]))
+    index = rank_index(rows, seed, {"one": score})
+    made = replicate_metrics(index, replicates, seed, ())
     value = F.when(F.col("rep") >= 0, F.col("roc_auc"))
     return made.agg(
         F.max(F.when(F.col("rep") < 0, F.col("roc_auc"))).alias("auc"),
@@ -239,10 +446,8 @@ def gap_fraction(
     the paired replicates have such a denominator; then only the raw difference is given.
     """
     check_policy(replicates, seed)
-    index = class_index(rows, seed, [small, large])
-    weighted = resampled(index, replicates, seed, [small, large])
-    bounds = score_bounds(index, [small, large])
-    made = replicate_metrics(weighted, {"s": small, "m": large}, (), None, bounds)
+    index = rank_index(rows, seed, {"s": small, "m": large})
+    made = replicate_metrics(index, replicates, seed, ())
     pair = made.groupBy("rep").agg(
         F.max(F.when(F.col("side") == "s", F.col("roc_auc"))).alias("auc_n"),
         F.max(F.when(F.col("side") == "m", F.col("roc_auc"))).alias("auc_max"),
