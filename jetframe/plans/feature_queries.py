@@ -134,10 +134,10 @@ def _value_sql(field: str) -> str:
 
 
 def _view_sql(config: str) -> str:
-    return f"""WITH {sv.CANONICAL}, {sv.FIT}
-SELECT jet_id, target AS label, idx::INTEGER AS idx,
-  {', '.join(_value_sql(f) for f in FEATURE_VIEWS[config])}
-FROM canonical, fit"""
+    fields = FEATURE_VIEWS[config]
+    return f"""WITH {sv.CANONICAL}, fitted AS (SELECT jet_id, target AS label, idx::INTEGER AS idx,
+    {', '.join(fields)}, {', '.join(sv.fitted(f) for f in fields if f != 'pid_type')} FROM canonical)
+SELECT jet_id, label, idx, {', '.join(_value_sql(f) for f in fields)} FROM fitted"""
 
 
 def _register_view(config: str) -> None:

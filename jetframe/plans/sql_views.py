@@ -112,6 +112,17 @@ FIT = "fit AS MATERIALIZED (SELECT {} FROM canonical WHERE split = 'train')".for
     )
 )
 
+
+def fitted(field: str) -> str:
+    """Location and scale of the train rows beside every row."""
+    x = f"{field}::DOUBLE"
+    mean, deviation = (f"{f}({x}) FILTER (split = 'train') OVER ()" for f in ("avg", "stddev_pop"))
+    return (
+        f"({mean})::FLOAT AS loc_{field}, "
+        f"(CASE WHEN {deviation} = 0 THEN 1 ELSE {deviation} END)::FLOAT AS scale_{field}"
+    )
+
+
 SCORES = f"""{JETS}, scores AS (
   SELECT run_id, jet_id, split, target,
     (7 * (('0x' || substr(md5(run_id || '|' || jet_id), 1, 6))::BIGINT % 1000)
