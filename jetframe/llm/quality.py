@@ -34,9 +34,10 @@ from jetframe.llm.texts import (
     word_grams,
     words,
 )
+from jetframe.session import Shelf
 
 SAMPLE_ROWS = 4_000
-SAMPLE_PASSAGES = 64
+SAMPLE_PASSAGES = 400_000
 MODULUS, HELD = 3, 1
 PASSAGE_WORDS = 48
 BYTE_BINS, SHAPE_BINS, EXTRA = 64, 64, 6
@@ -195,34 +196,42 @@ def constant(share: float) -> dict:
     return {"constant": share}
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
-    """Model from (doc_id, text) rows and (doc_id, quality) labels; the sample is at most ``rows``."""
-    chosen = labelled_sample(docs, labels, "quality", MODULUS, HELD, rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+def train(
+    docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_PASSAGES
+) -> dict:
+    """Model from (doc_id, text) rows and (doc_id, quality) labels.
+
+    The sample is at most ``rows`` labelled documents, in the order of their hashes, as long as all their
+    passages together are at most ``most``; every document of it is learned with all of its passages.
+    """
+    shelf = Shelf(docs.sparkSession)
+    sample = labelled_sample(docs, labels, "quality", MODULUS, HELD, rows, shelf)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in pieces(batch, budget=PIECE_BYTES):
                 features, offsets = passages(texts)
-                bags = []
-                for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                    places = np.unique(np.linspace(a, b - 1, min(b - a, SAMPLE_PASSAGES)).astype(int))
-                    bags.append(features[places].tobytes())
+                bags = [features[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.record_batch(
-                    [part.column("label"), part.column("key"), pa.array(bags, pa.binary())],
-                    names=["label", "key", "bag"],
+                    [
+                        part.column("key"),
+                        part.column("label"),
+                        pa.array(np.diff(offsets), pa.int64()),
+                        pa.array(bags, pa.binary()),
+                    ],
+                    names=["key", "label", "n", "bag"],
                 )
 
-    found = (
-        sample.select("label", F.xxhash64("doc_id", "text").alias("key"), "text")
-        .mapInArrow(encode, "label int, key bigint, bag binary")
-        .toPandas()
-        .sort_values(["key", "label"])
-    )
-    label = (found["label"].to_numpy() > 0).astype(np.float32)
+    encoded = shelf.put(sample.mapInArrow(encode, "key bigint, label int, n bigint, bag binary"), sample)
+    sizes = encoded.select("key", "n").toPandas().sort_values("key")
+    last = sizes["key"][sizes["n"].cumsum() <= most].max()
+    found = [] if np.isnan(last) else encoded.filter(F.col("key") <= int(last)).collect()
+    shelf.close()
+    found.sort(key=lambda row: row["key"])
+    label = np.array([row["label"] > 0 for row in found], dtype=np.float32)
     if not len(label) or label.min() == label.max():
         return constant(float(label.mean()) if len(label) else 1.0)
-    bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in found["bag"]]
+    bags = [np.frombuffer(row["bag"], np.float32).reshape(-1, FEATURES) for row in found]
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
     return fit(np.concatenate(bags), offsets, label)
 

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jetframe.session import Shelf
+
 PIECE_BYTES = 2 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,14 +68,16 @@ def bounds_of(owners: np.ndarray, count: int) -> np.ndarray:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int
+    docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int, shelf: Shelf
 ) -> DataFrame:
-    """(doc_id, label) of at most ``rows`` labelled ones of ``docs`` outside the held-out remainder.
+    """(key, label, text) of at most ``rows`` labelled ones of ``docs`` outside the held-out remainder.
 
-    Labels of other documents take no place. The rows with the smallest hash of their id: the same at every run and for any partitioning.
-    An id labelled twice has its largest label.
+    Labels of other documents take no place. First come the ids with the smallest hashes, at most ``rows``; then,
+    as an id may stand on many rows, the rows with the smallest hash of id and text, their ``key``: the same
+    at every run and for any partitioning. Rows equal in id and text count once; an id labelled
+    twice has its largest label. The table is on the ``shelf``.
     """
-    return (
+    chosen = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .filter(remainder("doc_id", modulus) != held)
         .groupBy("doc_id")
@@ -82,6 +86,13 @@ def labelled_sample(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    keyed = found.select(F.xxhash64("doc_id", "text").alias("key"), "label", "text")
+    single = shelf.put(
+        keyed.groupBy("key").agg(F.first("label").alias("label"), F.first("text").alias("text"))
+    )
+    first = single.select("key").orderBy("key").limit(rows)
+    return shelf.put(single.join(F.broadcast(first), "key", "left_semi"), single)
 
 
 SEPARATORS = np.zeros(256, dtype=bool)

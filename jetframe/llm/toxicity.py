@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jetframe.llm.texts import labelled_sample, pieces, remainder
+from jetframe.session import Shelf
 
 SAMPLE_ROWS = 10_000
 MODULUS, HELD = 5, 0
@@ -40,7 +41,6 @@ MIN_TERM, MAX_TERM = 3, 16
 MIN_SHARE = 0.01
 MIN_DOCUMENTS = 4
 MIN_WEIGHT = 1.5
-MAX_TERMS = 5_000
 SAME_TERM = 0.95
 LENGTH_UNIT = 1_000.0
 
@@ -99,14 +99,26 @@ def matches(folded: str, machine) -> list[tuple[str, str, str]]:
     return out
 
 
-def _before(text: str, start: int, reach: int = 40) -> str:
-    words = WORD.findall(text[max(0, start - reach) : start])
-    return words[-1] if words else ""
+def _before(text: str, start: int) -> str:
+    """The nearest word before ``start``, whole, however far it is."""
+    end = start
+    while end > 0 and not text[end - 1].isalpha():
+        end -= 1
+    first = end
+    while first > 0 and text[first - 1].isalpha():
+        first -= 1
+    return text[first:end]
 
 
-def _after(text: str, end: int, reach: int = 40) -> str:
-    word = WORD.search(text, end, min(len(text), end + reach))
-    return word.group() if word else ""
+def _after(text: str, end: int) -> str:
+    """The nearest word from ``end`` on, whole."""
+    first = end
+    while first < len(text) and not text[first].isalpha():
+        first += 1
+    last = first
+    while last < len(text) and text[last].isalpha():
+        last += 1
+    return text[first:last]
 
 
 def raw_score(folded: str, model: Model, machine) -> float:
@@ -149,7 +161,10 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lexicon(sample: DataFrame, toxic_docs: int, clean_docs: int) -> dict[str, float]:
-    """Weights of at most ``MAX_TERMS`` terms, first those with most toxic documents times weight; counting and selection run on the executors."""
+    """Weights of all terms that enough toxic documents have and few clean ones; counted on the executors.
+
+    Their number is bounded by the words of the sample over ``least``.
+    """
     least = max(MIN_DOCUMENTS, MIN_SHARE * toxic_docs)
     weight = F.log((F.col("toxic") + 0.5) / (toxic_docs + 1)) - F.log(
         (F.col("clean") + 0.5) / (clean_docs + 1)
@@ -161,8 +176,6 @@ def lexicon(sample: DataFrame, toxic_docs: int, clean_docs: int) -> dict[str, fl
         .filter(F.col("toxic") >= least)
         .withColumn("weight", weight)
         .filter(F.col("weight") >= MIN_WEIGHT)
-        .orderBy(F.desc(F.col("toxic") * F.col("weight")), F.length("term"), "term")
-        .limit(MAX_TERMS)
         .collect()
     )
     toxic = {r["term"]: r["toxic"] for r in rows}
@@ -254,25 +267,28 @@ def _raw_scores(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray
 def explaining(
     weights: dict[str, float], toxic: list[list[tuple[int, int]]]
 ) -> dict[str, float]:
-    """The terms that explain toxic documents not yet explained by stronger ones."""
+    """The terms that explain toxic documents not yet explained by stronger ones.
+
+    Only (document, term) pairs that occur are held, not a table of all terms by all documents.
+    """
     terms = sorted(weights)
-    words = np.zeros((len(toxic), len(terms)), dtype=np.int16)
-    for row, hits in enumerate(toxic):
-        for term, number in hits:
-            words[row, term] = min(number, 2_000)  # 0.5 ** 2000 is 0
+    hits = [(term, row, number) for row, found in enumerate(toxic) for term, number in found]
+    hits.sort()
+    term, row, number = np.array(hits, dtype=np.int64).reshape(-1, 3).T
+    bounds = np.searchsorted(term, np.arange(len(terms) + 1))
     left = np.ones(len(toxic))
     weight = np.array([weights[t] for t in terms])
-    present = (words > 0).astype(np.float32)
     least = max(MIN_DOCUMENTS / 2, MIN_SHARE * len(toxic))
     kept: dict[str, float] = {}
     while True:
-        explained = left @ present
+        explained = np.bincount(term, left[row], minlength=len(terms))
+        explained[[terms.index(t) for t in kept]] = 0
         best = int(np.argmax(explained * weight * (explained >= least)))
         if explained[best] < least:
             return kept
         kept[terms[best]] = float(weight[best])
-        left *= 0.5 ** words[:, best]
-        present[:, best] = 0
+        own = slice(bounds[best], bounds[best + 1])
+        left[row[own]] *= 0.5 ** number[own]
 
 
 def _log_odds(share: float) -> float:
@@ -298,9 +314,15 @@ def _calibrate(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Model from (doc_id, text) rows and (doc_id, toxic) labels; the sample is at most ``rows``."""
-    chosen = labelled_sample(docs, labels, "toxic", MODULUS, HELD, rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = sample.select("label", "text")
+    shelf = Shelf(docs.sparkSession)
+    sample = labelled_sample(docs, labels, "toxic", MODULUS, HELD, rows, shelf)
+    try:
+        return _learned(sample.select("label", "text"))
+    finally:
+        shelf.close()
+
+
+def _learned(sample: DataFrame) -> Model:
     kinds = sample.select((F.col("label") > 0).alias("toxic")).groupBy("toxic").count().collect()
     counts = {r["toxic"]: r["count"] for r in kinds}
     toxic, clean = counts.get(True, 0), counts.get(False, 0)

@@ -10,7 +10,8 @@ import pytest
 
 import corpus_pipeline
 from jetframe.llm import exact_dedup, jaccard_join, language_id, packing, quality, registry, toxicity
-from jetframe.llm.texts import documents
+from jetframe.llm.texts import documents, labelled_sample
+from jetframe.session import Shelf
 
 SF = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -185,8 +186,86 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert sorted(raw) == wanted and len(label) == len(rows)
 
 
-def test_toxicity_ranks_terms_by_documents(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "MAX_TERMS", 3)
+def test_toxicity_keeps_all_terms(spark):
+    """Thousands of terms that are toxic in more documents and weigh more take no place of a late one."""
+    rng = random.Random(9)
+    letters = "bcdfghjklmnpqrstvwxz"
+    many = sorted({"".join(rng.choices(letters, k=5)) for _ in range(6_300)})[:6_000]
+    rows = [(" ".join(many), 1)] * 60 + [("zzzyy", 1)] * 40 + [("zzzyy", 0)] * 5 + [("fill", 0)] * 900
+    sample = spark.createDataFrame(rows, "text string, label int")
+    weights = toxicity.lexicon(sample, 100, 905)
+    assert len(weights) > 5_000 and any("zzzyy".startswith(t) for t in weights)
+
+
+def test_matches_equal_a_plain_search():
+    """The automaton against every term at every place; neighbours are whole words at any distance."""
+    rng = random.Random(8)
+    terms = ["abc", "abcd", "bca", "cab", "ccc"]
+    machine = toxicity.Model(dict.fromkeys(terms, 1.0)).automaton()
+    texts = ["".join(rng.choices("abcd  .1", k=rng.choice([0, 5, 60, 200]))) for _ in range(300)]
+    texts += ["n" * 60 + " abc " + "m" * 60, "far" + " " * 500 + "abc" + "." * 500 + "off", "abc", "x abcabc"]
+    for text in texts:
+        want = []
+        for start in range(len(text)):
+            here = [t for t in terms if text.startswith(t, start)]
+            if here and (start == 0 or not text[start - 1].isalpha()):
+                end = start
+                while end < len(text) and text[end].isalpha():
+                    end += 1
+                runs = "".join(c if c.isalpha() else " " for c in text)
+                before, after = runs[:start].split(), runs[end:].split()
+                want.append(
+                    (max(here, key=len), f"{before[-1] if before else ''} {text[start:end]}",
+                     f"{text[start:end]} {after[0] if after else ''}")
+                )
+        assert sorted(toxicity.matches(text, machine)) == sorted(want), text
+
+
+def test_sample_counts_rows_not_ids(spark):
+    """Thousands of rows under one labelled id keep to the bound; equal rows count once."""
+    one = ids_where(15, {1, 2, 4}, 1)[0]
+    rows = [(one, f"text {n}", None) for n in range(5_000)] + [(one, "again", None)] * 3_000
+    shelf = Shelf(spark)
+    marks = labels(spark, [(one, 1, 1), (one, 0, 0)])
+    args = (table(spark, rows), marks, "toxic", 5, zlib.crc32(str(one).encode()) % 5 + 1)
+    sample = labelled_sample(*args, 40, shelf).collect()
+    assert len(sample) == 40 and {r["label"] for r in sample} == {1}
+    assert len(labelled_sample(*args, 9_000, shelf).collect()) == 5_001
+    shelf.close()
+
+
+def test_quality_learns_every_passage(spark):
+    """What tells the kinds apart stands in passage 300 alone; and the score equals a plain loop's."""
+    rng = random.Random(12)
+    words = [a + b for a in "bcdfg" for b in ("ale", "ore", "und", "ist")]
+    ids = ids_where(quality.MODULUS, {0, 2}, 60)
+    rows, marks = [], []
+    for n, doc_id in enumerate(ids):
+        parts = [" ".join(rng.choices(words, k=quality.PASSAGE_WORDS)) for _ in range(302)]
+        if n % 2:
+            parts[299] = " ".join(["%%%9999%%%"] * quality.PASSAGE_WORDS)
+        rows.append((doc_id, " ".join(parts), None))
+        marks.append((doc_id, int(not n % 2), 0))
+    docs, marked = table(spark, rows), labels(spark, marks)
+    model = quality.train(docs, marked)
+    got = {r["doc_id"]: r for r in quality.score(docs, model).collect()}
+    assert np.mean([got[i]["predicted"] == q for i, q, _ in marks]) > 0.95
+    for doc_id, text, _ in rows[:4]:
+        features, _ = quality.passages([text.encode()])
+        hidden = [np.tanh((f - model["mean"]) / model["spread"] @ model["W"] + model["b"]) for f in features]
+        raw = [
+            sum(model["w"] * np.tanh(h @ model["V"]) / (1 + np.exp(-(h @ model["U"])))) for h in hidden
+        ]
+        share = np.exp(np.array(raw) - max(raw))
+        z = sum(a * h for a, h in zip(share / share.sum(), hidden, strict=True))
+        want = 1 / (1 + math.exp(-float(z @ model["c"] + model["d"])))
+        assert got[doc_id]["score"] == pytest.approx(want, abs=1e-3)
+    few = quality.train(docs, marked, most=302 * 10)
+    assert few.keys() == model.keys() and not np.array_equal(few["W"], model["W"])
+    assert quality.train(docs, marked, most=10) == quality.constant(1.0)
+
+
+def test_toxicity_terms_in_few_documents(spark):
     rows = [(f"zz{chr(97 + n % 10)} vor", 1) for n in range(100)] + [("vor", 0)] * 20 + [("fill", 0)] * 980
     sample = spark.createDataFrame(rows, "text string, label int")
     assert "vor" in toxicity.lexicon(sample, 100, 1000)
