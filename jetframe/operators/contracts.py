@@ -1,9 +1,9 @@
 """Contracts of JSON records, checked for whole tables of records.
 
-A contract lists, per kind, the allowed keys of every object and the typed fields.  The
-field list gives the parsing schema, and every rule is a predicate of the same projection.
-The types that values have in the record are compared as a whole: the schema of the record as
-VARIANT against the pattern of its contract.
+A contract lists, per kind, the allowed keys of every object and the typed fields.  A record is
+parsed once, to a VARIANT.  Its objects and arrays are opened as far as the contract describes them, which
+gives one row per value, ``(path, value)``; these meet the contract as a table with one row per path.  Parts
+that a contract leaves free are not opened, so they may nest to any depth.  Nothing but broken rules is shuffled.
 """
 
 from __future__ import annotations
@@ -12,15 +12,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from jetframe.functions import identity
 from jetframe.functions.text import redact
 from jetframe.rules import broken_rules, repeated_keys
 
 SUPPORTED_MAJOR = "1"
-# Objects within objects that a free part may hold.
-FREE_DEPTH = 4
 
 # Record kinds and the field that identifies each.
 KINDS = {
@@ -70,6 +67,31 @@ class Names:
     unique: bool = True
 
 
+@dataclass(frozen=True)
+class Constants:
+    """Array that holds exactly these whole numbers, in this order."""
+
+    values: tuple[int, ...]
+    required: bool = True
+
+
+@dataclass(frozen=True)
+class Items:
+    """Array of at least ``least`` objects with a closed key set."""
+
+    fields: dict
+    least: int = 0
+    required: bool = True
+
+
+@dataclass(frozen=True)
+class Keyed:
+    """Object whose keys are positive whole numbers and whose values are all alike."""
+
+    value: Number
+    required: bool = True
+
+
 @dataclass(frozen=True)
 class Free:
     """Object or array whose inside is not described here."""
@@ -320,6 +342,129 @@ CONTRACTS: dict[str, dict] = {
 }
 
 
+ROLE = Text(allowed=("signal", "qcd_candidate", "qcd_active", "qcd_excluded_after_e0"))
+CLASS_COUNTS = Object({"qcd": Number(0, whole=True), "top": Number(0, whole=True)})
+PARTITION = Object(
+    {
+        "file_count": Number(0, whole=True),
+        "event_count": Number(0, whole=True),
+        "jet_counts_by_class": CLASS_COUNTS,
+        "record_jet_counts": Keyed(Number(0, whole=True)),
+    }
+)
+PID_NAMES = ("unknown", "charged_hadron", "neutral_hadron", "photon", "electron", "muon")
+
+
+def _is(value: str) -> Text:
+    return Text(allowed=(value,))
+
+
+# The insides of parts whose type alone :data:`CONTRACTS` states.
+DESCRIBED: dict[str, dict] = {
+    "prediction": {
+        "logical_columns": Object(
+            {
+                **{
+                    name: Free()
+                    for name in (
+                        "jet_id", "record_id", "run", "lumi", "event", "jet_index", "target", "signal_score",
+                    )
+                },
+                "hard_prediction": Free(required=False),
+            }
+        ),
+        "payload": Object(
+            {
+                "format": Text(allowed=("npz", "parquet", "hdf5")),
+                "path": ANY,
+                "sha256": SHA,
+                "byte_size": Number(1, whole=True),
+                "compression": Text(".", required=False),
+            }
+        ),
+    },
+    "split": {
+        "dataset": Object(
+            {
+                "name": _is(DATASET_NAME),
+                "campaign": _is("RunIIFall15MiniAODv2"),
+                "source_manifest": Object(ARTIFACT),
+                "canonical_dataset": Object(ARTIFACT),
+                "source_records": Items({"record_id": Number(1, whole=True), "role": ROLE}, 2),
+            }
+        ),
+        "split_rule": Object(
+            {
+                "version": _is("exact-pfn-sha256-mod10-v1"),
+                "identifier": _is("exact_pfn_sha256_mod10"),
+                "input": _is("exact canonical_pfn field from the sorted source manifest"),
+                "encoding": _is("UTF-8"),
+                "digest": _is("SHA-256"),
+                "integer_byte_order": _is("big"),
+                "modulus": Number(10, high=10),
+                "buckets": Object(
+                    {
+                        "test": Constants((0,)),
+                        "validation": Constants((1,)),
+                        "train": Constants((2, 3, 4, 5, 6, 7, 8, 9)),
+                    }
+                ),
+            }
+        ),
+        "source_files": Items(
+            {
+                "record_id": Number(1, whole=True),
+                "role": ROLE,
+                "canonical_pfn": ANY,
+                "pfn_sha256": SHA,
+                "adler32": Text("^[0-9a-fA-F]{8}$"),
+                "size_bytes": Number(1, whole=True),
+                "bucket": Number(0, high=9, whole=True),
+                "split": Text(allowed=("train", "validation", "test")),
+            },
+            1,
+        ),
+        "partitions": Object({"train": PARTITION, "validation": PARTITION, "test": PARTITION}),
+        "training_subsets": Items(
+            {
+                "subset_id": SLUG,
+                "train_size_per_class": Number(1, whole=True),
+                "subset_seed": Number(0, high=4294967295, whole=True),
+                "selection_rule": _is("sha256-ranked-signal-and-record-round-robin-qcd-v1"),
+                "identity_payload": Object(ARTIFACT),
+                "counts_by_class": CLASS_COUNTS,
+            },
+            1,
+        ),
+        "preprocessing": Object(
+            {
+                "feature_version": ANY,
+                "policy": Object(ARTIFACT),
+                "fitted_partition": _is("train"),
+                "pid_vocabulary": Object({name: Number(n, high=n) for n, name in enumerate(PID_NAMES)}),
+                "impact_parameter_policy": Text(allowed=("checkpoint_native", "training_fitted")),
+                "pt_eta_control_sha256": Text(identity.SHA256_FORMAT, required=False),
+                "pileup_reweighting_sha256": Text(identity.SHA256_FORMAT, required=False),
+            }
+        ),
+    },
+    "e0_audit": {
+        "resource_projection": Object(
+            {
+                "source_bytes_per_wall_second": Number(0),
+                "events_per_wall_second": Number(0),
+                "cpu_seconds_per_event": Number(0),
+                "file_failure_fraction": UNIT,
+                "retained_storage_bytes": Number(0, whole=True),
+                "projected_cost_usd_with_reserve": Object({e: Number(0) for e in ("E0", "E1", "E2")}),
+                "projected_total_cost_usd_with_reserve": Number(0),
+            },
+            required=False,
+        ),
+    },
+}
+
+
 def kind_of(keys: Column) -> Column:
     """The one kind whose identifying field is among ``keys``; null if none or several are."""
     found = F.array_intersect(keys, F.array(*[F.lit(f) for f in KINDS.values()]))
@@ -341,131 +486,194 @@ def detected_kinds(records: DataFrame, json: str = "json", key: str = "key") ->
     )
 
 
-def _type(spec) -> T.DataType:
-    if isinstance(spec, Object):
-        return schema_of(spec.fields)
-    if isinstance(spec, Number):
-        return T.DoubleType()
-    if isinstance(spec, Flag):
-        return T.BooleanType()
-    if isinstance(spec, Names):
-        return T.ArrayType(T.StringType())
-    return T.StringType()
-
+KEY_NUMBER = "^[1-9][0-9]*$"
+CONTRACT_ROW = (
+    "path string, kind string, format string, allowed array<string>, low double, above double, "
+    "high double, whole boolean, must_be boolean, single boolean, least int, constants array<bigint>, "
+    "needed array<string>"
+)
 
-def schema_of(fields: dict) -> T.StructType:
-    return T.StructType([T.StructField(name, _type(spec)) for name, spec in fields.items()])
 
+def _float(bound: float | None) -> float | None:
+    return None if bound is None else float(bound)
 
-def _any(parts: list[Column]) -> Column:
-    out = F.lit(False)
-    for part in parts:
-        out = out | part
-    return out
 
-
-def objects(fields: dict, path: str = "") -> list[tuple[str, str, str, Object]]:
-    """``(path, parent path, name, spec)`` of all nested objects, parents first."""
-    found = []
-    for name, spec in fields.items():
-        if isinstance(spec, Object):
-            at = f"{path}.{name}" if path else name
-            found.append((at, path, name, spec))
-            found += objects(spec.fields, at)
-    return found
-
-
-def text_column(path: str) -> str:
-    return "_text_" + path.replace(".", "_")
-
-
-def map_column(path: str) -> str:
-    """Raw texts by key of an object that holds objects; the record itself has path ""."""
-    return "_map_" + path.replace(".", "_")
-
-
-def holds_objects(spec: Object) -> bool:
-    return any(isinstance(inner, Object) for inner in spec.fields.values())
-
-
-def value_rule(spec, x: Column, raw: Column) -> Column:
-    """True for a bad scalar value; ``raw`` is its JSON text, read only where ``x`` is null."""
-    bad: list[Column] = []
-    if isinstance(spec, Text):
-        if spec.allowed:
-            bad.append(~x.isin(*spec.allowed))
-        if spec.pattern:
-            bad.append(~x.rlike(spec.pattern))
-    elif isinstance(spec, Number):
-        if spec.low is not None:
-            bad.append(x < spec.low)
-        if spec.above is not None:
-            bad.append(x <= spec.above)
-        if spec.high is not None:
-            bad.append(x > spec.high)
-        bad.append(x != F.floor(x) if spec.whole else F.isnan(x))
-    elif isinstance(spec, Flag) and spec.must_be is not None:
-        bad.append(x != spec.must_be)
-    elif isinstance(spec, Names):
-        if spec.unique:
-            bad.append(F.size(F.array_distinct(x)) != F.size(x))
-    wrong = F.coalesce(_any(bad), F.lit(False))
-    # A value of another type parses to null although the key has a value.
-    return x.isNull() if spec.required and not bad else (
-        x.isNull() | wrong if spec.required else wrong | (x.isNull() & raw.isNotNull())
+def contract_rows(spec, path: str = "") -> list[dict]:
+    """The contract as a table: one row for the value at each path.  ``[]`` stands for every item of an
+    array, ``*`` for every key of a keyed object."""
+    row = dict.fromkeys(
+        ("format", "allowed", "low", "above", "high", "whole", "must_be", "single", "least", "constants", "needed")
     )
-
-
-def field_rules(fields: dict, value: Column, path: str = "") -> dict[str, Column]:
-    """Bad-record predicates by dotted path; object texts are columns of the same row."""
-    rules: dict[str, Column] = {}
-    for name, spec in fields.items():
-        at = f"{path}.{name}" if path else name
-        x = value[name]
-        if isinstance(spec, Object):
-            allowed = F.array(*[F.lit(k) for k in spec.fields])
-            keys = (
-                F.map_keys(map_column(at)) if holds_objects(spec) else F.json_object_keys(text_column(at))
-            )
-            extra = F.size(F.array_except(keys, allowed)) > 0
-            rules[f"CONTRACT_UNKNOWN_PROPERTY:{at}"] = x.isNotNull() & extra
-            for rule, bad in field_rules(spec.fields, x, at).items():
-                rules[rule] = x.isNotNull() & bad
-            if spec.required:
-                rules[f"CONTRACT_SCHEMA:{at}"] = x.isNull()
-            continue
-        raw = F.get_json_object(text_column(path), f"$.{name}") if path else F.col(map_column(""))[name]
-        rules[f"CONTRACT_SCHEMA:{at}"] = value_rule(spec, x, raw)
-    return rules
-
-
-def bracketed(depth: int) -> str:
-    """A type's inside in angle brackets, nested up to ``depth``."""
-    inner = f"(?:{bracketed(depth - 1)}[^<>]*+)*+" if depth else ""
-    return f"<[^<>]*+{inner}>"
-
-
-def type_pattern(spec) -> str:
-    """Pattern of a value's type as ``schema_of_variant`` writes it; null fits every type."""
+    row |= {"path": path, "kind": type(spec).__name__.lower()}
+    below: list[dict] = []
     if isinstance(spec, Text):
-        kind = "STRING"
+        row |= {"format": spec.pattern, "allowed": list(spec.allowed) or None}
     elif isinstance(spec, Number):
-        kind = r"BIGINT|DOUBLE|DECIMAL\(\d+,\d+\)"
+        row |= {"low": _float(spec.low), "above": _float(spec.above), "high": _float(spec.high), "whole": spec.whole}
     elif isinstance(spec, Flag):
-        kind = "BOOLEAN"
+        row |= {"must_be": spec.must_be}
     elif isinstance(spec, Names):
-        kind = "ARRAY<(?:STRING|VOID)>"
+        row |= {"single": spec.unique}
+    elif isinstance(spec, Constants):
+        row |= {"constants": list(spec.values)}
     elif isinstance(spec, Free):
-        kind = spec.kind + bracketed(FREE_DEPTH)
-    else:
-        kind = object_pattern(spec.fields)
-    return f"(?>{kind}|VOID)"
+        row |= {"kind": f"free_{spec.kind.lower()}"}
+    elif isinstance(spec, Keyed):
+        below = contract_rows(spec.value, f"{path}.*")
+    elif isinstance(spec, Items):
+        row |= {"least": spec.least}
+        below = contract_rows(Object(spec.fields), f"{path}[]")
+    elif isinstance(spec, Object):
+        row |= {"needed": [name for name, inner in spec.fields.items() if inner.required]}
+        for name, inner in spec.fields.items():
+            below += contract_rows(inner, f"{path}.{name}" if path else name)
+    return [row, *below]
+
+
+def levels_of(rows: list[dict]) -> int:
+    """How many objects and arrays within each other the contract opens."""
+    return max(row["path"].count(".") + row["path"].count("[]") for row in rows) + 1
+
+
+NODE = "struct<level:int,parent:string,path:string,value:variant>"
+
+
+def opened(record: Column, rows: list[dict]) -> Column:
+    """All values of a VARIANT record that its contract describes, and those it does not know, as
+    ``(level, parent, path, value)``.  Each value is opened once."""
+
+    def paths(*kinds: str) -> Column:
+        return F.array(*[F.lit(r["path"]) for r in rows if r["kind"] in kinds]).cast("array<string>")
+
+    def node(level: Column, parent: Column, path: Column, value: Column) -> Column:
+        return F.struct(
+            level.cast("int").alias("level"),
+            parent.alias("parent"),
+            path.alias("path"),
+            value.alias("value"),
+        )
+
+    def inside(level: Column, at: Column) -> Column:
+        entries = F.map_entries(F.try_variant_get(at["value"], "$", "map<string,variant>"))
+        head = F.when(at["path"] == "", "").otherwise(F.concat(at["path"], F.lit(".")))
+        named = F.transform(
+            entries, lambda e: node(level, at["path"], F.concat(head, e["key"]), e["value"])
+        )
+        keyed = F.transform(
+            entries,
+            lambda e: node(
+                level,
+                at["path"],
+                F.concat(head, F.when(e["key"].rlike(KEY_NUMBER), F.lit("*")).otherwise(e["key"])),
+                e["value"],
+            ),
+        )
+        items = F.transform(
+            F.try_variant_get(at["value"], "$", "array<variant>"),
+            lambda x: node(level, at["path"], F.concat(at["path"], F.lit("[]")), x),
+        )
+        found = (
+            F.when(F.array_contains(paths("object"), at["path"]), named)
+            .when(F.array_contains(paths("items"), at["path"]), items)
+            .when(F.array_contains(paths("keyed"), at["path"]), keyed)
+        )
+        return F.coalesce(found, F.array().cast(f"array<{NODE}>"))
+
+    empty = F.lit("")
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(levels_of(rows))),
+        F.array(node(F.lit(0), empty, empty, record)).cast(f"array<{NODE}>"),
+        lambda done, level: F.concat(
+            done,
+            F.flatten(
+                F.transform(
+                    F.filter(done, lambda n: n["level"] == level - 1), lambda n: inside(level, n)
+                )
+            ),
+        ),
+    )
 
 
-def object_pattern(fields: dict) -> str:
-    """Keys come sorted; which are required is another rule's matter."""
-    parts = "".join(f"(?:{name}: {type_pattern(fields[name])}(?:, )?+)?+" for name in sorted(fields))
-    return f"OBJECT<{parts}>"
+def matches_format(text: Column, formats: list[str]) -> Column:
+    """Whether the text has the row's format; every pattern is a constant."""
+    good = F.lit(True)
+    for pattern in formats:
+        good = F.when(F.col("format") == pattern, text.rlike(pattern)).otherwise(good)
+    return good
+
+
+def value_rules(formats: list[str]) -> Column:
+    """Names of the rules a value breaks; the contract's row stands beside it."""
+    value, kind, path = F.col("value"), F.col("kind"), F.col("path")
+    known = kind.isNotNull()
+    null = F.coalesce(F.is_variant_null(value), F.lit(True))
+    shape = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    number = F.try_variant_get(value, "$", "double")
+    names = F.try_variant_get(value, "$", "array<string>")
+    entries = F.try_variant_get(value, "$", "map<string,variant>")
+    right_type = (
+        F.when(kind == "text", shape == "STRING")
+        .when(kind == "number", shape.isin("BIGINT", "DOUBLE") | shape.startswith("DECIMAL"))
+        .when(kind == "flag", shape == "BOOLEAN")
+        .when(kind == "names", shape.isin("ARRAY<STRING>", "ARRAY<VOID>"))
+        .when(kind.isin("items", "constants", "free_array"), shape.startswith("ARRAY"))
+        .otherwise(shape.startswith("OBJECT"))
+    )
+    good_text = matches_format(text, formats) & F.coalesce(
+        F.array_contains("allowed", text), F.lit(True)
+    )
+    good_number = (
+        F.coalesce(number >= F.col("low"), F.lit(True))
+        & F.coalesce(number > F.col("above"), F.lit(True))
+        & F.coalesce(number <= F.col("high"), F.lit(True))
+        & ~(F.coalesce("whole", F.lit(False)) & (number != F.floor(number)))
+        & ~F.isnan(number)
+    )
+    good_value = (
+        F.when(kind == "text", good_text)
+        .when(kind == "number", good_number)
+        .when(
+            kind == "flag",
+            F.coalesce(F.try_variant_get(value, "$", "boolean") == F.col("must_be"), F.lit(True)),
+        )
+        .when(
+            kind == "names",
+            ~F.coalesce("single", F.lit(False)) | (F.size(F.array_distinct(names)) == F.size(names)),
+        )
+        .when(
+            kind == "constants",
+            F.coalesce(F.try_variant_get(value, "$", "array<bigint>") == F.col("constants"), F.lit(False)),
+        )
+        .when(
+            kind == "items",
+            F.size(F.try_variant_get(value, "$", "array<variant>")) >= F.col("least"),
+        )
+        .otherwise(F.lit(True))
+    )
+    held = F.map_keys(F.map_filter(entries, lambda _, x: ~F.is_variant_null(x)))
+    head = F.when(path == "", F.lit("")).otherwise(F.concat(path, F.lit(".")))
+    missing = F.transform(
+        F.array_except("needed", F.coalesce(held, F.array().cast("array<string>"))),
+        lambda name: F.concat(F.lit("CONTRACT_SCHEMA:"), head, name),
+    )
+    unknown = F.concat(
+        F.lit("CONTRACT_UNKNOWN_PROPERTY"),
+        F.when(F.col("parent") == "", F.lit("")).otherwise(F.concat(F.lit(":"), "parent")),
+    )
+    own = F.concat(F.lit("CONTRACT_SCHEMA:"), path)
+    wrong = F.array(
+        F.lit("CONTRACT_TYPES"), F.when(~kind.startswith("free") & (path != ""), own)
+    )
+    none = F.array().cast("array<string>")
+    return F.array_compact(
+        F.when(~known, F.array(unknown, F.lit("CONTRACT_TYPES")))
+        .when(null, none)
+        .when(~right_type, wrong)
+        .when(kind == "object", missing)
+        .when(~F.coalesce(good_value, F.lit(False)), F.array(own))
+        .otherwise(none)
+    )
 
 
 # The digest field of a record, which its own digest leaves out.
@@ -505,91 +713,148 @@ def hash_violations(records: DataFrame, kind: str, json: str = "json", key: str
     )
 
 
-def run_rules(v: Column) -> dict[str, Column]:
+class Record:
+    """Typed values of a VARIANT record by dotted path; null where absent, null, or of no such type."""
+
+    def __init__(self, record: Column):
+        self.record = record
+
+    def get(self, path: str, kind: str = "string") -> Column:
+        return F.try_variant_get(self.record, f"$.{path}", kind)
+
+    def object(self, path: str) -> Column:
+        return self.get(path, "map<string,variant>")
+
+    def size(self, path: str) -> Column:
+        return F.size(self.get(path, "array<variant>"))
+
+
+def run_rules(v: Record) -> dict[str, Column]:
     """What a run's status and model family demand."""
-    done = v["status"] == "succeeded"
-    family = v["model"]["family"]
+    done = v.get("status") == "succeeded"
+    family = v.get("model.family")
     return {
-        "RUN_SUCCESS_WITHOUT_METRICS": done & v["metrics"].isNull(),
-        "RUN_SUCCESS_WITH_FAILURE": done & v["failure"].isNotNull(),
-        "RUN_SUCCESS_WITHOUT_PREDICTION": done & v["artifacts"]["prediction_metadata"].isNull(),
-        "RUN_FAILED_WITHOUT_FAILURE": v["status"].isin(*FAILED) & v["failure"].isNull(),
-        "RUN_WITHOUT_INDEX": family.isin(*FAMILIES[:2]) & v["model"]["omnilearned_index"].isNull(),
-        "RUN_WITHOUT_CHECKPOINT": (family == FAMILIES[0]) & v["model"]["checkpoint"].isNull(),
+        "RUN_SUCCESS_WITHOUT_METRICS": done & v.object("metrics").isNull(),
+        "RUN_SUCCESS_WITH_FAILURE": done & v.object("failure").isNotNull(),
+        "RUN_SUCCESS_WITHOUT_PREDICTION": done & v.object("artifacts.prediction_metadata").isNull(),
+        "RUN_FAILED_WITHOUT_FAILURE": v.get("status").isin(*FAILED) & v.object("failure").isNull(),
+        "RUN_WITHOUT_INDEX": family.isin(*FAMILIES[:2]) & v.object("model.omnilearned_index").isNull(),
+        "RUN_WITHOUT_CHECKPOINT": (family == FAMILIES[0]) & v.object("model.checkpoint").isNull(),
     }
 
 
-def prediction_rules(v: Column) -> dict[str, Column]:
-    counts = v["class_counts"]
-    return {"CONTRACT_ROW_COUNT": counts["qcd"] + counts["top"] != v["row_count"]}
+def prediction_rules(v: Record) -> dict[str, Column]:
+    qcd, top = v.get("class_counts.qcd", "double"), v.get("class_counts.top", "double")
+    return {"CONTRACT_ROW_COUNT": qcd + top != v.get("row_count", "double")}
+
+
+SOURCE_FILES = "array<struct<canonical_pfn:string,pfn_sha256:string,bucket:bigint,split:string>>"
+
+
+def split_rules(v: Record) -> dict[str, Column]:
+    """Files of a split record: no name twice, and hash, bucket and split recomputed from the name."""
+    files = v.get("source_files", SOURCE_FILES)
+    names = files["canonical_pfn"]
+
+    def stale(file: Column) -> Column:
+        return file["pfn_sha256"] != identity.file_hash(file["canonical_pfn"])
+
+    def misplaced(file: Column) -> Column:
+        bucket = identity.bucket10(identity.file_hash(file["canonical_pfn"]))
+        return (file["bucket"] != bucket) | (file["split"] != identity.split_of_bucket(bucket))
+
+    return {
+        "CONTRACT_PFN_DUPLICATE": F.size(F.array_distinct(names)) != F.size(names),
+        "CONTRACT_HASH_MISMATCH": F.exists(files, stale),
+        "CONTRACT_SPLIT_MISMATCH": F.exists(files, misplaced),
+    }
 
 
-def gate_rules(v: Column, failed: str, passing: tuple[str, ...]) -> dict[str, Column]:
+def gate_rules(v: Record, failed: str, passing: tuple[str, ...]) -> dict[str, Column]:
     """Eligibility follows status, and a verdict matches its lists."""
-    status = v["status"]
-    blockers = (F.size(v["missing_evidence"]) > 0) | (F.size(v[failed]) > 0)
+    status, missing = v.get("status"), v.size("missing_evidence")
+    blockers = (missing > 0) | (v.size(failed) > 0)
+    eligible = v.get("formal_gate_eligible", "boolean")
     rules = {
-        "CONTRACT_GATE_STATUS:eligible": v["formal_gate_eligible"] != status.isin(*passing),
+        "CONTRACT_GATE_STATUS:eligible": eligible != status.isin(*passing),
         "CONTRACT_GATE_STATUS:passed": (status == "passed") & blockers,
     }
-    blocked = (status == "blocked_external_evidence") & (F.size(v["missing_evidence"]) == 0)
+    blocked = (status == "blocked_external_evidence") & (missing == 0)
     if failed == "failed_gates":
         rules["CONTRACT_GATE_STATUS:blocked"] = blocked
         return rules
-    formal = v["evidence_origin"] == "qualified_runpod"
+    condition = v.get("model_condition")
+    formal = v.get("evidence_origin") == "qualified_runpod"
     rules["CONTRACT_GATE_STATUS:origin"] = (status == "passed") & ~formal
-    rules["CONTRACT_GATE_STATUS:condition"] = (status == "passed") & (
-        v["model_condition"] != FAMILIES[0]
-    )
+    rules["CONTRACT_GATE_STATUS:condition"] = (status == "passed") & (condition != FAMILIES[0])
     rules["CONTRACT_GATE_STATUS:blocked"] = blocked & formal
     rules["CONTRACT_GATE_STATUS:fallback"] = (status == "fallback_approved") & (
-        (v["model_condition"] != FAMILIES[1]) | (F.size(v["failed_checks"]) == 0)
+        (condition != FAMILIES[1]) | (v.size("failed_checks") == 0)
     )
     return rules
 
 
-def semantic_rules(kind: str, v: Column) -> dict[str, Column]:
+def semantic_rules(kind: str, v: Record, described: bool) -> dict[str, Column]:
     if kind == "run":
         return run_rules(v)
     if kind == "prediction":
         return prediction_rules(v)
+    if kind == "split":
+        return split_rules(v) if described else {}
     if kind == "e0_audit":
         return gate_rules(v, "failed_gates", ("passed",))
-    if kind == "e05_audit":
-        return gate_rules(v, "failed_checks", ("passed", "fallback_approved"))
-    return {}
+    return gate_rules(v, "failed_checks", ("passed", "fallback_approved"))
+
 
+def record_violations(
+    records: DataFrame, kind: str, json: str = "json", key: str = "key", described: bool = False
+) -> DataFrame:
+    """All broken rules of a table of records of one kind, each once per record.
 
-def record_violations(records: DataFrame, kind: str, json: str = "json", key: str = "key") -> DataFrame:
-    """All broken rules of a table of records of one kind."""
-    fields = CONTRACTS[kind]
+    ``described`` also checks the insides of the parts in :data:`DESCRIBED`; else their type alone.
+    """
+    fields = CONTRACTS[kind] | (DESCRIBED.get(kind, {}) if described else {})
+    rows = contract_rows(Object(fields))
+    formats = sorted({row["format"] for row in rows if row["format"]})
+    v = F.col("v")
+    major = F.regexp_extract(F.try_variant_get(v, "$.schema_version", "string"), r"^(\d+)\.\d+\.\d+$", 1)
+    whole = {
+        "CONTRACT_UNSUPPORTED_MAJOR": (major != "") & (major != SUPPORTED_MAJOR),
+        **semantic_rules(kind, Record(v), described),
+    }
+    broken = [F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in whole.items()]
     parsed = records.select(
+        F.col(key), F.try_parse_json(json).alias("v"), F.monotonically_increasing_id().alias("record")
+    ).select(
+        key,
+        "record",
+        F.when(v.isNull(), F.array(F.lit("CONTRACT_JSON"))).otherwise(F.array_compact(F.array(*broken))).alias("failed"),
+        F.when(v.isNotNull(), opened(v, rows)).alias("nodes"),
+    )
+    table = F.broadcast(
+        records.sparkSession.createDataFrame(
+            [tuple(row[c.split()[0]] for c in CONTRACT_ROW.split(", ")) for row in rows], CONTRACT_ROW
+        )
+    )
+    # What concerns the record as a whole goes with its root.
+    values = parsed.select(key, "record", "failed", F.explode_outer("nodes").alias("n")).select(
+        key, "record", F.when(F.coalesce(F.col("n.level"), F.lit(0)) == 0, F.col("failed")).alias("failed"), "n.*"
+    )
+    found = values.join(table, "path", "left").select(
         F.col(key),
-        F.col(json),
-        F.from_json(json, schema_of(fields)).alias("v"),
-        F.from_json(json, "map<string,string>").alias(map_column("")),
-        F.schema_of_variant(F.try_parse_json(json)).alias("types"),
-    ).drop(json)
-    # Every object is parsed once more for its keys, parents before what they hold.
-    for at, parent, name, spec in objects(fields):
-        parsed = parsed.withColumn(text_column(at), F.col(map_column(parent))[name])
-        if holds_objects(spec):
-            parsed = parsed.withColumn(
-                map_column(at), F.from_json(text_column(at), "map<string,string>")
+        "record",
+        F.explode(
+            F.concat(
+                F.coalesce("failed", F.array().cast("array<string>")),
+                F.when(F.col("path").isNotNull(), value_rules(formats)).otherwise(
+                    F.array().cast("array<string>")
+                ),
             )
-    keys, v = F.map_keys(map_column("")), F.col("v")
-    allowed = F.array(*[F.lit(k) for k in fields])
-    version = F.regexp_extract(v["schema_version"], r"^(\d+)\.\d+\.\d+$", 1)
-    readable = F.col("types").isNotNull()
-    rules = {
-        "CONTRACT_TYPES": ~F.col("types").rlike(f"^{object_pattern(fields)}$"),
-        "CONTRACT_UNSUPPORTED_MAJOR": (version != "") & (version != SUPPORTED_MAJOR),
-        "CONTRACT_UNKNOWN_PROPERTY": F.size(F.array_except(keys, allowed)) > 0,
-        **field_rules(fields, v),
-        **semantic_rules(kind, v),
-    }
-    rules = {"CONTRACT_JSON": ~readable} | {name: readable & bad for name, bad in rules.items()}
-    return broken_rules(parsed, F.col(key), rules)
+        ).alias("rule"),
+    )
+    return found.distinct().select(
+        "rule", F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("key"), F.lit("").alias("detail")
+    )
 
 
 def run_collection(records: DataFrame, json: str = "json", key: str = "key") -> DataFrame:

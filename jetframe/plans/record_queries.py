@@ -52,11 +52,16 @@ _RUN = f"""to_json(named_struct(
 
 def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run record per order, with violations planted by key."""
-    return tables.table(spark, sf_dir, "orders").select(
+    return _orders(spark, sf_dir).select(
         F.col("o_orderkey").alias("key"), F.expr(_RUN).alias("json")
     )
 
 
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    narrow = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return tables.spread(narrow)
+
+
 _RUN_CHECKS = (
     ("CONTRACT_SCHEMA:schema_version", "k % 71 = 0"),
     ("CONTRACT_UNSUPPORTED_MAJOR", "k % 71 = 0"),
@@ -105,7 +110,7 @@ FROM (SELECT {_RUN_ID.format(_RUN_OF)} AS run_id FROM orders) GROUP BY run_id HA
 )
 def run_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _RUN.replace(_RUN_ID.format("o_orderkey"), _RUN_ID.format(_RUN_OF))
-    rows = tables.table(spark, sf_dir, "orders").select(
+    rows = _orders(spark, sf_dir).select(
         F.col("o_orderkey").alias("key"), F.expr(text).alias("json")
     )
     return contracts.run_collection(rows)
@@ -134,7 +139,7 @@ def contract_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
             when(4).alias("e05_audit_id"),
         )
     )
-    rows = tables.table(spark, sf_dir, "orders").select(k.alias("key"), record.alias("json"))
+    rows = _orders(spark, sf_dir).select(k.alias("key"), record.alias("json"))
     return contracts.detected_kinds(rows)
 
 
@@ -161,7 +166,7 @@ _PREDICTION = f"""to_json(named_struct('schema_version', '1.0.0', 'prediction_id
     ),
 )
 def prediction_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.table(spark, sf_dir, "orders").select(
+    rows = _orders(spark, sf_dir).select(
         F.col("o_orderkey").alias("key"), F.expr(_PREDICTION).alias("json")
     )
     return contracts.record_violations(rows, "prediction")
@@ -197,7 +202,7 @@ UNION ALL SELECT 'CONTRACT_ROW_COUNT', k::VARCHAR, '' FROM r
 )
 def contract_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction records with one fault per kind of fault; a whole 100.0 is a valid count."""
-    rows = tables.table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_PREDICTION).alias("json"))
+    rows = _orders(spark, sf_dir).select("o_orderkey", F.expr(_PREDICTION).alias("json"))
     faulty = rows.select(F.col("o_orderkey").alias("key"), F.expr(_FAULTS).alias("json"))
     return contracts.record_violations(faulty, "prediction")
 
@@ -260,6 +265,182 @@ def gate_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.record_violations(rows, "e05_audit")
 
 
+def _file(name, digest, bucket) -> str:
+    """A source file of a split record; faults sit in the second file."""
+    return f"""named_struct('record_id', 18000 + o_custkey % 25, 'role', 'signal', 'canonical_pfn', {name},
+    'pfn_sha256', {digest}, 'adler32', {{adler}}, 'size_bytes', 1000 + o_custkey, 'bucket', {bucket},
+    'split', CASE b{{n}} WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END, 'note', {{note}})"""
+
+
+_FIRST_FILE = _file("p1", "sha2(p1, 256)", "b1").format(adler="'0a1B2c3d'", n=1, note="null")
+_SECOND_FILE = _file(
+    "p2",
+    "CASE WHEN o_orderkey % 17 = 0 THEN repeat('0', 64) ELSE sha2(p2, 256) END",
+    "CASE WHEN o_orderkey % 19 = 0 THEN (b2 + 1) % 10 ELSE b2 END",
+).format(
+    adler="CASE WHEN o_orderkey % 43 = 0 THEN 'zz' ELSE '00000000' END",
+    n=2,
+    note="CASE WHEN o_orderkey % 67 = 0 THEN 'n' END",
+)
+_PART = """named_struct('file_count', 1, 'event_count', 5, 'jet_counts_by_class', named_struct('qcd', 3, 'top', 2),
+    'record_jet_counts', map({}))"""
+_SPLIT = f"""to_json(named_struct('schema_version', '1.0.0', 'manifest_id', concat('split-', o_orderkey),
+  'study_id', 'study-1', 'created_at', '2026-01-01T00:00:00Z',
+  'dataset', named_struct('name', 'CMS 2015 RunIIFall15MiniAODv2', 'campaign', 'RunIIFall15MiniAODv2',
+    'source_manifest', {ARTIFACT}, 'canonical_dataset', {ARTIFACT}, 'source_records',
+    slice(array(named_struct('record_id', 18000, 'role', 'signal'), named_struct('record_id', 18001, 'role',
+    'qcd_active')), 1, CASE WHEN o_orderkey % 47 = 0 THEN 1 ELSE 2 END)),
+  'split_rule', named_struct('version', 'exact-pfn-sha256-mod10-v1', 'identifier', 'exact_pfn_sha256_mod10', 'input',
+    'exact canonical_pfn field from the sorted source manifest', 'encoding', 'UTF-8', 'digest', 'SHA-256',
+    'integer_byte_order', 'big', 'modulus', CASE WHEN o_orderkey % 29 = 0 THEN 11 ELSE 10 END, 'buckets',
+    named_struct('test', array(0), 'validation', array(1),
+    'train', sequence(2, CASE WHEN o_orderkey % 31 = 0 THEN 8 ELSE 9 END))),
+  'source_files', array({_FIRST_FILE}, {_SECOND_FILE}),
+  'partitions', named_struct(
+    'train', {_PART.format("'18000', CASE WHEN o_orderkey % 41 = 0 THEN -1 ELSE 3 END, '18001', 2")},
+    'validation', {_PART.format("'18000', 5")},
+    'test', {_PART.format("CASE WHEN o_orderkey % 37 = 0 THEN 'x' ELSE '18001' END, 5")}),
+  'training_subsets', array(named_struct('subset_id', 'n1000', 'train_size_per_class', 1000, 'subset_seed', 7,
+    'selection_rule', 'sha256-ranked-signal-and-record-round-robin-qcd-v1',
+    'identity_payload', CASE WHEN o_orderkey % 53 <> 0 THEN {ARTIFACT} END,
+    'counts_by_class', named_struct('qcd', 1000, 'top', 1000))),
+  'preprocessing', named_struct('feature_version', 'v1', 'policy', {ARTIFACT}, 'fitted_partition', 'train',
+    'pid_vocabulary', named_struct('unknown', 0, 'charged_hadron', 1, 'neutral_hadron', 2,
+    'photon', CASE WHEN o_orderkey % 61 = 0 THEN 4 ELSE 3 END, 'electron', 4, 'muon', 5),
+    'impact_parameter_policy', 'training_fitted', 'pt_eta_control_sha256',
+    CASE WHEN o_orderkey % 2 = 0 THEN {SHA} END),
+  'semantic_checks', named_struct('unique_pfns', true, 'pfn_disjoint', o_orderkey % 59 <> 0, 'event_disjoint', true,
+    'subset_identities_unique', true, 'subsets_nested', true, 'class_counts_sufficient', true),
+  'hash_metadata', named_struct('algorithm', 'sha256', 'canonicalization',
+    'utf8-sorted-keys-compact-json-lf-excluding-hash_metadata.content_sha256', 'content_sha256', {SHA})))"""
+_SPLIT_RECORD = r"""regexp_replace(json, '("role"):"signal"(,"canonical_pfn")',
+  CASE WHEN o_orderkey % 71 = 0 THEN '$1:5$2' ELSE '$1:"signal"$2' END)"""
+
+
+@query(
+    "split_record_contract",
+    _checks_sql(
+        "SELECT o_orderkey AS k FROM orders",
+        (
+            ("CONTRACT_HASH_MISMATCH", "k % 17 = 0"),
+            ("CONTRACT_SPLIT_MISMATCH", "k % 19 = 0"),
+            ("CONTRACT_PFN_DUPLICATE", "k % 23 = 0"),
+            ("CONTRACT_SCHEMA:split_rule.modulus", "k % 29 = 0"),
+            ("CONTRACT_SCHEMA:split_rule.buckets.train", "k % 31 = 0"),
+            ("CONTRACT_UNKNOWN_PROPERTY:partitions.test.record_jet_counts", "k % 37 = 0"),
+            ("CONTRACT_SCHEMA:partitions.train.record_jet_counts.*", "k % 41 = 0"),
+            ("CONTRACT_SCHEMA:source_files[].adler32", "k % 43 = 0"),
+            ("CONTRACT_SCHEMA:dataset.source_records", "k % 47 = 0"),
+            ("CONTRACT_SCHEMA:training_subsets[].identity_payload", "k % 53 = 0"),
+            ("CONTRACT_SCHEMA:semantic_checks.pfn_disjoint", "k % 59 = 0"),
+            ("CONTRACT_SCHEMA:preprocessing.pid_vocabulary.photon", "k % 61 = 0"),
+            ("CONTRACT_UNKNOWN_PROPERTY:source_files[]", "k % 67 = 0"),
+            ("CONTRACT_SCHEMA:source_files[].role", "k % 71 = 0"),
+            ("CONTRACT_TYPES", "k % 37 = 0 OR k % 67 = 0 OR k % 71 = 0"),
+        ),
+    ),
+)
+def split_record_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split records with their files, partitions and rules described; one fault per kind of rule."""
+    from jetframe.functions import identity
+
+    name = "concat('root://synthetic.invalid//store/', o_orderkey, '/file-{}.root')"
+    rows = _orders(spark, sf_dir).selectExpr(
+        "*",
+        f"{name.format(1)} AS p1",
+        f"CASE WHEN o_orderkey % 23 = 0 THEN {name.format(1)} ELSE {name.format(2)} END AS p2",
+    )
+    bucketed = rows.withColumns(
+        {b: identity.bucket10(identity.file_hash(F.col(p))) for b, p in (("b1", "p1"), ("b2", "p2"))}
+    )
+    made = bucketed.select("o_orderkey", F.expr(_SPLIT).alias("json"))
+    records = made.select(F.col("o_orderkey").alias("key"), F.expr(_SPLIT_RECORD).alias("json"))
+    return contracts.record_violations(records, "split", described=True)
+
+
+_AUDIT = f"""to_json(named_struct('schema_version', '1.0.0', 'e0_audit_id', concat('e0-', o_orderkey),
+  'evidence_id', 'ev', 'status', element_at(array('passed', 'failed', 'blocked_external_evidence', 'open'),
+    cast(o_orderkey % 4 + 1 as int)), 'formal_gate_eligible', o_orderkey % 4 = 0 OR o_orderkey % 13 = 0,
+  'missing_evidence', CASE WHEN o_orderkey % 3 = 0 THEN array('m') ELSE array() END,
+  'failed_gates', CASE WHEN o_orderkey % 5 = 0 THEN array('g', 'g') WHEN o_orderkey % 7 = 0 THEN array('g')
+    ELSE array() END, 'policy_sha256', {SHA},
+  'resource_projection', CASE WHEN o_orderkey % 2 = 0 THEN named_struct('source_bytes_per_wall_second', 1.5D,
+    'events_per_wall_second', 2, 'cpu_seconds_per_event', 0.1D,
+    'file_failure_fraction', CASE WHEN o_orderkey % 11 = 0 THEN 1.5D ELSE 0.5D END, 'retained_storage_bytes', 10,
+    'projected_cost_usd_with_reserve', named_struct('E0', 1.0D, 'E1', CASE WHEN o_orderkey % 17 = 0 THEN -1.0D
+    ELSE 1.0D END, 'E2', CASE WHEN o_orderkey % 19 <> 0 THEN 1.0D END),
+    'projected_total_cost_usd_with_reserve', 3.0D) END,
+  'observed', 'DEEP', 'content_sha256', {SHA}))"""
+_DEEP = "concat(repeat('{\"a\":', 40), o_orderkey, repeat('}', 40))"
+
+
+@query(
+    "e0_audit_contract",
+    _checks_sql(
+        "SELECT o_orderkey AS k FROM orders",
+        (
+            ("CONTRACT_SCHEMA:status", "k % 4 = 3"),
+            ("CONTRACT_SCHEMA:failed_gates", "k % 5 = 0"),
+            ("CONTRACT_GATE_STATUS:eligible", "k % 4 <> 0 AND k % 13 = 0"),
+            ("CONTRACT_GATE_STATUS:passed", "k % 4 = 0 AND (k % 3 = 0 OR k % 5 = 0 OR k % 7 = 0)"),
+            ("CONTRACT_GATE_STATUS:blocked", "k % 4 = 2 AND k % 3 <> 0"),
+            ("CONTRACT_SCHEMA:resource_projection.file_failure_fraction", "k % 2 = 0 AND k % 11 = 0"),
+            ("CONTRACT_SCHEMA:resource_projection.projected_cost_usd_with_reserve.E1", "k % 2 = 0 AND k % 17 = 0"),
+            ("CONTRACT_SCHEMA:resource_projection.projected_cost_usd_with_reserve.E2", "k % 2 = 0 AND k % 19 = 0"),
+            ("CONTRACT_TYPES", "k % 23 = 0"),
+        ),
+    ),
+)
+def e0_audit_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit records whose free part nests forty objects; every 23rd has a text in its place."""
+    deep = F.when(F.col("o_orderkey") % 23 == 0, F.lit('"flat"')).otherwise(F.expr(_DEEP))
+    rows = _orders(spark, sf_dir).select(
+        F.col("o_orderkey").alias("key"), F.replace(F.expr(_AUDIT), F.lit('"DEEP"'), deep).alias("json")
+    )
+    return contracts.record_violations(rows, "e0_audit", described=True)
+
+
+# The columns a prediction payload describes.
+_COLUMNS = ("jet_id", "record_id", "run", "lumi", "event", "jet_index", "target", "signal_score")
+
+
+@query(
+    "prediction_parts",
+    _checks_sql(
+        "SELECT o_orderkey AS k FROM orders",
+        (
+            ("CONTRACT_SCHEMA:partition", "k % 31 = 0"),
+            ("CONTRACT_SCHEMA:ordered", "k % 37 = 0"),
+            ("CONTRACT_SCHEMA:row_order_sha256", "k % 43 = 0"),
+            ("CONTRACT_ROW_COUNT", "k % 41 <> 0"),
+            ("CONTRACT_SCHEMA:payload.format", "k % 7 = 0"),
+            ("CONTRACT_SCHEMA:payload.byte_size", "k % 11 = 0"),
+            ("CONTRACT_SCHEMA:logical_columns.target", "k % 13 = 0"),
+            ("CONTRACT_UNKNOWN_PROPERTY:logical_columns", "k % 17 = 0"),
+            ("CONTRACT_TYPES", "k % 17 = 0"),
+        ),
+    ),
+)
+def prediction_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction records with the insides of payload and columns checked as well."""
+    columns = ", ".join(
+        f"'{c}', " + ("CASE WHEN o_orderkey % 13 <> 0 THEN named_struct('dtype', 'i') END" if c == "target"
+                      else "named_struct('dtype', 'i')")
+        for c in _COLUMNS
+    )
+    parts = {
+        "'logical_columns', named_struct('a', 1)": f"'logical_columns', named_struct({columns}, 'weight', "
+        "CASE WHEN o_orderkey % 17 = 0 THEN 1 END)",
+        "'payload', named_struct('a', 1)": "'payload', named_struct('format', CASE WHEN o_orderkey % 7 = 0 THEN "
+        f"'csv' ELSE 'parquet' END, 'path', 'p', 'sha256', {SHA}, 'byte_size', o_orderkey % 11)",
+    }
+    text = _PREDICTION
+    for plain, described in parts.items():
+        text = text.replace(plain, described)
+    rows = _orders(spark, sf_dir).select(F.col("o_orderkey").alias("key"), F.expr(text).alias("json"))
+    return contracts.record_violations(rows, "prediction", described=True)
+
+
 @query(
     "split_contract",
     f"""WITH {sv.MANIFEST}, f AS (SELECT canonical_pfn, record_id % 6 = 0 AND file_no = 1 AS h,

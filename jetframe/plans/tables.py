@@ -23,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Narrow rows over all tasks, for work on each row that costs far more than moving it.
+
+    The tables here have one row group, which one task would read and work on alone.
+    """
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def role_of_nation(nation):
     return (
         F.when(nation % 5 == 0, F.lit("signal"))

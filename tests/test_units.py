@@ -1,6 +1,8 @@
 """Golden vectors, brute-force checks and properties of single operators."""
 
+import json
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from jetframe.operators import (
     audit,
     bootstrap,
     canonical,
+    contracts,
     digest,
     fit,
     ledger,
@@ -465,3 +468,50 @@ def test_deep_sets_scores(spark):
 
     for i, x in enumerate(sets):
         assert found[f"j{i}"] == pytest.approx(plain(x), abs=1e-9)
+
+
+def test_contract_opens_records_to_any_depth(spark):
+    """Free parts nest without a limit; described parts are checked at every item and key."""
+    deep = '{"a":' * 200 + "1" + "}" * 200
+    base = {
+        "schema_version": "1.0.0", "e0_audit_id": "i", "evidence_id": "e", "status": "failed",
+        "formal_gate_eligible": False, "missing_evidence": [], "failed_gates": ["g"], "policy_sha256": "0" * 64,
+        "resource_projection": None, "observed": "DEEP", "content_sha256": "0" * 64,
+    }
+    good = json.dumps(base).replace('"DEEP"', deep)
+    rows = [
+        ("good", good),
+        ("text", good.replace(deep, '"x"')),
+        ("list", good.replace('["g"]', '["g", 1]')),
+        ("twice", good.replace('["g"]', '["g", "g"]')),
+        ("more", good.replace('{"schema', '{"other": {"b": [1]}, "schema')),
+        ("less", good.replace('"evidence_id": "e", ', "")),
+        ("null", good.replace('"evidence_id": "e"', '"evidence_id": null')),
+        ("bad", good[:-1]),
+        ("none", None),
+        ("plan", good.replace('"resource_projection": null', '"resource_projection": {"events_per_wall_second": "1"}')),
+    ]
+    table = spark.createDataFrame(rows, "key string, json string")
+    got = Counter((r.key, r.rule) for r in contracts.record_violations(table, "e0_audit").collect())
+    assert got == Counter(
+        {
+            ("text", "CONTRACT_TYPES"): 1,
+            ("list", "CONTRACT_TYPES"): 1,
+            ("list", "CONTRACT_SCHEMA:failed_gates"): 1,
+            ("twice", "CONTRACT_SCHEMA:failed_gates"): 1,
+            ("more", "CONTRACT_UNKNOWN_PROPERTY"): 1,
+            ("more", "CONTRACT_TYPES"): 1,
+            ("less", "CONTRACT_SCHEMA:evidence_id"): 1,
+            ("null", "CONTRACT_SCHEMA:evidence_id"): 1,
+            ("bad", "CONTRACT_JSON"): 1,
+            ("none", "CONTRACT_JSON"): 1,
+        }
+    )
+    inside = [
+        r.rule
+        for r in contracts.record_violations(table, "e0_audit", described=True).collect()
+        if r.key == "plan"
+    ]
+    assert "CONTRACT_SCHEMA:resource_projection.events_per_wall_second" in inside
+    assert "CONTRACT_SCHEMA:resource_projection.cpu_seconds_per_event" in inside
+    assert "CONTRACT_TYPES" in inside and len(inside) == 8
