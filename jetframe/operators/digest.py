@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jetframe.session import stored
+
 # Names the rule, so a digest is only compared with one made the same way.
 CANONICALIZATION = "row-sha256-lane-sum-v1"
 LANES = 8
@@ -52,33 +52,116 @@ def artifact_key(name: Column) -> Column:
     return F.when(F.lower(F.element_at(F.split(name, "/"), -1)) == "checkpoint", F.lit(None)).otherwise(base)
 
 
+# Leading hex digits of a name's hash that make the smallest ranges of a digest tree.
+TREE_DIGITS = 4
+TREE_RULE = "sha256-name-range-tree-v1"
+
+
+def name_range(name: Column, digits: int = TREE_DIGITS) -> Column:
+    return F.substring(F.sha2(name, 256), 1, digits)
+
+
+def _combined(parts: Column) -> Column:
+    return F.sha2(F.array_join(parts, "\n"), 256)
+
+
+def smallest_ranges(members: DataFrame, key: str, name: str, facts: Sequence[str]) -> DataFrame:
+    """``(key, range, members, digest)`` of the smallest ranges: their members' lines in name order.
+
+    Ranges are of equal size whatever the names look like, so a set that holds most members is spread
+    over ``16 ** TREE_DIGITS`` groups.
+    """
+    line = F.concat_ws("\t", F.col(name), *[F.col(c).cast("string") for c in facts])
+    return (
+        members.select(key, name_range(F.col(name)).alias("range"), line.alias("line"))
+        .groupBy(key, "range")
+        .agg(F.count("*").alias("members"), _combined(F.array_sort(F.collect_list("line"))).alias("digest"))
+    )
+
+
+def next_ranges(level: DataFrame, key: str) -> DataFrame:
+    """The level above: a range is its at most sixteen parts, each with its digest, in order."""
+    part = F.concat_ws(":", "range", "digest")
+    return (
+        level.withColumn("part", part)
+        .withColumn("range", F.substring("range", F.lit(1), F.length("range") - 1))
+        .groupBy(key, "range")
+        .agg(
+            F.sum("members").alias("members"),
+            _combined(F.array_sort(F.collect_list("part"))).alias("digest"),
+        )
+    )
+
+
+def digest_tree(
+    members: DataFrame, key: str, name: str, facts: Sequence[str], keep: bool = False
+) -> list[DataFrame]:
+    """All levels, the smallest ranges first; the last has one row per ``key``, with range ''.
+
+    With ``keep`` the smallest ranges are stored: for trees of which several levels are read.
+    """
+    smallest = smallest_ranges(members, key, name, facts)
+    levels = [stored(smallest) if keep else smallest]
+    for _ in range(TREE_DIGITS):
+        levels.append(next_ranges(levels[-1], key))
+    return levels
+
+
 def artifact_digest(files: DataFrame, key: str, name: str, sha: str) -> DataFrame:
-    """``sha256`` over ``name, NUL, sha256 bytes`` of all members in name order, per artifact.
+    """``(artifact, members, digest)``: the root over the names and digests of an artifact's members.
 
-    The chain is sequential by definition.  Members are partitioned by artifact and
-    sorted, and the hash runs over the sorted stream with constant memory; no artifact
-    is collected.
+    Partial digests are combined level by level, so the members of one artifact are never together.
     """
-    chosen = files.select(
+    members = files.select(
         F.col(key).alias("artifact"), F.col(name).alias("name"), F.col(sha).alias("sha")
     ).filter(F.col("artifact").isNotNull())
-    ordered = chosen.repartition("artifact").sortWithinPartitions("artifact", "name")
-    return ordered.mapInPandas(_chained, "artifact string, members bigint, digest string")
-
-
-def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    current, members, state = None, 0, hashlib.sha256()
-    for batch in batches:
-        done = []
-        for artifact, name, sha in zip(batch["artifact"], batch["name"], batch["sha"]):
-            if artifact != current:
-                if current is not None:
-                    done.append((current, members, state.hexdigest()))
-                current, members, state = artifact, 0, hashlib.sha256()
-            state.update(name.encode() + b"\0" + bytes.fromhex(sha))
-            members += 1
-        yield pd.DataFrame(done, columns=["artifact", "members", "digest"])
-    if current is not None:
-        yield pd.DataFrame(
-            [(current, members, state.hexdigest())], columns=["artifact", "members", "digest"]
+    return digest_tree(members, "artifact", "name", ["sha"])[-1].select("artifact", "members", "digest")
+
+
+def differing_ranges(left: list[DataFrame], right: list[DataFrame], key: str) -> DataFrame:
+    """``(key, range)`` of the smallest ranges that differ, found from the roots down.
+
+    A level is compared only inside the ranges that differ above it, so trees that were stored are read
+    along the paths to what changed.
+    """
+    at = None
+    for mine, other in zip(reversed(left), reversed(right), strict=True):
+        both = []
+        for level, as_name in ((mine, "mine"), (other, "other")):
+            part = level.select(key, "range", F.col("digest").alias(as_name))
+            if at is not None:
+                above = F.substring("range", F.lit(1), F.length("range") - 1)
+                part = part.withColumn("above", above).join(
+                    at.withColumnRenamed("range", "above"), [key, "above"], "left_semi"
+                ).drop("above")
+            both.append(part)
+        at = (
+            both[0]
+            .join(both[1], [key, "range"], "full_outer")
+            .filter(~F.col("mine").eqNullSafe(F.col("other")))
+            .select(key, "range")
         )
+    return at
+
+
+def changed_members(
+    recorded: DataFrame, observed: DataFrame, key: str, name: str, facts: Sequence[str]
+) -> DataFrame:
+    """``(key, name, state)``: missing, extra and changed members, by descending two digest trees.
+
+    Members are compared only in ranges whose digests differ.
+    """
+    trees = [digest_tree(side, key, name, facts, keep=True) for side in (recorded, observed)]
+    at = differing_ranges(trees[0], trees[1], key)
+    sides = []
+    for side, as_name in ((recorded, "was"), (observed, "is")):
+        ranged = side.withColumn("range", name_range(F.col(name)))
+        inside = ranged.join(at, [key, "range"], "left_semi")
+        sides.append(inside.select(key, name, F.struct(*facts).alias(as_name)))
+    state = (
+        F.when(F.col("is").isNull(), F.lit("missing"))
+        .when(F.col("was").isNull(), F.lit("extra"))
+        .when(~F.col("was").eqNullSafe(F.col("is")), F.lit("changed"))
+    )
+    both = sides[0].join(sides[1], [key, name], "full_outer")
+    return both.withColumn("state", state).filter("state IS NOT NULL").select(key, name, "state")

@@ -201,17 +201,31 @@ def file_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_source.inventory_differences(recorded, observed)
 
 
+def _tree_sql(members: str) -> str:
+    """CTEs ``t4`` (smallest ranges) to ``t0`` (roots) over ``members(artifact, name, line)``."""
+    levels = [
+        f"""t4 AS (SELECT artifact, substr(sha256(name), 1, 4) AS range, count(*) AS members,
+  sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM {members} GROUP BY ALL)"""
+    ]
+    for n in range(3, -1, -1):
+        levels.append(
+            f"""t{n} AS (SELECT artifact, substr(range, 1, {n}) AS up, sum(members) AS members,
+  sha256(string_agg(range || ':' || digest, chr(10) ORDER BY range)) AS digest FROM t{n + 1} GROUP BY ALL)""".replace(
+                " AS up", " AS range"
+            ).replace("GROUP BY ALL", f"GROUP BY artifact, substr(range, 1, {n})")
+        )
+    return ",\n".join(levels)
+
+
 @query(
     "artifact_digest",
-    """WITH n AS (SELECT source AS artifact, source || '/model' || CASE WHEN doc_id % 10 = 0 THEN '.index' ELSE '.data-'
-  || lpad((doc_id % 100000)::VARCHAR, 5, '0') || '-of-00100' END || '' AS name, sha256(text) AS sha, doc_id
-  FROM documents WHERE doc_id % 10 <> 0 OR doc_id < 20)
-SELECT artifact || '/model' AS artifact, count(*)::BIGINT AS members, sha256(list_reduce(list(encode(name) || '\\x00'::BLOB
-  || unhex(sha) ORDER BY name, sha), lambda a, b: a || b)) AS digest FROM n GROUP BY artifact""",
+    f"""WITH n AS (SELECT source || '/model' AS artifact, source || '/model' || CASE WHEN doc_id % 10 = 0 THEN '.index'
+  ELSE '.data-' || lpad((doc_id % 100000)::VARCHAR, 5, '0') || '-of-00100' END AS name, sha256(text) AS sha FROM documents),
+m AS (SELECT artifact, name, name || chr(9) || sha AS line FROM n), {_tree_sql('m')}
+SELECT artifact, members::BIGINT AS members, digest FROM t0""",
 )
 def artifact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as shards of one model per source, grouped by the shard name rule."""
-    rows = _payload(spark, sf_dir)
+    """All documents as shards of one model per source, grouped by the shard name rule."""
     d = F.col("doc_id")
     name = F.concat(
         "artifact",
@@ -220,12 +234,78 @@ def artifact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit(".data-"), F.lpad((d % 100000).cast("string"), 5, "0"), F.lit("-of-00100"))
         ),
     )
-    shards = rows.filter((d % 10 != 0) | (d < 20)).select(
+    shards = _payload(spark, sf_dir).select(
         name.alias("name"), digest.artifact_key(name).alias("key"), F.col("sha256").alias("sha")
     )
     return digest.artifact_digest(shards, "key", "name", "sha")
 
 
+def _then_and_now(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Recorded and present files: in two sources some are gone, new or changed."""
+    rows = _payload(spark, sf_dir)
+    d, touched = F.col("doc_id"), F.col("artifact").isin("src1", "src4")
+    recorded = rows.filter(~touched | (d % 31 != 0))
+    observed = rows.filter(~touched | (d % 29 != 0)).withColumn(
+        "sha256", F.when(touched & (d % 37 == 0), F.sha2("path", 256)).otherwise(F.col("sha256"))
+    )
+    return recorded, observed
+
+
+@query(
+    "artifact_changes",
+    """SELECT source AS artifact, source || '/doc-' || doc_id AS path, CASE WHEN doc_id % 29 = 0 THEN 'missing'
+  WHEN doc_id % 31 = 0 THEN 'extra' ELSE 'changed' END AS state FROM documents
+WHERE source IN ('src1', 'src4') AND (doc_id % 29 = 0 OR doc_id % 31 = 0 OR doc_id % 37 = 0)
+  AND NOT (doc_id % 29 = 0 AND doc_id % 31 = 0)""",
+)
+def artifact_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed in the file sets, found by descending their digest trees."""
+    recorded, observed = _then_and_now(spark, sf_dir)
+    return digest.changed_members(recorded, observed, "artifact", "path", files_source.RECORD)
+
+
+@query(
+    "artifact_verify",
+    """WITH s AS (SELECT source, bool_or(source IN ('src1', 'src4') AND (doc_id % 29 = 0 OR doc_id % 31 = 0
+    OR doc_id % 37 = 0) AND NOT (doc_id % 29 = 0 AND doc_id % 31 = 0)) AS changed FROM documents GROUP BY source)
+SELECT 'ARTIFACT_INCOMPLETE' AS rule, source AS key, '' AS detail FROM s WHERE source IN ('src2', 'src6')
+UNION ALL SELECT 'ARTIFACT_RESUME_MISMATCH', source, '' FROM s WHERE source IN ('src3', 'src5')
+UNION ALL SELECT 'ARTIFACT_HASH_MISMATCH', source, '' FROM s WHERE changed AND source NOT IN ('src2', 'src6')
+UNION ALL SELECT 'ARTIFACT_EMPTY', r_name, '' FROM region
+UNION ALL SELECT 'ARTIFACT_RESUME_MISMATCH', r_name, '' FROM region""",
+)
+def artifact_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers against files and requests: some not finished, some asked for with other inputs, some changed;
+    regions have markers without files or requests."""
+    recorded, observed = _then_and_now(spark, sf_dir)
+    name = F.col("artifact")
+    request = recorded.select("artifact").distinct().select(
+        name,
+        F.create_map(F.lit("manifest"), F.md5(name), F.lit("view"), F.sha2(name, 256)).alias("input_hashes"),
+        F.sha2(F.concat(name, F.lit("config")), 256).alias("config_sha256"),
+    )
+    markers = files_source.completion_markers(recorded, request).filter(~name.isin("src2", "src6"))
+    gone = tables.table(spark, sf_dir, "region").select(
+        F.col("r_name").alias("artifact"),
+        F.lit(1).cast("bigint").alias("members"),
+        F.sha2("r_name", 256).alias("artifact_sha256"),
+        F.create_map(F.lit("manifest"), F.md5("r_name")).alias("input_hashes"),
+        F.lit("c").alias("config_sha256"),
+    )
+    asked = request.withColumns(
+        {
+            "input_hashes": F.when(
+                name == "src3", F.create_map(F.lit("view"), F.sha2(name, 256))
+            ).otherwise(
+                # The order in which inputs are named does not matter.
+                F.map_from_entries(F.reverse(F.map_entries("input_hashes")))
+            ),
+            "config_sha256": F.when(name == "src5", F.lit("other")).otherwise(F.col("config_sha256")),
+        }
+    )
+    return files_source.artifact_violations(markers.unionByName(gone), observed, asked)
+
+
 _REQUIRED = ("source", "immutable_revision", "filename", "sha256", "license")
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jetframe.operators import digest
 from jetframe.rules import broken_rules
 
 # Data suffixes and mutable revision names.
@@ -93,6 +94,57 @@ def inventory_differences(recorded: DataFrame, observed: DataFrame, keys: Sequen
     )
 
 
+RECORD = ["sha256", "byte_size"]
+
+
+def completion_markers(files: DataFrame, request: DataFrame) -> DataFrame:
+    """``(artifact, members, artifact_sha256, input_hashes, config_sha256)``: what a finished artifact records.
+
+    ``request`` has the hashes of the inputs, as a map by name, and of the configuration, per artifact.
+    """
+    root = digest.digest_tree(files, "artifact", "path", RECORD)[-1]
+    return root.select("artifact", "members", F.col("digest").alias("artifact_sha256")).join(
+        request.select("artifact", "input_hashes", "config_sha256"), "artifact", "left"
+    )
+
+
+def artifact_violations(markers: DataFrame, observed: DataFrame, request: DataFrame) -> DataFrame:
+    """Completion markers against the files there are now and against what is asked for now.
+
+    A marker of no files, files without a marker, inputs or a configuration other than the recorded
+    ones, and a digest over the sorted records that is not the recorded one.
+    """
+    now = digest.digest_tree(observed, "artifact", "path", RECORD)[-1]
+    now = now.select("artifact", F.col("digest").alias("now"))
+    asked = request.select(
+        "artifact",
+        F.map_entries("input_hashes").alias("asked_inputs"),
+        F.col("config_sha256").alias("asked_config"),
+    )
+    had = markers.select(
+        "artifact",
+        "artifact_sha256",
+        F.map_entries("input_hashes").alias("inputs"),
+        F.col("config_sha256").alias("config"),
+        F.lit(True).alias("marked"),
+    )
+    joined = had.join(now, "artifact", "full_outer").join(asked, "artifact", "left")
+    marked = F.coalesce("marked", F.lit(False))
+    same_request = F.array_sort("inputs").eqNullSafe(F.array_sort("asked_inputs")) & F.col(
+        "config"
+    ).eqNullSafe(F.col("asked_config"))
+    return broken_rules(
+        joined,
+        F.col("artifact"),
+        {
+            "ARTIFACT_INCOMPLETE": ~marked,
+            "ARTIFACT_EMPTY": marked & F.col("now").isNull(),
+            "ARTIFACT_RESUME_MISMATCH": marked & ~same_request,
+            "ARTIFACT_HASH_MISMATCH": marked & (F.col("now") != F.col("artifact_sha256")),
+        },
+    )
+
+
 def provenance_violations(
     metadata: DataFrame, observed: DataFrame, required: Sequence[str], key: str = "artifact"
 ) -> DataFrame:

@@ -1,5 +1,6 @@
 """Golden vectors, brute-force checks and properties of single operators."""
 
+import hashlib
 import json
 import math
 from collections import Counter
@@ -515,3 +516,27 @@ def test_contract_opens_records_to_any_depth(spark):
     assert "CONTRACT_SCHEMA:resource_projection.events_per_wall_second" in inside
     assert "CONTRACT_SCHEMA:resource_projection.cpu_seconds_per_event" in inside
     assert "CONTRACT_TYPES" in inside and len(inside) == 8
+
+
+def test_digest_tree_finds_one_changed_member(spark):
+    rows = [("big", f"m{n:05d}", f"{n * 7919 % 10007:064x}") for n in range(6000)]
+    rows += [("small", "only", "0" * 64)]
+    table = spark.createDataFrame(rows, "key string, name string, sha string")
+    root = {r.artifact: r for r in digest.artifact_digest(table, "key", "name", "sha").collect()}
+    assert root["big"].members == 6000 and root["small"].members == 1
+    again = digest.artifact_digest(table.repartition(13).orderBy("sha"), "key", "name", "sha")
+    assert {r.artifact: r for r in again.collect()} == root
+    changed = table.withColumn("sha", F.when(F.col("name") == "m04711", "f" * 64).otherwise(F.col("sha")))
+    other = {r.artifact: r.digest for r in digest.artifact_digest(changed, "key", "name", "sha").collect()}
+    assert other["big"] != root["big"].digest and other["small"] == root["small"].digest
+    trees = [digest.digest_tree(t, "key", "name", ["sha"], keep=True) for t in (table, changed)]
+    assert len(trees[0]) == digest.TREE_DIGITS + 1
+    at = digest.differing_ranges(*trees, "key").collect()
+    assert [(r.key, r.range) for r in at] == [("big", hashlib.sha256(b"m04711").hexdigest()[:4])]
+    moved = changed.filter("name <> 'm00001'").unionByName(
+        spark.createDataFrame([("big", "new", "1" * 64)], table.schema)
+    )
+    found = digest.changed_members(table, moved, "key", "name", ["sha"]).collect()
+    assert {tuple(r) for r in found} == {
+        ("big", "m04711", "changed"), ("big", "m00001", "missing"), ("big", "new", "extra"),
+    }
