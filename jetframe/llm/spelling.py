@@ -51,7 +51,7 @@ LOWER_BYTES = LOWER.tobytes()
 DELETE_MODULUS = 97
 LEAST_LENGTH = 5
 LEAST_COUNT = 3
-HELD_WORDS = 1 << 18
+HELD_WORDS = 1 << 16
 LONG_TEXT = 1 << 20
 BLOCK = 1024
 BATCH = 2048
