@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jetframe.operators import digest, fit, scoring, views
 from jetframe.plans import sql_views as sv
 from jetframe.plans import tables
 from jetframe.plans.catalog import query
+from jetframe.session import shared_folder, stored
 from jetframe.sources import files as files_source
 from jetframe.sources import manifest as manifest_source
 from jetframe.sources import tables as table_source
 
 
-def _manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One manifest per ten orders with a line per order; faults are planted by key.
-
-    Lines stand in order key order, so their records are mostly out of order; names repeat
-    where the key is a multiple of seven.
-    """
+def _manifest_line() -> Column:
     k = F.col("o_orderkey")
     line = F.concat_ws(
         "\t",
@@ -33,6 +31,17 @@ def _manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 233 == 0, F.lit("0")).otherwise((k + 1).cast("string")),
     )
     line = F.when(k % 239 == 0, F.concat(line, F.lit("\textra"))).otherwise(line)
+    return line
+
+
+def _manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One manifest per ten orders with a line per order; faults are planted by key.
+
+    Lines stand in order key order, so their records are mostly out of order; names repeat
+    where the key is a multiple of seven.
+    """
+    line = _manifest_line()
+    k = F.col("o_orderkey")
     grouped = (
         tables.table(spark, sf_dir, "orders")
         .groupBy(F.floor(k / 10).alias("m"))
@@ -79,6 +88,53 @@ def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_source.manifest_violations(_manifest_files(spark, sf_dir))
 
 
+_RANGE_LINES = """l AS (SELECT o_orderkey % 4 AS m, o_orderkey AS k,
+  row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) AS line_no FROM orders),
+f AS (SELECT *, m || ':' || line_no AS key, k % 239 = 0 AS wide, k % 227 = 0 AS blank, k % 211 = 0 AS zero,
+  k % 223 = 0 AND k % 211 <> 0 AS bad, CASE WHEN k % 211 = 0 THEN 0 ELSE 18000 + k % 5 END AS record_id,
+  'root://f/' || lpad((CASE WHEN k % 7 = 0 THEN k // 20 ELSE k END)::VARCHAR, 9, '0') AS pfn, m = 1 AS bom,
+  m = 2 AND k % 241 = 0 AS cr FROM l),
+-- A carriage return at the end of the last field is taken for space around a number, as in the reader.
+g AS (SELECT *, NOT wide AND NOT blank AS filled, bad OR (bom AND line_no = 1) AS nonum FROM f),
+o AS (SELECT * FROM g WHERE filled AND NOT nonum),
+w AS (SELECT *, lag(record_id) OVER v AS r0, lag(pfn) OVER v AS p0 FROM o WINDOW v AS (PARTITION BY m ORDER BY line_no))"""
+
+
+@query(
+    "manifest_ranges",
+    f"""WITH {_RANGE_LINES}
+SELECT DISTINCT 'MANIFEST_BOM' AS rule, m::VARCHAR AS key, '' AS detail FROM f WHERE bom
+UNION ALL SELECT DISTINCT 'MANIFEST_LINE_ENDING', m::VARCHAR, '' FROM f WHERE cr
+UNION ALL SELECT 'MANIFEST_FIELD_COUNT', key, '' FROM g WHERE wide
+UNION ALL SELECT 'MANIFEST_EMPTY_FIELD', key, '' FROM g WHERE NOT wide AND blank
+UNION ALL SELECT 'MANIFEST_FIELD_VALUE', key, '' FROM g WHERE filled AND nonum
+UNION ALL SELECT 'MANIFEST_RECORD_ID', key, '' FROM o WHERE zero
+UNION ALL SELECT 'MANIFEST_CHECKSUM', key, '' FROM o WHERE k % 229 = 0
+UNION ALL SELECT 'MANIFEST_SIZE', key, '' FROM o WHERE k % 233 = 0
+UNION ALL SELECT 'MANIFEST_DUPLICATE_PFN', m || ':' || pfn, 'count=' || count(*) FROM o GROUP BY m, pfn HAVING count(*) > 1
+UNION ALL SELECT 'MANIFEST_ORDER', key, '' FROM w WHERE r0 > record_id OR r0 = record_id AND p0 > pfn""",
+)
+def manifest_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as four manifests on disk, written below the shared folder and read by ranges of 16 KiB."""
+    folder = f"{shared_folder(spark).rstrip('/')}/manifests-{uuid.uuid4().hex}"
+    k = F.col("o_orderkey")
+    line = F.when((k % 4 == 2) & (k % 241 == 0), F.concat(_manifest_line(), F.lit("\r"))).otherwise(
+        _manifest_line()
+    )
+    orders = tables.table(spark, sf_dir, "orders").select(k, (k % 4).alias("m"), line.alias("line"))
+    first = Window.partitionBy("m").orderBy("o_orderkey")
+    marked = F.when((F.col("m") == 1) & (F.row_number().over(first) == 1), F.lit("\ufeff")).otherwise("")
+    orders.select("m", F.concat(marked, "line").alias("value")).write.partitionBy("m").text(folder)
+    with manifest_source.range_size(spark, 16 << 10):
+        ranges = stored(manifest_source.read_ranges(spark, folder))
+    files = files_source.list_files(spark, folder).filter(F.col("path").endswith(".txt"))
+    number = F.regexp_extract("path", r"/m=(\d+)/", 1)
+    found = manifest_source.range_violations(
+        ranges.withColumn("path", number), files.withColumn("path", number)
+    )
+    return found.select("rule", "key", "detail")
+
+
 def _inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One inventory document per lumi section of a thousand orders, with planted faults."""
     k = F.col("o_orderkey")

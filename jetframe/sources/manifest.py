@@ -1,7 +1,16 @@
-"""Source manifests: headerless, sorted, LF-terminated TSV files with strict bytes."""
+"""Source manifests: headerless, sorted, LF-terminated TSV files with strict bytes.
+
+Manifests on disk of any size are read by byte ranges, aligned to line feeds by Spark's text reader. Line
+numbers are exact: the lines of every range are counted and the counts added up. What the reader
+takes away (a byte order mark, the last line feed) shows in the bytes that are missing.
+Manifests that are values of a table (``path, content``) go through the same rules.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +43,103 @@ def byte_violations(files: DataFrame) -> DataFrame:
     )
 
 
+@contextmanager
+def range_size(spark: SparkSession, size: int) -> Iterator[None]:
+    """Within it, files are cut into ranges of ``size`` bytes; a table must be stored to keep the cut."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def read_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, range, at, value, file_size)``: raw lines with the byte range that held them.
+
+    ``at`` grows by one from line to line of a range.
+    """
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+    return lines.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("range"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+        F.col("_metadata.file_size").alias("file_size"),
+    )
+
+
+def range_counts(ranges: DataFrame) -> DataFrame:
+    """``(path, range, first, before, missing)``: a range's first ``at``, the lines before it, and the bytes
+    of the file that its lines and their line feeds do not account for."""
+    counted = ranges.groupBy("path", "range").agg(
+        F.min("at").alias("first"),
+        F.count("*").alias("lines"),
+        F.sum(F.octet_length("value") + 1).alias("bytes"),
+        F.max("file_size").alias("file_size"),
+    )
+    earlier = Window.partitionBy("path").orderBy("range")
+    whole = Window.partitionBy("path")
+    return counted.select(
+        "path",
+        "range",
+        "first",
+        (F.sum("lines").over(earlier) - F.col("lines")).alias("before"),
+        (F.max("file_size").over(whole) - F.sum("bytes").over(whole)).alias("missing"),
+    )
+
+
+# A mark that the reader took away is missing; a last line feed that is not there was counted too much.
+MARKED, MARKED_OPEN, OPEN = 3, 2, -1
+
+
+def numbered_lines(ranges: DataFrame) -> DataFrame:
+    """``(path, range, line_no, line)`` with exact 1-based line numbers, whatever the ranges."""
+    placed = ranges.join(range_counts(ranges), ["path", "range"])
+    number = F.col("before") + F.col("at") - F.col("first") + 1
+    marked = F.col("missing").isin(MARKED, MARKED_OPEN) & (number == 1)
+    line = F.when(marked, F.concat(F.lit("\ufeff"), "value")).otherwise(F.col("value"))
+    return placed.select("path", "range", number.alias("line_no"), line.alias("line"))
+
+
+def range_byte_violations(ranges: DataFrame, files: DataFrame) -> DataFrame:
+    """The rules on whole files, from their ranges; ``files`` lists ``(path, length)``, empty files too."""
+    by_file = ranges.groupBy("path").agg(
+        F.max(F.position(F.lit("\r"), F.col("value")) > 0).alias("cr"),
+        F.max(~F.is_valid_utf8("value")).alias("broken"),
+    )
+    missing = range_counts(ranges).groupBy("path").agg(F.max("missing").alias("missing"))
+    joined = (
+        files.select("path", "length").join(by_file, "path", "left").join(missing, "path", "left")
+    )
+    # A file without a line is empty or a mark alone.
+    alone = F.col("missing").isNull()
+    return broken_rules(
+        joined,
+        F.col("path"),
+        {
+            "MANIFEST_BOM": F.col("missing").isin(MARKED, MARKED_OPEN) | (alone & (F.col("length") == 3)),
+            "MANIFEST_LINE_ENDING": alone | F.col("cr") | F.col("missing").isin(OPEN, MARKED_OPEN),
+            "MANIFEST_UTF8": F.col("broken"),
+        },
+    )
+
+
+def range_violations(ranges: DataFrame, files: DataFrame) -> DataFrame:
+    """All rules on manifests read by ranges."""
+    return union_all(
+        [range_byte_violations(ranges, files), line_violations(parse_lines(numbered_lines(ranges)))]
+    )
+
+
 def manifest_lines(files: DataFrame) -> DataFrame:
-    """``(path, line_no, line)`` with exact 1-based line numbers."""
+    """``(path, range, line_no, line)`` with exact 1-based line numbers; a value is one range."""
     text = F.col("content").cast("string")
     ended = F.when(text.endswith("\n"), 1).otherwise(0)
     body = F.substring(text, F.lit(1), F.length(text) - ended)
     return files.select("path", F.posexplode(F.split(body, "\n", -1)).alias("i", "line")).select(
-        "path", (F.col("i") + 1).alias("line_no"), "line"
+        "path", F.lit(0).cast("bigint").alias("range"), (F.col("i") + 1).alias("line_no"), "line"
     )
 
 
@@ -53,6 +152,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     f = F.split("line", "\t", -1)
     return lines.select(
         "path",
+        "range",
         "line_no",
         F.size(f).alias("n_fields"),
         f.alias("fields"),
@@ -67,8 +167,8 @@ def line_violations(parsed: DataFrame) -> DataFrame:
     """Rules on lines, repeated files and the order of neighbouring lines, per manifest.
 
     Order is by record, then by the UTF-8 bytes of the name, which is how Spark compares
-    strings.  One manifest is one input file, so a window over a manifest is bounded by a
-    file; repeated names are counted with a map-side combined aggregate.
+    strings.  Neighbours are compared inside a range; the last line of a range meets the first of the next in a
+    table with one row per range.  Repeated names are counted with a map-side combined aggregate.
     """
     key = F.concat_ws(":", "path", F.col("line_no").cast("string"))
     four = F.col("n_fields") == 4
@@ -98,12 +198,19 @@ def line_violations(parsed: DataFrame) -> DataFrame:
             F.concat(F.lit("count="), F.col("n").cast("string")).alias("detail"),
         )
     )
-    w = Window.partitionBy("path").orderBy("line_no")
     here = F.struct("record_id", "canonical_pfn")
-    out_of_order = (
-        good.withColumn("before", F.lag(here).over(w))
-        .filter(F.col("before") > here)
-        .select(F.lit("MANIFEST_ORDER").alias("rule"), key.alias("key"), F.lit("").alias("detail"))
+    inside = Window.partitionBy("path", "range").orderBy("line_no")
+    within = good.withColumn("before", F.lag(here).over(inside)).filter(F.col("before") > here)
+    ends = good.groupBy("path", "range").agg(
+        F.min("line_no").alias("line_no"),
+        F.min_by(here, "line_no").alias("first"),
+        F.max_by(here, "line_no").alias("last"),
+    )
+    between = ends.withColumn(
+        "before", F.lag("last").over(Window.partitionBy("path").orderBy("range"))
+    ).filter(F.col("before") > F.col("first"))
+    out_of_order = within.select("path", "line_no").union(between.select("path", "line_no")).select(
+        F.lit("MANIFEST_ORDER").alias("rule"), key.alias("key"), F.lit("").alias("detail")
     )
     return union_all([rows, repeated, out_of_order])
 

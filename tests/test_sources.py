@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from jetframe.operators import canonical
 from jetframe.rules import RuleViolation
+from jetframe.session import stored
 from jetframe.sources import files, manifest, tables
 from test_units import jet_rows, scored
 
@@ -114,3 +115,32 @@ def test_file_inventory_by_row_and_by_block(spark, tmp_path):
     assert {tuple(r) for r in by_row.collect()} == expected == {tuple(r) for r in by_block.collect()}
     found = files.discover(files.list_files(spark, str(root)))
     assert [r.path.endswith("a.h5") for r in found.collect()] == [True]
+
+
+@pytest.mark.parametrize("size", [7, 40, 1 << 20])
+def test_ranges_equal_whole_files(spark, tmp_path, size):
+    """Every file gives the same rules by byte ranges of any size as by its whole content."""
+    long = b"".join(b"%d\troot://f%05d\t0123abcd\t%d\n" % (n // 50 + 1, n, n + 1) for n in range(300))
+    contents = {
+        "good": GOOD, "mark": b"\xef\xbb\xbf" + GOOD, "crlf": GOOD.replace(b"\n", b"\r\n"), "open": GOOD[:-1],
+        "markopen": b"\xef\xbb\xbf" + GOOD[:-1], "empty": b"", "alone": b"\xef\xbb\xbf", "feeds": b"\n\n\n",
+        "bytes": GOOD.replace(b"root://a", b"\xff\xfe"), "order": GOOD + b"1\troot://0\t0123abcd\t5\n",
+        "long": long, "swap": long[20_00:] + long[:20_00], "blank": GOOD + b"\n" + GOOD,
+    }
+    for name, content in contents.items():
+        (tmp_path / f"{name}.tsv").write_bytes(content)
+    last = F.element_at(F.split("path", "/"), -1)
+    with manifest.range_size(spark, size):
+        ranges = stored(manifest.read_ranges(spark, str(tmp_path)))
+    listed = files.list_files(spark, str(tmp_path))
+    by_range = manifest.range_violations(ranges.withColumn("path", last), listed.withColumn("path", last))
+    whole = manifest.read_manifest_bytes(spark, str(tmp_path)).withColumn("path", last)
+    # A file without a line has no numbered line either; the whole-file path gives it one empty line.
+    bare = ("empty.tsv:1", "alone.tsv:1")
+    found = sorted(tuple(r) for r in by_range.collect() if r.key not in bare)
+    want = sorted(tuple(r) for r in manifest.manifest_violations(whole).collect() if r.key not in bare)
+    assert found == want
+    numbered = manifest.numbered_lines(ranges.withColumn("path", last)).filter("path = 'long.tsv'").collect()
+    assert {r.line_no: r.line for r in numbered} == dict(enumerate(long.decode().splitlines(), 1))
+    if size < 100:
+        assert len({r.range for r in numbered}) > 50
