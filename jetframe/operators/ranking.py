@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jetframe.functions.identity import named_split, seeded_rank
+from jetframe.operators.ordered import range_bounds, with_bin
 from jetframe.rules import union_all
 
 
@@ -54,6 +55,13 @@ def binned_ordinal(
     return placed.drop("_before")
 
 
+def dense_positions(df: DataFrame, order: str, name: str = "pos") -> DataFrame:
+    """Add the 0-based position in the order of a column; ranges of it are counted, then placed."""
+    ranged = with_bin(df, order, range_bounds(df, order))
+    placed = binned_ordinal(ranged, [], "_bin", [order], name)
+    return placed.withColumn(name, F.col(name) - 1).drop("_bin")
+
+
 def hash_ordinal(
     df: DataFrame,
     id_col: str,

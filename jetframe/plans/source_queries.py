@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from jetframe.operators import digest, fit, scoring, views
+from jetframe.operators import canonical, digest, fit, scoring, views
 from jetframe.plans import sql_views as sv
 from jetframe.plans import tables
 from jetframe.plans.catalog import query
+from jetframe.schema import JET_FIELDS, PARALLEL_ARRAYS, PARALLEL_JETS
 from jetframe.session import shared_folder, stored
 from jetframe.sources import files as files_source
 from jetframe.sources import manifest as manifest_source
@@ -436,6 +438,153 @@ def prediction_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_source.prediction_metadata(rows)
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_HELD = f"""{sv.JETS}, {sv.PARTICLES}, held AS (SELECT o_orderkey, count(*) AS n FROM kept WHERE idx < 150 GROUP BY o_orderkey)"""
+
+
+@query(
+    "canonical_sink",
+    f"""WITH {_HELD} SELECT split, count(*)::BIGINT AS jets, coalesce(sum(n), 0)::BIGINT AS particles,
+  TRUE AS valid, FALSE AS changed_valid FROM jets LEFT JOIN held USING (o_orderkey) GROUP BY split""",
+)
+def canonical_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical jets written below the shared folder, read back and verified by the observed digest;
+    one jet counted twice must not verify."""
+    path = _folder(spark, "canonical")
+    rows = tables.canonical_jets(spark, sf_dir)
+    held = table_source.write_canonical(rows, path, "v1", "0" * 64)
+    extra = held.unionByName(held.orderBy("jet_id").limit(1))
+    about = table_source.verify_canonical(spark, path)
+    other = digest.content_digest(extra, extra.columns).select("digest")
+    return held.groupBy("split").agg(
+        F.count("*").alias("jets"), F.sum(F.size("particles").cast("bigint")).alias("particles")
+    ).select(
+        "split",
+        "jets",
+        "particles",
+        about.select("valid").scalar().alias("valid"),
+        (about.select("content_sha256").scalar() == other.scalar()).alias("changed_valid"),
+    )
+
+
+@query(
+    "jagged_scan",
+    f"""WITH {_HELD} SELECT o_orderkey % 2 AS part, count(*)::BIGINT AS jets,
+  count(*) FILTER (n > 0 AND o_orderkey % 97 = 0)::BIGINT AS unequal,
+  coalesce(sum(n) FILTER (NOT (n > 0 AND o_orderkey % 97 = 0)), 0)::BIGINT AS particles
+FROM jets LEFT JOIN held USING (o_orderkey) GROUP BY o_orderkey % 2""",
+)
+def jagged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as eleven parallel arrays in two folders, scanned with the closed schema; arrays of
+    unequal length are found before the arrays are zipped."""
+    k = F.col("o_orderkey")
+    jets = tables.nested_jets(spark, sf_dir)
+    arrays_ = {
+        source: F.col(f"particles.{name}").cast(T.ArrayType(kind))
+        for source, name, kind in PARALLEL_ARRAYS
+    }
+    short = F.slice("particle_dz", 1, F.greatest(F.size("particle_dz") - 1, F.lit(0)))
+    parallel = jets.select(k, *[f.name for f in JET_FIELDS], *[c.alias(s) for s, c in arrays_.items()])
+    planted = parallel.withColumn("particle_dz", F.when(k % 97 == 0, short).otherwise(F.col("particle_dz")))
+    path = _folder(spark, "jagged")
+    closed = planted.withColumn("part", k % 2).drop("o_orderkey")
+    closed.write.partitionBy("part").parquet(path)
+    found = None
+    for part in (0, 1):
+        folder = f"{path}/part={part}"
+        raw = spark.read.schema(PARALLEL_JETS).parquet(folder)
+        jets_of = table_source.read_jets(spark, [folder], parallel=True)
+        unequal = raw.filter(canonical.unequal_lengths(raw))
+        good = jets_of.join(unequal.select("event"), "event", "left_anti")
+        row = good.agg(F.sum(F.size("particles").cast("bigint")).alias("particles")).select(
+            F.lit(part).cast("bigint").alias("part"),
+            raw.agg(F.count("*")).scalar().alias("jets"),
+            unequal.agg(F.count("*")).scalar().alias("unequal"),
+            F.coalesce("particles", F.lit(0)).alias("particles"),
+        )
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+@query(
+    "ordered_sink",
+    """SELECT 0::BIGINT AS kept_violations, 5::BIGINT AS files, count(*)::BIGINT AS rows,
+  (count(*) - 1)::BIGINT AS last, TRUE AS moved_found FROM orders""",
+)
+def ordered_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by key over five files; read back file by file they stand in order, and two exchanged
+    positions are found."""
+    from jetframe.operators import ranking
+
+    path = _folder(spark, "ordered")
+    orders = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    dense = ranking.dense_positions(orders, "o_orderkey", "pos")
+    table_source.write_ordered(dense, f"{path}/good", "pos", 5)
+    good = table_source.order_violations(spark, f"{path}/good", "pos")
+    table_source.write_ordered(dense, f"{path}/moved", "pos", 5)
+    offsets = spark.read.schema("file string, first bigint, last bigint, rows bigint").json(f"{path}/good/offsets")
+    swapped = F.when(F.col("pos") == 3, 4).when(F.col("pos") == 4, 3).otherwise(F.col("pos"))
+    files = table_source.read_in_files(spark, f"{path}/moved").withColumn("pos", swapped)
+    ends = files.groupBy("file").agg(F.min("pos").alias("first"))
+    moved = files.join(ends, "file").filter(F.col("pos") != F.col("first") + F.col("line"))
+    return offsets.agg(
+        F.count("*").alias("files"), F.sum("rows").alias("rows"), F.max("last").alias("last")
+    ).select(
+        good.agg(F.count("*")).scalar().alias("kept_violations"),
+        "files",
+        "rows",
+        "last",
+        (moved.agg(F.count("*")).scalar() == 2).alias("moved_found"),
+    )
+
+
+@query(
+    "prediction_order",
+    f"""WITH {sv.JETS}, n AS (SELECT count(*) AS n FROM jets)
+SELECT 'PREDICTION_ROW_ORDER' AS rule, run AS key, '' AS detail FROM (VALUES ('exchanged'), ('missing'), ('repeated')) AS t(run)
+UNION ALL SELECT 'PREDICTION_ROW_COUNT', 'missing', ''
+UNION ALL SELECT 'PREDICTION_METADATA:' || field, run, '' FROM (VALUES ('missing', 'row_count'), ('missing', 'row_order_digest'),
+  ('exchanged', 'row_order_digest'), ('repeated', 'row_order_digest')) AS t(run, field)
+UNION ALL SELECT 'PREDICTION_METADATA:' || CASE target WHEN 0 THEN 'background_count' ELSE 'signal_count' END, 'missing', ''
+  FROM (SELECT target FROM jets ORDER BY o_orderkey DESC LIMIT 1)
+UNION ALL SELECT 'PREDICTION_METADATA:' || field, 'repeated', '' FROM (VALUES ('background_count'), ('signal_count')) AS t(field)
+WHERE (SELECT count(DISTINCT target) FROM (SELECT target FROM jets ORDER BY o_orderkey LIMIT 2)) = 2""",
+)
+def prediction_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all jets in the expected order, with two exchanged, the last missing, or one repeated in
+    place of another; against the expected ids and against the metadata of the whole run."""
+    from jetframe.operators import ranking
+
+    jets = tables.jets(spark, sf_dir).select("o_orderkey", "jet_id", "target")
+    expected = stored(ranking.dense_positions(jets, "o_orderkey", "pos").withColumn("pos", F.col("pos").cast("bigint")))
+    pos, score = F.col("pos"), F.lit(0.5).alias("score")
+    ends = expected.agg(F.max("pos")).scalar()
+
+    def run(name: str, frame: DataFrame) -> DataFrame:
+        return frame.select(F.lit(name).alias("run_id"), "pos", "jet_id", "target", score)
+
+    first = expected.filter(pos < 2).select((1 - pos).alias("pos"), "jet_id", "target")
+    again = expected.filter(pos == 0).select(F.lit(1).cast("bigint").alias("pos"), "jet_id", "target")
+    rest = expected.filter(pos >= 2)
+    runs = (
+        run("same", expected)
+        .unionByName(run("exchanged", rest.unionByName(first, allowMissingColumns=True)))
+        .unionByName(run("missing", expected.filter(pos < ends)))
+        .unionByName(
+            run("repeated", expected.filter(pos != 1).unionByName(again, allowMissingColumns=True))
+        )
+    )
+    whole = table_source.prediction_metadata(run("same", expected)).drop("run_id")
+    names = spark.createDataFrame([(n,) for n in ("same", "exchanged", "missing", "repeated")], "run_id string")
+    about = names.select("run_id", *[whole.select(c).scalar().alias(c) for c in whole.columns])
+    return table_source.expected_order_violations(runs, expected).unionByName(
+        table_source.metadata_violations(runs, about)
+    )
+
+
 @query("deepsets_score")
 def deepsets_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logits of all jets that hold a particle, on view D with seeded weights."""

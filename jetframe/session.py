@@ -98,7 +98,8 @@ class Shelf:
 def lean_shuffles(spark: SparkSession) -> Iterator[None]:
     """Within it, shuffle files go as soon as the query that made them is over.
 
-    For rounds whose tables are all written: no later query reads an earlier one's shuffles.
+    For rounds whose tables are all written: no later query reads an earlier one's shuffles. Not for
+    ``toLocalIterator``, whose jobs go on after its query counts as over.
     """
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,24 +47,24 @@ def write_canonical(
 ) -> DataFrame:
     """Partitioned canonical table at ``path/data`` and its one-row description.
 
-    Rows are written where they are; ``partitions`` may bring many small tasks together.
+    Rows are written where they are; ``partitions`` may bring many small tasks together.  The write observes
+    the digest of its rows, so nothing is read again for the description.
     """
     if "split" not in rows.columns:
         raise ValueError("canonical rows need a split column")
     out = rows.coalesce(partitions) if partitions else rows
-    out.write.partitionBy("split").option("compression", "zstd").parquet(f"{path}/data")
+    observed = digest.ObservedDigest()
+    watched = observed.watch(out, out.columns)
+    watched.write.partitionBy("split").option("compression", "zstd").parquet(f"{path}/data")
+    count, sha256 = observed.result()
     spark = rows.sparkSession
-    stored = spark.read.parquet(f"{path}/data")
-    about = digest.content_digest(stored, stored.columns).select(
-        F.lit(FORMAT_VERSION).alias("schema_version"),
-        F.lit(feature_version).alias("feature_version"),
-        F.lit(manifest_sha256).alias("source_manifest_sha256"),
-        F.lit(digest.CANONICALIZATION).alias("digest_rule"),
-        "rows",
-        F.col("digest").alias("content_sha256"),
+    about = spark.createDataFrame(
+        [(FORMAT_VERSION, feature_version, manifest_sha256, digest.CANONICALIZATION, count, sha256)],
+        "schema_version string, feature_version string, source_manifest_sha256 string, digest_rule string, "
+        "rows bigint, content_sha256 string",
     )
     about.coalesce(1).write.json(f"{path}/about")
-    return stored
+    return spark.read.parquet(f"{path}/data")
 
 
 def verify_canonical(spark: SparkSession, path: str) -> DataFrame:
@@ -81,6 +81,70 @@ def verify_canonical(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_ordered(rows: DataFrame, path: str, pos: str, partitions: int) -> None:
+    """Rows in the order of ``pos`` over ``partitions`` files at ``path/data``, and where each file starts.
+
+    Rows are dealt out by ranges of the position, so that file after file, line after line, is the order.
+    ``path/offsets`` has ``(file, first, last, rows)``.
+    """
+    dealt = rows.repartitionByRange(partitions, pos).sortWithinPartitions(pos)
+    dealt.write.parquet(f"{path}/data")
+    stored = rows.sparkSession.read.parquet(f"{path}/data")
+    offsets = stored.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.min(pos).alias("first"), F.max(pos).alias("last"), F.count("*").alias("rows")
+    )
+    offsets.coalesce(1).write.json(f"{path}/offsets")
+
+
+def read_in_files(spark: SparkSession, path: str) -> DataFrame:
+    """All rows with ``file`` and ``line``, their 0-based place in it, as they are stored."""
+    found = spark.read.parquet(f"{path}/data")
+    at = found.select(
+        "*",
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    first = at.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("held"))
+    earlier = Window.partitionBy("file").orderBy("block")
+    starts = first.withColumn("before", F.sum("held").over(earlier) - F.col("held"))
+    placed = at.join(starts.drop("held"), ["file", "block"])
+    return placed.withColumn("line", F.col("at") - F.col("first") + F.col("before")).drop(
+        "at", "first", "before", "block"
+    )
+
+
+def order_violations(spark: SparkSession, path: str, pos: str) -> DataFrame:
+    """Rows out of their place: inside a file, and between files by their offsets.
+
+    Positions are 0-based and dense, so the row at line n of a file has its first position plus n, and a
+    file starts where the one before it ends.
+    """
+    offsets = spark.read.schema("file string, first bigint, last bigint, rows bigint").json(f"{path}/offsets")
+    inside = (
+        read_in_files(spark, path)
+        .select("file", "line", F.col(pos).cast("bigint").alias("pos"))
+        .join(offsets, "file", "left")
+        .filter(F.col("first").isNull() | (F.col("pos") != F.col("first") + F.col("line")))
+        .select(
+            F.lit("ORDER_POSITION").alias("rule"),
+            F.concat_ws(":", "file", F.col("line").cast("string")).alias("key"),
+            F.concat(F.lit("pos="), F.col("pos").cast("string")).alias("detail"),
+        )
+    )
+    by_first = Window.orderBy("first")
+    between = offsets.withColumn("expected", F.coalesce(F.lag("last").over(by_first) + 1, F.lit(0))).filter(
+        (F.col("expected") != F.col("first")) | (F.col("last") - F.col("first") + 1 != F.col("rows"))
+    )
+    return inside.union(
+        between.select(
+            F.lit("ORDER_OFFSET").alias("rule"),
+            F.col("file").alias("key"),
+            F.concat(F.lit("first="), F.col("first").cast("string")).alias("detail"),
+        )
+    )
+
+
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Identity inventories, one JSON document per file, as rows of jets.
 
@@ -169,6 +233,26 @@ def metadata_violations(predictions: DataFrame, metadata: DataFrame) -> DataFram
     )
 
 
+def expected_order_violations(predictions: DataFrame, expected: DataFrame) -> DataFrame:
+    """Runs whose ids are not the expected ids in the expected order; ``expected`` has (jet_id, pos).
+
+    The two sequences meet as one digest each; a run with another number of rows is named as such.
+    """
+    want = digest.order_digest(expected, "jet_id", "pos").select(
+        F.col("rows").alias("want_rows"), F.col("order_digest").alias("want")
+    )
+    only = want.agg(F.struct(F.first("want_rows").alias("rows"), F.first("want").alias("digest"))).scalar()
+    have = digest.order_digest(predictions, "jet_id", "pos", ["run_id"])
+    return broken_rules(
+        have,
+        F.col("run_id"),
+        {
+            "PREDICTION_ROW_COUNT": ~F.col("rows").eqNullSafe(only["rows"]),
+            "PREDICTION_ROW_ORDER": ~F.col("order_digest").eqNullSafe(only["digest"]),
+        },
+    )
+
+
 def write_report(sections: dict[str, DataFrame], path: str) -> None:
     """Every result table of a report as JSON rows under its own name."""
     for name, table in sections.items():

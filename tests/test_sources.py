@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from jetframe.operators import canonical
+from jetframe.operators import canonical, digest
 from jetframe.rules import RuleViolation
 from jetframe.session import stored
 from jetframe.sources import files, manifest, tables
@@ -144,3 +144,48 @@ def test_ranges_equal_whole_files(spark, tmp_path, size):
     assert {r.line_no: r.line for r in numbered} == dict(enumerate(long.decode().splitlines(), 1))
     if size < 100:
         assert len({r.range for r in numbered}) > 50
+
+
+def test_ordered_files_and_their_violations(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("999 - id AS pos", "concat('v', id) AS v").repartition(7)
+    tables.write_ordered(rows, f"{tmp_path}/o", "pos", 4)
+    assert tables.order_violations(spark, f"{tmp_path}/o", "pos").count() == 0
+    back = tables.read_in_files(spark, f"{tmp_path}/o").orderBy("file", "line").collect()
+    assert [r.pos for r in back] == list(range(1000))
+    # A file written in another order, and one that is gone.
+    one = sorted(p for p in (tmp_path / "o" / "data").iterdir() if p.suffix == ".parquet")
+    turned = spark.read.parquet(str(one[1])).orderBy(F.desc("pos")).coalesce(1)
+    turned.write.parquet(f"{tmp_path}/t")
+    new = next(p for p in (tmp_path / "t").iterdir() if p.suffix == ".parquet")
+    one[1].write_bytes(new.read_bytes())
+    (one[1].parent / f".{one[1].name}.crc").unlink()
+    found = tables.order_violations(spark, f"{tmp_path}/o", "pos").collect()
+    assert {r.rule for r in found} == {"ORDER_POSITION"} and len(found) > 200
+    lines = (tmp_path / "o" / "offsets").glob("part-*.json")
+    text = next(lines)
+    kept = [x for x in text.read_text().splitlines() if one[2].name not in x]
+    text.write_text("\n".join(kept) + "\n")
+    (text.parent / f".{text.name}.crc").unlink()
+    assert "ORDER_OFFSET" in {r.rule for r in tables.order_violations(spark, f"{tmp_path}/o", "pos").collect()}
+
+
+def test_order_digest_merges_and_sees_every_change(spark):
+    rows = [(k, f"id{k * 7 % 50}") for k in range(50)]
+
+    def of(values, parts=1):
+        table = spark.createDataFrame(values, "pos bigint, id string").repartition(parts)
+        return digest.order_digest(table, "id", "pos").first().order_digest
+
+    same = of(rows)
+    assert same == of(rows[::-1], 6) == of(rows[25:] + rows[:25], 3)
+    names = [v for _, v in rows]
+    swapped = names[:]
+    swapped[10], swapped[11] = swapped[11], swapped[10]
+    repeated = names[:]
+    repeated[20] = repeated[21]
+    shifted = names[1:] + names[:1]
+    others = [of(list(enumerate(v))) for v in (swapped, repeated, shifted, names[:-1])]
+    assert len({same, *others}) == 5
+    value = [(int(hashlib.sha256(v.encode()).hexdigest()[:12], 16) % (digest.MODULUS - 1)) + 1 for v in names]
+    want = [sum(x * pow(b, k, digest.MODULUS) for k, x in enumerate(value)) % digest.MODULUS for b in digest.BASES]
+    assert same == ":".join([digest.ORDER_RULE, "50", *map(str, want)])
