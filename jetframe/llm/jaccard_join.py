@@ -205,7 +205,7 @@ def common_table(chunks: DataFrame) -> np.ndarray:
     once = chunks.withColumn("lane", F.spark_partition_id() % 16)
     once = once.repartition("chunk", "lane").drop("lane").mapInArrow(_add_chunks, kind)
     table = np.zeros(COUNTERS, dtype=np.float64)
-    for row in once.repartition("chunk").mapInArrow(_add_chunks, kind).toLocalIterator():
+    for row in once.repartition("chunk").mapInArrow(_add_chunks, kind).collect():
         start = row["chunk"] * CHUNK
         table[start : start + CHUNK] = unpacked(row["counts"])
     typical = np.median(table)
