@@ -164,12 +164,122 @@ def gate_rollup(
     )
 
 
+POLICY = "policy_id string, kind string, name string, test string, bound double, text string, label string, part string"
+# A part of a policy is looked into only when nothing of it is missing.
+HOST, MEASUREMENT = "host", "measurement"
+
+
+def policy_gates(
+    evidence: DataFrame, policies: DataFrame, bundles: DataFrame, key: str = "bundle_id"
+) -> DataFrame:
+    """Verdicts of many bundles, each under its own version of a policy.
+
+    ``policies`` has a row per rule (:data:`POLICY`): the item ``(kind, name)`` it is about, a ``test``, what to
+    list in ``label``, and the ``part`` it belongs to.  ``bundles`` has ``(key, policy_id)``, ``evidence``
+    ``(key, kind, name, ok, text, value)`` with one row per item.  Tests:
+
+    * ``present``, ``decided``, ``same``: else the label is missing; ``decided`` wants a text other than
+      "unresolved", ``same`` the rule's text;
+    * ``true``, ``filled``, ``equal``, ``at_least``, ``at_most``: else the label failed; an absent item counts as
+      failed, too, where no other rule calls it missing.
+
+    What failed in a part is not listed while something of the part is missing: without host, its
+    fields are not looked at; without all measurements, no limit.  A measurement that cannot be
+    projected stops the other limits.  Rules meet evidence in one equi-join on (bundle, kind, name); a
+    bundle's lists are bounded by its policy, and a bundle without evidence is blocked.
+    """
+    asked = bundles.select(key, "policy_id").distinct().join(policies, "policy_id")
+    held = evidence.select(
+        key, "kind", "name", "ok", F.col("text").alias("held"), "value", F.lit(True).alias("there")
+    )
+    joined = asked.join(held, [key, "kind", "name"], "left")
+    test, there = F.col("test"), F.coalesce("there", F.lit(False))
+    text = F.coalesce(F.trim("held"), F.lit(""))
+    good = (
+        F.when(test == "present", there)
+        .when(test == "decided", (text != "") & (F.lower(text) != "unresolved"))
+        .when(test == "same", text == F.col("text"))
+        .when(test == "true", F.col("ok"))
+        .when(test == "filled", text != "")
+        .when(test == "equal", F.col("value") == F.col("bound"))
+        .when(test == "at_least", F.col("value") >= F.col("bound"))
+        .when(test == "at_most", F.col("value") <= F.col("bound"))
+    )
+    broken = ~F.coalesce(good, F.lit(False))
+    missing = broken & test.isin("present", "decided", "same")
+    failed = broken & ~test.isin("present", "decided", "same")
+    # A rule about an item that its own "present" rule calls missing says nothing more.
+    named = F.struct(F.concat_ws(":", "kind", "name").alias("item"), "label", "part")
+    lists = joined.groupBy(key, "policy_id").agg(
+        F.collect_set(F.when(missing, named)).alias("gone"),
+        F.collect_set(F.when(failed, named)).alias("bad"),
+    )
+    absent_parts = F.transform("gone", lambda m: m["part"])
+    absent_items = F.transform("gone", lambda m: m["item"])
+    stopped = F.exists("bad", lambda f: f["label"] == "resource_measurements")
+    counted = F.filter(
+        "bad",
+        lambda f: ~F.array_contains(absent_items, f["item"])
+        & ~(f["part"].isin(HOST, MEASUREMENT) & F.array_contains(absent_parts, f["part"]))
+        & ~((f["part"] == MEASUREMENT) & stopped & (f["label"] != "resource_measurements")),
+    )
+    # Without any field of the host there is one thing missing, the host.
+    no_host = F.exists("gone", lambda m: m["label"] == "host_qualification")
+    shown = F.filter(
+        "gone", lambda m: ~(no_host & (m["part"] == HOST) & (m["label"] != "host_qualification"))
+    )
+    done = lists.select(
+        key,
+        "policy_id",
+        F.array_sort(F.array_distinct(F.transform(shown, lambda m: m["label"]))).alias("missing"),
+        F.array_sort(F.array_distinct(F.transform(counted, lambda f: f["label"]))).alias("failed"),
+    )
+    status = (
+        F.when(F.size("missing") > 0, F.lit("blocked_external_evidence"))
+        .when(F.size("failed") > 0, F.lit("failed"))
+        .otherwise(F.lit("passed"))
+    )
+    return done.select(
+        key,
+        "policy_id",
+        F.array_join("missing", ",").alias("missing"),
+        F.array_join("failed", ",").alias("failed"),
+        status.alias("status"),
+        (status == "passed").alias("formal_gate_eligible"),
+    )
+
+
+def projected_evidence(projection: DataFrame, key: str) -> DataFrame:
+    """The result of :func:`resource_projection` as evidence: whether it is valid, and its total cost."""
+    item = F.explode(
+        F.array(
+            F.struct(
+                F.lit("valid").alias("name"),
+                (F.col("status") == "ok").alias("ok"),
+                F.lit(None).cast("double").alias("value"),
+            ),
+            F.struct(
+                F.lit("total_cost").alias("name"),
+                F.lit(True).alias("ok"),
+                F.col("projected_total_cost_usd").cast("double").alias("value"),
+            ),
+        )
+    )
+    return projection.select(key, F.lit("projection").alias("kind"), item.alias("i")).select(
+        key, "kind", "i.name", "i.ok", F.lit(None).cast("string").alias("text"), "i.value"
+    )
+
+
 def check_rollup(
-    evidence: DataFrame, required: Sequence[str], key: str = "bundle_id"
+    evidence: DataFrame,
+    required: Sequence[str],
+    key: str = "bundle_id",
+    bundles: DataFrame | None = None,
 ) -> DataFrame:
     """Verdict failed > missing or wrong origin > passed, with the approved fallback.
 
-    ``evidence(key, name, ok, origin, fallback_approved)``.
+    ``evidence(key, name, ok, origin, fallback_approved)``.  A bundle of ``bundles`` without any evidence is
+    blocked, not absent.
     """
     wanted = F.col("name").isin(*required)
     grouped = evidence.groupBy(key).agg(
@@ -178,6 +288,10 @@ def check_rollup(
         F.max("origin").alias("origin"),
         F.bool_or("fallback_approved").alias("fallback"),
     )
+    if bundles is not None:
+        grouped = bundles.select(key).distinct().join(grouped, key, "left")
+        for name in ("seen", "bad"):
+            grouped = grouped.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
     missing = F.array_except(F.array(*[F.lit(n) for n in required]), F.col("seen"))
     status = (
         F.when(

@@ -212,6 +212,154 @@ def check_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.check_rollup(rows, ("manifest", "labels", "split"))
 
 
+# Two versions of a policy as rows: they differ in pilots, yield and budget.
+_VERSIONS = (("v1", 2.0, 900.0, 1000.0), ("v2", 3.0, 1000.0, 600.0))
+_HOST_TEXTS = ("container_digest", "host_id", "source_manifest_sha256", "tested_commit")
+
+
+def _policy_rows() -> list[tuple]:
+    rows = []
+    for version, pilots, yield_, budget in _VERSIONS:
+
+        def rule(kind, name, test, label, part="", bound=None, text=None, version=version):
+            rows.append((version, kind, name, test, bound, text, label, part))
+
+        rule("tier", "evidence_tier", "same", "qualified_host_evidence_tier", text="qualified_host")
+        rule("host", "qualification", "present", "host_qualification", ledger.HOST)
+        for name in _HOST_TEXTS:
+            rule("host", name, "present", f"host_qualification:{name}", ledger.HOST)
+            rule("host", name, "filled", f"host_qualification:{name}", ledger.HOST)
+        for name in ("tt_qualification_files", "qcd_qualification_files"):
+            rule("host", name, "equal", f"host_qualification:{name}", ledger.HOST, 1.0)
+        rule("host", "tt_pilot_files", "at_least", "tt_pilot_file_coverage", ledger.HOST, pilots)
+        for record in ("18001", "18002"):
+            rule("pilot", record, "at_least", f"qcd_pilot_file_coverage:{record}", ledger.HOST, 2.0)
+        for name in ("manifest", "dataset"):
+            rule("artifact", name, "present", f"artifact:{name}")
+            rule("artifact", name, "true", f"artifact:{name}")
+        rule("check", "overlap", "present", "check:overlap")
+        rule("check", "overlap", "true", "check:overlap")
+        rule("decision", "pt_window", "decided", "freeze_decision:pt_window")
+        for name in ("charged_no_track_fraction", "selected_qcd_jets", "selected_top_jets"):
+            rule("measurement", name, "present", f"measurement:{name}", ledger.MEASUREMENT)
+        rule("projection", "valid", "true", "resource_measurements", ledger.MEASUREMENT)
+        rule("measurement", "charged_no_track_fraction", "at_most", "charged_no_track_fraction", ledger.MEASUREMENT, 0.05)
+        rule("measurement", "selected_qcd_jets", "at_least", "qcd_yield", ledger.MEASUREMENT, yield_)
+        rule("measurement", "selected_top_jets", "at_least", "top_yield", ledger.MEASUREMENT, yield_)
+        rule("projection", "total_cost", "at_most", "working_budget", ledger.MEASUREMENT, budget)
+    return rows
+
+
+# (label, when it is missing or failed); k is the customer, b the budget of its version.
+_HOSTLESS = "k % 23 = 0"
+_HOST_GAP = "(k % 23 = 0 OR k % 19 = 0)"
+_UNMEASURED = "k % 29 = 0"
+_MISSING = (
+    ("artifact:manifest", "k % 11 = 0"),
+    ("check:overlap", "k % 13 = 0"),
+    ("freeze_decision:pt_window", "k % 17 = 0"),
+    ("host_qualification", _HOSTLESS),
+    ("host_qualification:host_id", f"k % 19 = 0 AND NOT {_HOSTLESS}"),
+    ("measurement:selected_top_jets", _UNMEASURED),
+    ("qualified_host_evidence_tier", "k % 31 = 0"),
+)
+_LIMITS = f"NOT {_UNMEASURED} AND NOT k % 37 = 0"
+_FAILED = (
+    ("artifact:dataset", "k % 41 = 0"),
+    ("charged_no_track_fraction", f"{_LIMITS} AND k % 43 = 0"),
+    ("check:overlap", "k % 13 <> 0 AND k % 47 = 0"),
+    ("host_qualification:qcd_qualification_files", f"NOT {_HOST_GAP} AND k % 53 = 0"),
+    ("host_qualification:tested_commit", f"NOT {_HOST_GAP} AND k % 59 = 0"),
+    ("qcd_pilot_file_coverage:18002", f"NOT {_HOST_GAP} AND k % 61 = 0"),
+    ("qcd_yield", f"{_LIMITS} AND 900 + k % 300 < y"),
+    ("resource_measurements", f"NOT {_UNMEASURED} AND k % 37 = 0"),
+    ("top_yield", f"{_LIMITS} AND k % 67 = 0"),
+    ("tt_pilot_file_coverage", f"NOT {_HOST_GAP} AND 1 + k % 5 < p"),
+    ("working_budget", f"{_LIMITS} AND 1.25::DOUBLE * (300 + k % 500) > b"),
+)
+
+
+def _labels_sql(rules) -> str:
+    cases = ", ".join(f"CASE WHEN {bad} THEN '{label}' END" for label, bad in rules)
+    return f"coalesce(array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ','), '')"
+
+
+@query(
+    "policy_gates",
+    f"""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'v1' ELSE 'v2' END AS policy_id,
+  CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 3 END AS p, CASE WHEN c_custkey % 2 = 0 THEN 900 ELSE 1000 END AS y,
+  CASE WHEN c_custkey % 2 = 0 THEN 1000 ELSE 600 END AS b FROM customer),
+l AS (SELECT k AS bundle_id, policy_id, {_labels_sql(_MISSING)} AS missing, {_labels_sql(_FAILED)} AS failed FROM c),
+s AS (SELECT *, CASE WHEN missing <> '' THEN 'blocked_external_evidence' WHEN failed <> '' THEN 'failed' ELSE 'passed' END
+  AS status FROM l)
+SELECT *, status = 'passed' AS formal_gate_eligible FROM s
+UNION ALL SELECT -1 - n_nationkey, 'v1', 'artifact:dataset,artifact:manifest,check:overlap,freeze_decision:pt_window,'
+  || 'host_qualification,measurement:charged_no_track_fraction,measurement:selected_qcd_jets,'
+  || 'measurement:selected_top_jets,qualified_host_evidence_tier', '', 'blocked_external_evidence', FALSE FROM nation""",
+)
+def policy_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer is a bundle under one of two policy versions; nations are bundles without evidence.
+    Costs come from the resource projection of the bundle's jobs."""
+    k = F.col("bundle_id")
+    customers = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("bundle_id"))
+
+    def item(kind, name, ok=None, text=None, value=None, when=None):
+        struct = F.struct(
+            F.lit(kind).alias("kind"),
+            F.lit(name).alias("name"),
+            (F.lit(None).cast("boolean") if ok is None else ok).alias("ok"),
+            (F.lit(None).cast("string") if text is None else text).alias("text"),
+            (F.lit(None) if value is None else value).cast("double").alias("value"),
+        )
+        return struct if when is None else F.when(when, struct)
+
+    host = k % 23 != 0
+    items = [
+        item("tier", "evidence_tier", text=F.when(k % 31 == 0, F.lit("workstation")).otherwise(F.lit("qualified_host"))),
+        item("host", "qualification", when=host),
+        *[
+            item("host", name, text=F.lit("x"), when=host)
+            for name in ("container_digest", "source_manifest_sha256")
+        ],
+        item("host", "host_id", text=F.lit("h"), when=host & (k % 19 != 0)),
+        item("host", "tested_commit", text=F.when(k % 59 == 0, F.lit(" ")).otherwise(F.lit("c")), when=host),
+        item("host", "tt_qualification_files", value=F.lit(1), when=host),
+        item("host", "qcd_qualification_files", value=F.when(k % 53 == 0, 2).otherwise(1), when=host),
+        item("host", "tt_pilot_files", value=1 + k % 5, when=host),
+        item("pilot", "18001", value=F.lit(2), when=host),
+        item("pilot", "18002", value=F.lit(3), when=host & (k % 61 != 0)),
+        item("artifact", "manifest", ok=F.lit(True), when=k % 11 != 0),
+        item("artifact", "dataset", ok=k % 41 != 0),
+        item("check", "overlap", ok=k % 47 != 0, when=k % 13 != 0),
+        item("decision", "pt_window", text=F.when(k % 17 == 0, F.lit("Unresolved")).otherwise(F.lit("500-1000"))),
+        item("measurement", "charged_no_track_fraction", value=F.when(k % 43 == 0, F.lit(0.06)).otherwise(F.lit(0.05))),
+        item("measurement", "selected_qcd_jets", value=900 + k % 300),
+        item("measurement", "selected_top_jets", value=F.when(k % 67 == 0, 10).otherwise(5000), when=k % 29 != 0),
+    ]
+    evidence = customers.select("bundle_id", F.explode(F.array_compact(F.array(*items))).alias("i")).select(
+        "bundle_id", "i.*"
+    )
+    one = F.lit(1).cast("bigint")
+    jobs = customers.select(
+        "bundle_id",
+        *[one.alias(c) for c in ledger.RESOURCE_SUMS if c not in ("wall_seconds", "failed_files")],
+        F.when(k % 37 == 0, 0).otherwise(10).cast("bigint").alias("wall_seconds"),
+        F.lit(0).cast("bigint").alias("failed_files"),
+        *[
+            (F.lit(100.0) if n else (F.lit(100) + k % 500).cast("double")).alias(c)
+            for n, c in enumerate(ledger.COSTS)
+        ],
+    )
+    costs = ledger.projected_evidence(ledger.resource_projection(jobs, "bundle_id", 0.25), "bundle_id")
+    version = F.when(k % 2 == 0, F.lit("v1")).otherwise(F.lit("v2"))
+    without = tables.table(spark, sf_dir, "nation").select(
+        (F.lit(-1) - F.col("n_nationkey")).cast("bigint").alias("bundle_id"), F.lit("v1").alias("policy_id")
+    )
+    bundles = customers.select("bundle_id", version.alias("policy_id")).unionByName(without)
+    policies = spark.createDataFrame(_policy_rows(), ledger.POLICY)
+    return ledger.policy_gates(evidence.unionByName(costs), policies, bundles)
+
+
 _STATUSES = """st AS (SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'specified' WHEN '2-HIGH'
   THEN 'implemented' WHEN '4-NOT SPECIFIED' THEN CASE WHEN o_orderkey % 10 = 0 THEN 'deferred' ELSE 'verified' END
   ELSE 'verified' END AS status FROM orders)"""
