@@ -53,6 +53,15 @@ class Number:
     required: bool = True
 
 
+@dataclass(frozen=True)
+class Integer:
+    """Whole number written as one: neither 1.0 nor true nor "1"."""
+
+    low: float | None = None
+    high: float | None = None
+    required: bool = True
+
+
 @dataclass(frozen=True)
 class Flag:
     required: bool = True
@@ -510,6 +519,8 @@ def contract_rows(spec, path: str = "") -> list[dict]:
         row |= {"format": spec.pattern, "allowed": list(spec.allowed) or None}
     elif isinstance(spec, Number):
         row |= {"low": _float(spec.low), "above": _float(spec.above), "high": _float(spec.high), "whole": spec.whole}
+    elif isinstance(spec, Integer):
+        row |= {"low": _float(spec.low), "high": _float(spec.high)}
     elif isinstance(spec, Flag):
         row |= {"must_be": spec.must_be}
     elif isinstance(spec, Names):
@@ -615,6 +626,8 @@ def value_rules(formats: list[str]) -> Column:
     right_type = (
         F.when(kind == "text", shape == "STRING")
         .when(kind == "number", shape.isin("BIGINT", "DOUBLE") | shape.startswith("DECIMAL"))
+        # 1.0 is held as DECIMAL(1,0); whole numbers are decimals only where they pass 64 bits.
+        .when(kind == "integer", (shape == "BIGINT") | shape.rlike(r"^DECIMAL\((?:19|[23]\d),0\)$"))
         .when(kind == "flag", shape == "BOOLEAN")
         .when(kind == "names", shape.isin("ARRAY<STRING>", "ARRAY<VOID>"))
         .when(kind.isin("items", "constants", "free_array"), shape.startswith("ARRAY"))
@@ -632,7 +645,7 @@ def value_rules(formats: list[str]) -> Column:
     )
     good_value = (
         F.when(kind == "text", good_text)
-        .when(kind == "number", good_number)
+        .when(kind.isin("number", "integer"), good_number)
         .when(
             kind == "flag",
             F.coalesce(F.try_variant_get(value, "$", "boolean") == F.col("must_be"), F.lit(True)),
@@ -814,21 +827,32 @@ def record_violations(
     ``described`` also checks the insides of the parts in :data:`DESCRIBED`; else their type alone.
     """
     fields = CONTRACTS[kind] | (DESCRIBED.get(kind, {}) if described else {})
-    rows = contract_rows(Object(fields))
-    formats = sorted({row["format"] for row in rows if row["format"]})
     v = F.col("v")
     major = F.regexp_extract(F.try_variant_get(v, "$.schema_version", "string"), r"^(\d+)\.\d+\.\d+$", 1)
     whole = {
         "CONTRACT_UNSUPPORTED_MAJOR": (major != "") & (major != SUPPORTED_MAJOR),
         **semantic_rules(kind, Record(v), described),
     }
-    broken = [F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in whole.items()]
-    parsed = records.select(
-        F.col(key), F.try_parse_json(json).alias("v"), F.monotonically_increasing_id().alias("record")
-    ).select(
-        key,
+    parsed = records.select(F.col(key).alias("key"), F.try_parse_json(json).alias("v"))
+    return variant_violations(parsed, fields, whole)
+
+
+def variant_violations(
+    records: DataFrame, fields: dict, whole: dict[str, Column] | None = None
+) -> DataFrame:
+    """Broken rules of VARIANT records ``(key, v)`` under a contract, each once per record.
+
+    ``whole`` has predicates, true for a bad record, on the record as a whole.  A null record is no JSON.
+    """
+    rows = contract_rows(Object(fields))
+    formats = sorted({row["format"] for row in rows if row["format"]})
+    v, none = F.col("v"), F.array().cast("array<string>")
+    broken = [F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in (whole or {}).items()]
+    failed = F.array_compact(F.array(*broken)) if broken else none
+    parsed = records.select("key", "v", F.monotonically_increasing_id().alias("record")).select(
+        "key",
         "record",
-        F.when(v.isNull(), F.array(F.lit("CONTRACT_JSON"))).otherwise(F.array_compact(F.array(*broken))).alias("failed"),
+        F.when(v.isNull(), F.array(F.lit("CONTRACT_JSON"))).otherwise(failed).alias("failed"),
         F.when(v.isNotNull(), opened(v, rows)).alias("nodes"),
     )
     table = F.broadcast(
@@ -837,23 +861,16 @@ def record_violations(
         )
     )
     # What concerns the record as a whole goes with its root.
-    values = parsed.select(key, "record", "failed", F.explode_outer("nodes").alias("n")).select(
-        key, "record", F.when(F.coalesce(F.col("n.level"), F.lit(0)) == 0, F.col("failed")).alias("failed"), "n.*"
+    root = F.coalesce(F.col("n.level"), F.lit(0)) == 0
+    values = parsed.select("key", "record", "failed", F.explode_outer("nodes").alias("n")).select(
+        "key", "record", F.when(root, F.col("failed")).alias("failed"), "n.*"
     )
-    found = values.join(table, "path", "left").select(
-        F.col(key),
-        "record",
-        F.explode(
-            F.concat(
-                F.coalesce("failed", F.array().cast("array<string>")),
-                F.when(F.col("path").isNotNull(), value_rules(formats)).otherwise(
-                    F.array().cast("array<string>")
-                ),
-            )
-        ).alias("rule"),
+    rules = F.concat(
+        F.coalesce("failed", none), F.when(F.col("path").isNotNull(), value_rules(formats)).otherwise(none)
     )
+    found = values.join(table, "path", "left").select("key", "record", F.explode(rules).alias("rule"))
     return found.distinct().select(
-        "rule", F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("key"), F.lit("").alias("detail")
+        "rule", F.coalesce(F.col("key").cast("string"), F.lit("null")).alias("key"), F.lit("").alias("detail")
     )
 
 

@@ -208,6 +208,67 @@ def inventory_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_source.inventory_violations(table_source.inventory_rows(_inventories(spark, sf_dir)))
 
 
+_KEY_FAULTS = r"""CASE
+  WHEN o_orderkey % 101 = 0 THEN replace(jet, '{', '{"extra":1,')
+  WHEN o_orderkey % 103 = 0 THEN regexp_replace(jet, '"record_id":[0-9]+', '"record_id":true')
+  WHEN o_orderkey % 107 = 0 THEN regexp_replace(jet, '"event":([0-9]+)', '"event":"$1"')
+  WHEN o_orderkey % 109 = 0 THEN regexp_replace(jet, '"lumi":([0-9]+)', '"lumi":$1.0')
+  WHEN o_orderkey % 113 = 0 THEN regexp_replace(jet, '"run":[0-9]+,', '')
+  WHEN o_orderkey % 127 = 0 THEN regexp_replace(jet, '"target":[0-9]+', '"target":2')
+  WHEN o_orderkey % 131 = 0 THEN regexp_replace(jet, '"jet_index":[0-9]+', '"jet_index":null')
+  ELSE jet END"""
+
+
+@query(
+    "inventory_keys",
+    f"""WITH {_INVENTORY}, f AS (SELECT key, o_orderkey AS k, [101, 103, 107, 109, 113, 127, 131] AS ms FROM i),
+w AS (SELECT key, list_filter(ms, lambda m: k % m = 0)[1] AS m FROM f)
+SELECT 'CONTRACT_UNKNOWN_PROPERTY' AS rule, key, '' AS detail FROM w WHERE m = 101
+UNION ALL SELECT 'CONTRACT_TYPES', key, '' FROM w WHERE m IN (101, 103, 107, 109)
+UNION ALL SELECT 'CONTRACT_SCHEMA:' || CASE m WHEN 103 THEN 'record_id' WHEN 107 THEN 'event' WHEN 109 THEN 'lumi'
+  WHEN 113 THEN 'run' WHEN 127 THEN 'target' ELSE 'jet_index' END, key, '' FROM w WHERE m > 101
+UNION ALL SELECT DISTINCT 'CONTRACT_SCHEMA:schema_version', lumi::VARCHAR, '' FROM jets WHERE lumi % 4 = 0
+UNION ALL SELECT DISTINCT 'CONTRACT_SCHEMA:canonical_dataset.byte_size', lumi::VARCHAR, '' FROM jets WHERE lumi % 5 = 0
+UNION ALL SELECT DISTINCT 'CONTRACT_TYPES', lumi::VARCHAR, '' FROM jets WHERE lumi % 5 = 0 OR lumi % 7 = 0
+UNION ALL SELECT DISTINCT 'CONTRACT_UNKNOWN_PROPERTY', lumi::VARCHAR, '' FROM jets WHERE lumi % 7 = 0
+UNION ALL SELECT 'CONTRACT_EMPTY:jets', 'empty-' || r_name, '' FROM region""",
+)
+def inventory_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inventory documents written below the shared folder and read as VARIANT: keys and types as they stand."""
+    k = F.col("o_orderkey")
+    jet = F.to_json(F.struct("record_id", "canonical_pfn", "run", "lumi", "event", "jet_index", "target"))
+    jets = tables.jets(spark, sf_dir).select(k, "lumi", jet.alias("jet"))
+    faulty = jets.select(k, "lumi", F.expr(_KEY_FAULTS).alias("jet"))
+    held = faulty.groupBy(F.col("lumi").alias("n")).agg(
+        F.array_sort(F.collect_list(F.struct(k, "jet"))).alias("held")
+    )
+    n = F.col("n")
+    documents = held.select(
+        n.cast("string").alias("name"),
+        F.when(n % 4 == 0, F.lit("2.0.0")).otherwise(F.lit("1.0.0")).alias("version"),
+        F.when(n % 5 == 0, F.lit("1.5")).otherwise(F.lit("1")).alias("size"),
+        F.when(n % 7 == 0, F.lit('"more":{"a":1},')).otherwise(F.lit("")).alias("more"),
+        F.array_join(F.transform("held", lambda h: h["jet"]), ",").alias("jets"),
+    ).unionByName(
+        tables.table(spark, sf_dir, "region").select(
+            F.concat(F.lit("empty-"), "r_name").alias("name"),
+            F.lit("1.0.0").alias("version"),
+            F.lit("1").alias("size"),
+            F.lit("").alias("more"),
+            F.lit("").alias("jets"),
+        )
+    )
+    text = F.format_string(
+        '{%s"schema_version":"%s","canonical_dataset":{"path":"%s","sha256":"%s","byte_size":%s},"jets":[%s]}',
+        "more", "version", "name", F.sha2("name", 256), "size", "jets",
+    )
+    path = _folder(spark, "inventories")
+    documents.select(text.alias("value")).write.text(path)
+    read = table_source.read_inventory_documents(spark, path, lines=True)
+    named = read.withColumn("source", F.try_variant_get("v", "$.canonical_dataset.path", "string"))
+    return table_source.inventory_contract(named)
+
+
 @query("file_inventory")
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given table files themselves: relative path, SHA-256 and size."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jetframe.functions import identity
-from jetframe.operators import canonical, digest
+from jetframe.operators import canonical, contracts, digest
 from jetframe.rules import RuleViolation, broken_rules
 from jetframe.schema import INVENTORY, JETS, PARALLEL_JETS, PREDICTIONS
 
@@ -187,6 +187,48 @@ def inventory_violations(rows: DataFrame) -> DataFrame:
     )
 
 
+# The keys of an identity inventory and of its jets.
+INVENTORY_FIELDS = {
+    "schema_version": contracts.Text(allowed=("1.0.0",)),
+    "canonical_dataset": contracts.Object(
+        {
+            "path": contracts.ANY,
+            "sha256": contracts.SHA,
+            "byte_size": contracts.Integer(0),
+        }
+    ),
+    "jets": contracts.Free("ARRAY"),
+}
+INVENTORY_JET = {
+    "record_id": contracts.Integer(1),
+    "canonical_pfn": contracts.ANY,
+    "run": contracts.Integer(1),
+    "lumi": contracts.Integer(1),
+    "event": contracts.Integer(1),
+    "jet_index": contracts.Integer(0),
+    "target": contracts.Integer(0, 1),
+}
+
+
+def read_inventory_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``(source, v)``: inventories as they are written, one per file, or one per line with ``lines``."""
+    reader = spark.read.option("singleVariantColumn", "v").option("multiLine", not lines)
+    return reader.json(path).select(F.col("_metadata.file_path").alias("source"), "v")
+
+
+def inventory_contract(documents: DataFrame) -> DataFrame:
+    """Exact keys and types of inventories ``(source, v)``: unknown and missing keys, booleans, decimals and
+    texts in place of whole numbers, values out of range; per document and per jet (``source:position``)."""
+    v = F.col("v")
+    jets = F.try_variant_get(v, "$.jets", "array<variant>")
+    empty = {"CONTRACT_EMPTY:jets": F.size(jets) == 0}
+    whole = contracts.variant_violations(documents.select(F.col("source").alias("key"), "v"), INVENTORY_FIELDS, empty)
+    each = documents.select("source", F.posexplode(jets).alias("pos", "v")).select(
+        F.concat_ws(":", "source", F.col("pos").cast("string")).alias("key"), "v"
+    )
+    return whole.unionByName(contracts.variant_violations(each, INVENTORY_JET))
+
+
 def write_predictions(predictions: DataFrame, path: str) -> None:
     """Scores stored as float, like the published payload; partitioned by run."""
     stored = predictions.select(

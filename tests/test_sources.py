@@ -189,3 +189,34 @@ def test_order_digest_merges_and_sees_every_change(spark):
     value = [(int(hashlib.sha256(v.encode()).hexdigest()[:12], 16) % (digest.MODULUS - 1)) + 1 for v in names]
     want = [sum(x * pow(b, k, digest.MODULUS) for k, x in enumerate(value)) % digest.MODULUS for b in digest.BASES]
     assert same == ":".join([digest.ORDER_RULE, "50", *map(str, want)])
+
+
+def test_inventory_types_as_they_are_written(spark, tmp_path):
+    jet = {"record_id": 1, "canonical_pfn": "f", "run": 1, "lumi": 1, "event": 1, "jet_index": 0, "target": 1}
+    doc = {
+        "schema_version": "1.0.0",
+        "canonical_dataset": {"path": "p", "sha256": "0" * 64, "byte_size": True},
+        "jets": [
+            jet, {**jet, "run": True}, {**jet, "run": "1"}, {**jet, "run": 1.0}, {**jet, "run": None},
+            {**jet, "more": 1}, {k: v for k, v in jet.items() if k != "run"}, {**jet, "target": 2}, 5, None,
+            {**jet, "event": 10**20}, {**jet, "run": 0},
+        ],
+        "note": {"deep": [1]},
+    }
+    (tmp_path / "i.json").write_text(json.dumps(doc, indent=1))
+    (tmp_path / "j.json").write_text("{")
+    read = tables.read_inventory_documents(spark, str(tmp_path)).withColumn(
+        "source", F.substring_index("source", "/", -1)
+    )
+    found = {}
+    for r in tables.inventory_contract(read).collect():
+        found.setdefault(r.key, set()).add(r.rule)
+    run, types = "CONTRACT_SCHEMA:run", "CONTRACT_TYPES"
+    assert found.pop("j.json", {"CONTRACT_JSON"}) == {"CONTRACT_JSON"}
+    assert found == {
+        "i.json": {"CONTRACT_SCHEMA:canonical_dataset.byte_size", types, "CONTRACT_UNKNOWN_PROPERTY"},
+        "i.json:1": {run, types}, "i.json:2": {run, types}, "i.json:3": {run, types}, "i.json:4": {run},
+        "i.json:5": {"CONTRACT_UNKNOWN_PROPERTY", types}, "i.json:6": {run},
+        "i.json:7": {"CONTRACT_SCHEMA:target"}, "i.json:8": {types}, "i.json:11": {run},
+    } | {k: v for k, v in found.items() if k == "i.json:9"}
+    assert found.get("i.json:9", {types}) <= {types, "CONTRACT_JSON"}
