@@ -597,9 +597,14 @@ def one_of_each(
     """One row of ``docs``, all columns, of every component: one with its smallest id, null the largest.
 
     Documents with an empty set are components of their own. Ids tell rows apart if none is null or
-    repeated; otherwise ids and sets do, and of rows with the same of both one stays.
+    repeated; otherwise ids and sets do, and of rows with the same of both one stays. Columns may have
+    any names.
     """
     found = with_components(docs, id_column, text_column)
+    # Own names for the columns, so that none of the table's can clash with those made here.
+    names = docs.columns
+    given = docs.toDF(*[f"c{n}" for n in range(len(names))])
+    own_id, own_text = (f"c{names.index(c)}" for c in (id_column, text_column))
     keys = ["component", "component_id", "doc_id", "node"]
     pairs = checkpoint(found.groupBy(*keys).agg(F.count("*").alias("rows")))
     unclear = pairs.groupBy("doc_id").agg(F.sum("rows").alias("rows"))
@@ -607,7 +612,7 @@ def one_of_each(
         dropped = checkpoint(
             pairs.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
         )
-        return docs.join(dropped, docs[id_column] == dropped["_id"], "left_anti")
+        return given.join(dropped, F.col(own_id) == F.col("_id"), "left_anti").toDF(*names)
     least = pairs.filter("component IS NOT NULL").groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("least")
     )
@@ -616,12 +621,12 @@ def one_of_each(
     marked = checkpoint(named.select("doc_id", "node", "rows", stays.alias("stays")))
     ends = [F.col("doc_id").alias("_id"), F.col("node").alias("_end")]
     dropped = marked.filter("NOT stays").select(*ends)
-    marks = with_node(docs, text_column)
-    same = F.col(id_column).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_end"))
+    marks = with_node(given, own_text)
+    same = F.col(own_id).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_end"))
     repeated = marked.filter("stays AND rows > 1").select(*ends)
-    single = marks.join(dropped.union(repeated), same, "left_anti").select(*docs.columns)
+    single = marks.join(dropped.union(repeated), same, "left_anti").select(*given.columns)
     again = marks.join(repeated, same, "left_semi")
-    one = again.groupBy(id_column, "_node").agg(
-        F.min_by(F.struct(*docs.columns), F.coalesce(text_column, F.lit(""))).alias("_row")
+    one = again.groupBy(own_id, "_node").agg(
+        F.min_by(F.struct(*given.columns), F.coalesce(own_text, F.lit(""))).alias("_row")
     )
-    return single.union(one.select("_row.*"))
+    return single.union(one.select("_row.*")).toDF(*names)

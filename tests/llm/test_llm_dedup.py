@@ -128,6 +128,16 @@ def test_one_of_each_with_shared_and_null_ids(spark):
     assert found == Counter(wanted) and len(kept.columns) == 7
 
 
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    kind = "_id int, doc_id bigint, text string, _node string, _row int, _end int, c0 int, component long"
+    rows = [(1, 1, "a b c d e f"), (2, 5, "A b c d e f"), (3, 5, "a clean row of its own"), (4, None, None)]
+    for some in (rows, rows[:1] + rows[2:3]):
+        docs = spark.createDataFrame([(*r, "n", 4, 5, 6, 7) for r in some], kind)
+        kept = jaccard_join.one_of_each(docs)
+        assert kept.columns == docs.columns
+        assert {r["_id"] for r in kept.collect()} == {r[0] for r in some} - {2}
+
+
 def test_prefix_length_covers_all_links():
     for n in range(1, 400):
         least = -(-n * 75 // 100)

@@ -369,7 +369,34 @@ def test_pipeline(spark):
     ]
 
 
+def test_pipeline_on_a_dirty_table(spark, tmp_path):
+    """Nulls in any column, repeated rows, equal ids, empty and long texts, columns named like ours; and no rows."""
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint, _node int, _id int, _row int, key int, label int, node int, digest int"
+    rng = random.Random(21)
+    fill = [a + b for a in "bcdfgh" for b in ("ale", "ore", "und", "ist", "ent")]
+    texts = [" ".join(rng.choices(fill, k=rng.choice([3, 40, 200]))) + "." for _ in range(60)]
+    rows = [(n, t, "en", "s", len(t)) for n, t in enumerate(texts)]
+    rows += [(5, texts[5], "en", "s", 1), (5, texts[5], "en", "s", 1), (6, "other words under the same id", "en", "s", 1)]
+    rows += [(None, texts[7].upper(), None, None, None), (None, None, None, None, None), (200, "", "en", "s", 0)]
+    rows += [(201, " ".join(f"w{n}" for n in range(30_000)), "en", "s", 1)]
+    near = texts[8].split()
+    rows += [(202, " ".join([*near, "again"]), "en", "s", 1)]
+    extra = (1, 2, 3, 4, 5, 6, 7)
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], kind).repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [(n, 1, 0) for n in range(60)] + [(None, 1, 1), (3, None, None)]
+    labels(spark, marks).write.parquet(f"{tmp_path}/labels.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} <= {r[0] for r in rows}
+    assert {r["doc_id"] for r in packed} >= set(range(10, 60)) | {200, 201}
+    assert 202 not in {r["doc_id"] for r in packed} or len(near) < 30
+    empty = f"{tmp_path}/none"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    labels(spark, []).write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
 def test_registered_queries(spark):
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names[:-1]] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in names[:-1]] == [f"op{n}" for n in range(1, 14)]
     assert names[-1] == "pipeline" and set(registry.oracles()) <= set(names)
