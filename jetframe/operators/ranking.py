@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from jetframe.functions.identity import named_split, seeded_rank
 from jetframe.operators.ordered import range_bounds, with_bin
 from jetframe.rules import union_all
+from jetframe.session import stored
 
 
 def binned_ordinal(
@@ -91,6 +92,38 @@ def check_sizes(sizes: Sequence[int]) -> list[int]:
     return grid
 
 
+def turn_places(sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, _lane, _lo, _hi, _small, _reach, _place)``: where a lane's turns stand when lanes take turns.
+
+    ``sizes`` has the ``size`` of every lane.  Between two neighbouring sizes the same lanes are still taking
+    turns, so with ``_lo < turn <= _hi`` the place of a row is
+    ``_small + (turn - 1) * _reach + _place``: all rows of the lanes that have run out, the earlier turns of
+    those that have not, and the lanes that come before in this turn.  A row per lane and size.
+    """
+    lane = sizes.select(*keys, "_lane", "size")
+    steps = lane.groupBy(*keys, "size").agg(F.count("*").alias("_lanes"))
+    by_size = Window.partitionBy(*keys).orderBy("size")
+    earlier, later = (
+        by_size.rowsBetween(Window.unboundedPreceding, -1),
+        by_size.rowsBetween(Window.currentRow, Window.unboundedFollowing),
+    )
+    zero = F.lit(0).cast("bigint")
+    bounded = steps.select(
+        *keys,
+        F.coalesce(F.lag("size").over(by_size), zero).alias("_lo"),
+        F.col("size").alias("_hi"),
+        F.coalesce(F.sum(F.col("size") * F.col("_lanes")).over(earlier), zero).alias("_small"),
+        F.sum("_lanes").over(later).alias("_reach"),
+    )
+    among = Window.partitionBy(*keys, "_hi").orderBy("_lane")
+    met = lane.join(bounded, list(keys))
+    return (
+        met.filter(F.col("_hi") <= F.col("size"))
+        .withColumn("_place", F.row_number().over(among))
+        .drop("size")
+    )
+
+
 def balanced_order(
     rows: DataFrame,
     limit: int,
@@ -99,19 +132,42 @@ def balanced_order(
     label: str = "label",
     record: str = "record_id",
     id_col: str = "jet_id",
+    digits: int = 3,
 ) -> DataFrame:
     """The first ``limit`` rows of each class in selection order, as column ``pos``.
 
     Class 1 is one queue in seeded order.  Class 0 has one queue per record, and the
     queues take turns in ascending record order; a row's turn is its position in its
-    own queue, so the overall order is ``(turn, record)`` and needs no loop.
+    own queue, so the overall order is ``(turn, record)``.  Rows are counted once per queue and bin of
+    their rank; both the turn and the place follow from these counts, so the rows are read twice and ordered
+    once, whatever the limit.
     """
+    keys = [*by, label]
     lanes = rows.withColumn(
         "_lane", F.when(F.col(label) == 1, F.lit(-1).cast("bigint")).otherwise(F.col(record))
     )
-    queued = hash_ordinal(lanes, id_col, seed, [*by, label, "_lane"], "_turn", limit)
-    ordered = binned_ordinal(queued, [*by, label], "_turn", ["_lane"], "pos", limit)
-    return ordered.drop("_lane", "_turn")
+    ranked = lanes.withColumn("_rank", seeded_rank(seed, F.col(id_col))).withColumn(
+        "_bin", F.substring("_rank", 1, digits)
+    )
+    counted = stored(ranked.groupBy(*keys, "_lane", "_bin").agg(F.count("*").alias("_rows")))
+    before = (
+        Window.partitionBy(*keys, "_lane").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = counted.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).filter(
+        F.col("_before") < limit
+    )
+    inside = Window.partitionBy(*keys, "_lane", "_bin").orderBy("_rank", id_col)
+    queued = ranked.join(offsets.drop("_rows"), [*keys, "_lane", "_bin"]).withColumn(
+        "_turn", F.row_number().over(inside) + F.col("_before")
+    )
+    sizes = counted.groupBy(*keys, "_lane").agg(F.least(F.sum("_rows"), F.lit(limit)).alias("size"))
+    placed = queued.filter(F.col("_turn") <= limit).join(turn_places(sizes, keys), [*keys, "_lane"])
+    turn = F.col("_turn")
+    found = placed.filter((turn > F.col("_lo")) & (turn <= F.col("_hi"))).withColumn(
+        "pos", (F.col("_small") + (turn - 1) * F.col("_reach") + F.col("_place")).cast("bigint")
+    )
+    made = ["_lane", "_rank", "_bin", "_before", "_turn", "_lo", "_hi", "_small", "_reach", "_place"]
+    return found.filter(F.col("pos") <= limit).drop(*made)
 
 
 def subset_members(

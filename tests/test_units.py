@@ -540,3 +540,38 @@ def test_digest_tree_finds_one_changed_member(spark):
     assert {tuple(r) for r in found} == {
         ("big", "m04711", "changed"), ("big", "m00001", "missing"), ("big", "new", "extra"),
     }
+
+
+def test_round_robin_places_in_closed_form(spark):
+    """Lanes of many sizes, limits in the thousands, several groups: equal to taking turns one by one."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for split in ("train", "test"):
+        for record in range(1, 13):
+            for n in range(int(rng.integers(0, 700))):
+                rows.append((split, record, f"{split}-{record}-{n}", 0))
+        rows += [(split, 99, f"{split}-s{n}", 1) for n in range(300)]
+    table = spark.createDataFrame(rows, "split string, record_id bigint, jet_id string, label int")
+    for limit in (7, 1500, 10_000):
+        got = {
+            (r.split, r.label, r.pos): r.jet_id
+            for r in ranking.balanced_order(table, limit, 11, by=["split"]).collect()
+        }
+        want = {}
+        for split in ("train", "test"):
+            rank = lambda i: (hashlib.sha256(f"11\0{i}".encode()).hexdigest(), i)
+            lanes = {}
+            for s, record, jet, label in rows:
+                if s == split:
+                    lanes.setdefault(-1 if label else record, []).append(jet)
+            queues = {k: sorted(v, key=rank) for k, v in lanes.items()}
+            signal = queues.pop(-1)
+            order = [
+                queues[k][turn]
+                for turn in range(max(map(len, queues.values())))
+                for k in sorted(queues)
+                if turn < len(queues[k])
+            ]
+            want |= {(split, 0, n): j for n, j in enumerate(order[:limit], 1)}
+            want |= {(split, 1, n): j for n, j in enumerate(signal[:limit], 1)}
+        assert got == want, limit
