@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from jetframe.functions.particles import delta_r
 from jetframe.operators.ranking import binned_ordinal
-from jetframe.session import checkpoint
+from jetframe.session import Shelf, stored
 
 # Selection window and match radius.
 PT_MIN, PT_MAX, ETA_MAX = 500.0, 1000.0, 2.0
@@ -127,24 +127,34 @@ def terminal_copies(edges: DataFrame, nodes: DataFrame, max_rounds: int = 32) ->
     """``(node, terminal)`` for every node.
 
     Pointer doubling: each round replaces a pointer by the pointer of its target, so a
-    chain of length n takes log2(n) rounds.  Every round is cut by a reliable checkpoint.
+    chain of length n takes log2(n) rounds.  Only chains that still move are joined; a node whose target
+    points nowhere is finished and leaves.  Rounds are tables in the shared folder, and a round's table
+    of moving chains goes when the next is written.  A target that very many chains share stands
+    once on its side of the join, so the other side can be split.
     A chain that is still moving after ``max_rounds`` is a cycle.
     """
-    chain = checkpoint(next_copy(edges, nodes).select("node", F.col("next").alias("ptr")))
+    shelf = Shelf(nodes.sparkSession)
+    moving = shelf.put(next_copy(edges, nodes).select("node", F.col("next").alias("ptr")))
+    known, finished = moving, None
     for _ in range(max_rounds):
-        hop = chain.select(F.col("node").alias("ptr"), F.col("ptr").alias("hop"))
-        moved = chain.join(hop, "ptr", "left").select(
-            "node",
-            F.coalesce("hop", "ptr").alias("ptr"),
-            F.col("hop").isNotNull().alias("moved"),
+        hop = known.select(F.col("node").alias("ptr"), F.col("ptr").alias("hop"))
+        seen = Observation()
+        step = moving.join(hop, "ptr", "left").select(
+            "node", F.coalesce("hop", "ptr").alias("ptr"), F.col("hop").isNotNull().alias("moved")
         )
-        step = checkpoint(moved)
-        chain = step.select("node", "ptr")
-        if step.filter("moved").isEmpty():
+        parts = shelf.put(
+            step.observe(seen, F.count_if("moved").alias("moved"), F.count("*").alias("rows"))
+        )
+        ended = shelf.put(parts.filter("NOT moved").select("node", "ptr"))
+        still = shelf.put(parts.filter("moved").select("node", "ptr"), parts, moving)
+        finished = ended if finished is None else finished.union(ended)
+        moving, known = still, finished.union(still)
+        if not seen.get["moved"]:
             break
     else:
+        shelf.close()
         raise ValueError("copy chain does not end: the graph has a cycle")
-    return nodes.select("node").join(chain, "node", "left").select(
+    return nodes.select("node").join(finished, "node", "left").select(
         "node", F.coalesce("ptr", "node").alias("terminal")
     )
 
@@ -155,7 +165,8 @@ def decay_signature(edges: DataFrame, nodes: DataFrame, terminal: DataFrame) ->
     Returns ``(top, bottom, q1, q2)``, each followed to its terminal copy.
     """
     size = F.abs(F.col("code"))
-    coded = edges.join(nodes.select(F.col("node").alias("daughter"), "code"), "daughter")
+    # Read for the decay of the top and of the W.
+    coded = stored(edges.join(nodes.select(F.col("node").alias("daughter"), "code"), "daughter"))
     tops = nodes.filter(size == TOP).join(terminal.filter("node = terminal"), "node").select("node")
     first = (
         coded.filter(size.isin(BOTTOM, W_BOSON))

@@ -11,6 +11,7 @@ from jetframe.plans import sql_views as sv
 from jetframe.plans import tables
 from jetframe.plans.catalog import query
 from jetframe.schema import FEATURE_VIEWS
+from jetframe.session import stored
 
 
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,8 +334,8 @@ SELECT top, b AS bottom, t1.terminal AS q1, t2.terminal AS q2 FROM x JOIN q USIN
 JOIN term t1 ON t1.node = q1 JOIN term t2 ON t2.node = q2""",
 )
 def decay_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, nodes = _graph(spark, sf_dir)
-    return match.decay_signature(edges, nodes, match.terminal_copies(edges, nodes))
+    edges, nodes = (stored(part) for part in _graph(spark, sf_dir))
+    return match.decay_signature(edges, nodes, stored(match.terminal_copies(edges, nodes)))
 
 
 _LANES = ", ".join(
