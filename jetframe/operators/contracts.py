@@ -93,6 +93,16 @@ class Items:
     required: bool = True
 
 
+@dataclass(frozen=True)
+class Each:
+    """Array of at least ``least`` values that all keep to one scalar rule; ``unique``: none twice."""
+
+    value: Text | Integer | Number
+    least: int = 1
+    unique: bool = False
+    required: bool = True
+
+
 @dataclass(frozen=True)
 class Keyed:
     """Object whose keys are positive whole numbers and whose values are all alike."""
@@ -529,6 +539,9 @@ def contract_rows(spec, path: str = "") -> list[dict]:
         row |= {"constants": list(spec.values)}
     elif isinstance(spec, Free):
         row |= {"kind": f"free_{spec.kind.lower()}"}
+    elif isinstance(spec, Each):
+        row |= {"least": spec.least, "single": spec.unique}
+        below = contract_rows(spec.value, f"{path}[]")
     elif isinstance(spec, Keyed):
         below = contract_rows(spec.value, f"{path}.*")
     elif isinstance(spec, Items):
@@ -585,7 +598,7 @@ def opened(record: Column, rows: list[dict]) -> Column:
         )
         found = (
             F.when(F.array_contains(paths("object"), at["path"]), named)
-            .when(F.array_contains(paths("items"), at["path"]), items)
+            .when(F.array_contains(paths("items", "each"), at["path"]), items)
             .when(F.array_contains(paths("keyed"), at["path"]), keyed)
         )
         return F.coalesce(found, F.array().cast(f"array<{NODE}>"))
@@ -630,7 +643,7 @@ def value_rules(formats: list[str]) -> Column:
         .when(kind == "integer", (shape == "BIGINT") | shape.rlike(r"^DECIMAL\((?:19|[23]\d),0\)$"))
         .when(kind == "flag", shape == "BOOLEAN")
         .when(kind == "names", shape.isin("ARRAY<STRING>", "ARRAY<VOID>"))
-        .when(kind.isin("items", "constants", "free_array"), shape.startswith("ARRAY"))
+        .when(kind.isin("items", "each", "constants", "free_array"), shape.startswith("ARRAY"))
         .otherwise(shape.startswith("OBJECT"))
     )
     good_text = matches_format(text, formats) & F.coalesce(
@@ -659,8 +672,9 @@ def value_rules(formats: list[str]) -> Column:
             F.coalesce(F.try_variant_get(value, "$", "array<bigint>") == F.col("constants"), F.lit(False)),
         )
         .when(
-            kind == "items",
-            F.size(F.try_variant_get(value, "$", "array<variant>")) >= F.col("least"),
+            kind.isin("items", "each"),
+            (F.size(F.try_variant_get(value, "$", "array<variant>")) >= F.col("least"))
+            & (~F.coalesce("single", F.lit(False)) | (F.size(F.array_distinct(names)) == F.size(names))),
         )
         .otherwise(F.lit(True))
     )

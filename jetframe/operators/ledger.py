@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jetframe.functions.identity import SHA256_FORMAT
+from jetframe.operators import contracts
 
 # Status order and stage prerequisites.
 STATUS_RANK = {"specified": 0, "implemented": 1, "verified": 2}
@@ -67,6 +68,34 @@ def sweep_grid(studies: DataFrame) -> DataFrame:
     )
 
 
+# The keys of a sweep's configuration and what its axes may hold.
+SWEEP_FIELDS = {
+    "schema_version": contracts.Text(allowed=("1.0.0",)),
+    "study_id": contracts.SLUG,
+    "stage": contracts.Text(allowed=tuple(STAGE_PREREQUISITES)),
+    "feature_configs": contracts.Each(contracts.Text(allowed=("A", "B", "C", "D")), unique=True),
+    "train_sizes_per_class": contracts.Each(contracts.Integer(1)),
+    "model_seeds": contracts.Each(contracts.Integer(0)),
+    "model_condition": contracts.Text(allowed=contracts.FAMILIES),
+    "mandatory": contracts.Flag(),
+    "dependency_hashes": contracts.Free(),
+}
+
+
+def sweep_violations(configs: DataFrame, json: str = "json", key: str = "study") -> DataFrame:
+    """Sweep configurations as JSON against their closed keys and axes: missing and unknown keys, axes that
+    are no arrays, empty, of a wrong type, out of range or with a repeated view, and no dependencies."""
+    v = F.col("v")
+    hashes = F.map_values(F.try_variant_get(v, "$.dependency_hashes", "map<string,variant>"))
+    bad_hash = F.exists(
+        hashes,
+        lambda x: ~F.coalesce(F.try_variant_get(x, "$", "string").rlike(SHA256_FORMAT), F.lit(False)),
+    )
+    whole = {"RUN_CONFIG_DEPENDENCIES": (F.size(hashes) == 0) | bad_hash}
+    parsed = configs.select(F.col(key).alias("key"), F.try_parse_json(json).alias("v"))
+    return contracts.variant_violations(parsed, SWEEP_FIELDS, whole)
+
+
 def matrix_status(planned: DataFrame, records: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every planned run with its status; ``missing`` where there is no record.
 

@@ -76,21 +76,6 @@ def source_rules(jets: DataFrame, manifest: DataFrame, roles: DataFrame) -> Data
     )
 
 
-def record_gaps(manifest: DataFrame, roles: DataFrame) -> DataFrame:
-    """Records without a role and roles without a record."""
-    records = manifest.select("record_id").distinct()
-    both = records.withColumn("in_manifest", F.lit(True)).join(
-        roles.select("record_id").withColumn("in_roles", F.lit(True)), "record_id", "full_outer"
-    )
-    return both.filter("in_manifest IS NULL OR in_roles IS NULL").select(
-        F.lit("CONFIG_RECORDS").alias("rule"),
-        as_text(F.col("record_id")).alias("key"),
-        F.when(F.col("in_roles").isNull(), F.lit("no role")).otherwise(F.lit("not in manifest")).alias(
-            "detail"
-        ),
-    )
-
-
 def partition_report(jets: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files, distinct events and jets by class for every split."""
     events = (

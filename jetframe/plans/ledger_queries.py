@@ -42,6 +42,48 @@ def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.sweep_grid(_studies(spark, sf_dir))
 
 
+_SWEEP = """concat('{"schema_version":"1.0.0","study_id":"study-', c_custkey, '","stage":"',
+  CASE WHEN c_custkey % 11 = 0 THEN 'E9' ELSE 'E2' END, '","feature_configs":',
+  CASE WHEN c_custkey % 13 = 0 THEN '[]' WHEN c_custkey % 17 = 0 THEN '["A","B","A"]' WHEN c_custkey % 19 = 0
+  THEN '["A","E"]' WHEN c_custkey % 23 = 0 THEN '"A"' ELSE '["A","B"]' END, ',"train_sizes_per_class":',
+  CASE WHEN c_custkey % 29 = 0 THEN '[1000,0]' WHEN c_custkey % 31 = 0 THEN '[1000.0]' ELSE '[1000,10000]' END,
+  ',"model_seeds":', CASE WHEN c_custkey % 37 = 0 THEN '[0,-1]' WHEN c_custkey % 41 = 0 THEN '[true]' ELSE '[0,1]' END,
+  ',"model_condition":"deep_sets_pfn"', CASE WHEN c_custkey % 43 = 0 THEN '' ELSE ',"mandatory":true' END,
+  CASE WHEN c_custkey % 47 = 0 THEN ',"note":1' ELSE '' END, ',"dependency_hashes":',
+  CASE WHEN c_custkey % 53 = 0 THEN '{}' WHEN c_custkey % 59 = 0 THEN '{"a":"short"}'
+  ELSE concat('{"a":"', repeat('0', 64), '"}') END, '}')"""
+_SWEEP_CHECKS = (
+    ("CONTRACT_SCHEMA:stage", "k % 11 = 0"),
+    ("CONTRACT_SCHEMA:feature_configs", "k % 13 = 0 OR k % 17 = 0 OR (k % 23 = 0 AND k % 19 <> 0)"),
+    ("CONTRACT_SCHEMA:feature_configs[]", "k % 13 <> 0 AND k % 17 <> 0 AND k % 19 = 0"),
+    ("CONTRACT_SCHEMA:train_sizes_per_class[]", "k % 29 = 0 OR k % 31 = 0"),
+    ("CONTRACT_SCHEMA:model_seeds[]", "k % 37 = 0 OR k % 41 = 0"),
+    ("CONTRACT_SCHEMA:mandatory", "k % 43 = 0"),
+    ("CONTRACT_UNKNOWN_PROPERTY", "k % 47 = 0"),
+    ("RUN_CONFIG_DEPENDENCIES", "k % 53 = 0 OR k % 59 = 0"),
+    (
+        "CONTRACT_TYPES",
+        "(k % 23 = 0 AND k % 13 <> 0 AND k % 17 <> 0 AND k % 19 <> 0) OR (k % 31 = 0 AND k % 29 <> 0) "
+        "OR (k % 41 = 0 AND k % 37 <> 0) OR k % 47 = 0",
+    ),
+)
+
+
+@query(
+    "sweep_rules",
+    "WITH c AS (SELECT c_custkey AS k FROM customer) "
+    + " UNION ALL ".join(
+        f"SELECT '{rule}' AS rule, k::VARCHAR AS key, '' AS detail FROM c WHERE {bad}" for rule, bad in _SWEEP_CHECKS
+    ),
+)
+def sweep_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sweep configuration per customer, with faults of keys and axes planted."""
+    configs = tables.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("study"), F.expr(_SWEEP).alias("json")
+    )
+    return ledger.sweep_violations(configs)
+
+
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'failed' ELSE 'timed_out' END"
 
 

@@ -105,15 +105,6 @@ PARALLEL_JETS = T.StructType(
     JET_FIELDS + [T.StructField(name, T.ArrayType(kind)) for name, _, kind in PARALLEL_ARRAYS]
 )
 
-MANIFEST = T.StructType(
-    [
-        T.StructField("record_id", T.LongType()),
-        T.StructField("canonical_pfn", T.StringType()),
-        T.StructField("adler32", T.StringType()),
-        T.StructField("size_bytes", T.LongType()),
-    ]
-)
-
 INVENTORY = T.StructType(
     [
         T.StructField("schema_version", T.StringType()),
