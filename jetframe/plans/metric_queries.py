@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jetframe.operators import bootstrap, metrics, split
+from jetframe.operators import bootstrap, metrics
 from jetframe.plans import sql_views as sv
 from jetframe.plans import tables
 from jetframe.plans.catalog import query
