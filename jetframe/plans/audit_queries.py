@@ -195,10 +195,15 @@ def _tops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_DR = " AND ".join(
-    f"sqrt((eta - {p}_eta) * (eta - {p}_eta) + {sv.wrap(f'phi - {p}_phi')} * {sv.wrap(f'phi - {p}_phi')}) < 0.8::DOUBLE"
-    for p in ("t", "b", "q1", "q2")
-)
+def _near(wrap) -> str:
+    """A top and its three daughters lie within the match radius; ``wrap`` gives the text of an angle."""
+    return " AND ".join(
+        f"sqrt((eta - {p}_eta) * (eta - {p}_eta) + {wrap(f'phi - {p}_phi')} * {wrap(f'phi - {p}_phi')}) < 0.8::DOUBLE"
+        for p in ("t", "b", "q1", "q2")
+    )
+
+
+_DR = _near(sv.wrap)
 _MATCH = f"""{sv.JETS}, ej AS (SELECT o_orderkey, o_orderkey // 4 AS ev, o_orderkey % 4 AS source,
     jet_pt::DOUBLE AS pt, jet_eta::DOUBLE AS eta, jet_phi::DOUBLE AS phi,
     (18000 + (o_orderkey // 4) % 5)::BIGINT AS sample, (o_orderkey // 4) % 5 < 2 AS is_signal FROM jets),
@@ -239,7 +244,8 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "deltar_match",
-    f"""WITH {_MATCH} SELECT o_orderkey, jet_index::INTEGER AS jet_index, coalesce(matches, 0)::BIGINT AS matches,
+    f"""WITH {_MATCH.replace(_DR, _near(sv.floored_wrap))}
+SELECT o_orderkey, jet_index::INTEGER AS jet_index, coalesce(matches, 0)::BIGINT AS matches,
   CASE WHEN NOT is_signal THEN 'background' WHEN matches = 1 THEN 'matched' WHEN matches > 1 THEN 'EXTRACT_AMBIGUOUS_TRUTH' ELSE 'dropped' END AS status
 FROM kin LEFT JOIN mm USING (o_orderkey)""",
 )

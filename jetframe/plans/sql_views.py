@@ -19,6 +19,16 @@ def wrap(x: str) -> str:
     return f"(((({x}) + pi()) % ({t}) + ({t})) % ({t}) - pi())"
 
 
+def floored_wrap(x: str) -> str:
+    """Angle in [-pi, pi) by the floored remainder itself: 2 pi is added to negative remainders only.
+
+    Adding it to all of them, as ``wrap`` does, costs the last bits of an angle.
+    """
+    t = "2*pi()"
+    r = f"((({x}) + pi()) % ({t}))"
+    return f"(CASE WHEN {r} < 0 THEN ({r} + {t}) % ({t}) ELSE {r} END - pi())"
+
+
 ROLE = (
     "CASE {n} % 5 WHEN 0 THEN 'signal' WHEN 4 THEN 'qcd_candidate' ELSE 'qcd_active' END"
 )
