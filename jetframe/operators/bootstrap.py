@@ -20,22 +20,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from jetframe.operators import resample
 from jetframe.operators.metrics import EFFICIENCIES, label_of
 from jetframe.operators.ordered import range_bounds, running_sums
 from jetframe.operators.ranking import hash_ordinal
-from jetframe.session import stored
+from jetframe.operators.resample import OBSERVED
+from jetframe.session import small_batches, stored
 
 DRAW_RULE = "md5-hex12-v1"
-# Positions of a class that one task draws at a time.
-SLICE = 1_000_000
-# An index up to this size is broadcast: its rows are counted, and hold so many bytes at most.
-BROADCAST_BYTES = 32 << 20
-ROW_BYTES = 64
+# Rows of counts that go to a Python worker at a time, each of up to 100 KB or a range of the index.
+BATCH_ROWS = 128
 MIN_REPLICATES = 1000
 RANGES = 16
 # Ranks in a block.
 RANK_BLOCK = 4096
-OBSERVED = -1
 
 
 def check_policy(replicates: int, seed: int) -> None:
@@ -46,10 +44,9 @@ def check_policy(replicates: int, seed: int) -> None:
 
 @dataclass(frozen=True)
 class RankIndex:
-    """``table(target, k, <side>_rank, <side>_ok)``, its number of rows, and the state of the test set."""
+    """``table(target, k, <side>_rank, <side>_ok)`` and the state of the test set."""
 
     table: DataFrame
-    rows: int
     sides: tuple[str, ...]
     unpaired: int
     classes: int
@@ -78,7 +75,6 @@ def rank_index(
     base = stored(
         placed.observe(
             seen,
-            F.count("*").alias("rows"),
             F.count_if(null).alias("unpaired"),
             F.max(F.when(F.col("target") == 0, 1).otherwise(0)).alias("background"),
             F.max(F.when(F.col("target") == 1, 1).otherwise(0)).alias("signal"),
@@ -104,7 +100,6 @@ def rank_index(
     found = seen.get
     return RankIndex(
         stored(table.select("target", "k", *kept)),
-        found["rows"],
         tuple(sides),
         found["unpaired"],
         (found["background"] or 0) + (found["signal"] or 0),
@@ -117,77 +112,59 @@ def width(spark: SparkSession) -> int:
 
 
 def draws(index: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """``(rep, target, slice, drawn, m)``: every class is resampled to its own size, and how often.
+    """``resample.COUNTED``: every class is resampled to its own size, and how often each position is drawn.
 
     A draw needs its replicate, class, position and the class size, and no row of the index:
-    tasks get (replicate, class, slice) and make and count the draws of their slice, so nothing but
-    these short rows is shuffled, on clusters of any size.  Replicate -1 has every row once.
+    tasks get (replicate, class, window of positions) and make and count the draws on their own, so
+    only counts are shuffled, on clusters of any size.  Replicate -1 has every row once.
     """
-    sizes = index.groupBy("target").agg((F.max("k") + 1).alias("n_c"))
-    slots = (
-        sizes.select(
-            "*", F.explode(F.sequence(F.lit(OBSERVED), F.lit(replicates - 1))).alias("rep")
-        )
-        .select(
-            "*",
-            F.explode(
-                F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_c") - 1) / SLICE))
-            ).alias("slice"),
-        )
-        .repartition(width(index.sparkSession), "rep", "target", "slice")
+    sizes = index.groupBy(F.col("target").cast("int").alias("target")).agg(
+        (F.max("k") + 1).cast("bigint").alias("n_c")
     )
-    first = F.col("slice") * SLICE
-    last = F.least(first + SLICE, F.col("n_c")) - 1
-    made = slots.select("rep", "target", "slice", "n_c", F.explode(F.sequence(first, last)).alias("k"))
-    text = F.concat_ws("|", F.lit(str(seed)), "rep", "target", "k")
-    number = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint") % F.col("n_c")
-    drawn = F.when(F.col("rep") == OBSERVED, F.col("k")).otherwise(number)
-    # The partitioning by (rep, target, slice) serves this aggregation: no shuffle.
-    return (
-        made.select("rep", "target", "slice", drawn.alias("drawn"))
-        .groupBy("rep", "target", "slice", "drawn")
-        .agg(F.count("*").alias("m"))
+    each = F.explode(F.sequence(F.lit(OBSERVED), F.lit(replicates - 1))).alias("rep")
+    windows = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_c") - 1) / resample.WINDOW))
+    slots = (
+        sizes.select("*", each)
+        .select("rep", "target", F.explode(windows).alias("window"), "n_c")
+        .repartition(4 * width(index.sparkSession), "rep", "target", "window")
     )
+    return slots.mapInArrow(resample.count_draws(seed), resample.COUNTED)
 
 
 def rank_blocks(index: RankIndex, replicates: int, seed: int) -> DataFrame:
     """``(rep, side, block, groups)``, side by number: tie groups ``(rank, n, p, ok)`` of every block, in rank order.
 
-    Draws meet the index by broadcast up to ``BROADCAST_BYTES`` of counted rows, by a shuffle on
-    ``(target, drawn)`` beyond, which draws fill evenly.  Ranks are combined in the slice that drew them; one
+    The index is cut into ranges of positions. The counts of a range come to it from all replicates, at two bits
+    a position; ranges are gone through one after the other, a replicate at a time, and give counts per rank. One
     shuffle then brings blocks together, each of at most ``RANK_BLOCK`` tie groups.
     """
-    source = index.table.withColumnRenamed("k", "drawn")
-    small = index.rows * ROW_BYTES <= BROADCAST_BYTES
-    source = F.broadcast(source) if small else source.hint("merge")
-    side = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(number).alias("side"),
-                    F.col(f"{name}_rank").alias("rank"),
-                    F.col(f"{name}_ok").alias("ok"),
-                )
-                for number, name in enumerate(index.sides)
-            ]
-        )
+    numbered = [
+        F.col(f"{name}_{kind}").cast("int").alias(f"{kind}_{number}")
+        for number, name in enumerate(index.sides)
+        for kind in ("rank", "ok")
+    ]
+    at = F.floor(F.col("k") / resample.RANGE).cast("bigint").alias("range")
+    ranges = (
+        index.table.select(F.col("target").cast("int").alias("target"), at, F.struct("k", *numbered).alias("row"))
+        .groupBy("target", "range")
+        .agg(F.collect_list("row").alias("index"))
+        .withColumn("rep", F.lit(resample.INDEX))
     )
-    met = draws(index.table, replicates, seed).join(source, ["target", "drawn"])
-    combined = (
-        met.select("rep", "target", "slice", "m", side.alias("s"))
-        .select("rep", "target", "slice", "m", "s.*")
-        .groupBy("rep", "target", "slice", "side", "rank")
-        .agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("ok")).alias("ok"))
-        .withColumn("block", F.floor(F.col("rank") / RANK_BLOCK).cast("int"))
+    met = (
+        draws(index.table, replicates, seed)
+        .unionByName(ranges, allowMissingColumns=True)
+        .repartition(width(index.table.sparkSession), "target", "range")
+        .sortWithinPartitions("target", "range", "rep")
+        .mapInArrow(resample.meet_ranges(len(index.sides), RANK_BLOCK), resample.GROUPED)
     )
-    groups = (
-        combined.repartition(width(index.table.sparkSession), "rep", "side", "block")
-        .groupBy("rep", "side", "block", "rank")
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum(F.when(F.col("target") == 1, F.col("n")).otherwise(0)).alias("p"),
-            F.sum("ok").alias("ok"),
-        )
+    # The partitioning by (rep, side, block) serves both aggregations: rows are opened behind the shuffle.
+    opened = met.repartition(width(index.table.sparkSession), "rep", "side", "block").select(
+        "rep", "side", "block", "target", F.inline(F.arrays_zip("rank", "n", "ok"))
+    )
+    groups = opened.groupBy("rep", "side", "block", "rank").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("target") == 1, F.col("n")).otherwise(0)).alias("p"),
+        F.sum("ok").alias("ok"),
     )
     return groups.groupBy("rep", "side", "block").agg(
         F.array_sort(F.collect_list(F.struct("rank", "n", "p", "ok"))).alias("groups")
@@ -266,10 +243,9 @@ def replicate_metrics(
     accuracy: bool = False,
 ) -> DataFrame:
     """``(rep, side, roc_auc, [accuracy], background_rejection_..)``; replicate -1 is the observed one."""
-    blocks = rank_blocks(index, replicates, seed)
-    if efficiencies:
-        # Read for the sums and for the blocks with a crossing: drawn once.
-        blocks = stored(blocks)
+    # Read for the sums and for the blocks with a crossing: drawn once.
+    with small_batches(index.table.sparkSession, BATCH_ROWS):
+        blocks = stored(rank_blocks(index, replicates, seed))
     summed = blocks.select(
         "rep", "side", "block", folded(F.transform("groups", group_summary)).alias("sum")
     )
