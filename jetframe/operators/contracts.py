@@ -1,9 +1,10 @@
 """Contracts of JSON records, checked for whole tables of records.
 
 A contract lists, per kind, the allowed keys of every object and the typed fields.  A record is
-parsed once, to a VARIANT.  Its objects and arrays are opened as far as the contract describes them, which
-gives one row per value, ``(path, value)``; these meet the contract as a table with one row per path.  Parts
-that a contract leaves free are not opened, so they may nest to any depth.  Nothing but broken rules is shuffled.
+parsed once, to a VARIANT.  The contract becomes one expression per described value, which reads that value in
+place by its path and gives the names of the rules it breaks; items of arrays are gone through where they lie.  Parts
+that a contract leaves free are not opened, so they may nest to any depth.  Nothing is shuffled, and no value
+of a record is copied into a row of its own.
 """
 
 from __future__ import annotations
@@ -506,201 +507,207 @@ def detected_kinds(records: DataFrame, json: str = "json", key: str = "key") ->
 
 
 KEY_NUMBER = "^[1-9][0-9]*$"
-CONTRACT_ROW = (
-    "path string, kind string, format string, allowed array<string>, low double, above double, "
-    "high double, whole boolean, must_be boolean, single boolean, least int, constants array<bigint>, "
-    "needed array<string>"
-)
+# Between the rules that one value breaks; no field of a contract has it in its name.
+AND = "\n"
+# How VARIANT names the types of numbers. 1.0 is held as DECIMAL(1,0); whole numbers are decimals
+# only where they pass 64 bits.
+NUMBER_SHAPE = r"^(?:BIGINT|DOUBLE|DECIMAL.*)$"
+INTEGER_SHAPE = r"^(?:BIGINT|DECIMAL\((?:19|[23]\d),0\))$"
+
 
+def all_true(conditions: list[Column]) -> Column:
+    good = F.lit(True)
+    for condition in conditions:
+        good = good & condition
+    return F.coalesce(good, F.lit(False))
 
-def _float(bound: float | None) -> float | None:
-    return None if bound is None else float(bound)
 
+def bounds(number: Column, spec: Number | Integer) -> list[Column]:
+    return [
+        *([number >= float(spec.low)] if spec.low is not None else []),
+        *([number > float(spec.above)] if getattr(spec, "above", None) is not None else []),
+        *([number <= float(spec.high)] if spec.high is not None else []),
+        *([number == F.floor(number)] if getattr(spec, "whole", False) else []),
+    ]
 
-def contract_rows(spec, path: str = "") -> list[dict]:
-    """The contract as a table: one row for the value at each path.  ``[]`` stands for every item of an
-    array, ``*`` for every key of a keyed object."""
-    row = dict.fromkeys(
-        ("format", "allowed", "low", "above", "high", "whole", "must_be", "single", "least", "constants", "needed")
-    )
-    row |= {"path": path, "kind": type(spec).__name__.lower()}
-    below: list[dict] = []
+
+def is_typed(spec, get) -> Column:
+    """Whether a value has its contract's type."""
+    shape = F.schema_of_variant(get("variant"))
     if isinstance(spec, Text):
-        row |= {"format": spec.pattern, "allowed": list(spec.allowed) or None}
-    elif isinstance(spec, Number):
-        row |= {"low": _float(spec.low), "above": _float(spec.above), "high": _float(spec.high), "whole": spec.whole}
-    elif isinstance(spec, Integer):
-        row |= {"low": _float(spec.low), "high": _float(spec.high)}
+        return shape == "STRING"
+    if isinstance(spec, Number):
+        return shape.rlike(NUMBER_SHAPE)
+    if isinstance(spec, Integer):
+        return shape.rlike(INTEGER_SHAPE)
+    if isinstance(spec, Flag):
+        return shape == "BOOLEAN"
+    if isinstance(spec, Names):
+        return shape.isin("ARRAY<STRING>", "ARRAY<VOID>")
+    if isinstance(spec, Constants | Items | Each) or getattr(spec, "kind", "") == "ARRAY":
+        return get("array<variant>").isNotNull()
+    return get("map<string,variant>").isNotNull()
+
+
+def is_good(spec, get) -> Column:
+    """Whether a value of its contract's type is a good one."""
+    good: list[Column] = []
+    if isinstance(spec, Text):
+        good += [get("string").rlike(spec.pattern)] if spec.pattern else []
+        good += [get("string").isin(*spec.allowed)] if spec.allowed else []
+    elif isinstance(spec, Number | Integer):
+        good += bounds(get("double"), spec)
     elif isinstance(spec, Flag):
-        row |= {"must_be": spec.must_be}
-    elif isinstance(spec, Names):
-        row |= {"single": spec.unique}
+        good += [get("boolean") == spec.must_be] if spec.must_be is not None else []
     elif isinstance(spec, Constants):
-        row |= {"constants": list(spec.values)}
-    elif isinstance(spec, Free):
-        row |= {"kind": f"free_{spec.kind.lower()}"}
-    elif isinstance(spec, Each):
-        row |= {"least": spec.least, "single": spec.unique}
-        below = contract_rows(spec.value, f"{path}[]")
-    elif isinstance(spec, Keyed):
-        below = contract_rows(spec.value, f"{path}.*")
-    elif isinstance(spec, Items):
-        row |= {"least": spec.least}
-        below = contract_rows(Object(spec.fields), f"{path}[]")
-    elif isinstance(spec, Object):
-        row |= {"needed": [name for name, inner in spec.fields.items() if inner.required]}
-        for name, inner in spec.fields.items():
-            below += contract_rows(inner, f"{path}.{name}" if path else name)
-    return [row, *below]
+        constants = F.array(*[F.lit(n) for n in spec.values]).cast("array<bigint>")
+        good.append(get("array<bigint>") == constants)
+    elif isinstance(spec, Items | Each):
+        good += [F.size(get("array<variant>")) >= spec.least] if spec.least else []
+    if getattr(spec, "unique", False):
+        names = get("array<string>")
+        good.append(F.size(F.array_distinct(names)) == F.size(names))
+    return all_true(good)
+
+
+def broken_by_value(
+    spec, record: Column, at: str = "$", path: str = "", parent: Column | None = None
+) -> list[Column]:
+    """Rules broken by the value at a path of a VARIANT, and by what lies in it: texts or arrays of texts with the
+    rules' names by lines, null or empty where none is.
+
+    ``at`` is the place within ``record``, ``path`` that in the contract: ``[]`` stands for every item of an array,
+    ``*`` for every key of a keyed object.  ``parent`` is the object that must have the value, if it must.
+    """
 
+    def get(kind: str) -> Column:
+        return F.try_variant_get(record, at, kind)
 
-def levels_of(rows: list[dict]) -> int:
-    """How many objects and arrays within each other the contract opens."""
-    return max(row["path"].count(".") + row["path"].count("[]") for row in rows) + 1
+    own, types = f"CONTRACT_SCHEMA:{path}", "CONTRACT_TYPES"
+    wrong = types if isinstance(spec, Free) or not path else f"{types}{AND}{own}"
+    unknown = f"CONTRACT_UNKNOWN_PROPERTY{':' if path else ''}{path}{AND}{types}"
+    null = get("variant").isNull() | F.is_variant_null(get("variant"))
+    absent = None if parent is None else F.when(parent.isNotNull(), F.lit(own))
 
+    def unless(cases: Column) -> Column:
+        """The cases of a value of its type; else it is absent or of another type."""
+        return cases.when(null, absent).otherwise(F.lit(wrong))
 
-NODE = "struct<level:int,parent:string,path:string,value:variant>"
+    if isinstance(spec, Object):
+        whole = get("map<string,variant>")
+        names = F.array(*[F.lit(name) for name in spec.fields]).cast("array<string>")
+        others = F.array_size(F.array_except(F.map_keys(whole), names))
+        found = [unless(F.when(others == 0, None).when(others > 0, F.lit(unknown)))]
+        for name, inner in spec.fields.items():
+            inside = f"{path}.{name}" if path else name
+            found += broken_by_value(inner, record, f"{at}['{name}']", inside, whole if inner.required else None)
+        return found
+    found = [unless(F.when(is_typed(spec, get), F.when(~is_good(spec, get), F.lit(own))))]
+    if isinstance(spec, Items | Each):
+        item = Object(spec.fields) if isinstance(spec, Items) else spec.value
+        found.append(
+            F.transform(
+                get("array<variant>"), lambda x: F.concat_ws(AND, *broken_by_value(item, x, path=f"{path}[]"))
+            )
+        )
+    elif isinstance(spec, Keyed):
+        found.append(
+            F.transform(
+                F.map_entries(get("map<string,variant>")),
+                lambda e: F.when(
+                    e["key"].rlike(KEY_NUMBER),
+                    F.concat_ws(AND, *broken_by_value(spec.value, e["value"], path=f"{path}.*")),
+                ).otherwise(F.lit(unknown)),
+            )
+        )
+    return found
 
 
-def opened(record: Column, rows: list[dict]) -> Column:
-    """All values of a VARIANT record that its contract describes, and those it does not know, as
-    ``(level, parent, path, value)``.  Each value is opened once."""
+def lines(names: list[Column]) -> Column:
+    return F.concat_ws(AND, *names)
 
-    def paths(*kinds: str) -> Column:
-        return F.array(*[F.lit(r["path"]) for r in rows if r["kind"] in kinds]).cast("array<string>")
 
-    def node(level: Column, parent: Column, path: Column, value: Column) -> Column:
-        return F.struct(
-            level.cast("int").alias("level"),
-            parent.alias("parent"),
-            path.alias("path"),
-            value.alias("value"),
-        )
+# The shape of a free part: brackets within each other to a fixed depth, no quoted names.
+_INSIDE = "[^<>`]*+"
+for _ in range(4):
+    _INSIDE = f"(?:[^<>`]++|<{_INSIDE}>)*+"
 
-    def inside(level: Column, at: Column) -> Column:
-        entries = F.map_entries(F.try_variant_get(at["value"], "$", "map<string,variant>"))
-        head = F.when(at["path"] == "", "").otherwise(F.concat(at["path"], F.lit(".")))
-        named = F.transform(
-            entries, lambda e: node(level, at["path"], F.concat(head, e["key"]), e["value"])
-        )
-        keyed = F.transform(
-            entries,
-            lambda e: node(
-                level,
-                at["path"],
-                F.concat(head, F.when(e["key"].rlike(KEY_NUMBER), F.lit("*")).otherwise(e["key"])),
-                e["value"],
-            ),
-        )
-        items = F.transform(
-            F.try_variant_get(at["value"], "$", "array<variant>"),
-            lambda x: node(level, at["path"], F.concat(at["path"], F.lit("[]")), x),
-        )
-        found = (
-            F.when(F.array_contains(paths("object"), at["path"]), named)
-            .when(F.array_contains(paths("items", "each"), at["path"]), items)
-            .when(F.array_contains(paths("keyed"), at["path"]), keyed)
-        )
-        return F.coalesce(found, F.array().cast(f"array<{NODE}>"))
-
-    empty = F.lit("")
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(levels_of(rows))),
-        F.array(node(F.lit(0), empty, empty, record)).cast(f"array<{NODE}>"),
-        lambda done, level: F.concat(
-            done,
-            F.flatten(
-                F.transform(
-                    F.filter(done, lambda n: n["level"] == level - 1), lambda n: inside(level, n)
-                )
-            ),
-        ),
-    )
 
+def shape_pattern(spec) -> str:
+    """Matches the types that VARIANT names for values of the contract's types, all fields known; null fits anywhere.
 
-def matches_format(text: Column, formats: list[str]) -> Column:
-    """Whether the text has the row's format; every pattern is a constant."""
-    good = F.lit(True)
-    for pattern in formats:
-        good = F.when(F.col("format") == pattern, text.rlike(pattern)).otherwise(good)
-    return good
-
-
-def value_rules(formats: list[str]) -> Column:
-    """Names of the rules a value breaks; the contract's row stands beside it."""
-    value, kind, path = F.col("value"), F.col("kind"), F.col("path")
-    known = kind.isNotNull()
-    null = F.coalesce(F.is_variant_null(value), F.lit(True))
-    shape = F.schema_of_variant(value)
-    text = F.try_variant_get(value, "$", "string")
-    number = F.try_variant_get(value, "$", "double")
-    names = F.try_variant_get(value, "$", "array<string>")
-    entries = F.try_variant_get(value, "$", "map<string,variant>")
-    right_type = (
-        F.when(kind == "text", shape == "STRING")
-        .when(kind == "number", shape.isin("BIGINT", "DOUBLE") | shape.startswith("DECIMAL"))
-        # 1.0 is held as DECIMAL(1,0); whole numbers are decimals only where they pass 64 bits.
-        .when(kind == "integer", (shape == "BIGINT") | shape.rlike(r"^DECIMAL\((?:19|[23]\d),0\)$"))
-        .when(kind == "flag", shape == "BOOLEAN")
-        .when(kind == "names", shape.isin("ARRAY<STRING>", "ARRAY<VOID>"))
-        .when(kind.isin("items", "each", "constants", "free_array"), shape.startswith("ARRAY"))
-        .otherwise(shape.startswith("OBJECT"))
-    )
-    good_text = matches_format(text, formats) & F.coalesce(
-        F.array_contains("allowed", text), F.lit(True)
-    )
-    good_number = (
-        F.coalesce(number >= F.col("low"), F.lit(True))
-        & F.coalesce(number > F.col("above"), F.lit(True))
-        & F.coalesce(number <= F.col("high"), F.lit(True))
-        & ~(F.coalesce("whole", F.lit(False)) & (number != F.floor(number)))
-        & ~F.isnan(number)
-    )
-    good_value = (
-        F.when(kind == "text", good_text)
-        .when(kind.isin("number", "integer"), good_number)
-        .when(
-            kind == "flag",
-            F.coalesce(F.try_variant_get(value, "$", "boolean") == F.col("must_be"), F.lit(True)),
-        )
-        .when(
-            kind == "names",
-            ~F.coalesce("single", F.lit(False)) | (F.size(F.array_distinct(names)) == F.size(names)),
-        )
-        .when(
-            kind == "constants",
-            F.coalesce(F.try_variant_get(value, "$", "array<bigint>") == F.col("constants"), F.lit(False)),
-        )
-        .when(
-            kind.isin("items", "each"),
-            (F.size(F.try_variant_get(value, "$", "array<variant>")) >= F.col("least"))
-            & (~F.coalesce("single", F.lit(False)) | (F.size(F.array_distinct(names)) == F.size(names))),
+    What it does not match may still be right (quoted names, deep free parts, unlike items).
+    """
+    if isinstance(spec, Text):
+        shape = "STRING"
+    elif isinstance(spec, Number):
+        shape = r"(?:BIGINT|DOUBLE|DECIMAL\([0-9,]+\))"
+    elif isinstance(spec, Integer):
+        shape = "BIGINT"
+    elif isinstance(spec, Flag):
+        shape = "BOOLEAN"
+    elif isinstance(spec, Names):
+        shape = "ARRAY<(?:STRING|VOID)>"
+    elif isinstance(spec, Constants):
+        shape = "ARRAY<(?:BIGINT|VOID)>"
+    elif isinstance(spec, Each):
+        plain = isinstance(spec.value, Text) or not spec.unique
+        shape = f"ARRAY<{shape_pattern(spec.value)}>" if plain else "(?!)"
+    elif isinstance(spec, Items):
+        shape = f"ARRAY<{shape_pattern(Object(spec.fields))}>"
+    elif isinstance(spec, Keyed):
+        shape = f"OBJECT<(?:`[1-9][0-9]*`: {shape_pattern(spec.value)}(?:, (?!>)|(?=>)))*+>"
+    elif isinstance(spec, Free):
+        shape = f"{spec.kind}<{_INSIDE}>"
+    else:
+        # Names stand in order; each is followed by the next or by the end.
+        fields = "".join(f"(?:{n}: {shape_pattern(spec.fields[n])}(?:, (?!>)|(?=>)))?+" for n in sorted(spec.fields))
+        shape = f"OBJECT<{fields}>"
+    return f"(?:{shape}|VOID)"
+
+
+def plain_type(spec) -> str:
+    """The SQL type in which values of the contract's type are read at once; of free parts only the text."""
+    if isinstance(spec, Number | Integer):
+        return "double"
+    if isinstance(spec, Flag):
+        return "boolean"
+    if isinstance(spec, Names):
+        return "array<string>"
+    if isinstance(spec, Constants):
+        return "array<bigint>"
+    if isinstance(spec, Each):
+        return f"array<{plain_type(spec.value)}>"
+    if isinstance(spec, Items):
+        return f"array<{plain_type(Object(spec.fields))}>"
+    if isinstance(spec, Keyed):
+        return f"map<string,{plain_type(spec.value)}>"
+    if isinstance(spec, Object):
+        return f"struct<{','.join(f'`{n}`:{plain_type(inner)}' for n, inner in spec.fields.items())}>"
+    return "string"
+
+
+def broken_by_plain(spec, value: Column, path: str = "", parent: Column | None = None) -> list[Column]:
+    """What :func:`broken_by_value` gives, for a value known to fit :func:`shape_pattern`, read as :func:`plain_type`."""
+    own = F.lit(f"CONTRACT_SCHEMA:{path}")
+    absent = [] if parent is None else [F.when(parent.isNotNull() & value.isNull(), own)]
+    if isinstance(spec, Object):
+        found = absent
+        for name, inner in spec.fields.items():
+            inside = f"{path}.{name}" if path else name
+            found += broken_by_plain(inner, value[name], inside, value if inner.required else None)
+        return found
+    found = [*absent, F.when(value.isNotNull() & ~is_good(spec, lambda _: value), own)]
+    if isinstance(spec, Items | Each):
+        item = Object(spec.fields) if isinstance(spec, Items) else spec.value
+        found.append(F.transform(value, lambda x: F.concat_ws(AND, *broken_by_plain(item, x, f"{path}[]"))))
+    elif isinstance(spec, Keyed):
+        found.append(
+            F.transform(
+                F.map_values(value), lambda x: F.concat_ws(AND, *broken_by_plain(spec.value, x, f"{path}.*"))
+            )
         )
-        .otherwise(F.lit(True))
-    )
-    held = F.map_keys(F.map_filter(entries, lambda _, x: ~F.is_variant_null(x)))
-    head = F.when(path == "", F.lit("")).otherwise(F.concat(path, F.lit(".")))
-    missing = F.transform(
-        F.array_except("needed", F.coalesce(held, F.array().cast("array<string>"))),
-        lambda name: F.concat(F.lit("CONTRACT_SCHEMA:"), head, name),
-    )
-    unknown = F.concat(
-        F.lit("CONTRACT_UNKNOWN_PROPERTY"),
-        F.when(F.col("parent") == "", F.lit("")).otherwise(F.concat(F.lit(":"), "parent")),
-    )
-    own = F.concat(F.lit("CONTRACT_SCHEMA:"), path)
-    wrong = F.array(
-        F.lit("CONTRACT_TYPES"), F.when(~kind.startswith("free") & (path != ""), own)
-    )
-    none = F.array().cast("array<string>")
-    return F.array_compact(
-        F.when(~known, F.array(unknown, F.lit("CONTRACT_TYPES")))
-        .when(null, none)
-        .when(~right_type, wrong)
-        .when(kind == "object", missing)
-        .when(~F.coalesce(good_value, F.lit(False)), F.array(own))
-        .otherwise(none)
-    )
+    return found
 
 
 # The digest field of a record, which its own digest leaves out.
@@ -847,7 +854,7 @@ def record_violations(
         "CONTRACT_UNSUPPORTED_MAJOR": (major != "") & (major != SUPPORTED_MAJOR),
         **semantic_rules(kind, Record(v), described),
     }
-    parsed = records.select(F.col(key).alias("key"), F.try_parse_json(json).alias("v"))
+    parsed = records.select(F.col(key).alias("key"), F.try_parse_json(json).alias("v"), F.col(json).alias("json"))
     return variant_violations(parsed, fields, whole)
 
 
@@ -856,34 +863,24 @@ def variant_violations(
 ) -> DataFrame:
     """Broken rules of VARIANT records ``(key, v)`` under a contract, each once per record.
 
+    Where their text stands beside them as ``json``, records of the contract's shape are read at once with all
+    types given, the others value by value.
     ``whole`` has predicates, true for a bad record, on the record as a whole.  A null record is no JSON.
     """
-    rows = contract_rows(Object(fields))
-    formats = sorted({row["format"] for row in rows if row["format"]})
-    v, none = F.col("v"), F.array().cast("array<string>")
-    broken = [F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in (whole or {}).items()]
-    failed = F.array_compact(F.array(*broken)) if broken else none
-    parsed = records.select("key", "v", F.monotonically_increasing_id().alias("record")).select(
-        "key",
-        "record",
-        F.when(v.isNull(), F.array(F.lit("CONTRACT_JSON"))).otherwise(failed).alias("failed"),
-        F.when(v.isNotNull(), opened(v, rows)).alias("nodes"),
-    )
-    table = F.broadcast(
-        records.sparkSession.createDataFrame(
-            [tuple(row[c.split()[0]] for c in CONTRACT_ROW.split(", ")) for row in rows], CONTRACT_ROW
+    spec, v = Object(fields), F.col("v")
+    kept, names = records, lines(broken_by_value(spec, v))
+    if "json" in records.columns:
+        fits = F.schema_of_variant(v).rlike(f"^{shape_pattern(spec)}$") & ~F.is_variant_null(v)
+        kept = records.withColumn("fits", fits).withColumn(
+            "plain", F.when(F.col("fits"), F.from_json("json", plain_type(spec)))
         )
-    )
-    # What concerns the record as a whole goes with its root.
-    root = F.coalesce(F.col("n.level"), F.lit(0)) == 0
-    values = parsed.select("key", "record", "failed", F.explode_outer("nodes").alias("n")).select(
-        "key", "record", F.when(root, F.col("failed")).alias("failed"), "n.*"
-    )
-    rules = F.concat(
-        F.coalesce("failed", none), F.when(F.col("path").isNotNull(), value_rules(formats)).otherwise(none)
-    )
-    found = values.join(table, "path", "left").select("key", "record", F.explode(rules).alias("rule"))
-    return found.distinct().select(
+        names = F.when(F.col("fits"), lines(broken_by_plain(spec, F.col("plain")))).otherwise(names)
+    no_json = F.when(v.isNull(), F.lit("CONTRACT_JSON"))
+    broken = [F.when(bad, F.lit(name)) for name, bad in (whole or {}).items()]
+    found = kept.select("key", F.concat_ws(AND, no_json, *broken, names).alias("names"))
+    # explode would filter on the size of the array first, which works the rules out a second time.
+    each = found.select("key", F.explode_outer(F.array_distinct(F.split("names", AND))).alias("rule"))
+    return each.filter("rule <> ''").select(
         "rule", F.coalesce(F.col("key").cast("string"), F.lit("null")).alias("key"), F.lit("").alias("detail")
     )
 

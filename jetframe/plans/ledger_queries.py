@@ -78,9 +78,8 @@ _SWEEP_CHECKS = (
 )
 def sweep_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sweep configuration per customer, with faults of keys and axes planted."""
-    configs = tables.table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("study"), F.expr(_SWEEP).alias("json")
-    )
+    keys = tables.spread(tables.table(spark, sf_dir, "customer").select("c_custkey"))
+    configs = keys.select(F.col("c_custkey").alias("study"), F.expr(_SWEEP).alias("json"))
     return ledger.sweep_violations(configs)
 
 
