@@ -117,7 +117,8 @@ UNION ALL SELECT 'MANIFEST_DUPLICATE_PFN', m || ':' || pfn, 'count=' || count(*)
 UNION ALL SELECT 'MANIFEST_ORDER', key, '' FROM w WHERE r0 > record_id OR r0 = record_id AND p0 > pfn""",
 )
 def manifest_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders as four manifests on disk, written below the shared folder and read by ranges of 16 KiB."""
+    """The orders as four manifests on disk, written below the shared folder and read by ranges of 16 KiB, or of
+    more where that would make too many."""
     folder = f"{shared_folder(spark).rstrip('/')}/manifests-{uuid.uuid4().hex}"
     k = F.col("o_orderkey")
     line = F.when((k % 4 == 2) & (k % 241 == 0), F.concat(_manifest_line(), F.lit("\r"))).otherwise(
@@ -127,9 +128,9 @@ def manifest_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = Window.partitionBy("m").orderBy("o_orderkey")
     marked = F.when((F.col("m") == 1) & (F.row_number().over(first) == 1), F.lit("\ufeff")).otherwise("")
     orders.select("m", F.concat(marked, "line").alias("value")).write.partitionBy("m").text(folder)
-    with manifest_source.range_size(spark, 16 << 10):
-        ranges = stored(manifest_source.read_ranges(spark, folder))
     files = files_source.list_files(spark, folder).filter(F.col("path").endswith(".txt"))
+    with manifest_source.range_size(spark, manifest_source.size_of_ranges(files, 16 << 10)):
+        ranges = stored(manifest_source.read_ranges(spark, folder))
     number = F.regexp_extract("path", r"/m=(\d+)/", 1)
     found = manifest_source.range_violations(
         ranges.withColumn("path", number), files.withColumn("path", number)

@@ -43,6 +43,13 @@ def byte_violations(files: DataFrame) -> DataFrame:
     )
 
 
+def size_of_ranges(files: DataFrame, least: int, most_ranges: int = 1024) -> int:
+    """Bytes of a range: ``least``, or more where that would cut files ``(path, length)`` into more than about
+    ``most_ranges``.  Every range is a task and a stored file, which many tiny ones would be all cost."""
+    total = files.agg(F.sum("length").alias("bytes")).first()["bytes"] or 0
+    return max(least, -(-total // most_ranges))
+
+
 @contextmanager
 def range_size(spark: SparkSession, size: int) -> Iterator[None]:
     """Within it, files are cut into ranges of ``size`` bytes; a table must be stored to keep the cut."""
