@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -21,23 +21,29 @@ def row_digest(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*named), {"ignoreNullFields": "false"}), 256)
 
 
-def content_digest(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Digest of the multiset of rows, per ``keys``.
+def content_digest(
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), counts: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Digest of the multiset of rows, per ``keys``; ``counts`` are conditions whose rows the same pass counts.
 
     Every row digest is cut into eight 32-bit lanes and the lanes are added up; the sums
     and the row count are hashed.  Addition combines on the map side, does not depend on
     order or partitioning, and unlike xor sees repeated rows.  Where order has a meaning,
     put the position column into ``columns``.
     """
-    digest = df.select(*keys, row_digest(columns).alias("_d"))
-    sums = digest.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *_lanes())
+    counts = counts or {}
+    held = [condition.alias(name) for name, condition in counts.items()]
+    digest = df.select(*keys, row_digest(columns).alias("_d"), *held)
+    sums = digest.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), *_lanes(), *[F.count_if(F.col(name)).alias(name) for name in counts]
+    )
     text = F.concat_ws(
         ":",
         F.lit(CANONICALIZATION),
         F.col("rows").cast("string"),
         *[F.coalesce(F.col(f"_l{i}").cast("string"), F.lit("0")) for i in range(LANES)],
     )
-    return sums.select(*keys, "rows", F.sha2(text, 256).alias("digest"))
+    return sums.select(*keys, "rows", F.sha2(text, 256).alias("digest"), *counts)
 
 
 def _lanes() -> list[Column]:
@@ -74,13 +80,19 @@ MODULUS = 2_147_483_647
 BASES = (1_000_003, 69_069)
 
 
+# Exponents are read in digits of so many bits, which look up their powers: few products, so the generated method
+# stays below the size beyond which the JVM does not compile it.
+DIGIT_BITS, DIGITS = 8, 5
+
+
 def _power(base: int, exponent: Column) -> Column:
-    """``base ** exponent`` modulo the modulus, by the bits of the exponent."""
-    out, square = F.lit(1).cast("bigint"), base
-    for bit in range(40):
-        on = F.floor(exponent / (1 << bit)) % 2 == 1
-        out = out * F.when(on, square).otherwise(1) % MODULUS
-        square = square * square % MODULUS
+    """``base ** exponent`` modulo the modulus, by the digits of the exponent; 1 where it is null or negative."""
+    out = F.lit(1).cast("bigint")
+    for digit in range(DIGITS):
+        at = DIGIT_BITS * digit
+        powers = ",".join(f"{pow(base, n << at, MODULUS)}L" for n in range(1 << DIGIT_BITS))
+        index = (F.shiftright(exponent.cast("bigint"), at) % (1 << DIGIT_BITS)).cast("int")
+        out = out * F.coalesce(F.get(F.expr(f"array({powers})"), index), F.lit(1)) % MODULUS
     return out
 
 

@@ -641,7 +641,8 @@ def prediction_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     whole = table_source.prediction_metadata(run("same", expected)).drop("run_id")
     names = spark.createDataFrame([(n,) for n in ("same", "exchanged", "missing", "repeated")], "run_id string")
-    about = names.select("run_id", *[whole.select(c).scalar().alias(c) for c in whole.columns])
+    held = whole.agg(F.first(F.struct(*whole.columns))).scalar()
+    about = names.select("run_id", *[held[c].alias(c) for c in whole.columns])
     return table_source.expected_order_violations(runs, expected).unionByName(
         table_source.metadata_violations(runs, about)
     )

@@ -249,16 +249,12 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prediction_metadata(predictions: DataFrame) -> DataFrame:
-    """Rows, class counts and the digest of the ordered ids per run."""
-    counts = predictions.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.count_if(F.col("target") == 0).alias("background_count"),
-        F.count_if(F.col("target") == 1).alias("signal_count"),
+    """Rows, class counts and the digest of the ordered ids per run, in one pass."""
+    classes = {"background_count": F.col("target") == 0, "signal_count": F.col("target") == 1}
+    made = digest.content_digest(predictions, ["jet_id", "pos"], ["run_id"], classes)
+    return made.select(
+        "run_id", F.col("rows").alias("row_count"), *classes, F.col("digest").alias("row_order_digest")
     )
-    order = digest.content_digest(predictions, ["jet_id", "pos"], ["run_id"]).select(
-        "run_id", F.col("digest").alias("row_order_digest")
-    )
-    return counts.join(order, "run_id")
 
 
 def metadata_violations(predictions: DataFrame, metadata: DataFrame) -> DataFrame:
