@@ -14,12 +14,18 @@ from jetframe.schema import ROLES, SPLITS
 EVENT_KEY = ("record_id", "run", "lumi", "event")
 
 
-def with_identity(jets: DataFrame) -> DataFrame:
-    """Add ``pfn_sha256``, ``bucket``, ``split`` and ``jet_id``."""
-    hashed = jets.withColumn("pfn_sha256", identity.file_hash(F.col("canonical_pfn")))
+def with_source(files: DataFrame) -> DataFrame:
+    """Add ``pfn_sha256``, ``bucket`` and ``split``: what follows from the file alone."""
+    hashed = files.withColumn("pfn_sha256", identity.file_hash(F.col("canonical_pfn")))
     return hashed.withColumn("bucket", identity.bucket10(F.col("pfn_sha256"))).select(
+        "*", identity.split_of_bucket(F.col("bucket")).alias("split")
+    )
+
+
+def with_jet_id(jets: DataFrame) -> DataFrame:
+    """Add ``jet_id`` to jets that have their file's hash."""
+    return jets.select(
         "*",
-        identity.split_of_bucket(F.col("bucket")).alias("split"),
         identity.stable_id(
             F.col("record_id"),
             F.col("pfn_sha256"),
@@ -31,6 +37,11 @@ def with_identity(jets: DataFrame) -> DataFrame:
     )
 
 
+def with_identity(jets: DataFrame) -> DataFrame:
+    """Add ``pfn_sha256``, ``bucket``, ``split`` and ``jet_id``."""
+    return with_jet_id(with_source(jets))
+
+
 def source_pair_gaps(jets: DataFrame, manifest: DataFrame) -> DataFrame:
     """Both directions of "observed sources equal the manifest".
 

@@ -56,30 +56,47 @@ def pfn(record, file_no):
     )
 
 
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record, file and split of every customer's jets.
+
+    A file's hash and split are worked out once per customer, not once per order, and a filter on the split
+    falls on customers.
+    """
+    nation = F.col("c_nationkey")
+    named = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        (F.lit(18000) + nation).cast("bigint").alias("record_id"),
+        role_of_nation(nation).alias("role"),
+        pfn((F.lit(18000) + nation).cast("bigint"), F.col("c_custkey") % 8).alias("canonical_pfn"),
+    )
+    return split.with_source(named.withColumn("target", class_of_role(F.col("role"))))
+
+
 def jets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One jet per order, with identity, split, class and jet-level fields."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    source = sources(spark, sf_dir)
     k = F.col("o_orderkey")
-    raw = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+    raw = orders.join(source, F.col("o_custkey") == F.col("c_custkey")).select(
         k,
-        (F.lit(18000) + F.col("c_nationkey")).cast("bigint").alias("record_id"),
+        "record_id",
         F.lit(1).cast("bigint").alias("run"),
         (F.lit(1) + F.floor(k / 1000)).cast("bigint").alias("lumi"),
         (k + 1).alias("event"),
         F.lit(0).alias("jet_index"),
-        (F.col("o_custkey") % 8).alias("file_no"),
-        role_of_nation(F.col("c_nationkey")).alias("role"),
+        "role",
         (F.lit(400) + F.floor("o_totalprice") % 700).cast("float").alias("jet_pt"),
         ((k % 500 - 250) / F.lit(100.0)).cast("float").alias("jet_eta"),
         ((k % 629 - 314) / F.lit(100.0)).cast("float").alias("jet_phi"),
         ((F.col("o_custkey") % 21 - 10) / F.lit(10.0)).cast("float").alias("pv_z"),
         (F.lit(5) + F.col("o_custkey") % 40).cast("int").alias("n_vertices"),
+        "canonical_pfn",
+        "target",
+        "pfn_sha256",
+        "bucket",
+        "split",
     )
-    named = raw.withColumn("canonical_pfn", pfn(F.col("record_id"), F.col("file_no"))).withColumn(
-        "target", class_of_role(F.col("role"))
-    )
-    return split.with_identity(named.drop("file_no"))
+    return split.with_jet_id(raw)
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
