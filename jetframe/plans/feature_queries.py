@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jetframe.functions import arrays, particles as phys
@@ -12,6 +12,7 @@ from jetframe.plans import tables
 from jetframe.plans.catalog import query
 from jetframe.plans.data_queries import SEED, SIZES, _pool, _subset_sql
 from jetframe.schema import CONTINUOUS_FIELDS, FEATURE_VIEWS
+from jetframe.session import stored
 
 FIELDS = CONTINUOUS_FIELDS
 
@@ -125,6 +126,16 @@ def _scaling(spark: SparkSession, sf_dir: str) -> views.Scaling:
     return fit.lazy_scaling(tables.canonical_rows(spark, sf_dir))
 
 
+def _slot_sum(position: int) -> Column:
+    """Sum over all slots of ``data`` of one feature rounded to four places.
+
+    Rounding goes by way of decimal numbers; a zero, which padding is, needs none and adds nothing.
+    """
+    values = F.filter(F.transform("data", lambda d: d[position]), lambda v: ~v.eqNullSafe(F.lit(0.0)))
+    rounded = F.transform(values, lambda v: F.round(v.cast("double"), 4))
+    return F.aggregate(rounded, F.lit(0.0), lambda total, v: total + v)
+
+
 def _value_sql(field: str) -> str:
     if field == "pid_type":
         return "pid_type::DOUBLE AS pid_type"
@@ -172,18 +183,13 @@ def padded_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.canonical_jets(spark, sf_dir).withColumnRenamed("target", "label")
     view = views.feature_view(rows, _scaling(spark, sf_dir), "D")
 
-    def total(position: int):
-        return F.aggregate(
-            "data", F.lit(0.0), lambda acc, d: acc + F.round(d[position].cast("double"), 4)
-        )
-
     return view.select(
         "jet_id",
         "label",
         F.size("data").alias("slots"),
         arrays.mask_count(F.col("mask")).alias("real"),
-        F.round(total(2), 6).alias("log_pt_sum"),
-        total(4).alias("pid_sum"),
+        F.round(_slot_sum(2), 6).alias("log_pt_sum"),
+        _slot_sum(4).alias("pid_sum"),
     )
 
 
@@ -195,9 +201,10 @@ m AS (SELECT CASE label WHEN 0 THEN pos ELSE pos + {SIZES[1]} END - 1 AS row, je
 def _subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = ranking.balanced_order(_pool(spark, sf_dir), SIZES[1], SEED)
     members = ranking.subset_members(ordered, [SIZES[1]])
-    # Features are derived after the join, for the chosen jets only.
-    jets = tables.nested_jets(spark, sf_dir).withColumnRenamed("target", "label")
-    return canonical.derive_features(views.subset_rows(members, jets, SIZES[1]))
+    # Particles are ordered and features derived after the choice, for the chosen jets only.
+    jets = tables.jets(spark, sf_dir).withColumnRenamed("target", "label")
+    chosen = stored(views.subset_rows(members, jets, SIZES[1]))
+    return canonical.derive_features(tables.with_particles(chosen, spark, sf_dir))
 
 
 @query(
@@ -214,15 +221,12 @@ def subset_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = views.feature_view(
         _subset(spark, sf_dir), _scaling(spark, sf_dir), "A", keep=("row", "jet_id", "label")
     )
-    total = F.aggregate(
-        "data", F.lit(0.0), lambda acc, d: acc + F.round(d[2].cast("double"), 4)
-    )
     return view.select(
         "row",
         "jet_id",
         "label",
         arrays.mask_count(F.col("mask")).alias("real"),
-        F.round(total, 6).alias("log_pt_sum"),
+        F.round(_slot_sum(2), 6).alias("log_pt_sum"),
     )
 
 
@@ -252,7 +256,7 @@ FROM m WHERE row % 10 = 0""",
 )
 def view_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """View D lacks every tenth row here, which must be found."""
-    rows = _subset(spark, sf_dir)
+    rows = stored(_subset(spark, sf_dir))  # every view reads it
     scaling = _scaling(spark, sf_dir)
     made = {
         c: views.feature_view(rows, scaling, c, keep=("row", "jet_id", "label"))

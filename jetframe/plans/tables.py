@@ -187,6 +187,16 @@ def nested_jets(
     return canonical.attach_children(jets(spark, sf_dir), children, "o_orderkey")
 
 
+def with_particles(
+    chosen: DataFrame, spark: SparkSession, sf_dir: str, min_pt: float = MIN_PT, min_energy: float = MIN_ENERGY
+) -> DataFrame:
+    """A choice of jets with their selected particles; only lines of these jets are ordered and nested."""
+    lines = raw_particles(spark, sf_dir).join(chosen.select("o_orderkey"), "o_orderkey", "left_semi")
+    kept = canonical.select_children(lines, "o_orderkey", TIE, min_pt, min_energy, MAX_PARTICLES)
+    children = canonical.nest_children(with_particle_fields(kept), "o_orderkey")
+    return canonical.attach_children(chosen, children, "o_orderkey")
+
+
 def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected particles as rows with their features and jet columns."""
     chosen = with_particle_fields(selected_particles(spark, sf_dir))
