@@ -8,7 +8,7 @@ Manifests that are values of a table (``path, content``) go through the same rul
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -140,12 +140,17 @@ def range_violations(ranges: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def manifest_lines(files: DataFrame) -> DataFrame:
-    """``(path, range, line_no, line)`` with exact 1-based line numbers; a value is one range."""
+def _value_lines(files: DataFrame) -> DataFrame:
+    """``(path, lines)``: the lines of manifests that are values."""
     text = F.col("content").cast("string")
     ended = F.when(text.endswith("\n"), 1).otherwise(0)
     body = F.substring(text, F.lit(1), F.length(text) - ended)
-    return files.select("path", F.posexplode(F.split(body, "\n", -1)).alias("i", "line")).select(
+    return files.select("path", F.split(body, "\n", -1).alias("lines"))
+
+
+def manifest_lines(files: DataFrame) -> DataFrame:
+    """``(path, range, line_no, line)`` with exact 1-based line numbers; a value is one range."""
+    return _value_lines(files).select("path", F.posexplode("lines").alias("i", "line")).select(
         "path", F.lit(0).cast("bigint").alias("range"), (F.col("i") + 1).alias("line_no"), "line"
     )
 
@@ -170,12 +175,79 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def line_violations(parsed: DataFrame) -> DataFrame:
+def range_disorder(good: DataFrame) -> DataFrame:
+    """``(path, line_no)`` of lines that stand after a greater one, for manifests read by ranges.
+
+    Neighbours are compared inside a range; the last line of a range meets the first of the next in a
+    table with one row per range.
+    """
+    here = F.struct("record_id", "canonical_pfn")
+    inside = Window.partitionBy("path", "range").orderBy("line_no")
+    within = good.withColumn("before", F.lag(here).over(inside)).filter(F.col("before") > here)
+    ends = good.groupBy("path", "range").agg(
+        F.min("line_no").alias("line_no"),
+        F.min_by(here, "line_no").alias("first"),
+        F.max_by(here, "line_no").alias("last"),
+    )
+    between = ends.withColumn(
+        "before", F.lag("last").over(Window.partitionBy("path").orderBy("range"))
+    ).filter(F.col("before") > F.col("first"))
+    return within.select("path", "line_no").union(between.select("path", "line_no"))
+
+
+def _good_values(files: DataFrame) -> DataFrame:
+    """``(path, good)``: the lines of manifests that are values whose fields are filled and parse."""
+
+    def told(f: Column, i: Column) -> Column:
+        record, size = _number(F.get(f, F.lit(0))), _number(F.get(f, F.lit(3)))
+        filled = (F.size(f) == 4) & ~F.exists(f, lambda x: x == "")
+        return F.struct(
+            (filled & record.isNotNull() & size.isNotNull()).alias("good"),
+            F.struct(record.alias("record_id"), F.get(f, F.lit(1)).alias("canonical_pfn")).alias("here"),
+            (i + 1).alias("line_no"),
+        )
+
+    fields = F.transform("lines", lambda line: F.split(line, "\t", -1))
+    return _value_lines(files).select("path", F.filter(F.transform(fields, told), lambda s: s["good"]).alias("good"))
+
+
+def _neighbours(name: str, told: Callable[[Column, Column], Column]) -> Column:
+    """What ``told`` says of neighbouring elements of an array, where it is not null."""
+    pairs = F.greatest(F.size(name) - 1, F.lit(0))
+    return F.array_compact(F.zip_with(F.slice(name, F.lit(1), pairs), F.slice(name, F.lit(2), pairs), told))
+
+
+def value_disorder(files: DataFrame) -> DataFrame:
+    """The same for manifests that are values: neighbours meet in their row, nothing is shuffled or sorted."""
+    turned = _neighbours("good", lambda a, b: F.when(a["here"] > b["here"], b["line_no"]))
+    return _good_values(files).select("path", F.explode(turned).alias("line_no"))
+
+
+def value_repeats(files: DataFrame) -> DataFrame:
+    """``(path, canonical_pfn, n)`` of names that repeat in a manifest that is a value.
+
+    Names are ordered in their row, and only those equal to the one before are counted, so a shuffle holds
+    repeats alone and not every name.
+    """
+    names = _good_values(files).select(
+        "path", F.array_sort(F.transform("good", lambda s: s["here"]["canonical_pfn"])).alias("names")
+    )
+    again = _neighbours("names", lambda a, b: F.when(a == b, b))
+    return (
+        names.select("path", F.explode(again).alias("canonical_pfn"))
+        .groupBy("path", "canonical_pfn")
+        .agg((F.count(F.lit(1)) + 1).alias("n"))
+    )
+
+
+def line_violations(
+    parsed: DataFrame, disorder: DataFrame | None = None, repeats: DataFrame | None = None
+) -> DataFrame:
     """Rules on lines, repeated files and the order of neighbouring lines, per manifest.
 
     Order is by record, then by the UTF-8 bytes of the name, which is how Spark compares
-    strings.  Neighbours are compared inside a range; the last line of a range meets the first of the next in a
-    table with one row per range.  Repeated names are counted with a map-side combined aggregate.
+    strings.  ``disorder`` and ``repeats`` have the lines out of order and the repeated
+    names where they are known already.  Repeated names are counted with a map-side combined aggregate.
     """
     key = F.concat_ws(":", "path", F.col("line_no").cast("string"))
     four = F.col("n_fields") == 4
@@ -195,35 +267,21 @@ def line_violations(parsed: DataFrame) -> DataFrame:
         },
     )
     good = parsed.filter(filled & numbers)
-    repeated = (
-        good.groupBy("path", "canonical_pfn")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select(
-            F.lit("MANIFEST_DUPLICATE_PFN").alias("rule"),
-            F.concat_ws(":", "path", "canonical_pfn").alias("key"),
-            F.concat(F.lit("count="), F.col("n").cast("string")).alias("detail"),
-        )
-    )
-    here = F.struct("record_id", "canonical_pfn")
-    inside = Window.partitionBy("path", "range").orderBy("line_no")
-    within = good.withColumn("before", F.lag(here).over(inside)).filter(F.col("before") > here)
-    ends = good.groupBy("path", "range").agg(
-        F.min("line_no").alias("line_no"),
-        F.min_by(here, "line_no").alias("first"),
-        F.max_by(here, "line_no").alias("last"),
-    )
-    between = ends.withColumn(
-        "before", F.lag("last").over(Window.partitionBy("path").orderBy("range"))
-    ).filter(F.col("before") > F.col("first"))
-    out_of_order = within.select("path", "line_no").union(between.select("path", "line_no")).select(
-        F.lit("MANIFEST_ORDER").alias("rule"), key.alias("key"), F.lit("").alias("detail")
+    if repeats is None:
+        repeats = good.groupBy("path", "canonical_pfn").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeated = repeats.select(
+        F.lit("MANIFEST_DUPLICATE_PFN").alias("rule"),
+        F.concat_ws(":", "path", "canonical_pfn").alias("key"),
+        F.concat(F.lit("count="), F.col("n").cast("string")).alias("detail"),
     )
+    found = range_disorder(good) if disorder is None else disorder
+    out_of_order = found.select(F.lit("MANIFEST_ORDER").alias("rule"), key.alias("key"), F.lit("").alias("detail"))
     return union_all([rows, repeated, out_of_order])
 
 
 def manifest_violations(files: DataFrame) -> DataFrame:
-    return union_all([byte_violations(files), line_violations(parse_lines(manifest_lines(files)))])
+    lines = parse_lines(manifest_lines(files))
+    return union_all([byte_violations(files), line_violations(lines, value_disorder(files), value_repeats(files))])
 
 
 def manifest_hash(files: DataFrame) -> DataFrame:
