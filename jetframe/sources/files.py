@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
+from functools import partial
+from urllib.parse import quote
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jetframe.functions import sha256
 from jetframe.operators import digest
 from jetframe.rules import broken_rules
+from jetframe.session import Shelf
 
 # Data suffixes and mutable revision names.
 DATA_SUFFIXES = ("h5", "hdf5", "hdf")
 MUTABLE_REVISIONS = ("latest", "main", "master", "pretrain_s")
 
-ROW_LIMIT = 1 << 30
+# Bytes of a file that is one value, of one that can be, of a task's range of a longer one, and of a read.
+ROW_LIMIT = 1 << 28
+VALUE_LIMIT = 1 << 30
+SPAN = 1 << 28
 BLOCK = 1 << 20
 
+TURN = "path string, length bigint, at bigint, state binary, sha256 string"
+
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """``(path, length, modificationTime)`` below ``root``; contents are not read."""
@@ -42,39 +53,90 @@ def relative(path: Column, root: str) -> Column:
     return F.substring(path, at + len(root.rstrip("/")) + 1, F.length(path))
 
 
-def file_inventory(spark: SparkSession, root: str, row_limit: int = ROW_LIMIT) -> DataFrame:
+def file_inventory(
+    spark: SparkSession, root: str, row_limit: int = ROW_LIMIT, span: int = SPAN
+) -> DataFrame:
     """``(path, sha256, byte_size)`` with paths relative to ``root``.
 
-    Files up to ``row_limit`` bytes are hashed as one binary value; longer ones, which do
-    not fit a row, are read block by block on the executors.
+    Files up to ``row_limit`` bytes are hashed as one binary value; longer ones by one task after
+    another, each of which reads ``span`` bytes. Where Python cannot open the file system of the longer
+    ones, files that fit a row are values as well.
     """
+    if span <= 0 or span % sha256.BLOCK:
+        raise ValueError(f"span must be a positive multiple of {sha256.BLOCK}")
     source = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    small = source.filter(F.col("length") <= row_limit).select(
+    some = source.filter(F.col("length") > row_limit).agg(F.max("path")).first()[0]
+    if some is not None and not _opens(some):
+        row_limit = max(row_limit, VALUE_LIMIT)
+    out = source.filter(F.col("length") <= row_limit).select(
         "path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_size")
     )
-    large = (
-        source.filter(F.col("length") > row_limit)
-        .select("path", "length")
-        .mapInPandas(_hash_blocks, "path string, sha256 string, byte_size bigint")
+    if some is not None:
+        out = out.unionByName(_hash_in_turn(spark, source.filter(F.col("length") > row_limit), span))
+    return out.withColumn("path", relative(F.col("path"), root))
+
+
+def _hash_in_turn(spark: SparkSession, files: DataFrame, span: int) -> DataFrame:
+    """``(path, sha256, byte_size)``, a round per range: a file's SHA-256 is one chain, its reading is not."""
+    shelf = Shelf(spark)
+    turn = shelf.put(
+        files.select(
+            "path",
+            "length",
+            F.lit(0).cast("bigint").alias("at"),
+            F.lit(None).cast("binary").alias("state"),
+            F.lit(None).cast("string").alias("sha256"),
+        )
     )
-    return small.unionByName(large).withColumn("path", relative(F.col("path"), root))
+    while left := turn.filter("sha256 IS NULL").count():
+        turn = shelf.put(next_turn(turn, left, span), turn)
+    shelf.close(turn)
+    return turn.select("path", "sha256", F.col("length").alias("byte_size"))
+
+
+def next_turn(turn: DataFrame, left: int, span: int) -> DataFrame:
+    """``(path, length, at, state, sha256)`` after ``span`` more bytes of the ``left`` unfinished files, a task each."""
+    unfinished = turn.filter("sha256 IS NULL").repartitionByRange(left, "path")
+    read = unfinished.mapInPandas(partial(_hash_range, span=span), TURN)
+    return turn.filter("sha256 IS NOT NULL").unionByName(read)
+
+
+def _open(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(quote(path, safe="/:@"))
 
 
-def _hash_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import hashlib
+def _opens(path: str) -> bool:
+    try:
+        _open(path)
+    except (OSError, ValueError, NotImplementedError):
+        return False
+    return True
 
-    from pyarrow import fs
 
+def _hash_range(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        digests = []
-        for path in batch["path"]:
-            system, name = fs.FileSystem.from_uri(path)
-            state = hashlib.sha256()
-            with system.open_input_stream(name) as stream:
-                while block := stream.read(BLOCK):
-                    state.update(block)
-            digests.append(state.hexdigest())
-        yield pd.DataFrame({"path": batch["path"], "sha256": digests, "byte_size": batch["length"]})
+        given = zip(batch["path"], batch["length"], batch["at"], batch["state"])
+        rows = [(path, length, *_hash_on(path, length, at, state, span)) for path, length, at, state in given]
+        yield pd.DataFrame(rows, columns=batch.columns)
+
+
+def _hash_on(path: str, length: int, at: int, state: bytes | None, span: int) -> tuple[int, bytes | None, str | None]:
+    """``(at, state, sha256)`` after the range from ``at``; without OpenSSL's states, after the whole file."""
+    library = sha256.library()
+    if library:
+        chain, end = sha256.Chain(library, state, at), min(length, at + span)
+    else:
+        chain, at, end = hashlib.sha256(), 0, length
+    system, name = _open(path)
+    with system.open_input_file(name) as file:
+        file.seek(at)
+        while at < end:
+            block = file.read(min(BLOCK, end - at))
+            if not block:
+                raise EOFError(f"{path} ends at byte {at}, not at {length}")
+            chain.update(block)
+            at += len(block)
+    return (at, None, chain.hexdigest()) if at == length else (at, chain.state(), None)
 
 
 def inventory_differences(recorded: DataFrame, observed: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:

@@ -117,6 +117,48 @@ def test_file_inventory_by_row_and_by_block(spark, tmp_path):
     assert [r.path.endswith("a.h5") for r in found.collect()] == [True]
 
 
+def test_long_files_are_hashed_in_turns(spark, tmp_path):
+    """Lengths around ends of ranges and blocks, names that no URI has as they are; no file fits a value."""
+    contents = {f"n{n}": bytes(k * k % 251 for k in range(n)) for n in (64, 191, 192, 193, 384, 385, 1000)}
+    contents |= {"a %41#?\u00e9 b.h5": b"q" * 500, "short": b"s"}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    rows = files.file_inventory(spark, str(tmp_path), row_limit=10, span=192).collect()
+    assert {r.path: r.sha256 for r in rows} == {n: hashlib.sha256(c).hexdigest() for n, c in contents.items()}
+    assert {r.path: r.byte_size for r in rows} == {n: len(c) for n, c in contents.items()}
+    with pytest.raises(ValueError, match="multiple of 64"):
+        files.file_inventory(spark, str(tmp_path), span=100)
+
+
+def test_a_turn_reads_its_range_only(spark, tmp_path):
+    """A task per unfinished file; the bytes after its range need not be there until their turn comes."""
+    paths = [tmp_path / f"f{n}" for n in range(9)]
+    for path in paths:
+        path.write_bytes(b"x" * 128)
+    start = [(path.as_uri(), 300, 0, None, None) for path in paths]
+    first = files.next_turn(spark.createDataFrame(start, files.TURN), 9, 128).withColumn("task", F.spark_partition_id())
+    rows = first.collect()
+    assert {(r.at, len(r.state), r.sha256) for r in rows} == {(128, 32, None)} and len({r.task for r in rows}) == 9
+    begun = spark.createDataFrame([r[:5] for r in rows], files.TURN)
+    with pytest.raises(Exception, match="ends at byte 128, not at 300"):
+        files.next_turn(begun, 9, 128).collect()
+    for path in paths:
+        path.write_bytes(b"?" * 128 + b"y" * 172)
+    second = files.next_turn(begun, 9, 128).collect()
+    third = files.next_turn(spark.createDataFrame(second, files.TURN), 9, 128).collect()
+    assert {r.sha256 for r in third} == {hashlib.sha256(b"x" * 128 + b"y" * 172).hexdigest()}
+
+
+def test_whole_files_where_states_or_file_systems_are_closed(spark, tmp_path, monkeypatch):
+    (tmp_path / "f").write_bytes(b"z" * 1000)
+    want = hashlib.sha256(b"z" * 1000).hexdigest()
+    monkeypatch.setattr(files, "_opens", lambda path: False)
+    assert files.file_inventory(spark, str(tmp_path), row_limit=10, span=64).first().sha256 == want
+    monkeypatch.setattr(files.sha256, "library", lambda: None)
+    uri = (tmp_path / "f").as_uri()
+    assert files._hash_on(uri, 1000, 0, None, 64) == files._hash_on(uri, 1000, 64, b"", 64) == (1000, None, want)
+
+
 @pytest.mark.parametrize("size", [7, 40, 1 << 20])
 def test_ranges_equal_whole_files(spark, tmp_path, size):
     """Every file gives the same rules by byte ranges of any size as by its whole content."""
