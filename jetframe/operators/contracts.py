@@ -9,7 +9,12 @@ of a record is copied into a row of its own.
 
 from __future__ import annotations
 
+import re
+import string
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -580,6 +585,7 @@ def broken_by_value(
     ``*`` for every key of a keyed object.  ``parent`` is the object that must have the value, if it must.
     """
 
+    @cache
     def get(kind: str) -> Column:
         return F.try_variant_get(record, at, kind)
 
@@ -600,14 +606,15 @@ def broken_by_value(
         found = [unless(F.when(others == 0, None).when(others > 0, F.lit(unknown)))]
         for name, inner in spec.fields.items():
             inside = f"{path}.{name}" if path else name
-            found += broken_by_value(inner, record, f"{at}['{name}']", inside, whole if inner.required else None)
+            part = broken_by_value(inner, record, f"{at}['{name}']", inside, whole if inner.required else None)
+            found += unless_good(inner, F.try_variant_get(record, f"{at}['{name}']", "variant"), part)
         return found
     found = [unless(F.when(is_typed(spec, get), F.when(~is_good(spec, get), F.lit(own))))]
     if isinstance(spec, Items | Each):
         item = Object(spec.fields) if isinstance(spec, Items) else spec.value
         found.append(
             F.transform(
-                get("array<variant>"), lambda x: F.concat_ws(AND, *broken_by_value(item, x, path=f"{path}[]"))
+                get("array<variant>"), lambda x: lines(unless_good(item, x, broken_by_value(item, x, path=f"{path}[]")))
             )
         )
     elif isinstance(spec, Keyed):
@@ -627,6 +634,19 @@ def lines(names: list[Column]) -> Column:
     return F.concat_ws(AND, *names)
 
 
+def holds_integers(spec) -> bool:
+    inner = spec.fields.values() if isinstance(spec, Object | Items) else [getattr(spec, "value", None)]
+    return isinstance(spec, Integer) or any(holds_integers(x) for x in inner if x is not None)
+
+
+def unless_good(spec, value: Column, found: list[Column]) -> list[Column]:
+    """What is found in a part of a record; a part whose text shows that it is good is not gone through."""
+    if not isinstance(spec, Object | Items) or not is_told(spec) or holds_integers(spec):
+        return found
+    # VARIANT writes keys in order, and 1.0 as 1.
+    return [F.when(matched(spec, F.to_json(value), order=sorted) == "", lines(found))]
+
+
 # The shape of a free part: brackets within each other to a fixed depth, no quoted names.
 _INSIDE = "[^<>`]*+"
 for _ in range(4):
@@ -710,6 +730,151 @@ def broken_by_plain(spec, value: Column, path: str = "", parent: Column | None =
     return found
 
 
+# Characters listed one by one are looked up in a table, ranges are compared.
+_LISTED = {
+    "0-9": string.digits, "a-f": "abcdef", "A-F": "ABCDEF", "a-z": string.ascii_lowercase, "A-Z": string.ascii_uppercase,
+}
+# One character of a JSON text that stands for itself, and one that "." matches too.
+_QUOTED = '"' + r"\\" + "".join(rf"\x{n:02x}" for n in range(32))
+_CHAR = rf"[^{_QUOTED}�]"
+_DOT = rf"[^{_QUOTED}�\x85  ]"
+# Patterns of fields that match the same between the quotes of a JSON text: classes and counts of plain characters.
+_CLASS = r"\[(?:a-z|A-Z|0-9|a-f|A-F|[A-Za-z0-9._])+-?\]"
+_PLAIN_PATTERN = re.compile(rf"\^((?:{_CLASS}|[A-Za-z0-9_]|\{{\d+(?:,\d+)?\}})+)\$")
+# Matches nothing: a value that no pattern tells to be good.
+NEVER = "(?!)"
+# Longer texts go to the parser, and so do objects of more keys of their own than these.
+MATCHED_BYTES = 1 << 20
+MATCHED_KEYS = 16
+
+
+def good_text(spec: Text) -> str:
+    if spec.allowed:
+        plain = [re.escape(a) for a in spec.allowed if re.fullmatch(r"[\x20-\x7e]+", a) and not set(a) & set('"\\')]
+        if not plain or spec.pattern is not None:
+            return NEVER
+        return f'"(?:{"|".join(plain)})"' if len(plain) > 1 else f'"{plain[0]}"'
+    if spec.pattern is None:
+        return f'"{_CHAR}*+"'
+    if spec.pattern == ".":
+        return f'"{_DOT}{_CHAR}*+"'
+    if spec.pattern == identity.UTC_FORMAT:
+        return f'"{_CHAR}*+(?<=Z)"'
+    plain = _PLAIN_PATTERN.fullmatch(spec.pattern)
+    if not plain:
+        return NEVER
+    return '"' + re.sub("|".join(_LISTED), lambda m: _LISTED[m[0]], plain[1]) + '"'
+
+
+def good_number(spec: Number | Integer) -> str:
+    """Plain decimal digits only; what else a contract allows (1.0 for 1, exponents) is left to the parser."""
+    low, above, high = spec.low, getattr(spec, "above", None), spec.high
+    part = "" if isinstance(spec, Integer) or spec.whole else r"(?:\.[0-9]{1,15}+)?+"
+    whole, positive = "(?:0|[1-9][0-9]{0,14}+)", "[1-9][0-9]{0,14}+"
+    if above is not None:
+        if (low, above, high) != (None, 0, None):
+            return NEVER
+        return rf"(?:{positive}{part}|0\.0{{0,9}}+[1-9][0-9]{{0,9}}+)" if part else positive
+    if high is None:
+        return {None: f"-?+{whole}{part}", 0: whole + part, 1: positive + part}.get(low, NEVER)
+    if low == high and low in range(100):
+        return str(int(low))
+    if (low, high) == (0, 1):
+        return f"(?:0{part}|1)"
+    if low not in (0, 1) or high < 9:
+        return NEVER
+    digits = f"{{0,{len(str(int(high) + 1)) - 2}}}+"
+    return f"(?:0|[1-9][0-9]{digits})" if low == 0 else f"[1-9][0-9]{digits}"
+
+
+def array_text(item: str, least: int = 0, unique: bool = False) -> str:
+    """Of values that must differ, none or one."""
+    more = f"(?:,{item}){{{max(least - 1, 0)},}}+" if not unique else "" if least < 2 else NEVER
+    return rf"\[{item}{more}\]" if least else rf"\[(?:{item}{more})?+\]"
+
+
+def json_text(
+    spec, rules: bool = True, order: Callable = list, groups: Iterator[int] | None = None, keep: str | None = None
+) -> str:
+    """Pattern of JSON texts, compact and without escapes, of values that break no rule of the contract; without
+    ``rules``, of those that have its types and no unknown keys, so that :func:`broken_by_plain` can tell the rest.
+
+    What matches is JSON and names no key twice; keys stand as ``order`` gives them.  What does not match may be
+    good all the same.  The value of the key ``keep`` is the group ``kept``.
+    """
+    groups = groups or count()
+    if isinstance(spec, Text):
+        return good_text(spec) if rules else f'"{_CHAR}*+"'
+    if isinstance(spec, Number | Integer):
+        return good_number(spec) if rules else good_number(type(spec)())
+    if isinstance(spec, Flag):
+        return "(?:true|false)" if spec.must_be is None or not rules else str(spec.must_be).lower()
+    if isinstance(spec, Names):
+        return array_text(f'"{_CHAR}*+"', unique=spec.unique and rules)
+    if isinstance(spec, Constants):
+        return rf"\[{','.join(map(str, spec.values))}\]" if rules else array_text(good_number(Integer()))
+    if isinstance(spec, Each):
+        if spec.unique and not isinstance(spec.value, Text):
+            return NEVER
+        item = json_text(spec.value, rules, order, groups)
+        return array_text(item, spec.least, spec.unique) if rules else array_text(item)
+    if isinstance(spec, Items):
+        return array_text(json_text(Object(spec.fields), rules, order, groups), spec.least if rules else 0)
+    if isinstance(spec, Free):
+        return NEVER
+    # Where no pair need be there, each is followed by the next or by the end.
+    end = r"(?:,(?!\})|(?=\}))"
+    if isinstance(spec, Keyed):
+        key = f"k{next(groups)}"
+        name = rf'"(?<{key}>[1-9][0-9]*+)"(?![^{{}}]*,"\k<{key}>")'
+        return rf"\{{(?:{name}:{json_text(spec.value, rules)}{end}){{0,{MATCHED_KEYS}}}+\}}"
+    names = order(spec.fields)
+    needed = [rules and spec.fields[name].required for name in names]
+    first = needed.index(True) if any(needed) else None
+    pairs = ""
+    for at, name in enumerate(names):
+        value = json_text(spec.fields[name], rules, order, groups)
+        value = f"(?<kept>{value})" if name == keep else value
+        pair = f'"{re.escape(name)}":{value if needed[at] else f"(?:{value}|null)"}'
+        # A group within an atomic one would stay set where what follows fails.
+        may = "?" if name == keep else "?+"
+        if first is None:
+            pairs += f"(?:{pair}{end}){may}"
+        elif at <= first:
+            pairs += pair if at == first else f"(?:{pair},){may}"
+        else:
+            pairs += f",{pair}" if needed[at] else f"(?:,{pair}){may}"
+    return rf"\{{{pairs}\}}" if keep else rf"(?>\{{{pairs}\}})"
+
+
+def is_told(spec) -> bool:
+    """Whether :func:`json_text` can match at all."""
+    if isinstance(spec, Object | Items):
+        return all(is_told(inner) for inner in spec.fields.values() if inner.required)
+    if isinstance(spec, Each | Keyed):
+        return is_told(spec.value) and NEVER not in json_text(spec)
+    return NEVER not in json_text(spec)
+
+
+def matched(spec, json: Column, rules: bool = True, order: Callable = list, keep: str | None = None) -> Column:
+    """The text that :func:`json_text` matches, or that of its key ``keep``; empty where it does not match."""
+    pattern = json_text(spec, rules, order, keep=keep)
+    pattern = pattern if keep else f"(?<kept>{pattern})"
+    group = 1 + pattern[: pattern.index("(?<kept>")].count("(?<k")
+    # It matches at the start of every text, if without the group: a search would try each place of the text.
+    text = F.regexp_extract(json, rf"\A(?:{pattern}\z)?", group)
+    return F.when(F.octet_length(json) <= MATCHED_BYTES, text).otherwise("")
+
+
+def with_matched(records: DataFrame, name: str, spec, unless: Column, rules: bool = True, keep: str | None = None) -> DataFrame:
+    """``name``: what is :func:`matched` in ``json`` with keys as the contract lists them, or sorted; ``unless``: not tried."""
+    json, found = F.col("json"), F.col(name)
+    listed = records.withColumn(name, F.when(~unless, matched(spec, json, rules, list, keep)).otherwise(""))
+    return listed.withColumn(
+        name, F.when(unless | (found != ""), found).otherwise(matched(spec, json, rules, sorted, keep))
+    )
+
+
 # The digest field of a record, which its own digest leaves out.
 SELF_HASH = {
     "prediction": "content_hash.metadata_sha256",
@@ -785,22 +950,20 @@ def prediction_rules(v: Record) -> dict[str, Column]:
 SOURCE_FILES = "array<struct<canonical_pfn:string,pfn_sha256:string,bucket:bigint,split:string>>"
 
 
-def split_rules(v: Record) -> dict[str, Column]:
-    """Files of a split record: no name twice, and hash, bucket and split recomputed from the name."""
-    files = v.get("source_files", SOURCE_FILES)
+def split_rules(files: Column, hashes: Column) -> dict[str, Column]:
+    """Files of a split record: no name twice, and hash, bucket and split those of the ``hashes`` of their names."""
     names = files["canonical_pfn"]
 
-    def stale(file: Column) -> Column:
-        return file["pfn_sha256"] != identity.file_hash(file["canonical_pfn"])
-
-    def misplaced(file: Column) -> Column:
-        bucket = identity.bucket10(identity.file_hash(file["canonical_pfn"]))
+    def misplaced(file: Column, bucket: Column) -> Column:
         return (file["bucket"] != bucket) | (file["split"] != identity.split_of_bucket(bucket))
 
+    def any_of(others: Column, bad: Callable) -> Column:
+        return F.exists(F.zip_with(files, others, bad), lambda x: x)
+
     return {
         "CONTRACT_PFN_DUPLICATE": F.size(F.array_distinct(names)) != F.size(names),
-        "CONTRACT_HASH_MISMATCH": F.exists(files, stale),
-        "CONTRACT_SPLIT_MISMATCH": F.exists(files, misplaced),
+        "CONTRACT_HASH_MISMATCH": any_of(hashes, lambda file, digest: file["pfn_sha256"] != digest),
+        "CONTRACT_SPLIT_MISMATCH": any_of(F.transform(hashes, identity.bucket10), misplaced),
     }
 
 
@@ -834,7 +997,7 @@ def semantic_rules(kind: str, v: Record, described: bool) -> dict[str, Column]:
     if kind == "prediction":
         return prediction_rules(v)
     if kind == "split":
-        return split_rules(v) if described else {}
+        return split_rules(F.col("files"), F.col("hashes")) if described else {}
     if kind == "e0_audit":
         return gate_rules(v, "failed_gates", ("passed",))
     return gate_rules(v, "failed_checks", ("passed", "fallback_approved"))
@@ -849,12 +1012,35 @@ def record_violations(
     """
     fields = CONTRACTS[kind] | (DESCRIBED.get(kind, {}) if described else {})
     v = F.col("v")
-    major = F.regexp_extract(F.try_variant_get(v, "$.schema_version", "string"), r"^(\d+)\.\d+\.\d+$", 1)
+    version = F.try_variant_get(v, "$.schema_version", "string")
+    if is_told(Object(fields)):
+        shaped = F.when(F.col("shaped"), F.get_json_object("json", "$.schema_version"))
+        version = F.when(~F.col("good"), F.when(v.isNull(), shaped).otherwise(version))
+    major = F.regexp_extract(version, r"^(\d+)\.\d+\.\d+$", 1)
     whole = {
         "CONTRACT_UNSUPPORTED_MAJOR": (major != "") & (major != SUPPORTED_MAJOR),
         **semantic_rules(kind, Record(v), described),
     }
-    parsed = records.select(F.col(key).alias("key"), F.try_parse_json(json).alias("v"), F.col(json).alias("json"))
+    spec, text = Object(fields), F.col("json")
+    parsed = records.select(F.col(key).alias("key"), F.col(json).alias("json"))
+    if not is_told(spec):
+        return variant_violations(parsed.withColumn("v", F.try_parse_json(text)), fields, whole)
+    # Of a record whose text is matched, only the files are read for the rules on the whole; each name is hashed once.
+    keep = "source_files" if kind == "split" and described else None
+    told = with_matched(parsed, "good_text", spec, F.lit(False), keep=keep)
+    told = with_matched(told, "shaped_text", spec, F.col("good_text") != "", rules=False, keep=keep)
+    read = F.concat("good_text", "shaped_text")
+    parsed = told.select(
+        "key", "json", (F.col("good_text") != "").alias("good"), (F.col("shaped_text") != "").alias("shaped"),
+        F.when((read == "") | F.lit(kind != "split"), F.try_parse_json(text)).alias("v"), read.alias("read"),
+    )
+    if keep:
+        # A bucket of 1.5 is matched as a number; it is cut to 1, as VARIANT does.
+        listed = F.from_json("read", SOURCE_FILES.replace("bigint", "decimal(38,15)")).cast(SOURCE_FILES)
+        files = F.when(F.col("read") != "", listed).otherwise(Record(v).get(keep, SOURCE_FILES))
+        parsed = parsed.withColumn("files", files).withColumn(
+            "hashes", F.transform(F.col("files")["canonical_pfn"], identity.file_hash)
+        )
     return variant_violations(parsed, fields, whole)
 
 
@@ -864,20 +1050,24 @@ def variant_violations(
     """Broken rules of VARIANT records ``(key, v)`` under a contract, each once per record.
 
     Where their text stands beside them as ``json``, records of the contract's shape are read at once with all
-    types given, the others value by value.
+    types given, the others value by value.  Records known to be ``good`` are not read, and those known to be
+    ``shaped`` need no VARIANT.
     ``whole`` has predicates, true for a bad record, on the record as a whole.  A null record is no JSON.
     """
     spec, v = Object(fields), F.col("v")
-    kept, names = records, lines(broken_by_value(spec, v))
+    kept, names, no_json = records, lines(broken_by_value(spec, v)), v.isNull()
     if "json" in records.columns:
         fits = F.schema_of_variant(v).rlike(f"^{shape_pattern(spec)}$") & ~F.is_variant_null(v)
+        if "good" in records.columns:
+            fits = ~F.col("good") & (F.col("shaped") | fits)
         kept = records.withColumn("fits", fits).withColumn(
             "plain", F.when(F.col("fits"), F.from_json("json", plain_type(spec)))
         )
         names = F.when(F.col("fits"), lines(broken_by_plain(spec, F.col("plain")))).otherwise(names)
-    no_json = F.when(v.isNull(), F.lit("CONTRACT_JSON"))
-    broken = [F.when(bad, F.lit(name)) for name, bad in (whole or {}).items()]
-    found = kept.select("key", F.concat_ws(AND, no_json, *broken, names).alias("names"))
+    if "good" in records.columns:
+        names, no_json = F.when(~F.col("good"), names), no_json & ~F.col("good") & ~F.col("shaped")
+    broken = [F.when(no_json, F.lit("CONTRACT_JSON")), *[F.when(bad, F.lit(name)) for name, bad in (whole or {}).items()]]
+    found = kept.select("key", F.concat_ws(AND, *broken, names).alias("names"))
     # explode would filter on the size of the array first, which works the rules out a second time.
     each = found.select("key", F.explode_outer(F.array_distinct(F.split("names", AND))).alias("rule"))
     return each.filter("rule <> ''").select(

@@ -313,8 +313,8 @@ _SPLIT = f"""to_json(named_struct('schema_version', '1.0.0', 'manifest_id', conc
     'subset_identities_unique', true, 'subsets_nested', true, 'class_counts_sufficient', true),
   'hash_metadata', named_struct('algorithm', 'sha256', 'canonicalization',
     'utf8-sorted-keys-compact-json-lf-excluding-hash_metadata.content_sha256', 'content_sha256', {SHA})))"""
-_SPLIT_RECORD = r"""regexp_replace(json, '("role"):"signal"(,"canonical_pfn")',
-  CASE WHEN o_orderkey % 71 = 0 THEN '$1:5$2' ELSE '$1:"signal"$2' END)"""
+_SPLIT_RECORD = """CASE WHEN o_orderkey % 71 = 0
+  THEN replace(json, '"role":"signal","canonical_pfn"', '"role":5,"canonical_pfn"') ELSE json END"""
 
 
 @query(
